@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, merge_dropout, simhash
+from . import decontaminate, inner_product, language_id, license_scan, line_dedup, lm_score, merge_dropout, quality, simhash, url_filter
 from .shared import remainder
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -15,10 +15,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join("matches.license", ",").alias("licenses"), "matches")
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    return lm_score.score(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+RULES = [
+    url_filter.Rule("block", "com", "/en/"),
+    url_filter.Rule("allow", "example.com", "/en/7"),
+    url_filter.Rule("block", "net", "/de/"),
+    url_filter.Rule("allow", "example.net", "/de/8"),
+    url_filter.Rule("block", "org", "/es/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.encode(table(spark, sf_dir, "documents"), merge_dropout.PieceModel(TOKENIZER))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = quality.train(docs, labels.filter(~held_out))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark_text(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -39,9 +71,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, parser).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_merge_dropout": op4_merge_dropout, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_language_id": op8_language_id, "op10_simhash": op10_simhash}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_lm_score, op3_url_filter, op4_merge_dropout, op5_quality, op6_decontaminate, op7_line_dedup, op8_language_id, op9_inner_product, op10_simhash)
+}
 ORACLES: dict[str, str] = {}
