@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index over each training shard, searched for test phrases.
 
-A shard is what a task reads of the documents in one Arrow batch.  Words that no test phrase holds
+A shard is about ``SHARD_BYTES`` of the texts that a task reads.  Words that no test phrase holds
 are separators, and runs of phrase words too short for any phrase cannot hold one; the index is
 built over the other runs.  Each phrase is a backward search through wavelet-tree ranks, its
 occurrences are placed by sampled suffix positions, and overlapping occurrences merge into spans.
@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .text_arrays import ALNUM, FIRST, pieces, spread, words
+from .text_arrays import ALNUM, FIRST, pieces, row_slices, spread, words
 
 #: Test phrases are sent to the tasks in blocks of so many words at most (about 100 MB).
 BLOCK_WORDS = 4_000_000
+#: Text of a shard.
+SHARD_BYTES = 16 << 20
 
 
 class Phrases:
@@ -135,7 +137,7 @@ def _columns(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndarray
 
 def _annotate(phrases) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches, 1, SHARD_BYTES):
             n_words, n_hit, spans, items = _columns(batch.column(1), phrases.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), spans, items], ["id", "n_words", "n_hit", "spans", "items"])
 
@@ -199,7 +201,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     position, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(blocks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches, position, SHARD_BYTES):
             n_words, n_hit, _, _ = _columns(batch.column(position), shared.value)
             yield batch.filter(pa.array(~((n_hit > 0) & (n_hit * one_in >= n_words))))
 

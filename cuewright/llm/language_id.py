@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text_arrays import row_slices
+
 TRAIN_CHARS = 30_000
 SAMPLE_DOCS = 32
 ALPHABET = 62
@@ -214,7 +216,7 @@ def identify(docs: DataFrame, parser: CrossParser, *, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches, 1, GROUP_CHARS):
             lang, score = judge(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shared.value, block)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
@@ -229,7 +231,7 @@ def keep_identified(docs: DataFrame, parser: CrossParser, *, text_col: str = "te
     width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches, position, GROUP_CHARS):
             lang, _ = judge(batch.column(position).to_pylist(), batch.column(width).to_pylist(), shared.value, block)
             kept = batch.filter(pa.array([x != "und" for x in lang]))
             yield pa.RecordBatch.from_arrays(kept.columns[:width], [f"c{k}" for k in range(width)])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .cuckoo import CuckooFilter
 from .shared import shared_dir, stored
-from .text_arrays import FIRST, SECOND, Lines, Piece, lines, pieces
+from .text_arrays import FIRST, SECOND, Lines, Piece, lines, pieces, row_slices
 
 #: Filters of so many bytes in all may be sent to every task.
 FILTER_BYTES = 64 << 20
@@ -127,7 +127,7 @@ class LineStore:
         position, width, min_chars = docs.columns.index(self.text_col), len(docs.columns), self.min_chars
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in row_slices(batches, position, 8 << 20):
                 text, n_lines, n_dropped = cut_lines(batch.column(position), batch.column(width), min_chars)
                 columns = batch.columns[:width]
                 columns[position] = text

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_arrays import EXACT, Piece, mix, pieces, spread
+from .text_arrays import EXACT, SLICE_BYTES, Piece, mix, pieces, row_slices, spread
 
 MARK = "▁"
 SHORT = 48
@@ -302,7 +302,7 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches, 1, SLICE_BYTES):
             ids, bounds = encode_column(shared.value, batch.column(1), _row_keys(batch.column(2)), seed=seed, dropout=dropout, variants=variants)
             data, ends = decode_column(shared.value, ids, bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(np.diff(bounds)), pa.array(_equal(batch.column(1), data, ends))], ["id", "ids", "n_pieces", "lossless"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in slices of about so many bytes (a longer text is one slice).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -164,3 +164,10 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     sizes = sizes.astype(np.int64)
     total = int(sizes.sum())
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(total)
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], column: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``slice_bytes`` of text, to bound a task's memory."""
+    for batch in batches:
+        for piece in pieces(batch.column(column), slice_bytes):
+            yield batch.slice(piece.first, piece.last - piece.first)
