@@ -1 +1 @@
-
+"""Column expressions: each takes and gives Columns, so Catalyst sees through all of them."""
