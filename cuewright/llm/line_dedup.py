@@ -117,25 +117,29 @@ class LineStore:
         held = {r.shard: bytes(r.filter) for r in rows}
         return [held.get(s, empty) for s in range(shards)]
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with the text cut, and n_lines and n_dropped as the last columns."""
+    def apply(self, docs: DataFrame, *, counts: bool = True) -> DataFrame:
+        """``docs`` with the text cut; with ``counts`` also n_lines and n_dropped as the last columns,
+        which replace columns of these names."""
         repeated = stored(self.repeated(), "repeated")
         sieve = self.filters(repeated)
         candidates = postings(docs, self.id_col, self.text_col, self.min_chars, self.spark.sparkContext.broadcast(sieve) if sieve is not None else None)
         dropped = candidates.join(repeated, ["k1", "k2"]).filter(F.col("doc") != F.col("keeper")).groupBy("doc").agg(F.collect_set("k1").alias("_dropped")).select(F.col("doc").alias("_doc"), "_dropped")
-        joined = docs.join(dropped.hint("shuffle_hash"), docs[self.id_col] == F.col("_doc"), "left").select(*(docs[c] for c in docs.columns), "_dropped")
         position, width, min_chars = docs.columns.index(self.text_col), len(docs.columns), self.min_chars
+        names = [f"c{k}" for k in range(width)]
+        numbered = docs.toDF(*names)  # no name of the documents' columns can clash
+        joined = numbered.join(dropped.hint("shuffle_hash"), F.col(names[docs.columns.index(self.id_col)]) == F.col("_doc"), "left").drop("_doc")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in row_slices(batches, position, 8 << 20):
                 text, n_lines, n_dropped = cut_lines(batch.column(position), batch.column(width), min_chars)
                 columns = batch.columns[:width]
                 columns[position] = text
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*(f"c{k}" for k in range(width)), "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-        names = [f"c{k}" for k in range(width)]
         kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, joined.schema.fields, strict=False))
-        return joined.toDF(*names, "_dropped").mapInArrow(cut, f"{kinds}, n_lines long, n_dropped long").toDF(*docs.columns, "n_lines", "n_dropped")
+        made = joined.mapInArrow(cut, f"{kinds}, n_lines long, n_dropped long")
+        own = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if not counts or c not in ("n_lines", "n_dropped")]
+        return made.select(*own, *(["n_lines", "n_dropped"] if counts else []))
 
 
 def cut_lines(texts: pa.Array, dropped: pa.Array, min_chars: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -171,7 +175,7 @@ def cut_lines(texts: pa.Array, dropped: pa.Array, min_chars: int) -> tuple[pa.Ar
     return pa.array(out, texts.type), joined(n_lines), joined(n_dropped)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bytes: int = FILTER_BYTES, counts: bool = True) -> DataFrame:
     """One batch: all of ``docs`` inserted into a new store, which is then applied to them."""
     store = LineStore(docs.sparkSession, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, filter_bytes=filter_bytes)
-    return store.insert(docs).apply(docs)
+    return store.insert(docs).apply(docs, counts=counts)

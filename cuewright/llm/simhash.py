@@ -205,14 +205,14 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows of a null id stay only if their whole group has no id (then one of each fingerprint stays).
     """
     found = components(docs, id_col=id_col, text_col=text_col, bits=bits, shingle=shingle)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    kept = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col])
     nameless = docs.filter(F.col(id_col).isNull())
     if nameless.isEmpty():
         return named
-    lost = found.filter(F.col("component_id").isNull()).select("fingerprint").distinct()
+    lost = found.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_fp")).distinct()
     prints = with_all_columns(nameless, text_col, shingle)
-    return named.unionByName(prints.join(lost, F.col("_fp") == F.col("fingerprint"), "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
+    return named.unionByName(prints.join(lost, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
 
 
 def with_all_columns(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.media import BITMAP_SUBTITLES
 from ..functions.releases import day_number
@@ -235,15 +237,16 @@ def sections_of(directories: DataFrame, sections: DataFrame, directory: str = "d
 
 
 def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A keyed JSON table; a missing file or a corrupt one gives no rows."""
+    """A keyed table kept as one JSON array; a missing file or a corrupt one gives no rows."""
+    empty = spark.createDataFrame([], schema)
     try:
-        rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-        rows.schema  # noqa: B018
-    except Exception as e:  # Spark's own analysis error for a missing path
-        if "PATH_NOT_FOUND" not in str(e):
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    return rows.filter("_corrupt is null").drop("_corrupt")
+        return empty
+    rows = whole.select(F.explode(F.from_json("value", ArrayType(empty.schema))).alias("r"))
+    return rows.select("r.*").dropna("all")
 
 
 def gpu_samples(spark: SparkSession, path: str) -> DataFrame:
