@@ -86,7 +86,7 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("file_id"),
         F.expr("case when l_orderkey % 4 = 0 then 'mkv' else 'mp4' end").alias("container"),
-        F.expr("(l_linenumber * 10000000L + l_partkey) * 10000L + l_suppkey").alias("index"),
+        F.expr("((l_linenumber * 10000000L + l_partkey) * 10000L + l_suppkey) * 100L + cast(l_quantity as bigint)").alias("index"),
         F.expr("case when l_linenumber in (1, 4) then 'video' when l_returnflag = 'R' then 'subtitle' else 'audio' end").alias("kind"),
         F.expr("case when l_linenumber in (1, 4) then case when l_partkey % 5 = 0 then 'hevc' else 'h264' end when l_returnflag = 'R' then case when l_partkey % 2 = 0 then 'subrip' else 'dvd_subtitle' end else case when l_partkey % 3 = 0 then 'ac3' else 'aac' end end").alias("codec"),
         F.expr("cast(l_quantity * 80 as int)").alias("width"),
@@ -100,7 +100,7 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STREAMS_SQL = """streams AS (
-  SELECT l_orderkey AS file_id, CASE WHEN l_orderkey % 4 = 0 THEN 'mkv' ELSE 'mp4' END AS container, (l_linenumber::BIGINT * 10000000 + l_partkey) * 10000 + l_suppkey AS index,
+  SELECT l_orderkey AS file_id, CASE WHEN l_orderkey % 4 = 0 THEN 'mkv' ELSE 'mp4' END AS container, ((l_linenumber::BIGINT * 10000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(trunc(l_quantity) AS BIGINT) AS index,
     CASE WHEN l_linenumber IN (1, 4) THEN 'video' WHEN l_returnflag = 'R' THEN 'subtitle' ELSE 'audio' END AS kind,
     CASE WHEN l_linenumber IN (1, 4) THEN CASE WHEN l_partkey % 5 = 0 THEN 'hevc' ELSE 'h264' END
       WHEN l_returnflag = 'R' THEN CASE WHEN l_partkey % 2 = 0 THEN 'subrip' ELSE 'dvd_subtitle' END
