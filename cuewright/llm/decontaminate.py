@@ -11,12 +11,14 @@ than one block costs one more scan a block and an aggregation by document.
 
 Defined results: a null or wordless text has no words, no spans and is not contaminated; null or
 wordless items have no window; items that repeat an id count as one; an empty benchmark or empty
-documents give empty hits; a null id is carried through.  Columns besides id and text are ignored.
+documents give empty hits; a null id is carried through; rows that repeat an id are each judged.
+Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .fm_index import FMIndex
 from .text_arrays import ALNUM, FIRST, pieces, row_slices, spread, words
 
-#: Test phrases are sent to the tasks in blocks of so many words at most (about 100 MB).
-BLOCK_WORDS = 4_000_000
+#: Test phrases are sent to the tasks in blocks of so many words at most (some 200 MB in the driver).
+BLOCK_WORDS = 500_000
 #: Text of a shard.
 SHARD_BYTES = 16 << 20
 
@@ -168,36 +170,45 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, id_col: str =
 
     ``window`` consecutive item words make a phrase; a shorter item is one phrase.
     """
-    spark = docs.sparkSession
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = read.schema["id"].dataType.simpleString()
-    parts = [
-        read.mapInArrow(_annotate(spark.sparkContext.broadcast(phrases)), f"id {kind}, {SCHEMA}")
-        for phrases in phrase_blocks(benchmark, item_col, item_text_col, window, block_words)
-    ]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.aggregate(
-        "found",
-        F.expr("cast(array() as array<struct<begin:long,end:long>>)"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["begin"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
-    )
-    spans = merged.withColumn("spans", joined)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    return spans.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
+    blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_words)
+    return _found(docs, list(blocks), id_col, text_col).drop("_key").withColumnRenamed("id", id_col)
+
+
+def _text_key(text_col: str) -> Column:
+    """A number of the text, which with the id tells a row's result."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _found(docs: DataFrame, blocks: list[Phrases], id_col: str, text_col: str) -> DataFrame:
+    """id, _key (of the text) and the results of every row."""
+    read = docs.select(F.struct(F.col(id_col).alias("id"), _text_key(text_col).alias("key")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = read.schema["row"].dataType.simpleString()
+    parts = [read.mapInArrow(_annotate(docs.sparkSession.sparkContext.broadcast(phrases)), f"id {kind}, {SCHEMA}") for phrases in blocks]
+    every = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        merged = every.groupBy("id").agg(F.count("*").alias("n"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        joined = F.aggregate(
+            "found",
+            F.expr("cast(array() as array<struct<begin:long,end:long>>)"),
+            lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["begin"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
+        )
+        spans = merged.withColumn("spans", joined)
+        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+        # equal rows met in one group, with one row a block each
+        copies = F.explode(F.array_repeat(F.lit(0), (F.col("n") / len(parts)).cast("int")))
+        every = spans.select("id", "n_words", n_hit.alias("n_hit"), "spans", "items", copies.alias("_copy")).drop("_copy")
+    return every.select("id.id", F.col("id.key").alias("_key"), "n_words", "n_hit", "spans", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, one_in: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that the contamination rule leaves, all columns as they are."""
     blocks = list(phrase_blocks(benchmark, item_col, item_text_col, window, block_words))
     if len(blocks) > 1:  # the rule needs the hits of all blocks together
-        found = find_benchmark_text(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, block_words=block_words)
-        bad = found.filter(contaminated(F.col("n_words"), F.col("n_hit"), one_in)).select(F.col(id_col).alias("_bad_id"))
-        return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")), "left_anti")
+        found = _found(docs, blocks, id_col, text_col)
+        bad = found.filter(contaminated(F.col("n_words"), F.col("n_hit"), one_in)).select(F.col("id").alias("_bad_id"), F.col("_key").alias("_bad_key")).distinct()
+        names = [f"c{k}" for k in range(len(docs.columns))]  # no name of the documents' columns can clash
+        own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+        return docs.toDF(*names).join(bad, F.col(own_id).eqNullSafe(F.col("_bad_id")) & (_text_key(own_text) == F.col("_bad_key")), "left_anti").toDF(*docs.columns)
     position, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(blocks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

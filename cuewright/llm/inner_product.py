@@ -16,7 +16,7 @@ Queries go to the tasks in blocks of at most ``block_bytes``; each block is one
 vectors, so neither side is ever held whole.  A partition gives at most k rows a query.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part, nor
-do rows of a null id; shorter vectors count as padded with zeros; of rows that repeat an id the one
+do rows of a null id or with a scaled component of 2**31 or more (scores must fit a long); shorter vectors count as padded with zeros; of rows that repeat an id the one
 of smallest bytes is taken; fewer than k others give fewer rows; an empty table gives none.
 """
 

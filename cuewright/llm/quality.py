@@ -110,7 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     names = list(named)
     sample = labelled_sample(labels, id_col, label_col, train_rows)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # at most train_rows ids
-    rows = checkpoint(own.select("_id", *(c.alias(n) for n, c in named.items()), "_label").coalesce(4).sortWithinPartitions("_id"))
+    # the scan keeps its tasks; at most train_rows rows of numbers move, dealt alike in every run
+    rows = checkpoint(own.select("_id", *(c.alias(n) for n, c in named.items()), "_label").repartition(4, "_id").sortWithinPartitions("_id", *names))
     share = rows.agg(F.count("*").alias("n"), F.sum("_label").alias("ones")).first()
     if not share.n or share.ones in (0, share.n):
         odds = ((share.ones or 0) + 0.5) / (share.n + 1) if share.n else 0.5

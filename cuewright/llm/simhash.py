@@ -88,24 +88,23 @@ def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, fp long")
 
 
-def _segments(bits: list[int]) -> list[list[int]]:
-    """The bits in five segments of nearly one size."""
-    return [x.tolist() for x in np.array_split(np.array(bits), SEGMENTS)]
-
-
-def _masks(bits: list[int]) -> list[int]:
-    """A mask for each two of the segments."""
-    return [sum(1 << b for b in (*x, *y)) for x, y in combinations(_segments(bits), 2)]
+def _masks(free: int) -> list[int]:
+    """The free bits in five segments of nearly one size: a mask for each two of them."""
+    bits = [b for b in range(64) if free >> b & 1]
+    segments = [x.tolist() for x in np.array_split(np.array(bits), SEGMENTS)]
+    return [sum(1 << b for b in (*x, *y)) for x, y in combinations(segments, 2)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keyed(nodes: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    """Each (path, key, fp) once for each mask: key takes up the bits under it."""
-    rows = F.array(*(F.struct(F.lit(number).alias("mask"), F.lit(_signed(mask)).alias("bits")) for number, mask in masks))
-    return nodes.select("path", "fp", F.explode(rows).alias("m")).select(F.concat_ws(".", "path", F.col("m.mask").cast("string"), F.hex(F.col("fp").bitwiseAND(F.col("m.bits")))).alias("path"), F.col("m.mask").alias("mask"), "fp")
+def _keyed(nodes: DataFrame, frees: list[int]) -> DataFrame:
+    """Each (path, free, fp) once for each mask of its free bits: the bits under the mask join the path."""
+    rows = [(_signed(free), number, _signed(mask), _signed(free & ~mask)) for free in frees for number, mask in enumerate(_masks(free))]
+    masks = nodes.sparkSession.createDataFrame(rows, "free long, mask int, bits long, rest long")  # 10 ** level rows at most
+    key = F.concat_ws(".", "path", F.col("mask").cast("string"), F.hex(F.col("fp").bitwiseAND(F.col("bits"))))
+    return nodes.join(F.broadcast(masks), "free").select(key.alias("path"), F.col("rest").alias("free"), "fp")
 
 
 def _forest(fps: np.ndarray, table: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -168,23 +167,19 @@ def links(classes: DataFrame, bits: int = BITS, group_limit: int = GROUP_LIMIT)
     """
     if bits > 3:
         raise ValueError("two of five segments agree only up to three differing bits")
-    todo = [(classes.select(F.lit("").alias("path"), "fp"), list(range(64)))]
+    nodes, frees = classes.select(F.lit("").alias("path"), F.lit(-1).cast("long").alias("free"), "fp"), [(1 << 64) - 1]
     found: list[DataFrame] = []
-    while todo:
-        nodes, free = todo.pop()
-        masks = dict(enumerate(_masks(free)))
-        keyed = _keyed(nodes, list(masks.items()))
-        sizes = keyed.groupBy("path", "mask").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = checkpoint(keyed.join(sizes, ["path", "mask"]).select("path", "mask", "fp", "n"))
-        small = shared.filter(F.col("n") <= group_limit).select("path", "fp")
-        found.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_links_of_groups(bits), "a long, b long"))
-        for row in shared.filter(F.col("n") > group_limit).select("mask").distinct().collect():  # ten masks at most
-            rest = [b for b in free if not masks[row.mask] >> b & 1]
-            large = shared.filter((F.col("n") > group_limit) & (F.col("mask") == row.mask)).select("path", "fp")
-            if len(rest) > 8:
-                todo.append((large, rest))
-            else:  # at most 2**8 distinct fingerprints can share such a path
-                found.append(large.repartition("path").sortWithinPartitions("path").mapInArrow(_links_of_groups(bits), "a long, b long"))
+    while frees:  # four levels at most, as each leaves three fifths of the free bits
+        keyed = _keyed(nodes, frees)
+        sizes = keyed.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = checkpoint(keyed.join(sizes, "path").select("path", "free", "fp", "n"))
+        too_large = F.col("n") > group_limit
+        frees = [f for f in (r.free & (1 << 64) - 1 for r in shared.filter(too_large).select("free").distinct().collect()) if f.bit_count() > 8]
+        # with eight free bits left, at most 2**8 fingerprints can share a path
+        again = too_large & F.col("free").isin([_signed(f) for f in frees]) if frees else F.lit(False)
+        groups = shared.filter(~again).select("path", "fp")
+        found.append(groups.repartition("path").sortWithinPartitions("path").mapInArrow(_links_of_groups(bits), "a long, b long"))
+        nodes = shared.filter(again).select("path", "free", "fp")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -200,29 +195,40 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of linked documents: that of the smallest id (of rows with that id, one).
+    """One row of each group of linked documents: that of the smallest id.
 
-    Rows of a null id stay only if their whole group has no id (then one of each fingerprint stays).
+    Of rows that share that id, the one of the smallest text stays.  Rows of a null id stay only if
+    their whole group has no id; then the smallest text of each fingerprint stays.
     """
     found = components(docs, id_col=id_col, text_col=text_col, bits=bits, shingle=shingle)
     kept = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col])
+    named = _smallest_text(docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns), id_col, text_col)
     nameless = docs.filter(F.col(id_col).isNull())
     if nameless.isEmpty():
         return named
-    lost = found.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_fp")).distinct()
-    prints = with_all_columns(nameless, text_col, shingle)
-    return named.unionByName(prints.join(lost, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
+    lost = found.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias(PRINT)).distinct()
+    prints = with_all_columns(nameless, text_col, shingle).join(lost, PRINT, "left_semi")
+    return named.unionByName(_smallest_text(prints, PRINT, text_col).drop(PRINT))
+
+
+#: Name of the fingerprint beside a document's own columns.
+PRINT = "_simhash_fingerprint"
+
+
+def _smallest_text(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Of the rows of each key the one of the smallest text (null and empty first)."""
+    best = F.min_by(F.struct(*rows.columns), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return rows.groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select("_row.*")
 
 
 def with_all_columns(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the fingerprint in hex as the last column ``_fp``."""
+    """``docs`` with the fingerprint in hex as a last column."""
     position = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array([f"{x:016x}" for x in fingerprints(batch.column(position), shingle).tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, PRINT])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, _fp string")
+    return docs.mapInArrow(run, f"{fields}, {PRINT} string")
