@@ -27,6 +27,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
 
 
+def of_class(text: Column, one: str) -> Column:
+    """How many characters are of a class: what the text loses with its runs, with no array of matches."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{one}+", ""))
+
+
 def camel(word: Column) -> Column:
     return word.rlike("[a-z][A-Z]")
 
@@ -38,7 +43,7 @@ def _over(value: Column, start: float, factor: float, most: float) -> Column:
 
 def _statistics(clean: Column, own: Column) -> Column:
     """What the score needs of a normalised text and its words, each counted once."""
-    count = lambda p: F.regexp_count(clean, F.lit(p))
+    count = lambda p: of_class(clean, p)
     bare = F.filter(F.transform(own, lambda w: F.regexp_replace(w, r"^[^A-Za-z']+|[^A-Za-z']+$", "")), lambda w: w.rlike(r"^[\x00-\x7F]+$"))
     return F.struct(
         F.length(clean).alias("chars"), count(r"\p{IsAlphabetic}").alias("letters"), count("[0-9]").alias("digits"), count(WS).alias("spaces"), count(r"[!-/:-@\[-`{-~“”‘’…]").alias("marks"),
@@ -86,7 +91,7 @@ def confidence(lines: Column) -> Column:
 
 
 def alpha_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{IsAlphabetic}"))
+    return of_class(text, r"\p{IsAlphabetic}")
 
 
 def spacing_fallback(lines: Column) -> Column:
@@ -137,10 +142,13 @@ def residual_fallback(processed: Column, language: Column) -> Column:
     return uses_spaces(language) & F.exists(texts, wrong)
 
 
-def exportable_label(text: Column, spaced: Column) -> Column:
-    """Whether a line may train a recogniser: quality of 0.72 and no letter token of 14."""
+def exportable_label(text: Column, spaced: Column, quality: Column | None = None) -> Column:
+    """Whether a line may train a recogniser: quality of 0.72 and no letter token of 14.
+
+    ``quality``: the text's score, where it is known already.
+    """
     tokens = F.split(text, r"[^\p{IsAlphabetic}']+")
-    return (quality_score(text, spaced) >= 0.72) & ~F.exists(tokens, lambda t: alpha_count(t) >= 14)
+    return ((quality_score(text, spaced) if quality is None else quality) >= 0.72) & ~F.exists(tokens, lambda t: alpha_count(t) >= 14)
 
 
 def recovery_taken(quality: Column, raw: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
 from ..functions.recognition import exportable_label, likelihood, quality_score, uses_spaces
 from ..operators import cues, evaluation, routing, telemetry
 from ..sources.subtitles import srt_text
@@ -76,7 +77,9 @@ TOKEN_COUNTS = r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{
 def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of whole documents, and whether they would train a recogniser."""
     own = table(spark, sf, "documents")
-    return own.select("doc_id", F.round(quality_score(F.col("text"), uses_spaces(F.col("lang"))), 3).alias("quality"), exportable_label(F.col("text"), uses_spaces(F.col("lang"))).alias("exportable"))
+    spaced = uses_spaces(F.col("lang"))
+    both = let(quality_score(F.col("text"), spaced), lambda q: F.struct(F.round(q, 3).alias("quality"), exportable_label(F.col("text"), spaced, q).alias("exportable")))
+    return own.select("doc_id", both.alias("s")).select("doc_id", "s.quality", "s.exportable")
 
 
 def ngram_scores(spark: SparkSession, sf: str) -> DataFrame:
