@@ -3,9 +3,8 @@
 Unigrams are add-one estimates over all training tokens: (c + 1) / (N + V + 1), the rest for any
 unseen word.  Above them, a bigram (v, w) seen at least ``min_count`` times has probability
 (c - D) / c(v) + L(v) * p(w), and any other word after v has L(v) * p(w), with L(v) what the
-discounts leave.  Bigrams are kept between words that make up at least 2**-16 of all tokens (at most
-65,536 words) or a text's start and end.  Stored probabilities are rounded down, so that they never
-sum to more than one.
+discounts leave.  Every bigram of at least ``min_count`` is kept, whatever its words' share.  Stored
+probabilities are rounded down, so that they never sum to more than one.
 
 How it scales.  Everything counted is a shuffle with partial sums first.  Words are of two kinds:
 
@@ -15,9 +14,14 @@ How it scales.  Everything counted is a shuffle with partial sums first.  Words
 * rare ones: a document's rare words are shuffled by word, where none has more than 2**-20 of the
   rows, meet the training occurrences there, and go back to their document as sums.
 
-The trie grows with the corpus.  It is built in shards of contexts, ``SHARD_ENTRIES`` entries each on
-average, one task a shard, and sent to the tasks in blocks of at most ``block_bytes``, memory-mapped
-there.  Each block is a pass over the documents that scores the tokens after its contexts.
+Bigrams are of two kinds as well.  Those between head words, at least 2**-16 of all tokens and hence
+at most 65,536, are in the trie, which grows with the corpus.  It is built in shards of contexts,
+``SHARD_ENTRIES`` entries each on average, one task a shard, and sent to the tasks in blocks of at
+most ``block_bytes``, memory-mapped there.  Each block is a pass over the documents that scores the
+tokens after its contexts.  Bigrams with another word, and what the discounts leave of contexts
+outside the head, are a table by a 64-bit key.  A document's own such keys are shuffled to it, except
+those that a bit set of at most 2**29 bits shows to be absent; a bit set only saves shuffles, and
+when it is full everything is shuffled.
 
 Defined results: null is the empty text, whose one token is the end; a null id counts as training
 text; rows that repeat an id are scored each, and learnt from each; without training text every
@@ -38,11 +42,17 @@ from .ngram_trie import NgramTrie, uncoded
 from .shared import stored
 from .text_arrays import FIRST, NOT_SPACE, Piece, mix, pieces, words
 
+#: Common words make up 1 / COMMON of all tokens, head words also 1 / CONTEXT.
 COMMON, CONTEXT = 1 << 20, 1 << 16
 DISCOUNT = 0.75
 SHARD_ENTRIES = 1_000_000
 BLOCK_BYTES = 64 << 20
+SIEVE_BITS = 29
 END = mix(np.array([0xE0D], np.uint64))[0]
+#: Codes of words: the number of a head word, else the hash with this bit set, hence negative.
+TAIL = np.uint64(1 << 63)
+#: Stands for the word where a key is of a context alone; no word has this code.
+ALONE = np.int64(1 << 40)
 
 
 class HashIndex:
@@ -73,8 +83,38 @@ class HashIndex:
         return out
 
 
+class Sieve(NamedTuple):
+    """A bit for each leading part of the uint64 keys that are held."""
+
+    bits: np.ndarray
+    size: int
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.size)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def sieve(keys: DataFrame) -> Sieve:
+    """Of the column ``h``, built in shards of about a million keys."""
+    n = keys.count()
+    size = min(SIEVE_BITS, max(16, (16 * n).bit_length()))
+    split = min(size - 3, max(1, (n >> 20).bit_length()))
+
+    def build(group: pa.Table) -> pa.Table:
+        at = group.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - size)
+        flags = np.zeros(1 << (size - split), np.uint8)
+        flags[(at & np.uint64(len(flags) - 1)).astype(np.int64)] = 1
+        return pa.table({"shard": group.column("shard").slice(0, 1), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    width = 1 << (size - split - 3)
+    for r in keys.select("h", F.shiftrightunsigned("h", 64 - split).alias("shard")).groupBy("shard").applyInArrow(build, "shard long, bits binary").toLocalIterator():
+        bits[r.shard * width : (r.shard + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    return Sieve(bits, size)
+
+
 class Vocabulary(NamedTuple):
-    """Common words by hash, with counts; number among the contexts' words (-1: none); N, V and texts."""
+    """Common words by hash, with counts; number among the head words (-1: none); N, V and texts; log10 of what the discounts leave of each head context."""
 
     keys: np.ndarray
     counts: np.ndarray
@@ -82,12 +122,20 @@ class Vocabulary(NamedTuple):
     total: int
     distinct: int
     texts: int
+    left: np.ndarray
 
     @property
     def start(self) -> int:
         """The context of a text's first token."""
         return int((self.number >= 0).sum())
 
+    @property
+    def head_counts(self) -> np.ndarray:
+        """Occurrences of the head words by number."""
+        out = np.zeros(self.start, np.int64)
+        out[self.number[self.number >= 0]] = self.counts[self.number >= 0]
+        return out
+
     def log_unigram(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1.0) / (self.total + self.distinct + 1.0))
 
@@ -139,83 +187,140 @@ def count_words(training: DataFrame) -> tuple[DataFrame, Vocabulary]:
     number = np.full(len(keys), -1, np.int64)
     frequent = np.flatnonzero(counts * CONTEXT >= total)
     number[frequent[np.argsort(-counts[frequent], kind="stable")]] = np.arange(len(frequent))
-    return table, Vocabulary(keys, counts, number, total, distinct, texts)
+    return table, Vocabulary(keys, counts, number, total, distinct, texts, np.zeros(len(frequent) + 1))
 
 
-def _numbers(vocabulary: Vocabulary, index: HashIndex, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: place among the common words, number, and the number of the token before."""
+def _codes(vocabulary: Vocabulary, index: HashIndex, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: place among the common words, code, and the code of the token before."""
     place = index.find(hashes)
     number = np.where(place >= 0, vocabulary.number[place], -1) if len(vocabulary.keys) else np.full(len(hashes), -1, np.int64)
-    before = np.empty(len(number), np.int64)
-    before[1:] = number[:-1]
+    code = np.where(number >= 0, number, (hashes | TAIL).view(np.int64))
+    before = np.empty(len(code), np.int64)
+    before[1:] = code[:-1]
     before[bounds[:-1]] = vocabulary.start
-    return place, number, before
+    return place, code, before
+
 
+def pair_keys(v: np.ndarray, w: np.ndarray | np.int64) -> np.ndarray:
+    return mix(mix(v.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + (w if isinstance(w, np.ndarray) else np.full(len(v), w)).view(np.uint64))
 
-def count_bigrams(training: DataFrame, vocabulary: Vocabulary, min_count: int) -> DataFrame:
-    """(k, n): context * (CONTEXT + 1) + word of the bigrams that are kept."""
+
+def count_bigrams(training: DataFrame, table: DataFrame, vocabulary: Vocabulary, min_count: int) -> DataFrame:
+    """(v, w, n): codes and counts of the bigrams that are kept."""
     shared = training.sparkSession.sparkContext.broadcast(vocabulary)
-    held: dict[str, HashIndex] = {}
+    # a bigram has no more occurrences than either of its words
+    often = training.sparkSession.sparkContext.broadcast(sieve(_tail_words(table, vocabulary, min_count).select(F.col("k").alias("h"))))
+
+    def summed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, first, which = np.unique(pair_keys(v, w), return_index=True, return_inverse=True)
+        return v[first], w[first], np.bincount(which, n, len(first)).astype(np.int64)
 
-    def keys_of(piece: Piece) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        if not held:
-            held["index"] = HashIndex(own.keys)
-        _, number, before = _numbers(own, held["index"], *tokens(piece))
-        both = (number >= 0) & (before >= 0)
-        return before[both] * (CONTEXT + 1) + number[both]
+        index = HashIndex(own.keys)
+        for batch in batches:
+            parts = [(np.zeros(0, np.int64),) * 3]
+            for piece in pieces(batch.column(0)):
+                hashes, bounds = tokens(piece)
+                _, code, before = _codes(own, index, hashes, bounds)
+                may = code >= 0
+                may[~may] = often.value.maybe(hashes[~may])
+                both = may.copy()
+                both[1:] &= may[:-1]
+                both[bounds[:-1]] = may[bounds[:-1]]
+                parts.append(summed(before[both], code[both], np.ones(int(both.sum()), np.int64)))
+            columns = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["v", "w", "n"])
+
+    counted = training.mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    return stored(counted.filter(F.col("n") >= min_count), "bigrams")
+
+
+def _tail_words(table: DataFrame, vocabulary: Vocabulary, min_count: int) -> DataFrame:
+    """(k, code, n) of words outside the head that a kept bigram can have."""
+    rows = table.filter((F.col("n") * min(COMMON, CONTEXT) < vocabulary.total) & (F.col("n") >= min_count))
+    return rows.select("k", F.col("k").bitwiseOR(F.lit(-(1 << 63))).alias("code"), "n")
+
+
+def with_left(bigrams: DataFrame, vocabulary: Vocabulary) -> Vocabulary:
+    """The vocabulary with what all kept bigrams leave of the head contexts."""
+    spent = bigrams.filter("v >= 0").groupBy("v").agg(F.sum(F.col("n") - DISCOUNT).alias("spent")).toArrow()  # at most CONTEXT + 1 rows
+    left = np.ones(vocabulary.start + 1)
+    v = spent.column("v").to_numpy()
+    left[v] = np.clip(1 - spent.column("spent").to_numpy() / np.append(vocabulary.head_counts, vocabulary.texts)[v], 1e-12, 1)
+    return vocabulary._replace(left=np.log10(left))
+
+
+def tail_values(bigrams: DataFrame, table: DataFrame, vocabulary: Vocabulary, min_count: int) -> DataFrame:
+    """(h, value): what the contexts outside the head, and bigrams with a word outside it, add to log10."""
+    spark = bigrams.sparkSession
+    own = _tail_words(table, vocabulary, min_count)
+    spent = bigrams.filter("v < 0").groupBy("v").agg(F.sum(F.col("n") - DISCOUNT).alias("spent"))
+    left = F.greatest(1 - F.col("spent") / F.col("c"), F.lit(1e-12))
+    contexts = stored(spent.join(own.select(F.col("code").alias("v"), F.col("n").alias("c")), "v").select("v", "c", left.alias("left")), "contexts")
+    number = np.arange(vocabulary.start + 1)
+    head = spark.createDataFrame(pa.table({"v": number, "c": np.append(vocabulary.head_counts, vocabulary.texts), "left": 10**vocabulary.left}))
+    words_ = spark.createDataFrame(pa.table({"w": number[:-1], "cw": vocabulary.head_counts}))
+
+    def joined(rows: DataFrame, code: str, few: DataFrame, many: DataFrame) -> DataFrame:
+        inside = rows.filter(F.col(code) >= 0).join(F.broadcast(few), code)
+        return inside.unionByName(rows.filter(F.col(code) < 0).join(many, code))
+
+    pairs = joined(bigrams.filter("v < 0 or w < 0"), "v", head, contexts)
+    pairs = joined(pairs, "w", words_, own.select(F.col("code").alias("w"), F.col("n").alias("cw")))
+    unigram = (F.col("cw") + 1.0) / (vocabulary.total + vocabulary.distinct + 1.0)
+    gain = F.log10(1 + (F.col("n") - DISCOUNT) / (F.col("c") * F.col("left") * unigram))
+    rows = pairs.select("v", "w", gain.alias("value")).unionByName(contexts.select("v", F.lit(int(ALONE)).alias("w"), F.log10("left").alias("value")))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pair_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2)], ["h", "value"])
 
-    return stored(_counted(training, keys_of).filter(F.col("n") >= min_count), "bigrams")
+    return stored(rows.mapInArrow(keyed, "h long, value double"), "values")
 
 
 def build_tries(bigrams: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(shard, trie): a trie a shard of contexts; shards are as many as the entries ask for."""
+    """(shard, trie): a trie a shard of head contexts; shards are as many as the entries ask for."""
+    bigrams = bigrams.filter("v >= 0 and w >= 0")
     entries = bigrams.count()
     shards = max(1, -(-entries // SHARD_ENTRIES))
     shared = bigrams.sparkSession.sparkContext.broadcast(vocabulary)
 
     def build(group: pa.Table) -> pa.Table:
         own: Vocabulary = shared.value
-        k, n = group.column("k").to_numpy(), group.column("n").to_numpy()
-        order = np.argsort(k)
-        k, n = k[order], n[order]
-        context, word = k // (CONTEXT + 1), k % (CONTEXT + 1)
-        by_number = np.zeros(own.start + 1)
-        by_number[own.number[own.number >= 0]] = own.counts[own.number >= 0]
-        unigram = 10 ** own.log_unigram(by_number)
-        by_number[own.start] = own.texts
-        share = (n - DISCOUNT) / by_number[context]
-        firsts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        left = np.clip(1 - np.add.reduceat(share, firsts), 1e-12, 1)
-        sizes = np.diff(np.append(firsts, len(context)))
-        probability = share + np.repeat(left, sizes) * unigram[word]
-        trie = NgramTrie.of(context, word, np.log10(probability), np.log10(left))
+        context, word, n = (group.column(c).to_numpy() for c in ("v", "w", "n"))
+        order = np.lexsort((word, context))
+        context, word, n = context[order], word[order], n[order]
+        unigram = 10 ** own.log_unigram(own.head_counts)
+        share = (n - DISCOUNT) / np.append(own.head_counts, own.texts)[context]
+        probability = share + 10 ** own.left[context] * unigram[word]
+        trie = NgramTrie.of(context, word, np.log10(probability))
         return pa.table({"shard": group.column("shard").slice(0, 1), "trie": pa.array([trie.to_bytes()], pa.binary())})
 
-    context = F.expr(f"k div {CONTEXT + 1}")
-    return stored(bigrams.select("k", "n", F.pmod(F.xxhash64(context), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(build, "shard int, trie binary"), "tries")
+    return stored(bigrams.select("v", "w", "n", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(build, "shard int, trie binary"), "tries")
 
 
 def _score_piece(piece: Piece, own: Vocabulary, index: HashIndex, tries: list[NgramTrie], first: bool) -> tuple[np.ndarray, ...]:
     """Of each text: tokens, known common tokens, base and score, without what rare words add."""
     hashes, bounds = tokens(piece)
-    place, number, before = _numbers(own, index, hashes, bounds)
+    place, code, before = _codes(own, index, hashes, bounds)
     common = place >= 0
     single = np.zeros(len(hashes))
     single[common] = own.log_unigram(own.counts[place[common]])
     gain = np.zeros(len(hashes))  # over the unigram, of tokens after these tries' contexts
-    asked = np.flatnonzero(before >= 0)
-    keys, back = np.unique(before[asked] * (CONTEXT + 2) + number[asked] + 1, return_inverse=True)
-    context, word = keys // (CONTEXT + 2), keys % (CONTEXT + 2) - 1
-    unigram = np.zeros(own.start + 1)
-    unigram[own.number[own.number >= 0]] = own.log_unigram(own.counts[own.number >= 0])
+    if first:
+        gain[before >= 0] = own.left[before[before >= 0]]
+    asked = np.flatnonzero((before >= 0) & (code >= 0))
+    keys, back = np.unique(before[asked] * (own.start + 1) + code[asked], return_inverse=True)
+    context, word = keys // (own.start + 1), keys % (own.start + 1)
+    unigram = own.log_unigram(own.head_counts)
     found = np.zeros(len(keys))
     for trie in tries:
-        at, held = trie.query(context, word)
-        found += np.where(held >= 0, uncoded(trie.backoff[np.maximum(held, 0)]), 0) if len(trie.backoff) else 0
-        hit = np.flatnonzero((at >= 0) & (word >= 0))
-        found[hit] = uncoded(trie.codes[at[hit]]) - unigram[word[hit]]
-    gain[asked] = found[back]
+        at = trie.query(context, word)
+        hit = np.flatnonzero(at >= 0)
+        found[hit] = uncoded(trie.codes[at[hit]]) - unigram[word[hit]] - own.left[context[hit]]
+    gain[asked] += found[back]
     add = lambda x: np.add.reduceat(x, bounds[:-1]) if len(bounds) > 1 else x[:0]
     if not first:
         zero = np.zeros(len(bounds) - 1)
@@ -255,6 +360,31 @@ def _rare(docs: DataFrame, vocabulary) -> DataFrame:
     return docs.select("text", "key", "learn").mapInArrow(run, "h long, key long, learn boolean, n long")
 
 
+def _tail(docs: DataFrame, vocabulary, held) -> DataFrame:
+    """(h, key, n): the keys of each text that ``tail_values`` may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = vocabulary.value
+        index = HashIndex(own.keys)
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                hashes, bounds = tokens(piece)
+                _, code, before = _codes(own, index, hashes, bounds)
+                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                pair, alone = np.flatnonzero((before < 0) | (code < 0)), np.flatnonzero(before < 0)
+                h = np.concatenate([pair_keys(before[pair], code[pair]), pair_keys(before[alone], ALONE)])
+                row = np.concatenate([row[pair], row[alone]])
+                may = held.value.maybe(h)
+                h, row = h[may], row[may]
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.append(new, len(h))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(1).take(pa.array(row[new] + piece.first)), pa.array(n)], ["h", "key", "n"])
+
+    return docs.select("text", "key").mapInArrow(run, "h long, key long, n int")
+
+
 def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -264,8 +394,11 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     read = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).alias("key"), F.coalesce(learn, F.lit(True)).alias("learn"))
     training = read.filter("learn").select("text")
-    _, vocabulary = count_words(training)
-    tries = build_tries(count_bigrams(training, vocabulary, min_count), vocabulary)
+    table, vocabulary = count_words(training)
+    bigrams = count_bigrams(training, table, vocabulary, min_count)
+    vocabulary = with_left(bigrams, vocabulary)
+    tries = build_tries(bigrams, vocabulary)
+    values = tail_values(bigrams, table, vocabulary, min_count)
     shared = spark.sparkContext.broadcast(vocabulary)
     kind = read.schema["id"].dataType.simpleString()
     blocks: list[list[int]] = [[]]
@@ -292,9 +425,12 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     count = F.coalesce(F.sum(F.when(F.col("learn"), F.col("n"))).over(Window.partitionBy("h")), F.lit(0))
     log = F.log10((F.col("c") + 1.0) / (vocabulary.total + vocabulary.distinct + 1.0))
     rare = _rare(read, shared).withColumn("c", count).groupBy("key").agg(F.sum(F.col("n") * log).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    # rows that repeat an id and text share a key, and their rare words were summed together
+    held = spark.sparkContext.broadcast(sieve(values.select("h")))
+    tail = _tail(read, shared, held).join(values, "h").groupBy("key").agg(F.sum(F.col("n") * F.col("value")).alias("tail_log"))
+    # rows that repeat an id and text share a key, and their rare words and bigrams were summed together
     copies = F.count("*").over(Window.partitionBy("key"))
-    whole = own.withColumn("copies", copies).join(rare, "key", "left")
+    whole = own.withColumn("copies", copies).join(rare, "key", "left").join(tail, "key", "left")
+    tail_log = F.coalesce(F.col("tail_log"), F.lit(0.0)) / F.col("copies")
     rare_log = F.coalesce(F.col("rare_log"), F.lit(0.0)) / F.col("copies")
     known = F.col("n_known") + (F.coalesce(F.col("rare_known"), F.lit(0)) / F.col("copies")).cast("long")
-    return whole.select(F.col("id").alias(id_col), "n_tokens", known.alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("base") + rare_log).alias("base_score"), (F.col("score") + rare_log).alias("score"))
+    return whole.select(F.col("id").alias(id_col), "n_tokens", known.alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("base") + rare_log).alias("base_score"), (F.col("score") + rare_log + tail_log).alias("score"))

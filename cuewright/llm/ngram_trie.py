@@ -107,24 +107,24 @@ class EliasFano:
         return cls(int(head[0]), int(head[1]), low, high, before)
 
 
-_KINDS = [np.int64, np.uint64, np.uint8, np.int64] * 3 + [np.uint16, np.uint16]
+_KINDS = [np.int64, np.uint64, np.uint8, np.int64] * 3 + [np.uint16]
 
 
 class NgramTrie:
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, backoff: np.ndarray, codes: np.ndarray) -> None:
-        self.contexts, self.pointers, self.successors, self.backoff, self.codes = contexts, pointers, successors, backoff, codes
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray) -> None:
+        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, log10: np.ndarray, backoff: np.ndarray) -> NgramTrie:
-        """Entries sorted by (context, word); ``backoff``: log10 of each distinct context's weight."""
+    def of(cls, context: np.ndarray, word: np.ndarray, log10: np.ndarray) -> NgramTrie:
+        """Entries sorted by (context, word)."""
         firsts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
         lasts = np.append(firsts[1:], len(context)) - 1 if len(firsts) else firsts
         reach = np.concatenate([[0], np.cumsum(word[lasts] + 1)])
         sizes = lasts - firsts + 1
-        return cls(EliasFano.of(context[firsts]), EliasFano.of(np.append(firsts, len(context))), EliasFano.of(word + 1 + np.repeat(reach[:-1], sizes)), coded(backoff), coded(log10))
+        return cls(EliasFano.of(context[firsts]), EliasFano.of(np.append(firsts, len(context))), EliasFano.of(word + 1 + np.repeat(reach[:-1], sizes)), coded(log10))
 
-    def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the entries (-1: none) and of the contexts (-1: none)."""
+    def query(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of the entries (-1: none)."""
         at = self.contexts.find(context)
         out = np.full(len(at), -1, np.int64)
         known = np.flatnonzero(at >= 0)
@@ -135,10 +135,10 @@ class NgramTrie:
         found = self.successors.find(base + word[known] + 1)
         inside = (found >= begin) & (found < end)
         out[known[inside]] = found[inside]
-        return out, at
+        return out
 
     def to_bytes(self) -> bytes:
-        parts = [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.backoff, self.codes]
+        parts = [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.codes]
         sizes = np.array([p.nbytes for p in parts], np.int64)
         pad = lambda p: p.tobytes() + b"\0" * (-p.nbytes % 8)
         return sizes.tobytes() + b"".join(pad(p) for p in parts)

@@ -96,6 +96,22 @@ def test_lm_score_in_blocks_and_with_rare_words(spark, monkeypatch):
     assert len(whole) == 60
 
 
+def test_lm_score_keeps_bigrams_of_words_outside_the_head(spark, monkeypatch):
+    """Few head words and few common ones: every bigram counts all the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).cache()
+    learn = queries.F.col("doc_id") % 7 != 2
+    plain = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_model(plain, lambda d: d % 7 != 2)  # with so few tokens every word is frequent
+    monkeypatch.setattr(lm_score, "CONTEXT", 1 << 8)
+    monkeypatch.setattr(lm_score, "COMMON", 1 << 10)
+    rows = lm_score.score(docs, learn).collect()
+    assert len(rows) == 60
+    for r in rows:
+        n, known, total, base, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert abs(r.score - score) < 0.002 * n
+
+
 def test_license_scan(spark):
     notices, n = license_scan.NOTICES, 5
     shingles = lambda w: {tuple(w[k : k + min(n, len(w))]) for k in range(len(w) - min(n, len(w)) + 1)} if w else set()
