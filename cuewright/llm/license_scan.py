@@ -1,17 +1,18 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-Templates are license notices; shingles are ``shingle`` consecutive words (fewer in all: the whole
-notice).  Templates of between L/2 and L shingles form a class (L = 1, 2, 4, ...), which is looked
-for in windows of about 1.5 * L shingles that begin every L/2.  A notice that a text contains to the
-share ``containment`` then lies in some window with a Jaccard similarity of at least J, known for
-each class; with one MinHash value a band and ``bands`` = log(miss) / log(1 - J) bands it shares one
-with probability over 1 - miss.  Retrieved pairs are verified on the words themselves.
+Templates are license notices; shingles are ``shingle`` consecutive words (of a notice of fewer: as
+many as it has, of the text too).  Templates of between L/2 and L shingles form a class (L = 1, 2, 4,
+...), which is looked for in windows of about 2.5 * L shingles that begin every L/2.  A notice that a
+text contains to the share ``containment`` within 2 * L + 1 shingles then lies in some window with a
+Jaccard similarity of at least J, known for each class; with one MinHash value a band and ``bands`` =
+log(miss) / log(1 - J) bands it shares one with probability over 1 - miss.  Retrieved pairs are
+verified on the words themselves, of the window and as many on both sides as a notice can reach.
 
 A document's result depends on itself and the templates (a given list, sent to the tasks), so there
 is no shuffle and no hot key.
 
-Defined results: null and wordless texts have no match; a text that repeats a notice gets one match,
-of its fullest and then first window; templates without words never match; rows that repeat an id
+Defined results: null and wordless texts have no match; a text that repeats a notice gets a match
+for each separate occurrence; templates without words never match; rows that repeat an id
 are each scanned; other columns are ignored.
 """
 
@@ -42,6 +43,7 @@ NOTICES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work",
+    "All-rights-reserved-line": "All rights reserved.",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced.",
 }
 
@@ -49,9 +51,10 @@ NOTICES = {
 class SizeClass:
     """Templates of about one size, with the windows and bands that find them."""
 
-    def __init__(self, size: int, templates: list[tuple[int, np.ndarray]], containment: float, miss: float) -> None:
+    def __init__(self, shingle: int, size: int, templates: list[tuple[int, np.ndarray]], containment: float, miss: float) -> None:
+        self.shingle, self.reach = shingle, 2 * size + shingle  # words that an occurrence may span
         self.step = max(1, size // 2)
-        self.blocks = 1 if size == 1 else 3
+        self.blocks = 1 if size == 1 else 5
         window = self.step * self.blocks
         fewest = size // 2 + 1 if size > 1 else 1
         shared = math.ceil(containment * fewest)
@@ -75,11 +78,11 @@ class SizeClass:
         found = []
         for band, factor in enumerate(self.factors):
             least = np.minimum.reduceat(shingles * factor, at)
-            if self.blocks > 1:
-                one = least.copy()
-                one[:-1] = np.where(last[:-1], least[:-1], np.minimum(least[:-1], least[1:]))
-                least = one.copy()  # two blocks; with the next block's two, three
-                least[:-1] = np.where(last[:-1], one[:-1], np.minimum(one[:-1], one[1:]))
+            block = least
+            for _ in range(self.blocks - 1):  # the block itself and one more of those after it
+                longer = block.copy()
+                longer[:-1] = np.where(last[:-1], block[:-1], np.minimum(block[:-1], least[1:]))
+                least = longer
             for k, value in enumerate(self.least[:, band]):
                 hit = np.flatnonzero(least == value)
                 found.append(hit * len(self.names) + k)
@@ -90,28 +93,26 @@ class SizeClass:
 
 class Templates:
     def __init__(self, notices: dict[str, str], shingle: int, containment: float, miss: float = MISS) -> None:
-        self.names, self.shingle, self.containment = list(notices), shingle, containment
+        self.names, self.containment = list(notices), containment
         self.words: list[list[bytes]] = []
-        classes: dict[int, list[tuple[int, np.ndarray]]] = {}
+        classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for k, text in enumerate(notices.values()):
             piece = next(pieces(pa.array([text], pa.string())))
             starts, ends, _ = words(piece, ALNUM)
             raw = piece.data.tobytes().lower()
             self.words.append([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-            hashes, _ = shingles(FIRST.ranges(piece.data, starts, ends), np.array([len(starts)]), shingle)
+            own = min(shingle, len(starts))
+            hashes, _ = shingles(FIRST.ranges(piece.data, starts, ends), np.array([len(starts)]), own)
             if len(hashes):
-                classes.setdefault(1 << math.ceil(math.log2(len(hashes))), []).append((k, np.unique(hashes)))
-        self.classes = [SizeClass(size, own, containment, miss) for size, own in sorted(classes.items())]
-        self.sets = [self.shingle_set(w) for w in self.words]
+                classes.setdefault((own, 1 << math.ceil(math.log2(len(hashes)))), []).append((k, np.unique(hashes)))
+        self.classes = [SizeClass(n, size, own, containment, miss) for (n, size), own in sorted(classes.items())]
+        self.sets = [self.shingle_set(w, shingle) for w in self.words]
 
-    def shingle_set(self, w: list[bytes]) -> set[tuple[bytes, ...]]:
-        n = min(self.shingle, len(w))
+    @staticmethod
+    def shingle_set(w: list[bytes], shingle: int) -> set[tuple[bytes, ...]]:
+        n = min(shingle, len(w))
         return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
-    def reach(self, template: int, size: int) -> int:
-        """Words of a window that holds the template with room on both sides."""
-        return size + 2 * len(self.words[template]) + self.shingle
-
 
 def shingles(word_hashes: np.ndarray, counts: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of all texts in a row, and how many each has (short texts: one of all words)."""
@@ -126,28 +127,56 @@ def shingles(word_hashes: np.ndarray, counts: np.ndarray, shingle: int) -> tuple
     return mix(out), n
 
 
+def occurrences(text: list[bytes], want: set[tuple[bytes, ...]], k: int, reach: int, containment: float) -> list[tuple[float, int, int]]:
+    """(share, first word, word after the last) of the separate places that hold enough of ``want``."""
+    places = [(p, gram) for p in range(len(text) - k + 1) if (gram := tuple(text[p : p + k])) in want]
+    out, i = [], 0
+    while i < len(places):
+        seen, last = {}, i
+        for j in range(i, len(places)):
+            p, gram = places[j]
+            if p + k - places[i][0] > reach or gram in seen and len(seen) >= containment * len(want):
+                break
+            if gram not in seen:
+                last = j
+            seen[gram] = seen.get(gram, 0) + 1
+        if len(seen) < containment * len(want):
+            i += 1
+            continue
+        begin = i
+        while sum(g == places[begin][1] for _, g in places[begin : last + 1]) > 1:  # repeated nearer to the rest
+            begin += 1
+        out.append((len(seen) / len(want), places[begin][0], places[last][0] + k))
+        i = last + 1
+    return out
+
+
 def scan_piece(piece: Piece, templates: Templates) -> list[list[dict]]:
     """The matches of every text of a slice."""
     starts, ends, counts = words(piece, ALNUM)
-    hashes, n = shingles(FIRST.ranges(piece.data, starts, ends), counts, templates.shingle)
+    word_hashes = FIRST.ranges(piece.data, starts, ends)
+    by_length = {k: shingles(word_hashes, counts, k) for k in {own.shingle for own in templates.classes}}
     first = np.concatenate([[0], np.cumsum(counts)])
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    found: list[tuple[int, int, int, int, float]] = []
     raw = None
     for own in templates.classes:
-        rows, within, which = own.candidates(hashes, n)
-        width = own.step * own.blocks
-        for row, at, template in zip(rows.tolist(), within.tolist(), which.tolist(), strict=True):
+        rows, within, which = own.candidates(*by_length[own.shingle])
+        width = own.step * own.blocks + own.shingle - 1
+        order = np.lexsort((within, which, rows))
+        regions: list[list[int]] = []  # overlapping windows of a template are verified together
+        for row, at, template in zip(rows[order].tolist(), within[order].tolist(), which[order].tolist(), strict=True):
+            a, b = max(0, at - own.reach), min(int(counts[row]), at + width + own.reach)
+            if regions and regions[-1][:2] == [row, template] and a <= regions[-1][3]:
+                regions[-1][3] = b
+            else:
+                regions.append([row, template, a, b])
+        for row, template, a, b in regions:
             raw = raw if raw is not None else piece.data.tobytes()
-            a, b = first[row] + at, min(first[row + 1], first[row] + at + width + templates.shingle - 1)
-            text = [raw[x:y].lower() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-            want = templates.sets[template]
-            k = min(templates.shingle, len(templates.words[template]))
-            places = [p for p in range(len(text) - k + 1) if tuple(text[p : p + k]) in want]
-            share = len({tuple(text[p : p + k]) for p in places}) / len(want)
-            if share >= templates.containment and (old := best.get((row, template), (0, 0, 0)))[0] < share:
-                best[row, template] = (share, at + places[0], at + places[-1] + k)
+            lo, hi = first[row] + a, first[row] + b
+            text = [raw[x:y].lower() for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
+            found.extend((row, template, a + x, a + y, share) for share, x, y in occurrences(text, templates.sets[template], own.shingle, own.reach, templates.containment))
     out: list[list[dict]] = [[] for _ in range(len(counts))]
-    for (row, template), (share, a, b) in sorted(best.items()):
+    for row, template, a, b, share in sorted(found):
         out[row].append({"license": templates.names[template], "containment": share, "begin": a, "end": b})
     return out
 

@@ -78,6 +78,18 @@ def test_license_scan(docs, empty):
     assert all(not r.matches for r in license_scan.scan(docs, {"nothing": "..."}).collect())
 
 
+def test_license_scan_finds_short_wide_and_repeated_notices(spark):
+    own = " ".join(f"n{k}" for k in range(29))
+    wide = own.replace("n14 ", "n14 " + " ".join(f"in{k}" for k in range(12)) + " ")
+    texts = [" ".join(f"x{k}" for k in range(pad)) + " " + wide for pad in range(60)] + ["Some words before. All rights reserved. And after", f"{own} between {own} {own}"]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {"own": own, "short": "All rights reserved."}).collect()
+    got = {r.doc_id: [(m.license, m.begin, m.end) for m in r.matches] for r in rows}
+    assert all(got[pad] == [("own", pad, pad + 41)] for pad in range(60))
+    assert got[60] == [("short", 3, 6)]
+    assert got[61] == [("own", 0, 29), ("own", 30, 59), ("own", 59, 88)]
+    assert "All-rights-reserved-line" in [m.license for m in license_scan.scan(spark.createDataFrame([(1, texts[60])], "doc_id long, text string")).first().matches]
+
+
 def test_lm_score(docs, empty, spark):
     rows = lm_score.score(docs, ~(remainder(docs.doc_id, 7) == 2)).collect()
     assert len(rows) == len(TEXTS)
