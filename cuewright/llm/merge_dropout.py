@@ -3,13 +3,13 @@
 The model file is a public tokenizer's; nothing is trained.  A text gets the leading space mark that
 the model's normaliser adds, and is cut before each run of spaces, which no piece of the vocabulary
 crosses.  Candidate merges of such a part go through an agenda, best score first and leftmost among
-equals.  A candidate is skipped for good if the keyed hash of (seed, part, variant, where the two
-symbols begin and end) falls under ``dropout``; the variant is a keyed hash of the document, the
-place in it and the seed, modulo ``variants``.  So runs agree wherever and however often a task
-runs, while the same word is cut in up to ``variants`` ways.
+equals.  A candidate is skipped for good if the keyed hash of (seed, document, place in it, part,
+where the two symbols begin and end) falls under ``dropout``.  So runs agree wherever and however
+often a task runs, while each occurrence of a word is cut by decisions of its own.
 
-Equal (part, variant) pairs of a slice are encoded once.  Parts of up to ``SHORT`` symbols go
-through the agenda side by side in numpy, one merge of each part a round; longer ones through a heap.
+Without dropout equal parts of a slice are encoded once, else each occurrence by itself.  Parts of up
+to ``SHORT`` symbols go through the agenda side by side in numpy, one merge of each part a round, as
+many parts at once as make about ``ROUND`` symbols; longer ones through a heap.
 
 Lossless: characters without a piece become byte pieces, and so does the space mark itself where a
 text holds it.  Defined results: null and empty texts have no pieces and decode to the empty text;
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .text_arrays import EXACT, SLICE_BYTES, Piece, mix, pieces, row_slices, spread
 
 MARK = "▁"
-SHORT = 48
+SHORT, ROUND = 48, 1 << 16
 NONE = np.int64(1 << 40)
 
 
@@ -201,7 +201,7 @@ def merge_long(model: PieceModel, symbols: list[int], key: int, dropout: float)
     return [s for s, ok in zip(symbols, alive, strict=True) if ok]
 
 
-def _encode_piece(model: PieceModel, piece: Piece, row_keys: np.ndarray, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def _encode_piece(model: PieceModel, piece: Piece, row_keys: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a slice in a row, and how many each text has."""
     data, bounds = piece.data, piece.bounds
     rows = len(bounds) - 1
@@ -223,12 +223,11 @@ def _encode_piece(model: PieceModel, piece: Piece, row_keys: np.ndarray, seed: i
     plain = EXACT.ranges(data, starts, ends) + first.astype(u)
     if dropout > 0:
         place = (np.arange(len(starts)) - np.repeat(np.concatenate([[0], np.cumsum(per_row)[:-1]]), per_row)).astype(u)
-        variant = mix(row_keys[row] ^ mix(place + u(seed) * u(0x9E3779B97F4A7C15))) % u(variants)
-        keys = mix(plain + variant * u(0xD6E8FEB86659FD93) + u(seed))
+        keys = mix(plain + mix(row_keys[row] ^ mix(place + u(seed) * u(0x9E3779B97F4A7C15))) * u(0xD6E8FEB86659FD93) + u(seed))
+        chosen = which = np.arange(len(keys))
     else:
-        keys = plain
-    keys, chosen, which = np.unique(keys, return_index=True, return_inverse=True)
-    # the distinct parts, with a space in front of those that open a text
+        keys, chosen, which = np.unique(plain, return_index=True, return_inverse=True)
+    # the chosen parts, with a space in front of those that open a text
     a, b, mark = starts[chosen], ends[chosen], first[chosen].astype(np.int64)
     sizes = b - a + mark
     source = spread(a - mark, sizes)
@@ -243,7 +242,16 @@ def _encode_piece(model: PieceModel, piece: Piece, row_keys: np.ndarray, seed: i
     short = n_chars <= SHORT
     in_short = short[owner]
     number = np.cumsum(short) - 1
-    out, parts = merge_short(model, symbols[in_short], number[owner[in_short]], keys[short], dropout)
+    few, own, own_keys = symbols[in_short], number[owner[in_short]], keys[short]
+    ends_ = np.cumsum(n_chars[short])
+    done, lo = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    while lo < len(own_keys):
+        from_ = ends_[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends_, from_ + ROUND, "right")))
+        merged, its = merge_short(model, few[from_ : ends_[hi - 1]], own[from_ : ends_[hi - 1]] - lo, own_keys[lo:hi], dropout)
+        done.append((merged, its + lo))
+        lo = hi
+    out, parts = (np.concatenate(x) for x in zip(*done, strict=True))
     parts = np.flatnonzero(short)[parts]
     if not short.all():
         begins = np.concatenate([[0], np.cumsum(n_chars)])
@@ -271,11 +279,11 @@ def _encode_piece(model: PieceModel, piece: Piece, row_keys: np.ndarray, seed: i
     return ids, np.bincount(row, counts[which], minlength=rows).astype(np.int64)
 
 
-def encode_column(model: PieceModel, texts: pa.Array, row_keys: np.ndarray, *, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_column(model: PieceModel, texts: pa.Array, row_keys: np.ndarray, *, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """All ids in a row, and the bounds of each text's ids."""
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for piece in pieces(texts):
-        own, n = _encode_piece(model, piece, row_keys[piece.first : piece.last], seed, dropout, variants)
+        own, n = _encode_piece(model, piece, row_keys[piece.first : piece.last], seed, dropout)
         ids.append(own)
         counts.append(n)
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
@@ -297,13 +305,13 @@ def _row_keys(keys: pa.Array) -> np.ndarray:
     return keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, dropout: float = 0.1, variants: int = 8) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, dropout: float = 0.1) -> DataFrame:
     """id, ids (array of piece ids), n_pieces and lossless (the ids decode to the very text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 1, SLICE_BYTES):
-            ids, bounds = encode_column(shared.value, batch.column(1), _row_keys(batch.column(2)), seed=seed, dropout=dropout, variants=variants)
+            ids, bounds = encode_column(shared.value, batch.column(1), _row_keys(batch.column(2)), seed=seed, dropout=dropout)
             data, ends = decode_column(shared.value, ids, bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(np.diff(bounds)), pa.array(_equal(batch.column(1), data, ends))], ["id", "ids", "n_pieces", "lossless"])
 

@@ -128,6 +128,19 @@ def test_merge_dropout(docs, empty, dropout):
     rows.unpersist()
 
 
+def test_merge_dropout_varies_every_occurrence(spark):
+    model = merge_dropout.PieceModel(TOKENIZER)
+    word = " internationalization"
+    r = merge_dropout.encode(spark.createDataFrame([(1, word * 2000)], "doc_id long, text string"), model, dropout=0.3).first()
+    cuts, own = set(), []
+    for i in r.ids:
+        if own and model.out_bytes[model.out_at[i]] == 32:
+            cuts.add(tuple(own))
+            own = []
+        own.append(i)
+    assert r.lossless and len(cuts) > 50
+
+
 def test_merge_dropout_without_dropout_is_the_tokenizer(spark):
     import sentencepiece
 
