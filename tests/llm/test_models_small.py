@@ -38,17 +38,15 @@ def test_url_filter(spark):
 
 
 def plain_model(docs, learn, min_count=2):
-    texts = {d: [*brute.WORD.findall(brute.lower(t or "")), None] for d, t in docs}
+    rows = [(d, [*brute.WORD.findall(brute.lower(t or "")), None]) for d, t in docs]
+    texts = dict(rows)
     uni, bi, n_texts = Counter(), Counter(), 0
-    for d, w in texts.items():
+    for d, w in rows:
         if learn(d):
             uni.update(w)
+            bi.update(zip(["<s>", *w], w, strict=False))
             n_texts += 1
     total, distinct = sum(uni.values()), len(uni)
-    frequent = {w for w, c in uni.items() if c * lm_score.CONTEXT >= total}
-    for d, w in texts.items():
-        if learn(d):
-            bi.update((a, b) for a, b in zip(["<s>", *w], w, strict=False) if (a == "<s>" or a in frequent) and b in frequent)
     kept = {k: c for k, c in bi.items() if c >= min_count}
     times = uni | {"<s>": n_texts}
     left = defaultdict(lambda: 1.0)
@@ -82,33 +80,23 @@ def test_lm_score(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_score_in_blocks_and_with_rare_words(spark, monkeypatch):
-    """Many shards, one a block, and nearly all words rare: the same scores."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    learn = queries.remainder(queries.F.col("doc_id"), 7) != 2
-    whole = {r.doc_id: r for r in lm_score.score(docs, learn).collect()}
-    monkeypatch.setattr(lm_score, "SHARD_ENTRIES", 200)
-    monkeypatch.setattr(lm_score, "COMMON", 1 << 10)
-    for r in lm_score.score(docs, learn, block_bytes=20_000).collect():
-        o = whole[r.doc_id]
-        assert (r.n_tokens, r.n_known) == (o.n_tokens, o.n_known)
-        assert abs(r.base_score - o.base_score) < 1e-6 * abs(o.base_score)
-    assert len(whole) == 60
-
-
-def test_lm_score_keeps_bigrams_of_words_outside_the_head(spark, monkeypatch):
-    """Few head words and few common ones: every bigram counts all the same."""
+@pytest.mark.parametrize(("words", "entries", "block_bytes"), [(1 << 21, 1 << 25, 20_000), (40, 1 << 25, 1 << 20), (300, 200, 3_000)])
+def test_lm_score_beyond_each_bound(spark, monkeypatch, words, entries, block_bytes):
+    """Several blocks, few listed words, few trie entries: every count is looked up all the same."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).cache()
-    learn = queries.F.col("doc_id") % 7 != 2
+    docs = docs.unionByName(docs.limit(3))  # repeated rows
     plain = [(r.doc_id, r.text) for r in docs.collect()]
-    want = plain_model(plain, lambda d: d % 7 != 2)  # with so few tokens every word is frequent
-    monkeypatch.setattr(lm_score, "CONTEXT", 1 << 8)
-    monkeypatch.setattr(lm_score, "COMMON", 1 << 10)
-    rows = lm_score.score(docs, learn).collect()
-    assert len(rows) == 60
+    want = plain_model(plain, lambda d: d % 7 != 2)
+    monkeypatch.setattr(lm_score, "WORDS", words)
+    monkeypatch.setattr(lm_score, "ENTRIES", entries)
+    monkeypatch.setattr(lm_score, "SHARD_ENTRIES", 200)
+    monkeypatch.setattr(lm_score, "HELD_BIGRAMS", 500)
+    rows = lm_score.score(docs, queries.F.col("doc_id") % 7 != 2, block_bytes=block_bytes).collect()
+    assert len(rows) == 63
     for r in rows:
         n, known, total, base, score = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert abs(r.base_score - base) < 1e-6 * abs(base)
         assert abs(r.score - score) < 0.002 * n
 
 
