@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .shared import checkpoint
 
 
-def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); the root is its component's smallest node.
 
     Each round links a node's neighbours to its least neighbour (Kiveris and others, 2014), which
-    never makes more edges than there are and needs about log(n) rounds.  Rounds are checkpointed in
-    the shared folder.
+    never makes more edges than there are, settles always, and needs about log(n) rounds.  Rounds are
+    checkpointed in the shared folder.
     """
     pairs = checkpoint(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: neighbours larger than a node move to the least of its neighbours and itself
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -31,7 +31,5 @@ def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

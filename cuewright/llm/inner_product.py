@@ -12,12 +12,14 @@ whose longest vector has length m, a query of length n needs a cosine of at leas
 
 Products are exact and decide alone.  Bounds rise as a partition is read.
 
-Queries go to the tasks in blocks of at most ``block_bytes``; each block is one pass over all
-vectors, so neither side is ever held whole.  A partition gives at most k rows a query.
+Queries go to the tasks in blocks of at most ``block_bytes``, one after the other; each block is one
+pass over all vectors, so neither side is ever held whole.  A partition gives at most k rows a query.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part, nor
-do rows of a null id or with a scaled component of 2**31 or more (scores must fit a long); shorter vectors count as padded with zeros; of rows that repeat an id the one
-of smallest bytes is taken; fewer than k others give fewer rows; an empty table gives none.
+do rows of a null id; shorter vectors count as padded with zeros; rows that repeat an id are each a
+candidate, but of no query of that id, and queries that repeat an id share their k rows; fewer than k
+others give fewer rows; an empty table gives none.  Products are whole numbers of any size; one that
+a long cannot hold ends the query with an error, as no score could be returned for it.
 """
 
 from __future__ import annotations
@@ -40,57 +42,78 @@ SPARSE = 0.05
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v, norm): v holds the integers' little-endian int64 bytes."""
+    """(id, v, norm): v holds the whole numbers as little-endian doubles, which hold each of them exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out, norms = [], [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or x is None or None in x:
-                    continue
-                y = np.floor(np.array(x, np.float64) * scale)
-                if np.isfinite(y).all() and (np.abs(y) < 2.0**31).all():
-                    ids.append(i)
-                    out.append(y.astype("<i8").tobytes())
-                    norms.append(float(np.sqrt((y * y).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(out, pa.binary()), pa.array(norms, pa.float64())], ["id", "v", "norm"])
+            lists = batch.column(1)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.cast(pa.float64())
+            y = np.floor(values.to_numpy(zero_copy_only=False) * scale)  # a null is NaN here
+            wrong = np.concatenate([[0], np.cumsum(~np.isfinite(y))])
+            ok = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False) & (wrong[bounds[1:]] == wrong[bounds[:-1]]))
+            sizes = (bounds[1:] - bounds[:-1])[ok]
+            y = y[spread(bounds[:-1][ok], sizes)]
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            full = np.flatnonzero(sizes)
+            norms = np.zeros(len(ok))
+            norms[full] = np.sqrt(np.add.reduceat(y * y, at[:-1][full])) if len(full) else 0
+            raw = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(y.astype("<f8"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), raw, pa.array(norms)], ["id", "v", "norm"])
 
     read = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    made = read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, v binary, norm double")
-    return made.groupBy("id").agg(F.min(F.struct("v", "norm")).alias("x")).select("id", "x.v", "x.norm")
+    return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, v binary, norm double")
 
 
-def _matrix(rows: list[bytes], width: int) -> np.ndarray:
+def _matrix(rows: pa.Array, width: int) -> np.ndarray:
     """Vectors as rows, padded to ``width`` (longer ones are cut: their partners are zero there)."""
+    _, offsets, data = rows.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(rows.type) else np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64) // 8
+    values = np.frombuffer(data, "<f8", int(at[-1])) if len(rows) and data is not None else np.zeros(0)
+    if (np.diff(at) == width).all():
+        return values[at[0] :].reshape(len(rows), width)
     out = np.zeros((len(rows), width))
-    for k, v in enumerate(rows):
-        x = np.frombuffer(v, "<i8")[:width]
-        out[k, : len(x)] = x
+    sizes = np.minimum(np.diff(at), width)
+    out[np.repeat(np.arange(len(rows)), sizes), spread(np.zeros(len(rows), np.int64), sizes)] = values[spread(at[:-1], sizes)]
     return out
 
 
+def exact_products(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Products of all rows: in doubles while they stay under 2**53, else in whole numbers of 64 bits or of any size."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(q.shape[1], 1)
+    if most < 2**53:
+        return q @ vectors.T
+    if most < 2**62:
+        return q.astype(np.int64) @ vectors.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    out = whole(q).dot(whole(vectors).T)
+    if out.size and max(-out.min(), out.max()) >= 2**63:
+        raise OverflowError("an inner product is beyond a long")
+    return out.astype(np.int64)
+
+
+def _under(scores: np.ndarray) -> np.ndarray:
+    """Doubles that are no larger than the scores."""
+    out = scores.astype(np.float64)
+    return np.where(np.abs(out) < 2**53, out, out - np.abs(out) * 2.0**-51)
+
+
 class QueryBlock:
     """A block of queries with their running bounds."""
 
-    def __init__(self, ids: np.ndarray, rows: list[bytes], k: int) -> None:
+    def __init__(self, ids: np.ndarray, rows: pa.Array, k: int) -> None:
         self.ids, self.k = ids, k
-        self.width = max((len(r) // 8 for r in rows), default=0)
+        self.width = max((len(r) // 8 for r in rows.to_pylist()), default=0)
         self.matrix = _matrix(rows, self.width)
         self.norms = np.sqrt((self.matrix**2).sum(1))
         self.bound = np.full(len(ids), -np.inf)
         self.focus = np.abs(self.matrix).argmax(1) if self.width else np.zeros(len(ids), np.int64)
 
-    def products(self, which: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-        """Exact products: in doubles while they stay under 2**53, else in whole numbers."""
-        q = self.matrix[which]
-        most = np.abs(q).max(initial=0) * np.abs(vectors).max(initial=0) * max(self.width, 1)
-        return q @ vectors.T if most < 2**53 else q.astype(np.int64) @ vectors.astype(np.int64).T
-
     def start(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Bounds from the longest vectors."""
         for a in range(0, len(self.ids), 1024):
             which = np.arange(a, min(a + 1024, len(self.ids)))
-            scores = self.products(which, vectors).astype(np.float64)
+            scores = _under(exact_products(self.matrix[which], vectors))
             scores[self.ids[which][:, None] == ids[None, :]] = -np.inf
             if scores.shape[1] >= self.k:
                 self.bound[which] = np.partition(scores, -self.k, axis=1)[:, -self.k]
@@ -136,12 +159,16 @@ class QueryBlock:
         return np.concatenate(rows), np.concatenate(columns)
 
     def _verified(self, q: np.ndarray, v: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        scores = (self.matrix[q].astype(np.int64) * vectors[v].astype(np.int64)).sum(1)
+        most = float(np.abs(self.matrix[q]).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(self.width, 1)
+        if most < 2**62:
+            scores = (self.matrix[q].astype(np.int64) * vectors[v].astype(np.int64)).sum(1)
+        else:
+            scores = np.array([exact_products(self.matrix[[a]], vectors[[b]])[0, 0] for a, b in zip(q.tolist(), v.tolist(), strict=True)], np.int64)
         ok = (scores >= bound[q]) & (self.ids[q] != ids[v])
         return q[ok], ids[v[ok]], scores[ok]
 
     def _whole(self, live: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        scores = self.products(live, vectors)
+        scores = exact_products(self.matrix[live], vectors)
         r, c = np.nonzero(scores >= bound[live][:, None])
         own = self.ids[live[r]] != ids[c]
         r, c = r[own], c[own]
@@ -165,15 +192,14 @@ def _search(shared, bucket: int):
         q = v = s = np.zeros(0, np.int64)
         for batch in batches:
             ids, norms = batch.column(0).to_numpy().astype(np.int64), batch.column(2).to_numpy()
-            raw = batch.column(1).to_pylist()
             for a in range(0, len(ids), bucket):
                 part = slice(a, a + bucket)
-                found = block.bucket(ids[part], _matrix(raw[part], block.width), norms[part], bound)
+                found = block.bucket(ids[part], _matrix(batch.column(1)[part], block.width), norms[part], bound)
                 if len(found[0]):
                     q, v, s = (np.concatenate(x) for x in zip((q, v, s), found, strict=True))
                     q, v, s, rank = _first_k(q, v, s, block.k)
                     last = rank == block.k - 1
-                    bound[q[last]] = np.maximum(bound[q[last]], s[last])
+                    bound[q[last]] = np.maximum(bound[q[last]], _under(s[last]))
         yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
     return run
@@ -188,13 +214,17 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     asked = by_length.filter(is_query)
     size = asked.agg(F.count("*").alias("n"), F.sum(F.length("v")).alias("bytes")).first()
     blocks = max(1, -(-(size.bytes or 0) // block_bytes))
-    longest = by_length.orderBy(F.col("norm").desc(), "id").limit(probe).collect()
+    rows = lambda df: (df.column("id").to_numpy(), df.column("v").combine_chunks())
+    long_ids, long_rows = rows(by_length.orderBy(F.col("norm").desc(), "id").limit(probe).select("id", "v").toArrow())
     found: DataFrame | None = None
     for b in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").collect()  # about block_bytes
-        block = QueryBlock(np.array([r.id for r in mine], np.int64), [bytes(r.v) for r in mine], k)
-        block.start(np.array([r.id for r in longest], np.int64), _matrix([bytes(r.v) for r in longest], block.width))
-        part = by_length.mapInArrow(_search(spark.sparkContext.broadcast(block), bucket), "query_id long, vec_id long, score long")
+        block = QueryBlock(*rows(asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").toArrow()), k)  # about block_bytes
+        block.start(long_ids, _matrix(long_rows, block.width))
+        shared = spark.sparkContext.broadcast(block)
+        part = by_length.mapInArrow(_search(shared, bucket), "query_id long, vec_id long, score long")
+        if blocks > 1:  # one block at a time in the driver and the tasks
+            part = stored(part, "best")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

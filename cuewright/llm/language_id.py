@@ -5,11 +5,16 @@ each automaton: a phrase is the longest match from where it begins, and a symbol
 takes further begins the next one.  Phrases of a language cost log2 of its training length each;
 the language with the least cost wins.
 
-Training reads a bounded sample: from each language the whole documents with the smallest id hash
-in ``sample_docs`` hash classes, until ``train_chars`` symbols are filled.  The sample bounds the
+Training reads a bounded sample: from each language the documents with the smallest id hash in
+``sample_docs`` hash classes, until ``train_chars`` symbols are filled.  The sample bounds the
 automata (about 2 * train_chars states each), which is what is sent to the tasks; every document is
-scored whole, in blocks of ``block`` symbols so that thousands of blocks step through the
-automata together (a phrase ends at its block's end).
+scored whole.  Every letter is a symbol of its own; the ``alphabet`` commonest have a column in the
+automata's table, others are looked up in a sorted list of transitions.
+
+A text is stepped through in blocks of ``block`` symbols, thousands of blocks at a time.  Each block
+is first parsed as if a phrase began there.  Then the parse of the block before is carried on into it
+until both parses begin a phrase at the same symbol, from where on they are one.  So the count is that
+of one parse of the whole text, whatever ``block`` is.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any training
 text all are ``und``; equal costs go to the language that sorts first.  Columns besides id and text
@@ -18,6 +23,7 @@ are ignored; rows that repeat an id are each scored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +36,8 @@ from .text_arrays import row_slices
 TRAIN_CHARS = 30_000
 SAMPLE_DOCS = 32
 ALPHABET = 62
+#: The symbol of a letter without a column, in the grid of symbols.
+OTHER = 255
 #: Texts are stepped through together in groups of about so many symbols.
 GROUP_CHARS = 8 << 20
 
@@ -64,16 +72,45 @@ class SuffixAutomaton:
                     link[q] = link[state] = copy
             last = state
 
-    def table(self, size: int) -> np.ndarray:
-        """Per state and symbol: twice the next state, plus 1 if a new phrase begins there."""
+    def table(self, size: int) -> tuple[np.ndarray, dict[tuple[int, int], int], dict[int, int]]:
+        """Per state and symbol: twice the next state, plus 1 if a new phrase begins there.
+
+        Symbols under ``size`` have a column; of the others the transitions, and those of the root.
+        """
         start = np.zeros(size, np.int32)
         for c, to in self.next[0].items():
-            start[c] = to
-        out = np.tile(start * 2 + 1, (len(self.next), 1))
+            if c < size:
+                start[c] = to
+        out = np.tile(start * 2 + 1, (len(self.next), 1))  # from the root each symbol begins a phrase
+        more: dict[tuple[int, int], int] = {}
         for state, edges in enumerate(self.next[1:], 1):
             for c, to in edges.items():
-                out[state, c] = to * 2
-        return out  # from the root each symbol begins a phrase
+                if c < size:
+                    out[state, c] = to * 2
+                else:
+                    more[state, c] = to
+        return out, more, {c: to for c, to in self.next[0].items() if c >= size}
+
+
+class Lookup:
+    """Sorted (state, symbol) keys with what they lead to."""
+
+    def __init__(self, found: dict[tuple[int, int], int]) -> None:
+        rows = sorted((state << 22 | c, to) for (state, c), to in found.items())
+        self.keys, self.to = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+
+    def get(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """-1 where there is no such key."""
+        if not len(self.keys):
+            return np.full(len(state), -1, np.int64)
+        key = state << 22 | symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+
+def is_letter(point: int) -> bool:
+    """Letters, and the marks that are written with them."""
+    return chr(point).isalpha() or unicodedata.category(chr(point))[0] == "M"
 
 
 class CrossParser:
@@ -82,34 +119,37 @@ class CrossParser:
     def __init__(self, texts: dict[str, list[str]], train_chars: int = TRAIN_CHARS, alphabet: int = ALPHABET) -> None:
         self.langs = sorted(texts)
         every = "".join(t for lang in self.langs for t in texts[lang])
-        points, counts = np.unique(_points(every), return_counts=True)
-        letters = [(-n, p) for p, n in zip(points.tolist(), counts.tolist(), strict=True) if chr(p).isalpha()]
-        self.points = np.array(sorted(p for _, p in sorted(letters)[:alphabet]), np.int64)
-        # symbols: 0 white space and all that is no letter, 1 .. the frequent letters, last any other letter
-        self.size = len(self.points) + 2
+        points, counts = np.unique(_points(every.lower()), return_counts=True)
+        letters = [(-n, p) for p, n in zip(points.tolist(), counts.tolist(), strict=True) if is_letter(p)]
+        self.points = np.array(sorted(p for _, p in sorted(letters)[: min(alphabet, OTHER - 1)]), np.int64)
+        # symbols: 0 white space and all that is no letter, 1 .. letters with a column, then size + code point
+        self.size = len(self.points) + 1
         tables, self.base, self.bits, at = [], [], [], 0
-        for lang in self.langs:
+        more: dict[tuple[int, int], int] = {}
+        first: dict[tuple[int, int], int] = {}
+        for k, lang in enumerate(self.langs):
             symbols = np.concatenate([self.symbols(t) for t in texts[lang]] or [np.zeros(0, np.int64)])[:train_chars]
-            table = SuffixAutomaton(symbols.tolist()).table(self.size)
+            table, others, roots = SuffixAutomaton(symbols.tolist()).table(self.size)
             tables.append(table + np.int32(2 * at))
+            more |= {((state + at) * self.size, c): (to + at) * self.size for (state, c), to in others.items()}
+            first |= {(k, c): (to + at) * self.size for c, to in roots.items()}
             self.base.append(at)
             self.bits.append(np.log2(max(2, len(symbols))))
             at += len(table)
         # a step gives the next row's place in the flat table, doubled, plus the new-phrase bit
         flat = np.concatenate(tables).astype(np.int64) if tables else np.zeros((0, self.size), np.int64)
         self.flat = ((flat >> 1) * self.size * 2 | (flat & 1)).astype(np.int32).ravel()
+        self.more, self.first = Lookup(more), Lookup(first)
 
     def symbols(self, text: str) -> np.ndarray:
         points = _points(text.lower())
         at = np.minimum(np.searchsorted(self.points, points), max(len(self.points) - 1, 0))
         known = self.points[at] == points if len(self.points) else np.zeros(len(points), bool)
         out = np.where(known, at + 1, 0)
-        odd = ~known & (points >= 128)
-        if odd.any():
+        odd = np.flatnonzero(~known & ((points >= 128) | ((points >= 97) & (points <= 122))))
+        if len(odd):
             values, back = np.unique(points[odd], return_inverse=True)
-            out[odd] = np.array([self.size - 1 if chr(v).isalpha() else 0 for v in values.tolist()])[back]
-        odd = ~known & ((points >= 97) & (points <= 122))
-        out[odd] = self.size - 1
+            out[odd] = np.array([self.size + v if is_letter(v) else 0 for v in values.tolist()])[back]
         keep = np.ones(len(out), bool)
         keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
         return out[keep]
@@ -120,27 +160,78 @@ class CrossParser:
         blocks = np.maximum(-(-sizes // block), 1)
         owner = np.repeat(np.arange(len(texts)), blocks)
         total = int(blocks.sum())
-        grid = np.zeros((total, block), np.uint8)
         firsts = np.concatenate([[0], np.cumsum(blocks)[:-1]])
         lengths = np.full(total, block, np.int64)
         lengths[firsts + blocks - 1] = sizes - (blocks - 1) * block
+        grid = np.zeros((total, block), np.uint8)
         flat = grid.reshape(-1)
-        for first, symbols in zip((firsts * block).tolist(), texts, strict=True):
-            flat[first : first + len(symbols)] = symbols
+        places, points = [], []
+        for at, symbols in zip((firsts * block).tolist(), texts, strict=True):
+            flat[at : at + len(symbols)] = np.where(symbols >= self.size, OTHER, symbols)
+            odd = np.flatnonzero(symbols >= self.size)
+            places.append(odd + at)
+            points.append(symbols[odd])
+        odd_at, odd_symbol = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, points))
         order = np.argsort(-lengths, kind="stable")  # blocks that still go on come first
+        lane = np.empty(total, np.int64)
+        lane[order] = np.arange(total)
         steps = np.ascontiguousarray(grid[order].T)
         live = np.searchsorted(-lengths[order], -np.arange(block), "left")
+        opening = np.zeros(total, bool)
+        opening[firsts] = True
         counts = np.zeros((total, len(self.langs)), np.int64)
+
+        def advance(k: int, state: np.ndarray, step: int, which: slice | np.ndarray) -> np.ndarray:
+            """Twice the next place, plus the new-phrase bit."""
+            symbol = steps[step, which]
+            if not len(odd_at):
+                return self.flat.take(state + symbol)
+            odd = np.flatnonzero(symbol == OTHER)
+            found = self.flat.take(state + np.where(symbol == OTHER, 0, symbol))
+            if len(odd):
+                lanes = np.arange(total)[which][odd]
+                own = odd_symbol[np.searchsorted(odd_at, order[lanes] * block + step)]
+                to = self.more.get(state[odd].astype(np.int64), own)
+                new = self.first.get(np.full(len(odd), k), own)
+                new = np.where(new < 0, self.base[k] * self.size, new) * 2 + 1
+                found[odd] = np.where(to >= 0, to * 2, new)
+            return found
+
         for k, base in enumerate(self.base):
             root = np.int32(base * self.size)
-            state, seen = np.full(total, root, np.int32), np.zeros(total, np.int32)
+            end = np.full(total, root, np.int32)
+            begins = np.zeros((block, total), bool)
             for step in range(block):
                 n = live[step]
                 if not n:
                     break
-                found = self.flat.take(state[:n] + steps[step, :n])
-                seen[:n] += found & 1
-                state[:n] = found >> 1
+                found = advance(k, end[:n], step, slice(0, n))
+                begins[step, :n] = found & 1
+                end[:n] = found >> 1
+            alone, alone_end = begins.sum(0), end.copy()
+            seen = alone.copy()
+            todo = np.flatnonzero(~opening)
+            while len(todo):
+                lanes, state = lane[todo], end[lane[todo - 1]]
+                change, met = np.zeros(len(todo), np.int64), np.zeros(len(todo), bool)
+                going = np.arange(len(todo))
+                for step in range(block):
+                    going = going[lengths[todo[going]] > step]
+                    if not len(going):
+                        break
+                    found = advance(k, state[going], step, lanes[going])
+                    one, other = (found & 1).astype(bool), begins[step, lanes[going]]
+                    change[going] += one.astype(np.int64) - other
+                    state[going] = found >> 1
+                    met[going[one & other]] = True
+                    going = going[~(one & other)]
+                seen[lanes] = alone[lanes] + change
+                # a block that is left in another state than was taken for it enters the next one anew
+                left = np.where(met, alone_end[lanes], state)
+                after = todo[left != end[lanes]] + 1
+                end[lanes] = left
+                after = after[after < total]
+                todo = after[~opening[after]]
             counts[:, k] = seen
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         np.add.at(out, owner[order], counts)
@@ -155,24 +246,23 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> DataFrame:
-    """(lang, hash, text): in each language the document of smallest hash in each hash class.
+def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, train_chars: int) -> DataFrame:
+    """(lang, h, text): in each language the document of smallest hash in each hash class.
 
     The id, language and hash alone are aggregated (partially first); texts are read for the few
-    chosen rows only.
+    chosen rows only, one for each id, and of each as much as can fill the training.
     """
-    hashed = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    hashed = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     chosen = hashed.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("class")).agg(F.min(F.struct("h", "id")).alias("least")).select("lang", "least.h", "least.id").collect()
-    if not chosen:
-        return hashed.filter(F.lit(False)).select("lang", "h", "text")
     # at most languages * sample_docs ids
-    return hashed.filter(F.col("id").isin([r.id for r in chosen])).select("lang", "h", "text")
+    wanted = hashed.filter(F.col("id").isin([r.id for r in chosen]) if chosen else F.lit(False))
+    return wanted.select("lang", "h", F.substring("text", 1, 2 * train_chars).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, train_chars: int = TRAIN_CHARS) -> CrossParser:
     texts: dict[str, list[str]] = {}
     filled: dict[str, int] = {}
-    for row in sorted(training_sample(labelled, id_col, text_col, lang_col, sample_docs).dropna().collect()):
+    for row in sorted(training_sample(labelled, id_col, text_col, lang_col, sample_docs, train_chars).dropna().collect()):
         if filled.get(row.lang, 0) < train_chars:
             texts.setdefault(row.lang, []).append(row.text)
             filled[row.lang] = filled.get(row.lang, 0) + len(row.text)
@@ -199,7 +289,7 @@ def judge(texts: list[str | None], lettered: list[bool], parser: CrossParser, bl
             lang[k], score[k] = parser.langs[b], s
 
     for k in todo:
-        symbols = parser.symbols(texts[k]).astype(np.uint8)
+        symbols = parser.symbols(texts[k])
         group.append(k)
         held.append(symbols)
         size += len(symbols)
@@ -225,18 +315,27 @@ def identify(docs: DataFrame, parser: CrossParser, *, id_col: str = "doc_id", te
     return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, parser: CrossParser, *, text_col: str = "text", block: int = 512) -> DataFrame:
-    """The rows that get a language, all columns as they are."""
+#: Names of what ``with_language`` adds.
+LANG, SCORE = "_lang_pred", "_lang_score"
+
+
+def with_language(docs: DataFrame, parser: CrossParser, *, text_col: str = "text", block: int = 512) -> DataFrame:
+    """``docs`` with the language and its score as the last columns, ``LANG`` and ``SCORE``."""
     shared, position = docs.sparkSession.sparkContext.broadcast(parser), docs.columns.index(text_col)
     width = len(docs.columns)
+    names = [f"c{k}" for k in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, position, GROUP_CHARS):
-            lang, _ = judge(batch.column(position).to_pylist(), batch.column(width).to_pylist(), shared.value, block)
-            kept = batch.filter(pa.array([x != "und" for x in lang]))
-            yield pa.RecordBatch.from_arrays(kept.columns[:width], [f"c{k}" for k in range(width)])
+            lang, score = judge(batch.column(position).to_pylist(), batch.column(width).to_pylist(), shared.value, block)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, LANG, SCORE])
 
     lettered = docs.select("*", has_letter(F.col(text_col).cast("string")).alias("_lettered"))
-    names = [f"c{k}" for k in range(width)]
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    return lettered.toDF(*names, "lettered").mapInArrow(run, kinds).toDF(*docs.columns)
+    return lettered.toDF(*names, "lettered").mapInArrow(run, f"{kinds}, {LANG} string, {SCORE} double").toDF(*docs.columns, LANG, SCORE)
+
+
+def keep_languages(docs: DataFrame, parser: CrossParser, languages: list[str] | None = None, *, min_score: float = 0.0, text_col: str = "text", block: int = 512) -> DataFrame:
+    """The rows judged one of ``languages`` (None: any that was learnt) with at least ``min_score``, all columns as they are."""
+    wanted = F.col(LANG).isin(languages if languages is not None else parser.langs or [""])
+    return with_language(docs, parser, text_col=text_col, block=block).filter(wanted & (F.col(SCORE) >= min_score)).select(*docs.columns)

@@ -10,7 +10,7 @@ How it scales.  Counts are shuffles with partial sums first; bigram counts trave
 blocks, dealt by a hash of the pair, so that no context is hot.  What is most frequent is sent to the
 tasks and never shuffled with documents, which would put a third of all rows on one key:
 
-* the ``WORDS`` most frequent words at most, by hash with their counts (32 MB).  Other training words
+* the ``WORDS`` most frequent words at most, by hash with their counts (16 MB).  Other training words
   are met by a shuffle of the documents' words outside that list;
 * the ``ENTRIES`` most frequent bigrams of such words at most, in the trie, about 5 bytes each.  It is
   built in shards of contexts, one task a shard, and sent to the tasks in blocks of at most
@@ -41,10 +41,10 @@ from .shared import stored
 from .text_arrays import FIRST, NOT_SPACE, Piece, mix, pieces, words
 
 #: Words whose counts, and bigrams of theirs that, are sent to the tasks: the most frequent, so many at most.
-WORDS, ENTRIES = 1 << 21, 1 << 25
+WORDS, ENTRIES = 1 << 20, 1 << 22
 DISCOUNT = 0.75
 SHARD_ENTRIES = 1_000_000
-BLOCK_BYTES = 160 << 20
+BLOCK_BYTES = 64 << 20
 SIEVE_BITS = 29
 #: Training tokens whose bigrams are summed in one group, and bigrams that a task sums before it sends them.
 GROUP_TOKENS, HELD_BIGRAMS = 2_000_000, 2_000_000
@@ -53,8 +53,6 @@ END = mix(np.array([0xE0D], np.uint64))[0]
 TAIL = np.uint64(1 << 63)
 #: Stands for the word where a key is of a context alone; no word has this code.
 ALONE = np.int64(1 << 40)
-#: Counts among which the least count of what is sent to the tasks is chosen.
-LADDER = [1, *(x << k for k in range(60) for x in (2, 3))]
 
 
 class HashIndex:
@@ -182,22 +180,23 @@ def _counted(texts: DataFrame, keys_of) -> DataFrame:
     return texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def _least_counts(most: int, sizes: list[int]) -> int:
-    """The least count of the ladder that at most ``most`` rows reach; ``sizes``: how many rows reach each."""
-    return next(least for least, n in zip(LADDER, sizes, strict=True) if n <= most)
-
-
-def _reaching(column: str) -> list[Column]:
-    """For each count of the ladder: how many rows reach it."""
-    return [F.count(F.when(F.col(column) >= least, 1)) for least in LADDER]
+def _least_count(rows: DataFrame, most: int) -> int:
+    """The least power of two that the column ``n`` of at most ``most`` rows reaches."""
+    sizes = {r.bits: r["count"] for r in rows.groupBy(F.length(F.bin("n")).alias("bits")).count().collect()}  # 64 at most
+    bits = max(sizes, default=0) + 1
+    reached = 0
+    while bits > 1 and reached + sizes.get(bits - 1, 0) <= most:
+        bits -= 1
+        reached += sizes.get(bits, 0)
+    return 1 << (bits - 1)
 
 
 def count_words(training: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """The whole table of word counts, and the words that are sent to the tasks."""
     table = stored(_counted(training, lambda piece: tokens(piece)[0]), "words")
     end = int(np.array([END], np.uint64).view(np.int64)[0])
-    total, distinct, texts, *sizes = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("k") == end, F.col("n"))), F.lit(0)), *_reaching("n")).first()
-    listed = table.filter(F.col("n") >= _least_counts(WORDS, sizes)).toArrow()  # at most WORDS rows
+    total, distinct, texts = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("k") == end, F.col("n"))), F.lit(0))).first()
+    listed = table.filter(F.col("n") >= _least_count(table, WORDS)).toArrow()  # at most WORDS rows
     keys, counts = listed.column("k").to_numpy().view(np.uint64), listed.column("n").to_numpy()
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -366,10 +365,10 @@ def tail_values(bigrams: DataFrame, table: DataFrame, vocabulary: Vocabulary, mi
 def build_tries(bigrams: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, int, int]:
     """(shard, trie): a trie a shard of contexts; the least count of their entries; how many bigrams are in none."""
     listed = (F.col("v") >= 0) & (F.col("w") >= 0)
-    every, *sizes = bigrams.agg(F.count("*"), *(F.count(F.when(listed & (F.col("n") >= least), 1)) for least in LADDER)).first()
-    least = _least_counts(ENTRIES, sizes)
+    least = _least_count(bigrams.filter(listed), ENTRIES)
+    every = bigrams.count()
     bigrams = bigrams.filter(listed & (F.col("n") >= least))
-    entries = sizes[LADDER.index(least)]
+    entries = bigrams.count()
     shards = max(1, -(-entries // SHARD_ENTRIES))
     shared = bigrams.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -499,7 +498,7 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
         size += n
 
     def scored(k: int) -> DataFrame:
-        block = [bytes(r.trie) for r in tries.filter(F.col("shard").isin(blocks[k])).collect()]  # block_bytes, or one shard
+        block = [bytes(r.trie) for r in tries.filter(F.col("shard").isin(blocks[k])).toLocalIterator()]  # block_bytes, or one shard
         return _score_pass(read, shared, spark.sparkContext.broadcast(block), k == 0)
 
     own = scored(0)
@@ -520,7 +519,7 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
         parts = read.select("key", F.lit(1).alias("copies"))
         for part in more:
             parts = parts.unionByName(part, allowMissingColumns=True)
-        sums = parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("copies",)), F.sum("base").alias("more_base"), F.sum("gain").alias("more_gain"), F.sum("known").alias("more_known"))
+        sums = parts.groupBy("key").agg(F.sum("copies").alias("copies"), F.sum("base").alias("more_base"), F.sum("gain").alias("more_gain"), F.sum("known").alias("more_known"))
         own = own.join(sums, "key")
         share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
         base, gain, known = base + share("more_base"), gain + share("more_gain"), known + share("more_known").cast("long")

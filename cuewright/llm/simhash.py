@@ -1,17 +1,20 @@
 """SimHash near-dedup with pivot distance tables.
 
 Documents become 64-bit fingerprints (a bit is set if over half of the shingle hashes set it), and
-documents of one fingerprint become one class before anything is compared.  Each class carries its
-pivot table: Hamming distances to fixed reference fingerprints.  Two fingerprints whose distances to
-any pivot differ by more than ``bits`` cannot link (triangle inequality), so a pair is discarded by
-its maximum coordinate difference and only survivors have their bits compared.
-
-Pivot distances of unlike texts concentrate around 32, so the table alone leaves far too many pairs
-to test.  It is therefore asked only about pairs that agree on two of five bit segments: with at
-most three differing bits at least two segments are equal, so no link is lost.  A key that more than
-``group_limit`` classes share is cut again by two of five segments of its other bits, and so on, so
-that no task gets an unbounded group; inside a group only a spanning forest of the links is put
-out, never all pairs.
+documents of one fingerprint become one class before anything is compared.  A class has a row of the
+pivot table: its Hamming distances to fixed reference fingerprints, computed once and kept with it.
+Two fingerprints whose distances to any pivot differ by more than ``bits`` cannot link (triangle
+inequality), so a pair is discarded by its maximum coordinate difference, and only survivors have
+their bits compared.
+
+Distances of unlike texts to a pivot gather around 32, so one coordinate discards only about half of
+all pairs, and no order of the table brings the links together.  Pairs are therefore taken from
+groups that agree on one of ``bits`` + 1 segments of the fingerprint: a link differs in at most
+``bits`` of them, so no link is lost.  Inside a group the pivot table decides alone which pairs are
+compared: pairs come sorted by the first coordinate, and each further one halves them again.  A key
+that more than ``group_limit`` classes share is cut again by the segments of its other bits, and so
+on, so that no task gets an unbounded group, and of the links of a group only as many are put out as
+connect it.
 
 Defined results: a text without words has fingerprint zero, and links like any other; a null id
 takes part and gets the smallest non-null id it reaches (null if none); repeated rows and ids each
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,13 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .shared import checkpoint
-from .text_arrays import LOWER, NOT_SPACE, mix, pieces, words
+from .text_arrays import LOWER, NOT_SPACE, mix, pieces, spread, words
 
 BITS, SEED, SHINGLE = 3, 42, 3
 PIVOTS = mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 GROUP_LIMIT = 2000
-SEGMENTS = 5
+#: Rows whose groups are searched together, and pairs that are looked at together.
+HELD_ROWS, HELD_PAIRS = 1 << 16, 1 << 21
 
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -88,74 +91,103 @@ def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, fp long")
 
 
-def _masks(free: int) -> list[int]:
-    """The free bits in five segments of nearly one size: a mask for each two of them."""
-    bits = [b for b in range(64) if free >> b & 1]
-    segments = [x.tolist() for x in np.array_split(np.array(bits), SEGMENTS)]
-    return [sum(1 << b for b in (*x, *y)) for x, y in combinations(segments, 2)]
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """A row of distances a fingerprint, as bytes."""
+    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.uint8)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def with_pivots(classes: DataFrame) -> DataFrame:
+    """(fp, table): the distances of each fingerprint to the pivots, a byte each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column(0).to_numpy().view(np.uint64))
+            bounds = np.arange(len(table) + 1, dtype=np.int32) * len(PIVOTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(bounds), pa.py_buffer(table)])], ["fp", "table"])
 
-def _keyed(nodes: DataFrame, frees: list[int]) -> DataFrame:
-    """Each (path, free, fp) once for each mask of its free bits: the bits under the mask join the path."""
-    rows = [(_signed(free), number, _signed(mask), _signed(free & ~mask)) for free in frees for number, mask in enumerate(_masks(free))]
-    masks = nodes.sparkSession.createDataFrame(rows, "free long, mask int, bits long, rest long")  # 10 ** level rows at most
-    key = F.concat_ws(".", "path", F.col("mask").cast("string"), F.hex(F.col("fp").bitwiseAND(F.col("bits"))))
-    return nodes.join(F.broadcast(masks), "free").select(key.alias("path"), F.col("rest").alias("free"), "fp")
-
+    return classes.select("fp").mapInArrow(run, "fp long, table binary")
 
-def _forest(fps: np.ndarray, table: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links within a group, as a spanning forest: pivot table first, then the bits."""
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
-    reach = np.searchsorted(table[:, 0], table[:, 0] + bits, "right")
-    label = np.arange(len(fps))
-    kept = []
-    for i in range(len(fps) - 1):
-        near = i + 1 + np.flatnonzero(label[i + 1 : reach[i]] != label[i])
-        near = near[(np.abs(table[near] - table[i]) <= bits).all(1)]
-        near = near[np.bitwise_count(fps[near] ^ fps[i]) <= bits]
-        for k in near[np.unique(label[near], return_index=True)[1]].tolist():
-            label[label == label[k]] = label[i]
-            kept.append((int(fps[i]), int(fps[k])))
-    return kept
 
+def _masks(free: int, bits: int) -> list[int]:
+    """The free bits in ``bits`` + 1 segments of nearly one size, as masks."""
+    own = [b for b in range(64) if free >> b & 1]
+    return [sum(1 << b for b in x.tolist()) for x in np.array_split(np.array(own), bits + 1) if len(x)]
 
-def pivot_table(fps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def _links_of_groups(bits: int):
-    """Over rows (path, fp) sorted by path: the forest of each run of equal paths."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_path, held = None, np.zeros(0, np.uint64)
-        out: list[tuple[int, int]] = []
+def _keyed(nodes: DataFrame, frees: list[int], bits: int) -> DataFrame:
+    """Each node once for each segment of its free bits: the segment's bits join the path."""
+    rows = [(_signed(free), number, _signed(mask), _signed(free & ~mask)) for free in frees for number, mask in enumerate(_masks(free, bits))]
+    masks = nodes.sparkSession.createDataFrame(rows, "free long, mask int, bits long, rest long")  # (bits + 1) ** level rows at most
+    key = F.concat_ws(".", "path", F.col("mask").cast("string"), F.hex(F.col("fp").bitwiseAND(F.col("bits"))))
+    return nodes.join(F.broadcast(masks), "free").select(key.alias("path"), F.col("rest").alias("free"), "fp", "table")
+
+
+def _near(group: np.ndarray, fps: np.ndarray, table: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of one group that link: pivot table first, then the bits."""
+    order = np.lexsort((table[:, 0], group))
+    group, fps, table = group[order].astype(np.int64), fps[order], table[order].astype(np.int16)
+    key = group * 512 + table[:, 0]
+    sizes = np.searchsorted(key, key + bits, "right") - np.arange(len(key)) - 1
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(key):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + HELD_PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(a, b), sizes[a:b])
+        j = spread(np.arange(a, b) + 1, sizes[a:b])
+        for c in range(1, table.shape[1]):
+            close = np.abs(table[i, c] - table[j, c]) <= bits
+            i, j = i[close], j[close]
+        link = np.bitwise_count(fps[i] ^ fps[j]) <= bits
+        yield order[i[link]], order[j[link]]
+        a = b
+
+
+def _forest(group: np.ndarray, fps: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what links within the groups: each row with the first row of its component."""
+    label = np.arange(len(fps))
+    for i, j in _near(group, fps, table, bits):
+        while True:  # the lesser label of two linked rows, until nothing moves
+            least = np.minimum(label[i], label[j])
+            if (label[i] == least).all() and (label[j] == least).all():
+                break
+            np.minimum.at(label, label[i], least)
+            np.minimum.at(label, label[j], least)
+            label = label[label]
+    while (label[label] != label).any():
+        label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return fps[moved], fps[label[moved]]
 
-        def close() -> None:
-            if len(held) > 1:
-                out.extend(_forest(held, pivot_table(held), bits))
 
-        def batch_of() -> pa.RecordBatch:
-            made = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], ["a", "b"])
+def _links_of_groups(bits: int):
+    """Over rows (path, fp, table) sorted by path: the links of each run of equal paths."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def searched(close: bool) -> pa.RecordBatch:
+            """The links of the whole groups held; the last one may go on unless ``close``."""
+            paths, fps, table = (np.concatenate(x) for x in zip(*held, strict=True))
+            new = np.concatenate([[True], paths[1:] != paths[:-1]]) if len(paths) else np.zeros(0, bool)
+            done = len(paths) if close or not len(paths) else int(np.flatnonzero(new)[-1])
+            held[:] = [(paths[done:], fps[done:], table[done:])]
+            found = _forest(np.cumsum(new[:done]), fps[:done], table[:done], bits)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], ["a", "b"])
+
+        size = 0
         for batch in batches:
-            paths, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy().view(np.uint64)
-            cuts = np.concatenate([[0], np.flatnonzero(paths[1:] != paths[:-1]) + 1, [len(paths)]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b > a and paths[a] == held_path:
-                    held = np.concatenate([held, fps[a:b]])
-                elif b > a:
-                    close()
-                    held_path, held = paths[a], fps[a:b]
-            yield batch_of()
-        close()
-        yield batch_of()
+            table = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, len(PIVOTS))
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy().view(np.uint64), table))
+            size += len(table)
+            if size >= HELD_ROWS:
+                yield searched(False)
+                size = len(held[0][0])
+        if held:
+            yield searched(True)
 
     return run
 
@@ -165,21 +197,19 @@ def links(classes: DataFrame, bits: int = BITS, group_limit: int = GROUP_LIMIT)
 
     ``classes``: distinct ``fp``.
     """
-    if bits > 3:
-        raise ValueError("two of five segments agree only up to three differing bits")
-    nodes, frees = classes.select(F.lit("").alias("path"), F.lit(-1).cast("long").alias("free"), "fp"), [(1 << 64) - 1]
+    nodes, frees = with_pivots(classes).select(F.lit("").alias("path"), F.lit(-1).cast("long").alias("free"), "fp", "table"), [(1 << 64) - 1]
     found: list[DataFrame] = []
-    while frees:  # four levels at most, as each leaves three fifths of the free bits
-        keyed = _keyed(nodes, frees)
+    while frees:  # each level leaves a share bits / (bits + 1) of the free bits
+        keyed = _keyed(nodes, frees, bits)
         sizes = keyed.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = checkpoint(keyed.join(sizes, "path").select("path", "free", "fp", "n"))
+        shared = checkpoint(keyed.join(sizes, "path").select("path", "free", "fp", "table", "n"))
         too_large = F.col("n") > group_limit
-        frees = [f for f in (r.free & (1 << 64) - 1 for r in shared.filter(too_large).select("free").distinct().collect()) if f.bit_count() > 8]
-        # with eight free bits left, at most 2**8 fingerprints can share a path
+        frees = [f for f in (r.free & (1 << 64) - 1 for r in shared.filter(too_large).select("free").distinct().collect()) if f.bit_count() > max(8, bits)]
+        # with so few free bits left, at most 2**8 fingerprints can share a path
         again = too_large & F.col("free").isin([_signed(f) for f in frees]) if frees else F.lit(False)
-        groups = shared.filter(~again).select("path", "fp")
+        groups = shared.filter(~again).select("path", "fp", "table")
         found.append(groups.repartition("path").sortWithinPartitions("path").mapInArrow(_links_of_groups(bits), "a long, b long"))
-        nodes = shared.filter(again).select("path", "free", "fp")
+        nodes = shared.filter(again).select("path", "free", "fp", "table")
     return reduce(DataFrame.unionByName, found)
 
 

@@ -2,8 +2,10 @@
 
 A rule (host, path) fits its host and all subdomains if the URL's path starts with the rule's path.
 Of all rules that fit, the longest host wins, then the longest path; what the winner says is the
-verdict.  The trie is sent to the tasks, so ``rules`` is a configuration list of at most
-``MAX_RULES`` entries; there is no shuffle, and a common host costs no more than any other.
+verdict.  The trie is sent to the tasks in blocks of rules that take about ``block_bytes`` in a task.
+A usual list is one block, and one pass without a shuffle; each further block is one more pass, which
+replaces a URL's rule by a longer one, so a list of any length gives the same verdicts.  A common host
+costs no more than any other.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and gets ``default``,
 as does a URL that no rule fits; of equal rules the later replaces the earlier; repeated rows are
@@ -19,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 1_000_000
+from .shared import stored
+
+#: About what the rules of a block take in a task, and what the nodes of one rule take at most besides its text.
+BLOCK_BYTES, NODE_BYTES = 128 << 20, 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,8 +46,6 @@ class RuleTrie:
     """
 
     def __init__(self, rules: list[Rule]) -> None:
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules")
         self.hosts: dict = {}
         for rule in rules:
             node = self.hosts
@@ -89,18 +92,44 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """id, host, path, rule (null if none fits) and verdict of every row."""
-    shared = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
+def rule_blocks(rules: list[Rule], block_bytes: int) -> Iterator[list[Rule]]:
+    """Runs of rules of about ``block_bytes``; the later of equal rules alone counts."""
+    block: list[Rule] = []
+    size = 0
+    for rule in {(r.host, r.path): r for r in rules}.values():
+        own = NODE_BYTES + len(rule.host) + len(rule.path)
+        if block and size + own > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append(rule)
+        size += own
+    yield block
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
-        for batch in batches:
-            found = [trie.match(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            rule = pa.array([x and x.name for x in found], pa.string())
-            verdict = pa.array([x.action if x else default for x in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], ["id", "host", "path", "rule", "verdict"])
 
+def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id, host, path, rule (null if none fits) and verdict of every row."""
+    spark = pages.sparkSession
     url = F.col(url_col).cast("string")
-    read = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    nothing = F.lit(None).cast("string")
+    found = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), nothing.alias("rule_host"), nothing.alias("rule_path"), nothing.alias("action"))
+    names, schema = found.columns, f"id {found.schema['id'].dataType.simpleString()}, host string, path string, rule_host string, rule_path string, action string"
+
+    def longest(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie: RuleTrie = shared.value
+            for batch in batches:
+                _, host, path, *before = (c.to_pylist() for c in batch.columns)
+                best: list[tuple[str | None, str | None, str | None]] = []
+                for h, p, *held in zip(host, path, *before, strict=True):
+                    own = trie.match(h, p)
+                    longer = own and (held[0] is None or (len(own.host), len(own.path)) > (len(held[0]), len(held[1])))
+                    best.append((own.host, own.path, own.action) if longer else tuple(held))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([b[k] for b in best], pa.string()) for k in range(3))], names)
+
+        return run
+
+    for number, block in enumerate(rule_blocks(rules, block_bytes)):
+        if number:  # one block at a time in the tasks
+            found = stored(found, "urls")
+        found = found.mapInArrow(longest(spark.sparkContext.broadcast(RuleTrie(block))), schema)
+    return found.select(F.col("id").alias(id_col), "host", "path", F.concat("rule_host", "rule_path").alias("rule"), F.coalesce("action", F.lit(default)).alias("verdict"))

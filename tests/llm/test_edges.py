@@ -115,6 +115,21 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(pages, [], default="block").collect()} == {"block"}
 
 
+def test_url_filter_of_many_blocks(spark):
+    """A list of any length, very long URLs and equal rules: the same as one trie."""
+    r = random.Random(2)
+    hosts = ["a", "b.a", "c.b.a", "x.y", ""]
+    rules = [url_filter.Rule(r.choice(["allow", "block"]), r.choice(hosts), r.choice(["", "/", "/p", "/p/", "/p/q", "/p/qr/s"])) for _ in range(60)]
+    urls = [f"http://{h}{p}" for h in ("a", "b.a", "z.c.b.a", "x.y", "y", "q.x.y") for p in ("", "/", "/p", "/p/q", "/p/qrs", "/p/qr/s/t", "/p/" + "q/" * 40_000)] + ["http://" + "w." * 30_000 + "b.a/p/q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    last = {(x.host, x.path): x for x in rules}
+    for block_bytes in (1, 20_000, 1 << 20):
+        for row in url_filter.judge(pages, rules, block_bytes=block_bytes).collect():
+            fits = [x for x in last.values() if (not x.host or row.host == x.host or row.host.endswith("." + x.host)) and row.path.startswith(x.path)]
+            best = max(fits, key=lambda x: (len(x.host), len(x.path)), default=None)
+            assert (row.rule, row.verdict) == ((best.name, best.action) if best else (None, "allow"))
+
+
 @pytest.mark.parametrize("dropout", [0.0, 0.3, 1.0])
 def test_merge_dropout(docs, empty, dropout):
     model = merge_dropout.PieceModel(TOKENIZER)
@@ -176,11 +191,41 @@ def test_decontaminate(docs, empty, bench, block_words):
     assert kept.columns == docs.columns
     clean = Counter((i, t) for i, t in TEXTS if not brute.contamination([(0, t)], items)[0][4])
     assert counted(kept.select("doc_id", "text").collect()) == clean
+    cut = decontaminate.cut_benchmark_text(docs, bench, block_words=block_words)
+    assert cut.columns == docs.columns and cut.count() == len(TEXTS)
+    texts = Counter(r.text for r in cut.collect())
+    assert texts["Before it: . After."] == 1 and texts[None] == 2 and texts[LONG + " "] == 1 and BENCH.replace(" ", "\n") not in texts
     for d, b in ((empty, bench), (docs, bench.limit(0)), (empty, bench.limit(0))):
+        assert decontaminate.cut_benchmark_text(d, b).count() == d.count()
         assert all(r.n_hit == 0 for r in decontaminate.find_benchmark_text(d, b).collect())
         assert decontaminate.drop_contaminated(d, b).count() == d.count()
 
 
+def test_words_of_an_item_without_id_are_hit(spark):
+    docs = spark.createDataFrame([(1, "a few words of it")], "doc_id long, text string")
+    row = decontaminate.find_benchmark_text(docs, spark.createDataFrame([(None, "few words")], "item_id long, text string")).first()
+    assert (row.n_hit, row["items"], [tuple(s) for s in row.spans]) == (2, [], [(1, 3)])
+
+
+def test_fm_index_finds_every_occurrence():
+    import numpy as np
+
+    from cuewright.llm.fm_index import FMIndex, from_bytes, to_bytes
+
+    r = np.random.default_rng(4)
+    for alphabet in (2, 5, 60):
+        symbols = r.integers(0, alphabet, 3000)
+        symbols[1000:1500] = symbols[:500]
+        symbols[-1] = 0
+        index = FMIndex.from_arrays(from_bytes(to_bytes(FMIndex.of(symbols, alphabet).arrays())))
+        for length in (1, 3, 6):
+            phrases = np.array([symbols[k : k + length] for k in range(2900) if (symbols[k : k + length] > 0).all()][:400]).reshape(-1, length)
+            low, high = index.search(phrases)
+            for p, a, b in zip(phrases, low, high, strict=True):
+                want = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(symbols, length) == p).all(1))
+                assert sorted(index.locate(np.arange(a, b)).tolist()) == want.tolist()
+
+
 def test_line_dedup(docs, empty):
     got = line_dedup.dedup_lines(docs)
     assert [c for c in got.columns if c not in ("n_lines", "n_dropped")] == [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -214,10 +259,10 @@ def test_language_id(docs, empty, spark):
     assert len(rows) == len(TEXTS)
     assert {r.doc_id for r in rows if r.lang_pred == "und"} == {4, 5, 6, 7, 14, None}
     assert sum(r.lang_pred == "und" for r in rows) == 6 and all(0 <= r.score <= 1 for r in rows)
-    assert counted(language_id.keep_identified(docs, parser).select("doc_id", "text").collect()) == Counter((i, t) for i, t in TEXTS if t and any(c.isalpha() for c in t))
+    assert counted(language_id.keep_languages(docs, parser).select("doc_id", "text").collect()) == Counter((i, t) for i, t in TEXTS if t and any(c.isalpha() for c in t))
     untrained = language_id.train(empty)
     assert {r.lang_pred for r in language_id.identify(docs, untrained).collect()} == {"und"}
-    assert language_id.identify(empty, parser).count() == 0 and language_id.keep_identified(empty, parser).columns == docs.columns
+    assert language_id.identify(empty, parser).count() == 0 and language_id.keep_languages(empty, parser).columns == docs.columns
 
 
 def test_inner_product(spark):
@@ -225,16 +270,31 @@ def test_inner_product(spark):
     vectors = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf]), (None, [9.0, 9.0]), (7, []), (50, [-0.5, -0.25]), (50, [-0.5, -0.25]), (100, [0.001, 0.0])]
     df = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in vectors], "vec_id long, embedding array<float>, label int, id string, v string")
     rows = inner_product.top_k(df, inner_product.F.col("id") % 50 == 0).collect()
-    held = {i: [int(256 * x // 1) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and x == x and abs(x) != inf for x in v)}
-    held[100] = [int(256 * 0.001 // 1), 0]
+    held = [(i, [int(256 * x // 1) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and x == x and abs(x) != inf for x in v)]
     want = Counter()
-    for q in (0, 50, 100):
-        best = sorted((-sum(a * b for a, b in zip(held[q], v, strict=False)), i) for i, v in held.items() if i != q)[:5]
+    for q in (0, 50, 100):  # rows of one id are candidates each, and share the id's places as queries
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for j, x in held if j == q for i, y in held if i != q)[:5]
         want |= Counter({(q, rank, i, -s): 1 for rank, (s, i) in enumerate(best, 1)})
     assert counted(rows) == want
     assert inner_product.top_k(df.limit(0), inner_product.F.col("id") % 50 == 0).count() == 0
 
 
+def test_inner_product_of_large_numbers(spark):
+    """Components beyond 2**31 are exact; scores that no long can hold end the query."""
+    vectors = [(0, [2.0**40, 1.0]), (1, [2.0**6, 1 / 256]), (2, [2.0**6, 3 / 256]), (3, [-1.0, 5.0]), (50, [3.0, 2.0**45]), (4, [0.0, 2.0**-8])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    held = {i: [int(256 * x // 1) for x in v] for i, v in vectors}
+    want = {}
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(held[q], v, strict=True)), i) for i, v in held.items() if i != q)[:3]
+        want |= {(q, rank): (i, -s) for rank, (s, i) in enumerate(best, 1)}
+    rows = inner_product.top_k(df, inner_product.F.col("id") % 50 == 0, k=3).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in rows} == want
+    beyond = df.unionByName(spark.createDataFrame([(5, [2.0**50, 0.0])], df.schema))
+    with pytest.raises(Exception, match="beyond a long"):
+        inner_product.top_k(beyond, inner_product.F.col("id") % 50 == 0, k=3).collect()
+
+
 def test_inner_product_prunes_exactly(spark):
     """Long and short, clustered and opposite vectors with tiny buckets and blocks against brute force."""
     import numpy as np

@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from cuewright.llm import license_scan, lm_score, queries
+from cuewright.llm import language_id, license_scan, lm_score, queries
 
 from . import brute
 
@@ -125,3 +125,36 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     out = [r for r in rows if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in out) >= 0.9 * len(out)
+
+
+def plain_phrases(parser, lang, train_text, text):
+    """Greedy longest matches in the training symbols, one symbol where none matches."""
+    learnt = "".join(map(chr, np.concatenate([parser.symbols(t) for t in train_text])[: language_id.TRAIN_CHARS].tolist()))
+    own = "".join(map(chr, parser.symbols(text).tolist()))
+    at = n = 0
+    while at < len(own):
+        size = 1
+        while at + size < len(own) and own[at : at + size + 1] in learnt:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
+@pytest.mark.parametrize("block", [7, 50, 512])
+@pytest.mark.parametrize("alphabet", [3, 62])
+def test_cross_parsing_is_that_of_whole_texts(spark, block, alphabet):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null and text is not null").limit(80).collect()
+    texts = {}
+    for r in rows[:24]:
+        texts.setdefault(r.lang, []).append(r.text[:1500])
+    texts["zh"] = ["\u6f22\u5b57\u4ec0\u4e48\u6f22\u5b57\u597d" * 5, "\u0939\u093f\u0928\u094d\u0926\u0940 \u0939\u093f"]
+    parser = language_id.CrossParser(texts, alphabet=alphabet)
+    samples = [r.text[:900] for r in rows[20:40]] + ["", "a", "\u6f22\u5b57\u4ec0\u4e48 \u597d\u6f22 ok", "zz" * 40, texts["zh"][0] + texts["zh"][1], " ".join(texts[parser.langs[0]])]
+    got = parser.phrases([parser.symbols(t) for t in samples], block)
+    for k, lang in enumerate(parser.langs):
+        assert got[:, k].tolist() == [plain_phrases(parser, lang, texts[lang], t) for t in samples]
+
+
+def test_language_ties_go_to_the_first_name():
+    parser = language_id.CrossParser({"bb": ["same text here"], "aa": ["same text here"]})
+    assert language_id.judge(["text here", None, "..."], [True, False, False], parser, 512)[0] == ["aa", "und", "und"]
