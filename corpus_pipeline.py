@@ -13,9 +13,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those judged ``und`` (no text, no letter) go."""
+    """Documents of a learnt language, which fills a null ``lang``; those judged ``und`` (no text, no letter) go.
+
+    Where no row is labelled there is nothing to judge by, and all texts with a letter stay.
+    """
     parser = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return language_id.keep_identified(docs, parser).select(*docs.columns)
+    if not parser.langs:
+        return docs.filter(language_id.has_letter(F.col("text")))
+    judged = language_id.with_language(docs, parser).filter(F.col(language_id.LANG) != "und")
+    return judged.withColumn("lang", F.coalesce("lang", language_id.LANG)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
