@@ -64,8 +64,9 @@ class CuckooFilter:
                     break
 
     @classmethod
-    def of(cls, keys: np.ndarray) -> CuckooFilter:
-        capacity = len(keys)
+    def of(cls, keys: np.ndarray, room: int = 1) -> CuckooFilter:
+        """A filter of the keys, with space for ``room`` times as many."""
+        capacity = room * len(keys)
         while True:
             made = cls(capacity)
             if made.insert(keys):
@@ -76,8 +77,9 @@ class CuckooFilter:
         return self.table.tobytes()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> CuckooFilter:
+    def from_bytes(cls, data: bytes, writable: bool = False) -> CuckooFilter:
         made = cls(0)
-        made.table = np.frombuffer(data, np.uint16).reshape(-1, SLOTS)
+        table = np.frombuffer(data, np.uint16).reshape(-1, SLOTS)
+        made.table = table.copy() if writable else table
         made.mask = len(made.table) - 1
         return made

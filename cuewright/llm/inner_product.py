@@ -86,10 +86,13 @@ def exact_products(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     if most < 2**62:
         return q.astype(np.int64) @ vectors.astype(np.int64).T
     whole = np.frompyfunc(int, 1, 1)
-    out = whole(q).dot(whole(vectors).T)
-    if out.size and max(-out.min(), out.max()) >= 2**63:
+    return whole(q).dot(whole(vectors).T)
+
+
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object and len(scores) and max(-scores.min(), scores.max()) >= 2**63:
         raise OverflowError("an inner product is beyond a long")
-    return out.astype(np.int64)
+    return scores.astype(np.int64)
 
 
 def _under(scores: np.ndarray) -> np.ndarray:
@@ -163,16 +166,16 @@ class QueryBlock:
         if most < 2**62:
             scores = (self.matrix[q].astype(np.int64) * vectors[v].astype(np.int64)).sum(1)
         else:
-            scores = np.array([exact_products(self.matrix[[a]], vectors[[b]])[0, 0] for a, b in zip(q.tolist(), v.tolist(), strict=True)], np.int64)
-        ok = (scores >= bound[q]) & (self.ids[q] != ids[v])
-        return q[ok], ids[v[ok]], scores[ok]
+            scores = np.array([exact_products(self.matrix[[a]], vectors[[b]])[0, 0] for a, b in zip(q.tolist(), v.tolist(), strict=True)], object)
+        ok = (scores >= bound[q]).astype(bool) & (self.ids[q] != ids[v])
+        return q[ok], ids[v[ok]], as_longs(scores[ok])
 
     def _whole(self, live: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scores = exact_products(self.matrix[live], vectors)
         r, c = np.nonzero(scores >= bound[live][:, None])
         own = self.ids[live[r]] != ids[c]
         r, c = r[own], c[own]
-        return live[r], ids[c], scores[r, c].astype(np.int64)
+        return live[r], ids[c], as_longs(scores[r, c])
 
 
 def _first_k(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -1,12 +1,17 @@
 """Line dedup that can be undone: exact reference counts, with sharded cuckoo filters before them.
 
-``LineStore`` keeps one posting (line key, document) for each distinct key of a document, in
-Parquet under the shared folder.  Reference counts are an aggregation of the postings, so adding
-documents appends and deleting documents removes their postings, and the counts, the keepers and
-the text that ``apply`` gives follow exactly.  Keys that reached ``min_docs`` documents go into one
-cuckoo filter a shard.  While the filters together are under ``filter_bytes`` they are sent to the
-tasks and spare the exact join all lines but the repeated ones; beyond that size every line goes to
-the join.  Either way the exact table decides.
+``LineStore`` is a folder of Parquet tables that batches append to and that can be opened again:
+
+* ``postings``: (line key, document) of each distinct key of a document; ``deleted``: documents taken out;
+* ``counts``: the exact reference count and the keeper (largest document) of each key.  A batch writes
+  new rows for the keys it touches alone; the newest row of a key counts;
+* ``filters``: a cuckoo filter a shard over the keys that ``min_docs`` documents hold.  Keys that a
+  batch takes over or under that number are inserted into, or deleted from, their shards' filters; other
+  shards are not touched.  A filter that gets too full is built anew, larger, from the counts;
+* ``commits``: a batch counts once its row is there, so a batch that failed leaves nothing behind.
+
+``apply`` sends the filters to the tasks in blocks of at most ``filter_bytes``, a pass over the lines
+each, and only lines that pass them are looked up in the exact counts, which alone decide.
 
 Keys are two independent 64-bit hashes of the normalised line.  A key that a third of the
 documents hold is counted by partial aggregation, and its join rows are split by adaptive
@@ -19,7 +24,9 @@ are one document.  Other columns are carried through.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cuckoo import CuckooFilter
-from .shared import shared_dir, stored
+from .shared import exists, shared_dir, stored
 from .text_arrays import FIRST, SECOND, Lines, Piece, lines, pieces, row_slices
 
-#: Filters of so many bytes in all may be sent to every task.
+#: Filters that are sent to the tasks at once.
 FILTER_BYTES = 64 << 20
-#: Keys a cuckoo filter holds at most, on average.
-SHARD_KEYS = 250_000
+#: Shards of the filters.
+SHARDS = 64
 
 
 def _keys(piece: Piece, own: Lines, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,11 +50,11 @@ def _keys(piece: Piece, own: Lines, min_chars: int) -> tuple[np.ndarray, np.ndar
     return which, FIRST.ranges(piece.data, *ranges).view(np.int64), SECOND.ranges(piece.data, *ranges).view(np.int64)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, min_chars: int, filters=None) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, text_col: str, min_chars: int, filters=None, shards: int = SHARDS) -> DataFrame:
     """(k1, k2, doc) of each distinct line key of a document; with filters, of those that pass them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = filters and [CuckooFilter.from_bytes(x) for x in filters.value]
+        sieve = filters and {shard: CuckooFilter.from_bytes(x) for shard, x in filters.value.items()}
         for batch in batches:
             ids = batch.column(0)
             for piece in pieces(batch.column(1)):
@@ -55,75 +62,165 @@ def postings(docs: DataFrame, id_col: str, text_col: str, min_chars: int, filter
                 which, k1, k2 = _keys(piece, own, min_chars)
                 row = own.row[which]
                 if sieve is not None:
-                    shard = k1.view(np.uint64) % np.uint64(len(sieve))
+                    shard = k1 % shards
                     held = np.zeros(len(k1), bool)
-                    for s in np.unique(shard):
-                        held[shard == s] = sieve[int(s)].contains(k1[shard == s])
+                    for s in sieve:
+                        mine = np.flatnonzero(shard == s)
+                        held[mine] = sieve[s].contains(k1[mine])
                     row, k1, k2 = row[held], k1[held], k2[held]
-                order = np.lexsort((k1, row))
-                first = np.ones(len(order), bool)
-                first[1:] = (row[order][1:] != row[order][:-1]) | (k1[order][1:] != k1[order][:-1])
-                order = order[first]
-                yield pa.RecordBatch.from_arrays([pa.array(k1[order]), pa.array(k2[order]), ids.take(pa.array(row[order] + piece.first))], ["k1", "k2", "doc"])
+                order = np.lexsort((k2, k1, row))
+                row, k1, k2 = row[order], k1[order], k2[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (row[1:] != row[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[new]), pa.array(k2[new]), ids.take(pa.array(row[new] + piece.first))], ["k1", "k2", "doc"])
 
     read = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     return read.mapInArrow(run, f"k1 long, k2 long, doc {read.schema['doc'].dataType.simpleString()}")
 
 
 class LineStore:
-    """Postings of all documents that were inserted and not deleted, under one folder."""
+    """The lines of all documents that were inserted and not deleted, under one folder.
+
+    A ``path`` that holds a store opens it; its settings must be those it was made with.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, shards: int = SHARDS, filter_bytes: int = FILTER_BYTES) -> None:
+        self.spark, self.root = spark, path or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+        self.id_col, self.text_col, self.filter_bytes = id_col, text_col, filter_bytes
+        self.min_chars, self.min_docs, self.shards = min_chars, min_docs, shards
+        self.version = 0
+        if exists(spark, f"{self.root}/commits"):
+            last = spark.read.parquet(f"{self.root}/commits").orderBy(F.col("v").desc()).first()
+            if (last.min_chars, last.min_docs, last.shards) != (min_chars, min_docs, shards):
+                raise ValueError(f"the store at {self.root} was made with other settings")
+            self.version = last.v
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bytes: int = FILTER_BYTES) -> None:
-        self.spark, self.root = spark, path or f"{shared_dir(spark)}/lines"
-        self.id_col, self.text_col, self.min_chars, self.min_docs, self.filter_bytes = id_col, text_col, min_chars, min_docs, filter_bytes
-        self.table: DataFrame | None = None
+    def _table(self, kind: str) -> DataFrame | None:
+        """The committed rows of a table, with the batch that wrote them as ``v``."""
+        if not self.version or not exists(self.spark, f"{self.root}/{kind}"):
+            return None
+        return self.spark.read.parquet(f"{self.root}/{kind}").filter(F.col("v") <= self.version)
+
+    def _write(self, rows: DataFrame, kind: str, v: int) -> DataFrame:
+        path = f"{self.root}/{kind}/v={v}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _commit(self, v: int) -> LineStore:
+        self._write(self.spark.createDataFrame([(self.min_chars, self.min_docs, self.shards)], "min_chars int, min_docs int, shards int"), "commits", v)
+        self.version = v
+        return self
+
+    def postings(self) -> DataFrame | None:
+        """(k1, k2, doc) of the documents that are in the store."""
+        every, deleted = self._table("postings"), self._table("deleted")
+        if every is None or deleted is None:
+            return every and every.select("k1", "k2", "doc")
+        gone = deleted.groupBy("doc").agg(F.max("v").alias("gone"))
+        return every.join(gone, "doc", "left").filter(F.col("gone").isNull() | (F.col("v") > F.col("gone"))).select("k1", "k2", "doc")
 
     def insert(self, docs: DataFrame) -> LineStore:
         """Adds documents; those whose id is there already add nothing new for lines they had."""
-        new = postings(docs, self.id_col, self.text_col, self.min_chars)
-        every = new if self.table is None else self.table.unionByName(new)
-        self.table = stored(every.distinct(), "postings")
-        return self
+        v = self.version + 1
+        new = postings(docs, self.id_col, self.text_col, self.min_chars).distinct()
+        held, old = self.postings(), self.counts()
+        if held is not None:
+            new = new.join(held, ["k1", "k2", "doc"], "left_anti")
+        new = self._write(new, "postings", v)
+        touched = new.groupBy("k1", "k2").agg(F.count("*").alias("more"), F.max("doc").alias("top"))
+        if old is None:
+            changed = touched.select("k1", "k2", F.col("more").alias("n_docs"), F.col("top").alias("keeper"), F.lit(0).cast("long").alias("before"))
+        else:
+            before = F.coalesce("n_docs", F.lit(0))
+            changed = touched.join(old, ["k1", "k2"], "left").select("k1", "k2", (before + F.col("more")).alias("n_docs"), F.greatest("keeper", "top").alias("keeper"), before.cast("long").alias("before"))
+        self._update_filters(self._write(changed, "counts", v), v)
+        return self._commit(v)
 
     def delete(self, ids: DataFrame) -> LineStore:
-        """Takes out all postings of the documents whose ids are in the first column."""
-        if self.table is not None:
-            gone = ids.select(F.col(ids.columns[0]).alias("doc")).distinct()
-            self.table = stored(self.table.join(gone, "doc", "left_anti").select("k1", "k2", "doc"), "postings")
-        return self
+        """Takes out the documents whose ids are in the first column."""
+        held, old = self.postings(), self.counts()
+        if held is None:
+            return self
+        v = self.version + 1
+        gone = ids.select(F.col(ids.columns[0]).alias("doc")).dropna().distinct()
+        less = stored(held.join(gone, "doc", "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("less")), "less")
+        rest = held.join(gone, "doc", "left_anti").join(less, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("doc").alias("top"))
+        changed = less.join(old, ["k1", "k2"]).join(rest, ["k1", "k2"], "left").select("k1", "k2", (F.col("n_docs") - F.col("less")).alias("n_docs"), F.col("top").alias("keeper"), F.col("n_docs").alias("before"))
+        changed = self._write(changed, "counts", v)
+        self._write(gone, "deleted", v)
+        self._update_filters(changed, v)
+        return self._commit(v)
 
-    def counts(self) -> DataFrame:
+    def counts(self) -> DataFrame | None:
         """The exact reference counts: k1, k2, n_docs, keeper (the largest document id)."""
-        return self.table.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
+        rows = self._table("counts")
+        if rows is None:
+            return None
+        if self.version > 1:
+            rows = rows.groupBy("k1", "k2").agg(F.max_by(F.struct("n_docs", "keeper"), "v").alias("x")).select("k1", "k2", "x.*")
+        return rows.filter("n_docs > 0").select("k1", "k2", "n_docs", "keeper")
 
     def repeated(self) -> DataFrame:
         return self.counts().filter(F.col("n_docs") >= self.min_docs)
 
-    def filters(self, repeated: DataFrame) -> list[bytes] | None:
-        """A cuckoo filter a shard over the repeated keys; None if all together are too large to send."""
-        n = repeated.count()
-        if n * 3 > self.filter_bytes:
-            return None
-        shards = max(1, -(-n // SHARD_KEYS))
+    def filters(self) -> DataFrame:
+        """(shard, filter): the newest filter of each shard that has one."""
+        return self._table("filters").groupBy("shard").agg(F.max_by("filter", "v").alias("filter"))
+
+    def _update_filters(self, changed: DataFrame, v: int) -> None:
+        """Takes the keys of a batch that came to ``min_docs``, or fell under it, into or out of their shards' filters."""
+        shard = F.pmod("k1", F.lit(self.shards)).cast("int").alias("shard")
+        up, was = F.col("n_docs") >= self.min_docs, F.col("before") >= self.min_docs
+        crossed = changed.filter(up != was).select(shard, "k1", up.alias("up"))
+        empty = self.spark.createDataFrame([], "shard int, filter binary")
+        old = self.filters() if self._table("filters") is not None else empty
+
+        def update(keys: pa.Table, held: pa.Table) -> pa.Table:
+            if not len(keys):
+                return pa.table({"shard": held.column("shard").slice(0, 0), "filter": held.column("filter").slice(0, 0)})
+            k1, ups = keys.column("k1").to_numpy(), keys.column("up").to_numpy(zero_copy_only=False)
+            now = None
+            if len(held):
+                now = CuckooFilter.from_bytes(held.column("filter")[0].as_py(), writable=True)
+                now.delete(k1[~ups])
+                now = now if now.insert(k1[ups]) else None  # None: too full
+            else:
+                now = CuckooFilter.of(k1[ups])
+            return pa.table({"shard": keys.column("shard").slice(0, 1), "filter": pa.array([now and now.to_bytes()], pa.binary())})
 
-        def build(group: pa.Table) -> pa.Table:
-            keys = np.unique(group.column("k1").to_numpy())
-            return pa.table({"shard": group.column("shard").slice(0, 1), "filter": pa.array([CuckooFilter.of(keys).to_bytes()], pa.binary())})
+        made = self._write(crossed.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(update, "shard int, filter binary"), "updates", v)
+        full = [r.shard for r in made.filter("filter is null").select("shard").collect()]  # SHARDS at most
+        if full:
+            def build(group: pa.Table) -> pa.Table:
+                return pa.table({"shard": group.column("shard").slice(0, 1), "filter": pa.array([CuckooFilter.of(group.column("k1").to_numpy(), room=2).to_bytes()], pa.binary())})
 
-        # the shard number must equal the unsigned remainder that tasks compute
-        unsigned = (F.col("k1").cast("decimal(20,0)") + F.when(F.col("k1") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(0)) % shards
-        rows = repeated.select("k1", unsigned.cast("int").alias("shard")).groupBy("shard").applyInArrow(build, "shard int, filter binary").collect()
-        empty = CuckooFilter(0).to_bytes()
-        held = {r.shard: bytes(r.filter) for r in rows}
-        return [held.get(s, empty) for s in range(shards)]
+            self.version += 1  # the counts of this batch are written
+            keys = self.repeated().select(shard, "k1").filter(F.col("shard").isin(full))
+            self.version -= 1
+            made = made.filter("filter is not null").unionByName(keys.groupBy("shard").applyInArrow(build, "shard int, filter binary"))
+        self._write(made, "filters", v)
 
     def apply(self, docs: DataFrame, *, counts: bool = True) -> DataFrame:
         """``docs`` with the text cut; with ``counts`` also n_lines and n_dropped as the last columns,
         which replace columns of these names."""
-        repeated = stored(self.repeated(), "repeated")
-        sieve = self.filters(repeated)
-        candidates = postings(docs, self.id_col, self.text_col, self.min_chars, self.spark.sparkContext.broadcast(sieve) if sieve is not None else None)
-        dropped = candidates.join(repeated, ["k1", "k2"]).filter(F.col("doc") != F.col("keeper")).groupBy("doc").agg(F.collect_set("k1").alias("_dropped")).select(F.col("doc").alias("_doc"), "_dropped")
+        repeated, filters = self.repeated(), self.filters()
+        blocks: list[list[int]] = [[]]
+        size = 0
+        for shard, n in sorted(filters.select("shard", F.length("filter")).collect()):  # SHARDS at most
+            if blocks[-1] and size + n > self.filter_bytes:
+                blocks.append([])
+                size = 0
+            blocks[-1].append(shard)
+            size += n
+        parts = []
+        for block in blocks:  # one block at a time in the driver and the tasks
+            shared = self.spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in filters.filter(F.col("shard").isin(block)).toLocalIterator()})
+            parts.append(postings(docs, self.id_col, self.text_col, self.min_chars, shared, self.shards))
+            if len(blocks) > 1:
+                parts[-1] = stored(parts[-1], "candidates")
+                shared.destroy()
+        candidates = reduce(DataFrame.unionByName, parts)
+        dropped = candidates.join(repeated, ["k1", "k2"]).filter(F.col("doc") != F.col("keeper")).groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("_dropped")).select(F.col("doc").alias("_doc"), "_dropped")
         position, width, min_chars = docs.columns.index(self.text_col), len(docs.columns), self.min_chars
         names = [f"c{k}" for k in range(width)]
         numbered = docs.toDF(*names)  # no name of the documents' columns can clash
@@ -143,8 +240,9 @@ class LineStore:
 
 
 def cut_lines(texts: pa.Array, dropped: pa.Array, min_chars: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Texts without the lines whose key is in their list (a null text stays null)."""
-    out: list[str | None] = []
+    """Texts without the lines whose keys are in their list (a null text stays null)."""
+    raw = texts.view(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())  # bytes, as they need not be valid UTF-8
+    out: list[bytes | None] = []
     n_lines, n_dropped = [], []
     gone_at = np.flatnonzero(dropped.is_valid().to_numpy(zero_copy_only=False))
     for piece in pieces(texts):
@@ -153,26 +251,27 @@ def cut_lines(texts: pa.Array, dropped: pa.Array, min_chars: int) -> tuple[pa.Ar
         n_lines.append(np.bincount(own.row, minlength=n))
         cuts = np.zeros(n, np.int64)
         mine = gone_at[(gone_at >= piece.first) & (gone_at < piece.last)]
-        new: dict[int, str] = {}
+        new: dict[int, bytes] = {}
         if len(mine):
-            which, k1, _ = _keys(piece, own, min_chars)
+            which, k1, k2 = _keys(piece, own, min_chars)
             rows = own.row[which]
             bytes_ = piece.data.tobytes()
             first_line = np.searchsorted(own.row, np.arange(n + 1))
             for at in mine:
                 r = int(at - piece.first)
                 a, b = np.searchsorted(rows, [r, r + 1])
-                out_of = np.isin(k1[a:b], np.array(dropped[int(at)].as_py(), np.int64))
-                lose = set(which[a:b][out_of].tolist())
+                held = dropped[int(at)].values
+                keys = set(zip(held.field("k1").to_pylist(), held.field("k2").to_pylist(), strict=True))
+                lose = {k for k, pair in zip(which[a:b].tolist(), zip(k1[a:b].tolist(), k2[a:b].tolist(), strict=True), strict=True) if pair in keys}
                 cuts[r] = len(lose)
-                new[r] = b"\n".join(bytes_[own.starts[k] : own.ends[k]] for k in range(first_line[r], first_line[r + 1]) if k not in lose).decode()
+                new[r] = b"\n".join(bytes_[own.starts[k] : own.ends[k]] for k in range(first_line[r], first_line[r + 1]) if k not in lose)
         n_dropped.append(cuts)
-        old = texts.slice(piece.first, n).to_pylist()
+        old = raw.slice(piece.first, n).to_pylist()
         for r, text in new.items():
             old[r] = text
         out += old
     joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.array(out, texts.type), joined(n_lines), joined(n_dropped)
+    return pa.array(out, raw.type).view(texts.type), joined(n_lines), joined(n_dropped)
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bytes: int = FILTER_BYTES, counts: bool = True) -> DataFrame:

@@ -41,11 +41,13 @@ from .shared import stored
 from .text_arrays import FIRST, NOT_SPACE, Piece, mix, pieces, words
 
 #: Words whose counts, and bigrams of theirs that, are sent to the tasks: the most frequent, so many at most.
-WORDS, ENTRIES = 1 << 20, 1 << 22
+WORDS, ENTRIES = 1 << 20, 1 << 24
 DISCOUNT = 0.75
 SHARD_ENTRIES = 1_000_000
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 96 << 20
 SIEVE_BITS = 29
+#: Texts that are scored together, so that a bigram they repeat is looked up once.
+SCORE_BYTES = 4 << 20
 #: Training tokens whose bigrams are summed in one group, and bigrams that a task sums before it sends them.
 GROUP_TOKENS, HELD_BIGRAMS = 2_000_000, 2_000_000
 END = mix(np.array([0xE0D], np.uint64))[0]
@@ -416,10 +418,10 @@ def _score_pass(docs: DataFrame, vocabulary, block, first: bool) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tries = vocabulary.value, [NgramTrie.mapped(x) for x in block.value]
+        own, tries = vocabulary.value, [NgramTrie.mapped(x.value) for x in block]
         index, unigram = HashIndex(own.keys), own.log_unigram(own.by_number())
         for batch in batches:
-            parts = [_score_piece(p, own, index, unigram, tries, first) for p in pieces(batch.column(0))]
+            parts = [_score_piece(p, own, index, unigram, tries, first) for p in pieces(batch.column(0), SCORE_BYTES)]
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(c) for c in columns)], ["key", "id", "n_tokens", "n_known", "base", "gain"])
 
@@ -498,8 +500,9 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
         size += n
 
     def scored(k: int) -> DataFrame:
-        block = [bytes(r.trie) for r in tries.filter(F.col("shard").isin(blocks[k])).toLocalIterator()]  # block_bytes, or one shard
-        return _score_pass(read, shared, spark.sparkContext.broadcast(block), k == 0)
+        # a shard at a time in the driver
+        block = [spark.sparkContext.broadcast(bytes(r.trie)) for r in tries.filter(F.col("shard").isin(blocks[k])).toLocalIterator()]
+        return _score_pass(read, shared, block, k == 0)
 
     own = scored(0)
     # what other blocks, words outside the list and bigrams outside the trie add to a text

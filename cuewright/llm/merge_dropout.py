@@ -11,8 +11,8 @@ Without dropout equal parts of a slice are encoded once, else each occurrence by
 to ``SHORT`` symbols go through the agenda side by side in numpy, one merge of each part a round, as
 many parts at once as make about ``ROUND`` symbols; longer ones through a heap.
 
-Lossless: characters without a piece become byte pieces, and so does the space mark itself where a
-text holds it.  Defined results: null and empty texts have no pieces and decode to the empty text;
+Lossless: characters without a piece become byte pieces, and so do the space mark itself where a
+text holds it and bytes that are no UTF-8.  Defined results: null and empty texts have no pieces and decode to the empty text;
 rows that repeat an id and text get the same pieces; a null id counts as an empty one in the key.
 """
 
@@ -236,7 +236,12 @@ def _encode_piece(model: PieceModel, piece: Piece, row_keys: np.ndarray, seed: i
     raw[at[mark == 1]] = 32
     heads_ = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     n_chars = np.diff(heads_[np.append(at, len(raw))])
-    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+    try:
+        text = raw.tobytes().decode()
+    except UnicodeDecodeError:  # a byte that is no UTF-8 is a character of its own
+        cut = [raw[x:y].tobytes().decode("utf-8", "surrogateescape") for x, y in zip(at.tolist(), np.append(at[1:], len(raw)).tolist(), strict=True)]
+        text, n_chars = "".join(cut), np.array([len(x) for x in cut], np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     symbols = model.symbols_of(points)
     owner = np.repeat(np.arange(len(keys)), n_chars)
     short = n_chars <= SHORT
@@ -267,7 +272,7 @@ def _encode_piece(model: PieceModel, piece: Piece, row_keys: np.ndarray, seed: i
         repeat, new = np.ones(len(out), np.int64), {}
         for k in odd.tolist():
             v = int(out[k])
-            new[k] = model.byte_ids[list((inside.get(v) or chr(v - model.size - (1 << 16))).encode())]
+            new[k] = model.byte_ids[list((inside.get(v) or chr(v - model.size - (1 << 16))).encode("utf-8", "surrogateescape"))]
             repeat[k] = len(new[k])
         at_new = np.concatenate([[0], np.cumsum(repeat)[:-1]])
         out, parts = np.repeat(out, repeat), np.repeat(parts, repeat)
@@ -346,8 +351,8 @@ def decode(encoded: DataFrame, model: PieceModel, *, id_col: str = "doc_id", ids
             lists = batch.column(1)
             sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
             data, ends = decode_column(shared.value, lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())], ["id", "text"])
+            texts = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts.cast(pa.string())], ["id", "text"])
 
     read = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)

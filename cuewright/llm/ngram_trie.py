@@ -14,9 +14,22 @@ import numpy as np
 
 #: log10 probabilities from -LOWEST to 0 in 65535 steps, rounded down.
 LOWEST = 16.0
-_POPCOUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
 #: The place of the k-th set bit of a byte, lowest first.
-_SELECT = np.array([[([b for b in range(8) if byte >> b & 1] + [0] * 8)[k] for k in range(8)] for byte in range(256)])
+_SELECT = np.array([[([b for b in range(8) if byte >> b & 1] + [0] * 8)[k] for k in range(8)] for byte in range(256)], np.int64)
+_U = np.uint64
+_BYTES, _HIGHS = _U(0x0101010101010101), _U(0x8080808080808080)
+_ODD, _PAIRS, _NIBBLES = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
+
+
+def _select_in_words(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th set bit of each word: sums of its bytes side by side, then a table for one byte."""
+    sums = word - (word >> _U(1) & _ODD)
+    sums = (sums & _PAIRS) + (sums >> _U(2) & _PAIRS)
+    sums = (sums + (sums >> _U(4)) & _NIBBLES) * _BYTES  # each byte: the ones up to its end
+    k = k.astype(np.uint64)
+    place = (((k * _BYTES | _HIGHS) - sums & _HIGHS) >> _U(7)) * _BYTES >> _U(56) << _U(3)  # bytes that end before the k-th one
+    before = (sums << _U(8)) >> place & _U(255)
+    return place.astype(np.int64) + _SELECT[(word >> place & _U(255)).astype(np.int64), (k - before).astype(np.int64)]
 
 
 def coded(log10: np.ndarray) -> np.ndarray:
@@ -32,6 +45,8 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high, self.before = n, low_bits, low, high, before
+        self.words = high.view(np.uint64)
+        self.zeros = np.arange(len(before)) * 64 - before
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -48,19 +63,18 @@ class EliasFano:
         flags = np.zeros(((n + (top >> bits) + 2 + 63) // 64) * 64, np.uint8)
         flags[(values >> bits) + np.arange(n)] = 1
         high = np.packbits(flags, bitorder="little")
-        before = np.concatenate([[0], np.cumsum(_POPCOUNT[high].reshape(-1, 8).sum(1))]).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(high.view(np.uint64)))]).astype(np.int64)
         return cls(n, bits, low, high, before)
 
-    def _select(self, k: np.ndarray, before: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Bit positions of the k-th set bits of ``data``."""
-        word = np.searchsorted(before, k, "right") - 1
-        own = data.reshape(-1, 8)[word]
-        sums = np.cumsum(_POPCOUNT[own], axis=1)
-        left = k - before[word]
-        byte = (sums <= left[:, None]).sum(1)
-        rows = np.arange(len(k))
-        left = left - np.where(byte > 0, sums[rows, byte - 1], 0)
-        return word * 64 + byte * 8 + _SELECT[own[rows, byte], left]
+    def _ones(self, k: np.ndarray) -> np.ndarray:
+        """Bit positions of the k-th ones."""
+        word = np.searchsorted(self.before, k, "right") - 1
+        return word * 64 + _select_in_words(self.words[word], k - self.before[word])
+
+    def _nulls(self, k: np.ndarray) -> np.ndarray:
+        """Bit positions of the k-th zeros."""
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        return word * 64 + _select_in_words(~self.words[word], k - self.zeros[word])
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -73,18 +87,16 @@ class EliasFano:
         return (part & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        return (self._select(i, self.before, self.high) - i) << self.low_bits | self._lows(i)
+        return (self._ones(i) - i) << self.low_bits | self._lows(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of x in a strictly increasing sequence; -1 if it isn't there."""
-        zeros = np.arange(len(self.before)) * 64 - self.before
         upper = x >> self.low_bits
         out = np.full(len(x), -1, np.int64)
-        ok = np.flatnonzero((x >= 0) & (upper < zeros[-1]) & (self.n > 0))
+        ok = np.flatnonzero((x >= 0) & (upper < self.zeros[-1]) & (self.n > 0))
         upper, low = upper[ok], x[ok] & ((1 << self.low_bits) - 1)
-        inverted = ~self.high
-        end = self._select(upper, zeros, inverted) - upper
-        begin = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), zeros, inverted) - (upper - 1), 0)
+        end = self._nulls(upper) - upper
+        begin = np.where(upper > 0, self._nulls(np.maximum(upper - 1, 0)) - (upper - 1), 0)
         a, b = begin, end.copy()
         while True:  # binary search among the elements of one upper part
             live = np.flatnonzero(a < b)
@@ -124,17 +136,23 @@ class NgramTrie:
         return cls(EliasFano.of(context[firsts]), EliasFano.of(np.append(firsts, len(context))), EliasFano.of(word + 1 + np.repeat(reach[:-1], sizes)), coded(log10))
 
     def query(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Places of the entries (-1: none)."""
-        at = self.contexts.find(context)
-        out = np.full(len(at), -1, np.int64)
+        """Places of the entries (-1: none), of rows sorted by context."""
+        out = np.full(len(context), -1, np.int64)
+        if not len(context):
+            return out
+        firsts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        at = self.contexts.find(context[firsts])
         known = np.flatnonzero(at >= 0)
         begin, end = self.pointers.access(at[known]), self.pointers.access(at[known] + 1)
         base = np.zeros(len(known), np.int64)
         later = begin > 0
         base[later] = self.successors.access(begin[later] - 1)
-        found = self.successors.find(base + word[known] + 1)
+        sizes = np.diff(np.append(firsts, len(context)))
+        asked = np.flatnonzero(np.repeat(at >= 0, sizes))
+        begin, end, base = (np.repeat(x, sizes[known]) for x in (begin, end, base))
+        found = self.successors.find(base + word[asked] + 1)
         inside = (found >= begin) & (found < end)
-        out[known[inside]] = found[inside]
+        out[asked[inside]] = found[inside]
         return out
 
     def to_bytes(self) -> bytes:

@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     own = tempfile.mkdtemp(prefix="cuewright-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -31,13 +33,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders that ``stored`` wrote in this process.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all tables that ``stored`` wrote in this process, once no result that reads them is needed; how many."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        files, at = _file_system(spark, _WRITTEN.pop())
+        files.delete(at, True)
+    return n
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

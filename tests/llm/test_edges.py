@@ -236,7 +236,7 @@ def test_line_dedup(docs, empty):
         kept = [x for x in lines if i is None or i == max(held) or brute.line_key(x) != REPEATED]
         want[i, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)] += 1
     assert counted(got.select("doc_id", "text", "n_lines", "n_dropped").collect()) == want
-    # without filters every line goes to the exact join
+    # one block of filters a shard
     assert counted(line_dedup.dedup_lines(docs, filter_bytes=0).select("doc_id", "text", "n_lines", "n_dropped").collect()) == want
     assert line_dedup.dedup_lines(empty).count() == 0
 
@@ -249,8 +249,47 @@ def test_line_store_is_reversible(docs, spark):
     store.delete(gone)
     assert store.repeated().count() == 0  # two documents hold the line now
     assert counted(store.counts().collect()) == counted(line_dedup.LineStore(spark).insert(docs.filter("doc_id <> 3")).counts().collect())
-    store.insert(docs.filter("doc_id = 3"))
-    assert counted(store.counts().collect()) == whole
+    again = line_dedup.LineStore(spark, store.root)  # as another session would open it
+    assert again.version == 3
+    again.insert(docs.filter("doc_id = 3"))
+    assert counted(again.counts().collect()) == whole
+    assert counted(again.apply(docs).collect()) == counted(line_dedup.dedup_lines(docs).collect())
+    with pytest.raises(ValueError, match="settings"):
+        line_dedup.LineStore(spark, store.root, min_docs=4)
+
+
+def test_filters_follow_the_counts(spark):
+    """Insertions that outgrow a filter and deletions: after each batch the filters hold the repeated keys, and few others."""
+    import numpy as np
+
+    from cuewright.llm.cuckoo import CuckooFilter
+
+    line = "a line of its own, number {} of many".format
+    docs = lambda ids, lines: spark.createDataFrame([(i, "\n".join(line(k) for k in lines)) for i in ids], "doc_id long, text string")
+    store = line_dedup.LineStore(spark, shards=2)
+    store.insert(docs([1, 2], range(40))).insert(docs([3], range(30))).insert(docs([4, 5, 6], range(20, 900)))
+    store.delete(docs([4, 77], [1]))
+    assert store.delete(docs([5, 6], [1])).version == 5
+    for _ in range(2):
+        keys = [r.k1 for r in store.repeated().collect()]
+        every = [r.k1 for r in store.counts().collect()]
+        held = {r.shard: CuckooFilter.from_bytes(bytes(r.filter)) for r in store.filters().collect()}
+        inside = lambda k, held=held: k % 2 in held and bool(held[k % 2].contains(np.array([k], np.int64))[0])
+        assert all(map(inside, keys)) and len(keys) == (30 if _ == 0 else 900)
+        assert sum(map(inside, every)) <= len(keys) + 5
+        store.insert(docs([7, 8, 9], range(900)))
+
+
+def test_bytes_that_are_no_utf8(spark):
+    docs = spark.sql("select cast(id as long) as doc_id, cast(unhex(concat('61207479706963616C206C696E6520FF20776974682062616420627974657320E2820A', hex(cast(id as string)), 'C3')) as string) as text from range(4)")
+    kept = line_dedup.dedup_lines(docs).selectExpr("doc_id", "hex(text) as h", "n_dropped").collect()
+    assert {(r.doc_id, r.n_dropped) for r in kept} == {(0, 1), (1, 1), (2, 1), (3, 0)}
+    assert {r.h for r in kept if r.doc_id < 3} == {f"3{k}C3" for k in range(3)}
+    model = merge_dropout.PieceModel(TOKENIZER)
+    rows = merge_dropout.encode(docs, model).cache()
+    assert all(r.lossless for r in rows.collect())
+    back = merge_dropout.decode(rows, model).selectExpr("doc_id", "hex(text) as h")
+    assert counted(back.collect()) == counted(docs.selectExpr("doc_id", "hex(text) as h").collect())
 
 
 def test_language_id(docs, empty, spark):
@@ -281,7 +320,7 @@ def test_inner_product(spark):
 
 def test_inner_product_of_large_numbers(spark):
     """Components beyond 2**31 are exact; scores that no long can hold end the query."""
-    vectors = [(0, [2.0**40, 1.0]), (1, [2.0**6, 1 / 256]), (2, [2.0**6, 3 / 256]), (3, [-1.0, 5.0]), (50, [3.0, 2.0**45]), (4, [0.0, 2.0**-8])]
+    vectors = [(0, [2.0**40, 1.0]), (1, [2.0**6, 1 / 256]), (2, [2.0**6, 3 / 256]), (3, [-1.0, 0.5]), (50, [3.0, 2.0**45]), (4, [0.0, 2.0**-8])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     held = {i: [int(256 * x // 1) for x in v] for i, v in vectors}
     want = {}
@@ -327,7 +366,7 @@ def test_simhash(docs, empty):
     assert simhash.keep_one_of_each(nameless).count() == 3
 
 
-def test_simhash_splits_large_groups(spark):
+def test_simhash_splits_large_groups(spark, monkeypatch):
     """Keys shared by more classes than the limit: the same components as brute force."""
     import numpy as np
 
@@ -347,7 +386,9 @@ def test_simhash_splits_large_groups(spark):
 
     numbers = brute.simhash_components(dict(enumerate(fps)))
     want = {f: numbers[k] for k, f in enumerate(fps)}
-    for limit in (2000, 5):
+    for limit, held in ((2000, 1 << 16), (5, 50)):
+        monkeypatch.setattr(simhash, "HELD_ROWS", held)
+        monkeypatch.setattr(simhash, "HELD_PAIRS", held)
         got = {x.node: x.root for x in connected(simhash.links(classes, group_limit=limit)).collect()}
         mine = {f: got.get(s, s) for f, s in zip(sorted(fps), signed, strict=True)}
         by_mine, by_want = {}, {}

@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from cuewright.llm import language_id, license_scan, lm_score, queries
+from cuewright.llm import language_id, license_scan, lm_score, merge_dropout, quality, queries
 
 from . import brute
 
@@ -158,3 +158,51 @@ def test_cross_parsing_is_that_of_whole_texts(spark, block, alphabet):
 def test_language_ties_go_to_the_first_name():
     parser = language_id.CrossParser({"bb": ["same text here"], "aa": ["same text here"]})
     assert language_id.judge(["text here", None, "..."], [True, False, False], parser, 512)[0] == ["aa", "und", "und"]
+
+
+def plain_agenda(model, text, key, dropout):
+    """One part's merges in order of score and place; a skipped candidate is never asked again."""
+    symbols = [(int(s), k, k + 1) for k, s in enumerate(model.symbols_of(np.array([ord(c) for c in text], np.int64)))]
+    skipped = set()
+    while True:
+        best = None
+        for k in range(len(symbols) - 1):
+            (a, begin, middle), (b, _, end) = symbols[k : k + 2]
+            to = model.pairs.get((a, b))
+            if to is None or (begin, middle, end) in skipped:
+                continue
+            if merge_dropout._skipped(np.array([key], np.uint64), *(np.array([x]) for x in (begin, middle, end)), dropout)[0]:
+                skipped.add((begin, middle, end))
+            elif best is None or model.rank[to] < best[0]:
+                best = int(model.rank[to]), k, to
+        if best is None:
+            return [s for s, _, _ in symbols]
+        _, k, to = best
+        symbols[k : k + 2] = [(to, symbols[k][1], symbols[k + 1][2])]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_merge_dropout_is_that_of_a_plain_agenda(dropout):
+    model = merge_dropout.PieceModel(queries.TOKENIZER)
+    parts = [" international", " segmentation", " aaaaaaaaaaaa", " straße", " x", " internationalisation", " unbelievably"]
+    keys = np.arange(1, len(parts) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    want = [plain_agenda(model, p, int(k), dropout) for p, k in zip(parts, keys, strict=True)]
+    long_ = [merge_dropout.merge_long(model, model.symbols_of(np.array([ord(c) for c in p], np.int64)).tolist(), int(k), dropout) for p, k in zip(parts, keys, strict=True)]
+    assert long_ == want
+    symbols = np.concatenate([model.symbols_of(np.array([ord(c) for c in p], np.int64)) for p in parts])
+    out, owner = merge_dropout.merge_short(model, symbols, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), keys, dropout)
+    assert [out[owner == k].tolist() for k in range(len(parts))] == want
+
+
+def test_quality_rules_are_what_their_text_says(spark):
+    """The compiled expression against the rules applied one by one in plain Python."""
+    sf = SF
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    assert model.weighted
+    named = quality.statistics(queries.F.col("text"))
+    rows = docs.select("doc_id", *(c.alias(n) for n, c in named.items())).collect()
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in rows:
+        total = model.intercept + sum(w for w, rule in model.weighted if all(above < r[n] <= upto for n, above, upto in rule.bounds))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-total))) < 1e-9
