@@ -21,15 +21,15 @@ VIDEO_TIERS = [
 AUDIO_TIERS = [("match-source", None), ("320k", 320_000), ("256k", 256_000), ("224k", 224_000), ("192k", 192_000), ("160k", 160_000), ("128k", 128_000), ("96k", 96_000)]
 #: Other names of the tiers.
 VIDEO_ALIASES = {
-    "match-source": "source auto original input",
-    "360p": "sd sd360 low",
-    "480p": "sd480 dvd standard",
-    "720p": "hd hd-ready 1280x720",
-    "1080p": "full-hd fhd 1920x1080",
-    "1440p": "qhd 2k 2560x1440",
-    "2160p": "uhd 4k 3840x2160",
+    "match-source": ["source", "auto", "original", "input"],
+    "360p": ["sd", "sd360", "low"],
+    "480p": ["sd480", "dvd", "standard"],
+    "720p": ["hd", "hd-ready", "1280x720"],
+    "1080p": ["full-hd", "fhd", "1920x1080"],
+    "1440p": ["qhd", "2k", "2560x1440"],
+    "2160p": ["uhd", "4k", "3840x2160"],
 }
-AUDIO_ALIASES = {"match-source": "source auto original", "320k": "very-high studio", "256k": "high itunes", "224k": "broadcast", "192k": "standard cd", "160k": "medium-high", "128k": "medium default", "96k": "low speech"}
+AUDIO_ALIASES = {"match-source": ["source", "auto", "original"], "320k": ["very-high", "studio"], "256k": ["high", "itunes"], "224k": ["broadcast"], "192k": ["standard", "cd"], "160k": ["medium-high"], "128k": ["medium", "default"], "96k": ["low", "speech"]}
 
 #: Most kilobits a second, and of buffer, of High profile at each level (5.2: no limit).
 LEVEL_RATES = {10: (80, 175), 11: (240, 500), 12: (480, 1000), 13: (960, 2000), 20: (2500, 2000), 21: (4000, 4000), 22: (4000, 4000), 30: (12500, 10000), 31: (17500, 14000), 32: (25000, 20000), 40: (25000, 25000), 41: (62500, 62500), 42: (62500, 62500), 50: (135000, 135000), 51: (240000, 240000)}
@@ -64,11 +64,18 @@ def profile_name(profile: Column) -> Column:
     return lookup(profile.cast("int"), PROFILES)
 
 
-def tier(name: Column, aliases: dict[str, str]) -> Column:
-    names = {word: t for t, words in aliases.items() for word in (t, *words.split())}
+def tier(name: Column, aliases: dict[str, list[str]]) -> Column:
+    names = {word: t for t, words in aliases.items() for word in (t, *words)}
     return lookup(ascii_lower(strip(name)), names)
 
 
+def name_tier(explicit: Column, height: Column) -> Column:
+    """The quality that a file name is to carry: the explicit tier, else that of the resolved height, else match-source."""
+    named = tier(explicit, VIDEO_ALIASES)
+    by_height = lookup(height.cast("int"), {h: name for name, _, h, _ in VIDEO_TIERS if h}, F.lit("match-source"))
+    return F.when(named.isNotNull() & (named != "match-source"), named).otherwise(by_height)
+
+
 def target_bitrate(source: Column, limit: Column) -> Column:
     """The smaller of both, the limit for an unknown source, the source without a limit; else null."""
     return F.when(limit > 0, F.when(source > 0, F.least(source, limit)).otherwise(limit)).when(limit.isNull() & (source > 0), source)

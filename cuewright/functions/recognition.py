@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .media import box_area
@@ -41,14 +41,26 @@ def _over(value: Column, start: float, factor: float, most: float) -> Column:
     return F.when(value > start, F.least((value - start) * factor, F.lit(most))).otherwise(0.0)
 
 
-def _statistics(clean: Column, own: Column) -> Column:
-    """What the score needs of a normalised text and its words, each counted once."""
+def single_spaced(text: Column) -> Column:
+    return F.regexp_replace(text, f"{WS}+", " ")
+
+
+def bare_words(spaced: Column) -> Column:
+    """The words of a text with single spaces, without what is no letter or apostrophe at their ends, a space
+    before each; words of other than ASCII are left out."""
+    core = r"[^A-Za-z' ]*+([A-Za-z'](?:[\x00-\x1F!-\x7F]*[A-Za-z'])?)[^A-Za-z' ]*+(?= |$)"
+    return F.regexp_replace(F.concat(F.lit(" "), spaced), rf" (?:{core}|[^ ]*+)", " $1")
+
+
+def _statistics(clean: Column, spaced: Column, bare: Column) -> Column:
+    """What the score needs of a normalised text, its single-spaced form and its bare words."""
     count = lambda p: of_class(clean, p)
-    bare = F.filter(F.transform(own, lambda w: F.regexp_replace(w, r"^[^A-Za-z']+|[^A-Za-z']+$", "")), lambda w: w.rlike(r"^[\x00-\x7F]+$"))
+    matches = lambda text, p: F.regexp_count(text, F.lit(p))
+    octets = F.decode(F.encode(spaced, "UTF-8"), "ISO-8859-1")  # a character for each byte
     return F.struct(
         F.length(clean).alias("chars"), count(r"\p{IsAlphabetic}").alias("letters"), count("[0-9]").alias("digits"), count(WS).alias("spaces"), count(r"[!-/:-@\[-`{-~“”‘’…]").alias("marks"),
-        F.greatest(F.size(own), F.lit(1)).alias("words"), F.size(F.filter(own, lambda w: F.octet_length(w) >= 14)).alias("long"), F.contains(clean, F.lit("@&")).alias("glitch"), F.contains(clean, F.lit("|")).alias("bar"),
-        let(bare, lambda b: F.struct(F.nullif(F.size(b), F.lit(0)).alias("n"), F.size(F.filter(b, lambda w: (F.length(w) <= 2) & ~ascii_lower(w).isin(SHORT_WORDS))).alias("short"), F.size(F.filter(b, camel)).alias("camel"))).alias("ascii"),
+        F.greatest(matches(spaced, "[^ ]+"), F.lit(1)).alias("words"), matches(octets, "[^ ]{14,}").alias("long"), F.contains(clean, F.lit("@&")).alias("glitch"), F.contains(clean, F.lit("|")).alias("bar"),
+        F.nullif(matches(bare, "[^ ]+"), F.lit(0)).alias("ascii"), matches(bare, rf"(?<= )(?!(?i:{'|'.join(SHORT_WORDS)})(?: |$))[^ ]{{1,2}}(?= |$)").alias("short"), matches(bare, r"(?<= )(?=[^ ]*[a-z][A-Z])[^ ]+").alias("camel"),
     )
 
 
@@ -60,8 +72,8 @@ def _score(s: Column, spaced: Column) -> Column:
         + _over(s["letters"] / s["words"], 10.5, 0.035, 0.22)
         + _over(s["long"] / s["words"], 0.12, 0.65, 0.35)
         + F.when((s["letters"] >= 80) & (space_rate < 0.08), F.least((0.08 - space_rate) * 3.0, F.lit(0.25))).otherwise(0.0)
-        + F.coalesce(_over(s["ascii"]["short"] / s["ascii"]["n"], 0.06, 1.2, 0.30), F.lit(0.0))
-        + F.coalesce(_over(s["ascii"]["camel"] / s["ascii"]["n"], 0.02, 1.0, 0.20), F.lit(0.0))
+        + F.coalesce(_over(s["short"] / s["ascii"], 0.06, 1.2, 0.30), F.lit(0.0))
+        + F.coalesce(_over(s["camel"] / s["ascii"], 0.02, 1.0, 0.20), F.lit(0.0))
     )
     noise = (s["chars"] - s["letters"] - s["digits"] - s["spaces"] - s["marks"]) / total * 1.2
     score = 1.0 - noise - F.when(s["glitch"], 0.18).otherwise(0.0) - F.when(s["bar"], 0.12).otherwise(0.0) - F.when(spaced, glued).otherwise(0.0) - F.when((s["letters"] == 0) & (s["digits"] == 0), 0.3).otherwise(0.0)
@@ -71,9 +83,18 @@ def _score(s: Column, spaced: Column) -> Column:
 def quality_score(text: Column, spaced: Column) -> Column:
     """How much a text looks like language, from 0 to 1; 0 for an empty one.
 
-    ``spaced``: whether its language separates words by spaces.
+    ``spaced``: whether its language separates words by spaces.  For lines, and inside other expressions;
+    whole documents are scored faster by ``with_quality``.
     """
-    return let(normalise_lines(text), lambda clean: let(words(clean), lambda own: let(_statistics(clean, own), lambda s: _score(s, spaced))))
+    own = lambda clean: let(single_spaced(clean), lambda single: let(bare_words(single), lambda bare: let(_statistics(clean, single, bare), lambda s: _score(s, spaced))))
+    return let(normalise_lines(text), own)
+
+
+def with_quality(rows: DataFrame, text: Column, spaced: Column, name: str = "quality") -> DataFrame:
+    """Adds the score as a column, step after step, so that each pass over a text is compiled and made once."""
+    made = rows.withColumn("_clean", normalise_lines(text)).withColumn("_single", single_spaced(F.col("_clean")))
+    counted = made.withColumn("_s", _statistics(F.col("_clean"), F.col("_single"), bare_words(F.col("_single"))))
+    return counted.withColumn(name, _score(F.col("_s"), spaced)).drop("_clean", "_single", "_s")
 
 
 def joined_lines(lines: Column) -> Column:
@@ -147,8 +168,13 @@ def exportable_label(text: Column, spaced: Column, quality: Column | None = None
 
     ``quality``: the text's score, where it is known already.
     """
-    tokens = F.split(text, r"[^\p{IsAlphabetic}']+")
-    return ((quality_score(text, spaced) if quality is None else quality) >= 0.72) & ~F.exists(tokens, lambda t: alpha_count(t) >= 14)
+    return ((quality_score(text, spaced) if quality is None else quality) >= 0.72) & ~text.rlike(r"(?:\p{IsAlphabetic}'*+){14}")
+
+
+def quality_after(processed: Column, language: Column) -> Column:
+    """The quality of a recognition result after repair: its processed lines, blank ones left out, as one text."""
+    texts = F.filter(F.transform(processed, strip), lambda t: t != "")
+    return quality_score(normalise_lines(F.array_join(texts, " ")), uses_spaces(language))
 
 
 def recovery_taken(quality: Column, raw: Column) -> Column:

@@ -1,17 +1,21 @@
 """Repair of recognised English text: confusions of letters, spacing, glued words.
 
-Column expressions where regular expressions suffice.  Splitting glued words is a dynamic programme over
-a dictionary, in one Arrow UDF with the dictionary as a broadcast of bounded size.  The dictionary and
-the common letter pairs come from a corpus (``learn``), not from a list in the code.
+Column expressions where regular expressions suffice.  What works word by word (confusions, corrections,
+splitting of glued words by a dynamic programme over a dictionary) is an Arrow UDF, with the dictionary as
+a broadcast of bounded size.  The dictionary and the common letter pairs come from a corpus (``learn``),
+not from a list in the code.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .recognition import is_english
 from .text import normalise_lines, space_after_punctuation, space_before_quote, space_letters_digits
@@ -63,19 +67,36 @@ FRAGMENTS = {
 }
 
 
-def unconfused(text: Column) -> Column:
-    """Digits inside words as letters (0 1 5 8), ordinals restored, ``|`` as I, ``vv`` as w, stray capitals."""
-    out = F.regexp_replace(text, r"(?<![A-Za-z0-9])[lL](?=[0-9]+(?:st|nd|rd|th)(?![A-Za-z0-9]))", "1")
-    for digit, letter in DIGIT_LETTERS.items():
-        inside = rf"(?<=[A-Za-z'|]){digit}|{digit}(?=[A-Za-z'|])"
-        out = F.regexp_replace(out, rf"(?:{inside})(?![0-9]*(?i:st|nd|rd|th)(?![A-Za-z0-9]))", letter)
-    out = F.replace(F.replace(out, F.lit("|"), F.lit("I")), F.lit("vv"), F.lit("w"))
-    for was, now in (
-        (r"(?<=[a-z])I(?=I)", "i"), (r"(?<=[iI])I(?=[a-z])", "l"), (r"(?<=[uo])I(?=d)", "l"), (r"(?<=[a-z])I(?=[a-z])", "i"), (r"(?<=[a-z])I(?![A-Za-z0-9'])", "i"),
-        (r"(?<=[a-z])Q", "u"), (r"(?<=[a-z])O", "o"), (r"(?<=\b[a-z][a-z]{0,40})N(?![A-Za-z0-9'])", "n"),
-    ):
-        out = F.regexp_replace(out, was, now)
-    return out
+_TOKEN, _WORD = re.compile(r"[A-Za-z0-9'|]+"), re.compile(r"[A-Za-z']+")
+_ORDINAL = re.compile(r"[lL](?=[0-9].*(?:st|nd|rd|th)$)", re.IGNORECASE | re.DOTALL)
+
+
+def unconfused(token: str) -> str:
+    """A token of letters, digits, apostrophes and bars with what recognition confuses put right.
+
+    Where letters and digits meet, 0 1 5 8 are letters, but an l before the digits of an ordinal is a one;
+    ``|`` is I and ``vv`` is w.  In a word with small letters a capital I, Q, O or N between or after small
+    ones is the letter it looks like, judged by the letters beside it as they were.
+    """
+    if re.search("[A-Za-z]", token) and re.search("[0-9]", token):
+        token = token.translate(str.maketrans(DIGIT_LETTERS))
+    word = _ORDINAL.sub("1", token, count=1) if token[:1] in "lL" else token
+    word = word.replace("|", "I").replace("vv", "w")
+    if len(word) < 3 or not re.search("[a-z]", word):
+        return word
+    small = lambda c: "a" <= c <= "z"
+
+    def looked_like(m: re.Match) -> str:
+        c, before, after = m[0], word[m.start() - 1 : m.start()], word[m.end() : m.end() + 1]
+        if c == "I":
+            if small(before):
+                return "l" if before in "uo" and after == "d" else "i" if not after or after == "I" or small(after) else c
+            return "l" if before == "I" and small(after) else c
+        if c == "N":
+            return "n" if small(before) and not after and not "A" <= word[0] <= "Z" else c
+        return c.lower().replace("q", "u") if small(before) else c
+
+    return re.sub("[IQON]", looked_like, word)
 
 
 def unfragmented(text: Column) -> Column:
@@ -89,8 +110,12 @@ def unfragmented(text: Column) -> Column:
     return text
 
 
+#: Words that have one correction.
+CORRECTIONS = {"atl": "at", "exhusband": "ex-husband"}
+
+
 def _cased(original: str, new: str) -> str:
-    if original.isupper():
+    if re.fullmatch("[A-Z]+", original):
         return new.upper()
     return new[:1].upper() + new[1:] if original[:1].isupper() else new
 
@@ -100,8 +125,10 @@ def corrected(word: str, lexicon: Lexicon) -> str:
     lower = word.lower()
     if len(word) < 3 or lower in lexicon.words:
         return word
+    if lower in CORRECTIONS:
+        return _cased(word, CORRECTIONS[lower])
     for was, now in CONFUSIONS:
-        candidate = lower[: -len(was) + 1] + now if was.endswith("$") and lower.endswith(was[:-1]) else lower.replace(was, now, 1)
+        candidate = lower[: -len(was) + 1] + now if was.endswith("$") and lower.endswith(was[:-1]) else lower.replace(was, now)
         if candidate != lower and candidate in lexicon.words:
             return _cased(word, candidate)
     return word
@@ -191,37 +218,75 @@ def split_word(word: str, lexicon: Lexicon) -> str:
     return " ".join(split_likely(word, lexicon) or [word])
 
 
-def _words_changed(text: str, change) -> str:
-    out, word = [], []
-    for c in text:
-        if c.isascii() and c.isalpha() or c == "'":
-            word.append(c)
+#: How many words are tried as one, the least length of them together, and what makes one suspect.
+FEWEST, MOST, LEAST_LENGTH, LONG, SHORT = 2, 12, 8, 12, 3
+
+
+def rejoined(text: str, split: Callable[[str], str]) -> str:
+    """Words cut at the wrong places joined and cut anew, on one line.
+
+    Plain words up to one with a mark after it are a run.  A run with a suspect word (long, a capital after
+    a small letter, or short with a capital) is taken as one word; its cut is kept if it has as many words
+    as the run or more.
+    """
+    out: list[str] = []
+    run: list[re.Match] = []
+
+    def close() -> None:
+        cores = [m[2] for m in run]
+        joined = "".join(cores)
+        suspect = any(len(c) >= LONG or re.search("[a-z][A-Z]", c) or len(c) <= SHORT and re.search("[A-Z]", c) for c in cores)
+        cut = split(joined) if FEWEST <= len(run) <= MOST and suspect and len(joined) >= LEAST_LENGTH else joined
+        if " " in cut and len(cut.split()) >= len(run):
+            out.append(run[0][1] + cut + run[-1][3])
+        else:
+            out.extend(m[0] for m in run)
+        run.clear()
+
+    for raw in text.split():
+        m = re.fullmatch(r"([^A-Za-z']*)([A-Za-z']+)([^A-Za-z']*)", raw)
+        if m is None or not re.search("[A-Za-z]", m[2]):
+            close()
+            out.append(raw)
             continue
-        if word:
-            out.append(change("".join(word)))
-            word.clear()
-        out.append(c)
-    return "".join(out) + (change("".join(word)) if word else "")
+        run.append(m)
+        if m[3]:
+            close()
+    close()
+    return " ".join(out)
 
 
 def postprocess(lexicon_broadcast, text: Column, language: Column) -> Column:
     """English text repaired in a fixed order; other languages are normalised alone.
 
-    One UDF between two native parts: corrections and splits of single words, equal words once a batch.
+    Word by word in Arrow UDFs, equal words once a batch; spacing and fragments as native expressions.
     """
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def fixed(texts: pd.Series, step: pd.Series) -> pd.Series:
         lexicon, known = lexicon_broadcast.value, {}
 
         def change(name: str, word: str) -> str:
             if (name, word) not in known:
-                known[name, word] = corrected(word, lexicon) if name == "correct" else split_word(word, lexicon)
+                known[name, word] = {"confused": unconfused, "wrong": lambda w: corrected(w, lexicon), "glued": lambda w: split_word(w, lexicon)}[name](word)
             return known[name, word]
 
-        return pd.Series([None if t is None else _words_changed(t, lambda w, n=n: change(n, w)) for t, n in zip(texts, step, strict=True)])
+        by_word = lambda form, name, t: form.sub(lambda m: change(name, m[0]), t)
+
+        def whole(t: str, name: str) -> str:
+            if name == "words":
+                return by_word(_WORD, "wrong", by_word(_TOKEN, "confused", t))
+            return by_word(_WORD, "glued", t) if name == "glued" else rejoined(t, lambda w: change("glued", w))
+
+        return pd.Series([None if t is None else whole(t, n) for t, n in zip(texts, step, strict=True)])
 
     clean = normalise_lines(text)
-    spaced = space_before_quote(space_letters_digits(space_after_punctuation(fixed(unconfused(clean), F.lit("correct")))))
-    whole = normalise_lines(unfragmented(fixed(unfragmented(spaced), F.lit("split"))))
+    spaced = space_before_quote(space_letters_digits(space_after_punctuation(fixed(clean, F.lit("words")))))
+    whole = normalise_lines(unfragmented(fixed(unfragmented(fixed(spaced, F.lit("runs"))), F.lit("glued"))))
     return F.when(is_english(language), whole).otherwise(clean)
+
+
+@F.pandas_udf(StringType())
+def unconfused_text(texts: pd.Series) -> pd.Series:
+    """``unconfused`` for each token of a text."""
+    return pd.Series([None if t is None else _TOKEN.sub(lambda m: unconfused(m[0]), t) for t in texts])

@@ -13,64 +13,64 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Spellings of a language and its three-letter tag; any other tag stands for itself.
 LANGUAGE_TAGS = {
-    "eng": "en eng english",
-    "fra": "fr fre fra french",
-    "spa": "es spa spanish",
-    "deu": "de ger deu german",
-    "ita": "it ita italian",
-    "por": "pt por portuguese",
-    "jpn": "ja jpn japanese",
-    "kor": "ko kor korean",
-    "zho": "zh zho chi chinese",
-    "rus": "ru rus russian",
-    "nld": "nl",
-    "pol": "pl",
-    "swe": "sv",
-    "nor": "no nb",
-    "dan": "da",
-    "fin": "fi",
-    "ces": "cs cz cze",
-    "ell": "el gre",
-    "heb": "he",
-    "hin": "hi",
-    "ara": "ar",
-    "tur": "tr",
-    "tha": "th",
-    "vie": "vi",
-    "ind": "id",
-    "ukr": "uk",
+    "eng": ["en", "eng", "english"],
+    "fra": ["fr", "fre", "fra", "french"],
+    "spa": ["es", "spa", "spanish"],
+    "deu": ["de", "ger", "deu", "german"],
+    "ita": ["it", "ita", "italian"],
+    "por": ["pt", "por", "portuguese"],
+    "jpn": ["ja", "jpn", "japanese"],
+    "kor": ["ko", "kor", "korean"],
+    "zho": ["zh", "zho", "chi", "chinese"],
+    "rus": ["ru", "rus", "russian"],
+    "nld": ["nl"],
+    "pol": ["pl"],
+    "swe": ["sv"],
+    "nor": ["no", "nb"],
+    "dan": ["da"],
+    "fin": ["fi"],
+    "ces": ["cs", "cz", "cze"],
+    "ell": ["el", "gre"],
+    "heb": ["he"],
+    "hin": ["hi"],
+    "ara": ["ar"],
+    "tur": ["tr"],
+    "tha": ["th"],
+    "vie": ["vi"],
+    "ind": ["id"],
+    "ukr": ["uk"],
 }
 
 #: Spellings that a recogniser's model answers to; any other tag stands for itself.
 RECOGNISER_TAGS = {
-    "eng": "en eng",
-    "spa": "es spa",
-    "fra": "fr fra fre",
-    "deu": "de deu ger",
-    "ita": "it ita",
-    "por": "pt por",
-    "nld": "nl nld dut",
-    "swe": "sv swe",
-    "nor": "no nor",
-    "dan": "da dan",
-    "fin": "fi fin",
-    "pol": "pl pol",
-    "ces": "cs ces cze",
-    "hun": "hu hun",
-    "ron": "ro ron rum",
-    "tur": "tr tur",
-    "ell": "el ell gre",
-    "rus": "ru rus",
-    "ukr": "uk ukr",
-    "ara": "ar ara",
-    "heb": "he heb",
-    "hin": "hi hin",
-    "tha": "th tha",
-    "vie": "vi vie",
-    "ind": "id ind",
-    "jpn": "ja jpn",
-    "kor": "ko kor",
-    "chi_sim": "zh zho chi",
+    "eng": ["en", "eng"],
+    "spa": ["es", "spa"],
+    "fra": ["fr", "fra", "fre"],
+    "deu": ["de", "deu", "ger"],
+    "ita": ["it", "ita"],
+    "por": ["pt", "por"],
+    "nld": ["nl", "nld", "dut"],
+    "swe": ["sv", "swe"],
+    "nor": ["no", "nor"],
+    "dan": ["da", "dan"],
+    "fin": ["fi", "fin"],
+    "pol": ["pl", "pol"],
+    "ces": ["cs", "ces", "cze"],
+    "hun": ["hu", "hun"],
+    "ron": ["ro", "ron", "rum"],
+    "tur": ["tr", "tur"],
+    "ell": ["el", "ell", "gre"],
+    "rus": ["ru", "rus"],
+    "ukr": ["uk", "ukr"],
+    "ara": ["ar", "ara"],
+    "heb": ["he", "heb"],
+    "hin": ["hi", "hin"],
+    "tha": ["th", "tha"],
+    "vie": ["vi", "vie"],
+    "ind": ["id", "ind"],
+    "jpn": ["ja", "jpn"],
+    "kor": ["ko", "kor"],
+    "chi_sim": ["zh", "zho", "chi"],
 }
 
 
@@ -86,8 +86,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def spellings(table: dict[str, str]) -> dict[str, str]:
-    return {word: tag for tag, words in table.items() for word in words.split()}
+def spellings(table: dict[str, list[str]]) -> dict[str, str]:
+    return {word: tag for tag, words in table.items() for word in words}
 
 
 def ascii_lower(text: Column) -> Column:
@@ -96,13 +96,18 @@ def ascii_lower(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trims Unicode white space at both ends (``trim`` takes spaces alone)."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(text, f"^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def normalise_lines(text: Column) -> Column:
-    """Lines trimmed, empty ones and carriage returns gone, joined by line feeds."""
-    lines = F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")
-    return F.array_join(F.filter(F.transform(lines, strip), lambda x: x != ""), "\n")
+    """Lines trimmed, empty ones and carriage returns gone, joined by line feeds.
+
+    White space with a line feed in it becomes one line feed; a match begins where the white space does,
+    so that a long blank run is read once.
+    """
+    blank = r"[ \t\x0B\f\r\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+    joined = F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("")), rf"(?<!{blank}){blank}*+\n{WS}*+", "\n")
+    return strip(joined)
 
 
 def language_tag(tag: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +58,24 @@ def subtitle_pts(packets: DataFrame, *, stream: str = "stream_id", order: str =
 
 
 def progress(reports: DataFrame, *, job: str = "job_id", order: str = "ord", step: float = 5.0) -> DataFrame:
-    """The reports that are said: ``step`` percent over the last one said, and the first that reaches 100."""
+    """The reports that are said: ``step`` percent over the last one said, and the first that reaches 100.
 
-    def say(group: pd.DataFrame) -> pd.DataFrame:
-        group, last, kept = group.sort_values(order, kind="stable"), 0.0, []
-        for k, percent in enumerate(group["percent"].tolist()):
-            if percent == percent and (percent >= last + step or (percent >= 100 > last)):
-                kept.append(k)
-                last = percent
-        return group.iloc[kept]
+    One pass over rows sorted by job and order: a task holds one batch and the last report said.
+    """
+
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0.0
+        for batch in batches:
+            kept = []
+            for k, (own, percent) in enumerate(zip(batch.column(job).to_pylist(), batch.column("percent").to_pylist(), strict=True)):
+                if own != now or k == 0 and now is None:
+                    now, last = own, 0.0
+                if percent is not None and percent == percent and (percent >= last + step or percent >= 100 > last):
+                    kept.append(k)
+                    last = percent
+            yield batch.take(pa.array(kept, pa.int64()))
 
-    return reports.groupBy(job).applyInPandas(say, reports.schema)
+    return reports.repartition(job).sortWithinPartitions(job, order).mapInArrow(say, reports.schema)
 
 
 def time_text(ms: Column, mark: str = ",") -> Column:
@@ -80,37 +90,48 @@ def ass_time(ms: Column) -> Column:
     return F.format_string("%d:%02d:%02d.%02d", part(3_600_000, 0), part(60_000, 60), part(1000, 60), part(10, 100))
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each reference cue in order takes the best hypothesis cue that is still free."""
-    used: set[int] = set()
-    taken = []
-    for ref, own in rows.sort_values(["ref_ord", "overlap", "delta", "hyp_ord"], ascending=[True, False, True, True], kind="stable").groupby("ref_ord", sort=True):
-        free = own[~own["hyp_ord"].isin(used)]
-        if len(free):
-            used.add(int(free["hyp_ord"].iloc[0]))
-            taken.append(free.iloc[0])
-    return pd.DataFrame(taken, columns=rows.columns).astype(rows.dtypes.to_dict()) if taken else rows.iloc[:0]
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over candidate pairs sorted by track, reference cue and preference: each reference cue in order takes
+    the first hypothesis cue that is still free.
+
+    A task holds the cues taken in one chain: those of a chain cannot be candidates in another.
+    """
+    now, done, used = None, None, set()
+    for batch in batches:
+        track, chain, ref, hyp = (batch.column(k).to_pylist() for k in range(4))
+        kept = []
+        for k, own in enumerate(zip(track, chain, strict=True)):
+            if own != now:
+                now, done, used = own, None, set()
+            if ref[k] != done and hyp[k] not in used:
+                done = ref[k]
+                used.add(hyp[k])
+                kept.append(k)
+        yield batch.take(pa.array(kept, pa.int64()))
 
 
 def align(reference: DataFrame, hypothesis: DataFrame, *, track: str = "track_id", tolerance_ms: int = TOLERANCE_MS, bin_ms: int = 10_000) -> DataFrame:
     """One row a pair and a row for each cue without a partner: track, ref_ord, hyp_ord, overlap, delta and texts.
 
-    Cues meet by equal time bins, widened by the tolerance, so candidates cost no cross product.  Chains
-    of cues that could compete are cut where a gap separates them, and each chain is assigned alone: a
-    long track is many small groups, not one.
+    Cues meet by equal time bins, widened by the tolerance, so candidates cost no cross product; of the
+    bins that two cues share only the first makes the pair.  Chains of cues that could compete are cut
+    where a gap separates them; a task reads candidates in order and holds the taken cues of one chain.
+    A cue without times, or of a track that only one side has, gets no partner.
     """
-    bins = F.explode(F.sequence(F.floor((F.col("start_ms") - tolerance_ms) / bin_ms), F.floor((F.greatest("end_ms", "start_ms") + tolerance_ms) / bin_ms)))
-    r = reference.select(track, F.col("ord").alias("ref_ord"), F.col("start_ms").alias("r0"), F.col("end_ms").alias("r1"), bins.alias("bin"))
-    h = hypothesis.select(track, F.col("ord").alias("hyp_ord"), F.col("start_ms").alias("h0"), F.col("end_ms").alias("h1"), bins.alias("bin"))
+    first = lambda a: F.floor((F.col(a) - tolerance_ms) / bin_ms)
+    bins = F.explode(F.sequence(first("start_ms"), F.floor((F.greatest("end_ms", "start_ms") + tolerance_ms) / bin_ms)))
+    side = lambda df, key, a, b: df.filter("start_ms is not null and end_ms is not null").select(track, F.col("ord").alias(key), F.col("start_ms").alias(a), F.col("end_ms").alias(b), bins.alias("bin"))
+    r, h = side(reference, "ref_ord", "r0", "r1"), side(hypothesis, "hyp_ord", "h0", "h1")
     overlap = F.greatest(F.least("r1", "h1") - F.greatest("r0", "h0"), F.lit(0))
-    near = r.join(h, [track, "bin"]).withColumn("overlap", overlap).withColumn("delta", F.abs(F.col("r0") - F.col("h0"))).filter((F.col("overlap") > 0) | (F.col("delta") <= tolerance_ms)).dropDuplicates([track, "ref_ord", "hyp_ord"])
+    near = r.join(h, [track, "bin"]).filter(F.col("bin") == F.greatest(first("r0"), first("h0"))).withColumn("overlap", overlap).withColumn("delta", F.abs(F.col("r0") - F.col("h0"))).filter((F.col("overlap") > 0) | (F.col("delta") <= tolerance_ms))
     # a chain ends where the next pair begins after every pair before it has ended
     order = Window.partitionBy(track).orderBy("_a", "ref_ord", "hyp_ord")
     timed = near.withColumn("_a", F.least("r0", "h0") - tolerance_ms).withColumn("_b", F.greatest("r1", "h1", "r0", "h0") + tolerance_ms)
     before = F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     chained = timed.withColumn("chain", F.sum(F.when(F.col("_a") > before, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     pairs = chained.select(track, "chain", "ref_ord", "hyp_ord", "overlap", "delta")
-    chosen = pairs.groupBy(track, "chain").applyInPandas(_greedy, pairs.schema).drop("chain")
+    sorted_ = pairs.repartition(track, "chain").sortWithinPartitions(track, "chain", "ref_ord", F.col("overlap").desc(), "delta", "hyp_ord")
+    chosen = sorted_.mapInArrow(_assigned, pairs.schema).drop("chain")
     texts = lambda df, key, name: df.select(track, F.col("ord").alias(key), F.col("text").alias(name))
     left = texts(reference, "ref_ord", "ref_text").join(chosen, [track, "ref_ord"], "left")
     return left.join(texts(hypothesis, "hyp_ord", "hyp_text"), [track, "hyp_ord"], "full").select(track, "ref_ord", "hyp_ord", "overlap", "delta", "ref_text", "hyp_text")
@@ -156,6 +177,20 @@ def merge_boxes(boxes: DataFrame, *, cue: str = "cue_id") -> DataFrame:
     return boxes.groupBy(cue).applyInPandas(lines, f"{cue} {kind}, line int, text string, score double, left int, top int, right int, bottom int")
 
 
+#: A line is read word by word if it has so many crops, and so many of them must be read.
+LEAST_CROPS, MOST_CROPS, LEAST_READ = 2, 80, 2
+
+
+def word_crops(crops: DataFrame, *, cue: str = "cue_id") -> DataFrame:
+    """Lines assembled from words that were recognised one by one (left, top, right, bottom, text, score).
+
+    Only cues of 2 to 80 crops are read so; crops without text drop, and two must be left.
+    """
+    counted = crops.withColumn("_read", strip(F.coalesce("text", F.lit(""))) != "")
+    fit = counted.groupBy(cue).agg(F.count("*").alias("_n"), F.count_if("_read").alias("_m")).filter(F.col("_n").between(LEAST_CROPS, MOST_CROPS) & (F.col("_m") >= LEAST_READ)).select(cue)
+    return merge_boxes(counted.filter("_read").drop("_read").join(fit, cue, "left_semi"), cue=cue)
+
+
 def ink_runs(rows: DataFrame, *, image: str = "image_id", least: int = 4) -> DataFrame:
     """Bands of consecutive rows with ink, at least ``least`` high: image, top and bottom (exclusive).
 

@@ -12,31 +12,31 @@ SCHEMA = "ord int, name string, model string, maker string, family string, conta
 
 #: Name, model, video codecs, level, fps, height, video and audio bit rate of each device.
 _CATALOGUE = {
-    ("Google", "chromecast", "mp4", "aac"): [
-        ("Chromecast (1st gen)", "chromecast_1st_gen", "h264", 41, 30, 1080, 20_000_000, 320_000),
-        ("Chromecast (2nd gen)", "chromecast_2nd_gen", "h264", 41, 60, 1080, 20_000_000, 320_000),
-        ("Chromecast (3rd gen)", "chromecast_3rd_gen", "h264 vp8", 42, 60, 1080, 25_000_000, 320_000),
-        ("Chromecast Ultra", "chromecast_ultra", "h264 vp8", 42, 60, 2160, 35_000_000, 320_000),
-        ("Chromecast with Google TV", "chromecast_google_tv", "h264 hevc vp9", 51, 60, 2160, 45_000_000, 320_000),
-        ("Google TV Streamer", "google_tv_streamer", "h264 hevc vp9", 52, 60, 2160, 45_000_000, 320_000),
-        ("Nest Hub", "nest_hub", "h264 vp9", 41, 60, 720, 12_000_000, 256_000),
-        ("Nest Hub Max", "nest_hub_max", "h264 vp9", 41, 30, 720, 12_000_000, 256_000),
+    ("Google", "chromecast", ("mp4",), ("aac",)): [
+        ("Chromecast (1st gen)", "chromecast_1st_gen", ["h264"], 41, 30, 1080, 20_000_000, 320_000),
+        ("Chromecast (2nd gen)", "chromecast_2nd_gen", ["h264"], 41, 60, 1080, 20_000_000, 320_000),
+        ("Chromecast (3rd gen)", "chromecast_3rd_gen", ["h264", "vp8"], 42, 60, 1080, 25_000_000, 320_000),
+        ("Chromecast Ultra", "chromecast_ultra", ["h264", "vp8"], 42, 60, 2160, 35_000_000, 320_000),
+        ("Chromecast with Google TV", "chromecast_google_tv", ["h264", "hevc", "vp9"], 51, 60, 2160, 45_000_000, 320_000),
+        ("Google TV Streamer", "google_tv_streamer", ["h264", "hevc", "vp9"], 52, 60, 2160, 45_000_000, 320_000),
+        ("Nest Hub", "nest_hub", ["h264", "vp9"], 41, 60, 720, 12_000_000, 256_000),
+        ("Nest Hub Max", "nest_hub_max", ["h264", "vp9"], 41, 30, 720, 12_000_000, 256_000),
     ],
-    ("Roku", "roku", "mp4 mkv", "aac ac3 eac3 dts"): [
-        ("Roku Express", "roku_express", "h264 hevc", 41, 60, 1080, 20_000_000, 640_000),
-        ("Roku Streaming Stick 4K", "roku_streaming_stick_4k", "h264 hevc", 51, 60, 2160, 40_000_000, 1_536_000),
-        ("Roku Ultra", "roku_ultra", "h264 hevc", 51, 60, 2160, 40_000_000, 1_536_000),
+    ("Roku", "roku", ("mp4", "mkv"), ("aac", "ac3", "eac3", "dts")): [
+        ("Roku Express", "roku_express", ["h264", "hevc"], 41, 60, 1080, 20_000_000, 640_000),
+        ("Roku Streaming Stick 4K", "roku_streaming_stick_4k", ["h264", "hevc"], 51, 60, 2160, 40_000_000, 1_536_000),
+        ("Roku Ultra", "roku_ultra", ["h264", "hevc"], 51, 60, 2160, 40_000_000, 1_536_000),
     ],
-    ("Apple", "apple_tv", "mp4 m4v mov", "aac ac3 eac3"): [
-        ("Apple TV HD", "apple_tv_hd", "h264", 42, 60, 1080, 20_000_000, 640_000),
-        ("Apple TV 4K (1st gen)", "apple_tv_4k_1st_gen", "h264 hevc", 51, 60, 2160, 35_000_000, 768_000),
-        ("Apple TV 4K (2nd gen)", "apple_tv_4k_2nd_gen", "h264 hevc", 51, 60, 2160, 40_000_000, 768_000),
-        ("Apple TV 4K (3rd gen)", "apple_tv_4k_3rd_gen", "h264 hevc", 52, 60, 2160, 40_000_000, 768_000),
+    ("Apple", "apple_tv", ("mp4", "m4v", "mov"), ("aac", "ac3", "eac3")): [
+        ("Apple TV HD", "apple_tv_hd", ["h264"], 42, 60, 1080, 20_000_000, 640_000),
+        ("Apple TV 4K (1st gen)", "apple_tv_4k_1st_gen", ["h264", "hevc"], 51, 60, 2160, 35_000_000, 768_000),
+        ("Apple TV 4K (2nd gen)", "apple_tv_4k_2nd_gen", ["h264", "hevc"], 51, 60, 2160, 40_000_000, 768_000),
+        ("Apple TV 4K (3rd gen)", "apple_tv_4k_3rd_gen", ["h264", "hevc"], 52, 60, 2160, 40_000_000, 768_000),
     ],
-    ("Amazon", "fire_tv", "mp4 mkv", "aac ac3 eac3 flac"): [
-        ("Fire TV Stick 4K", "fire_tv_stick_4k", "h264 hevc av1", 51, 60, 2160, 35_000_000, 1_024_000),
-        ("Fire TV Stick 4K Max", "fire_tv_stick_4k_max", "h264 hevc av1", 51, 60, 2160, 40_000_000, 1_024_000),
-        ("Fire TV Cube (3rd gen)", "fire_tv_cube_3rd_gen", "h264 hevc av1", 52, 60, 2160, 40_000_000, 1_024_000),
+    ("Amazon", "fire_tv", ("mp4", "mkv"), ("aac", "ac3", "eac3", "flac")): [
+        ("Fire TV Stick 4K", "fire_tv_stick_4k", ["h264", "hevc", "av1"], 51, 60, 2160, 35_000_000, 1_024_000),
+        ("Fire TV Stick 4K Max", "fire_tv_stick_4k_max", ["h264", "hevc", "av1"], 51, 60, 2160, 40_000_000, 1_024_000),
+        ("Fire TV Cube (3rd gen)", "fire_tv_cube_3rd_gen", ["h264", "hevc", "av1"], 52, 60, 2160, 40_000_000, 1_024_000),
     ],
 }
 _WIDTH = {720: 1280, 1080: 1920, 2160: 3840}
@@ -45,7 +45,7 @@ _WIDTH = {720: 1280, 1080: 1920, 2160: 3840}
 def catalogue(spark: SparkSession) -> DataFrame:
     """The 18 devices; High profile is the most that any of them plays."""
     rows = [
-        (name, model, maker, family, containers.split(), video.split(), audio.split(), 100, level, fps, _WIDTH[height], height, v, a)
+        (name, model, maker, family, list(containers), video, list(audio), 100, level, fps, _WIDTH[height], height, v, a)
         for (maker, family, containers, audio), own in _CATALOGUE.items()
         for name, model, video, level, fps, height, v, a in own
     ]
@@ -126,16 +126,28 @@ def plays(profile: dict[str, Column], device: dict[str, Column]) -> Column:
     return listed
 
 
+#: Devices that are kept beside each profile as one value.
+MOST_DEVICES = 10_000
+
+
 def playable_everywhere(profiles: DataFrame, devices: DataFrame, key: str) -> DataFrame:
     """(key, n_devices, everywhere): on how many devices, and whether on all.
 
-    The device dimension (a few rows) is broadcast to the profiles; nothing is shuffled but sums.
+    A device table of up to ``MOST_DEVICES`` is one array that a profile is held against within its row;
+    a larger one is joined by container, and the counts summed.
     """
-    names = [c for c in devices.columns]
-    d = F.broadcast(devices.select(*(F.col(c).alias(f"d_{c}") for c in names)))
-    joined = profiles.join(d, F.lit(True))
-    ok = plays({c: F.col(c) for c in profiles.columns}, {c: F.col(f"d_{c}") for c in names})
-    return joined.groupBy(key).agg(F.count_if(ok).alias("n_devices"), F.bool_and(ok).alias("everywhere"))
+    names = list(devices.columns)
+    total = devices.count()
+    profile = {c: F.col(c) for c in profiles.columns}
+    if total <= MOST_DEVICES:
+        listed = F.broadcast(devices.agg(F.collect_list(F.struct(*names)).alias("_devices")))  # one row
+        n = F.size(F.filter("_devices", lambda d: plays(profile, {c: d[c] for c in names})))
+        counted = profiles.join(listed, F.lit(True), "left").groupBy(key).agg(F.sum(n).cast("long").alias("n_devices"), F.bool_and(n == total).alias("everywhere"))
+        return counted
+    d = devices.select(*(F.col(c).alias(f"d_{c}") for c in names)).withColumn("d_container", F.explode("d_containers"))
+    joined = profiles.join(d, F.col("container") == F.col("d_container"), "left")
+    ok = plays(profile, {c: F.col(f"d_{c}") for c in names})
+    return joined.groupBy(key).agg(F.count_if(ok).alias("n_devices")).withColumn("everywhere", F.col("n_devices") == total)
 
 
 def supported_by_all(devices: DataFrame, codec_column: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Hashable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.text import collapsed_upper, evaluation_text, stripped_upper, word_tokens
 
@@ -12,23 +16,39 @@ MODES = [("pure", None), ("hybrid", 0.08), ("strict", 0.12)]
 STRICT_CER, STRICT_WER = 0.02, 0.08
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Unit-cost edits between two arrays: a row of the table at a time, each cell from its three neighbours.
-
-    Native, of size |a| * |b|; fit for lines and cues, not for whole books.
-    """
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j.cast("int"))
-
-    def row(state: Column, token: Column) -> Column:
-        previous = state["row"]
-        cells = F.zip_with(F.slice(previous, 2, F.size(b)), F.zip_with(b, F.slice(previous, 1, F.size(b)), lambda t, d: d + F.when(t == token, 0).otherwise(1)), lambda up, diagonal: F.least(up + 1, diagonal))
-        # the left neighbour: a running minimum of cell - place
-        start = F.struct(F.array((state["n"] + 1).cast("int")).alias("done"))
-        done = F.aggregate(cells, start, lambda s, c: F.struct(F.concat(s["done"], F.array(F.least(c, F.element_at(s["done"], -1) + 1).cast("int"))).alias("done")))
-        return F.struct(done["done"].alias("row"), (state["n"] + 1).cast("int").alias("n"))
-
-    last = F.aggregate(a, F.struct(first.alias("row"), F.lit(0).alias("n")), row)["row"]
-    return F.when(F.size(b) == 0, F.size(a)).when(F.size(a) == 0, F.size(b)).otherwise(F.element_at(last, -1))
+def edits(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Unit-cost edits between two sequences: a column of the table at a time, as the bits of two integers
+    that say where it rises and where it falls (Myers, 1999)."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return len(a)
+    places: dict[Hashable, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, distance = every, 0, len(a)
+    for x in b:
+        same = places.get(x, 0)
+        stays = same | falls
+        crosses = ((same & rises) + rises ^ rises) | same
+        up, down = falls | every & ~(crosses | rises), rises & crosses
+        distance += 1 if up & last else -1 if down & last else 0
+        up = (up << 1 | 1) & every
+        rises, falls = (down << 1) & every | every & ~(stays | up), up & stays
+    return distance
+
+
+@F.pandas_udf(IntegerType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edits between two arrays of tokens; null if either is."""
+    return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+@F.pandas_udf(IntegerType())
+def text_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edits between the characters of two texts of any length; null if either is."""
+    return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def error_rate(expected: Column, actual: Column) -> Column:
@@ -98,21 +118,22 @@ def worst(pairs: DataFrame, k: int = 8) -> DataFrame:
 
 
 def roll_up(pairs: DataFrame, *, track: str = "track_id") -> DataFrame:
-    """Micro error rates of each track: edits and lengths summed over its aligned cues.
+    """Error rates of each track: one distance over all its aligned cues joined by spaces, in cue order.
 
-    Rates of sums, not means of rates.  Edits do not move text between cues, so they are counted pair by
-    pair, which keeps the work of a track spread over its cues.
+    Cues of the hypothesis without a partner come last.  A track is one file's subtitles, so its text is
+    one value; the distance takes a few big integers of as many bits, not a table.
     """
-    tokens = lambda c: word_tokens(evaluation_text(F.coalesce(F.col(c), F.lit(""))))
-    text = lambda c: evaluation_text(F.coalesce(F.col(c), F.lit("")))
-    own = pairs.select(track, tokens("ref_text").alias("rw"), tokens("hyp_text").alias("hw"), text("ref_text").alias("rc"), text("hyp_text").alias("hc"))
-    sums = own.groupBy(track).agg(
-        F.sum(F.size("rw")).alias("reference_words"), F.sum(F.size("hw")).alias("hypothesis_words"), F.sum(F.length("rc")).alias("reference_chars"), F.sum(F.length("hc")).alias("hypothesis_chars"),
-        F.sum(edit_distance(F.col("rw"), F.col("hw"))).alias("word_edits"), F.sum(F.levenshtein("rc", "hc")).alias("char_edits"),
+    text = lambda c: evaluation_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ref_ord").isNull().alias("_extra"), "ref_ord", "hyp_ord", F.coalesce(c, F.lit("")).alias("_text")))), lambda s: s["_text"]), " "))
+    joined = pairs.groupBy(track).agg(text("ref_text").alias("_ref"), text("hyp_text").alias("_hyp"))
+    own = joined.select(track, "_ref", "_hyp", word_tokens(F.col("_ref")).alias("_ref_words"), word_tokens(F.col("_hyp")).alias("_hyp_words"))
+    counted = own.select(
+        track, F.size("_ref_words").cast("long").alias("reference_words"), F.size("_hyp_words").cast("long").alias("hypothesis_words"), F.length("_ref").cast("long").alias("reference_chars"), F.length("_hyp").cast("long").alias("hypothesis_chars"),
+        edit_distance("_ref_words", "_hyp_words").cast("long").alias("word_edits"), text_distance("_ref", "_hyp").cast("long").alias("char_edits"),
     )
-    rate = lambda edits, n, other: F.when(F.col(n) > 0, F.col(edits) / F.col(n)).when(F.col(other) > 0, 1.0).otherwise(0.0)
-    rated = sums.withColumn("wer", rate("word_edits", "reference_words", "hypothesis_words")).withColumn("cer", rate("char_edits", "reference_chars", "hypothesis_chars"))
-    return rated.withColumn("accepted", accepted(F.col("cer"), F.col("wer")))
+    rate = lambda edits_, n, other: F.when(F.col(n) > 0, F.col(edits_) / F.col(n)).when(F.col(other) > 0, 1.0).otherwise(0.0)
+    rated = counted.withColumn("wer", rate("word_edits", "reference_words", "hypothesis_words")).withColumn("cer", rate("char_edits", "reference_chars", "hypothesis_chars"))
+    similarity = lambda c: 1 - F.least(F.col(c), F.lit(1.0))
+    return rated.withColumn("word_similarity", similarity("wer")).withColumn("char_similarity", similarity("cer")).withColumn("accepted", accepted(F.col("cer"), F.col("wer")))
 
 
 def accepted(cer: Column, wer: Column, max_cer: float = STRICT_CER, max_wer: float = STRICT_WER) -> Column:

@@ -23,7 +23,7 @@ def inventory(codecs: DataFrame, *, only_video: bool = False, only_hardware: boo
 def available_encoders(encoders: DataFrame, devices: DataFrame) -> DataFrame:
     """(name, available): present and any device that it needs usable (``needs`` array, ``present``)."""
     needed = encoders.select("name", "present", F.explode_outer("needs").alias("device"))
-    return needed.join(F.broadcast(devices), "device", "left").groupBy("name").agg((F.first("present") & F.bool_or(yes(F.col("usable")))).alias("available"))
+    return needed.join(devices, "device", "left").groupBy("name").agg((F.first("present") & F.bool_or(yes(F.col("usable")))).alias("available"))
 
 
 def first_choice(candidates: DataFrame, usable: Column, *group: str) -> DataFrame:

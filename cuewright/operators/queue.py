@@ -45,11 +45,20 @@ def health(queue: DataFrame, today: Column, stale_days: int, *group: str) -> Dat
 def removals(queue: DataFrame, today: Column, stale_days: int, cap: int = 0, *, partition: str | None = None) -> DataFrame:
     """Items to remove, in order: mismatches, then stale ones, oldest first; ``cap`` stale ones at most (0: all).
 
-    Only the bad items are ranked, by (priority, day, id) as in the removal order itself.
+    Adds what the removal is to do: ``remove_from_client``, and ``blocklist`` for what does not hold what
+    was asked for.  The cap is a top-k of stale items (of each partition, if one is named), so nothing is
+    gathered in one task.
     """
     bad = with_reasons(queue, today, stale_days).filter(F.col("reason").isNotNull())
     ranked = bad.withColumn("priority", R.reason_priority(F.col("reason"))).withColumn("day", F.coalesce(R.day_number(F.col("added")).cast("long"), F.lit((1 << 63) - 1)))
-    keys = [partition] if partition else []
-    place = F.row_number().over(Window.partitionBy(*keys, "reason").orderBy("day", "id"))
-    numbered = ranked.withColumn("place", place)
-    return numbered.filter(F.lit(cap <= 0) | (F.col("reason") != R.STALE) | (F.col("place") <= cap)).select(*queue.columns, "reason", "priority", "day")
+    flagged = ranked.withColumn("remove_from_client", F.lit(True)).withColumn("blocklist", F.col("reason") != R.STALE)
+    if cap > 0:
+        stale = flagged.filter(F.col("reason") == R.STALE)
+        if partition is None:
+            stale = stale.orderBy("day", "id").limit(cap)
+        else:
+            # the rank is limited in each task before the shuffle
+            place = F.row_number().over(Window.partitionBy(partition).orderBy("day", "id"))
+            stale = stale.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
+        flagged = flagged.filter(F.col("reason") != R.STALE).unionByName(stale)
+    return flagged.select(*queue.columns, "reason", "priority", "day", "remove_from_client", "blocklist")

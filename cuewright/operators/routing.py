@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower, lookup, recogniser_language, script_subtag, spellings, strip
 
 #: Profile names and their other spellings.
-PROFILES = {"english": "english eng", "latin": "latin latn", "multilingual": "multilingual multi", "japanese": "japanese jpn ja", "korean": "korean kor ko", "cjk": "cjk zho zh chinese"}
+PROFILES = {"english": ["english", "eng"], "latin": ["latin", "latn"], "multilingual": ["multilingual", "multi"], "japanese": ["japanese", "jpn", "ja"], "korean": ["korean", "kor", "ko"], "cjk": ["cjk", "zho", "zh", "chinese"]}
 
 #: The shipped routing table.
-LANGUAGE_PROFILES = spellings({"english": "eng en", "japanese": "jpn ja", "korean": "kor ko", "cjk": "zho zh chi chi_sim chi_tra"})
+LANGUAGE_PROFILES = spellings({"english": ["eng", "en"], "japanese": ["jpn", "ja"], "korean": ["kor", "ko"], "cjk": ["zho", "zh", "chi", "chi_sim", "chi_tra"]})
 SCRIPT_PROFILES = spellings({
-    "latin": "latn",
-    "japanese": "jpan hira kana",
-    "korean": "hang kore",
-    "cjk": "hani hans hant bopo",
-    "multilingual": "cyrl arab hebr grek deva thai beng taml telu knda mlym sinh laoo khmr mymr ethi tibt",
+    "latin": ["latn"],
+    "japanese": ["jpan", "hira", "kana"],
+    "korean": ["hang", "kore"],
+    "cjk": ["hani", "hans", "hant", "bopo"],
+    "multilingual": ["cyrl", "arab", "hebr", "grek", "deva", "thai", "beng", "taml", "telu", "knda", "mlym", "sinh", "laoo", "khmr", "mymr", "ethi", "tibt"],
 })
 LIKELY_SCRIPTS = spellings({
-    "latn": "eng en fra fre fr spa es deu ger de ita it por pt nld dut nl swe sv nor no dan da fin fi ron rum ro pol pl ces cze cs hun hu tur tr cat ca glg gl ind id vie vi",
-    "cyrl": "rus ru ukr uk bel bul srp mkd kaz kir tgk mon",
-    "arab": "ara ar fas per fa urd ur pus ps",
+    "latn": ["eng", "en", "fra", "fre", "fr", "spa", "es", "deu", "ger", "de", "ita", "it", "por", "pt", "nld", "dut", "nl", "swe", "sv", "nor", "no", "dan", "da", "fin", "fi", "ron", "rum", "ro", "pol", "pl", "ces", "cze", "cs", "hun", "hu", "tur", "tr", "cat", "ca", "glg", "gl", "ind", "id", "vie", "vi"],
+    "cyrl": ["rus", "ru", "ukr", "uk", "bel", "bul", "srp", "mkd", "kaz", "kir", "tgk", "mon"],
+    "arab": ["ara", "ar", "fas", "per", "fa", "urd", "ur", "pus", "ps"],
 })
 
 

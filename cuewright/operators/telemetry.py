@@ -30,14 +30,14 @@ def gpu_summary(samples: DataFrame, *, gpu: str = "gpu", value: str = "util") ->
 
 def text_metrics(lines: DataFrame, *group: str, text: str = "text") -> DataFrame:
     """Lines, characters, spaces, words, long tokens, longest token and space rate (null without characters)."""
-    tokens = F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")
+    count = lambda pattern: F.coalesce(F.sum(F.regexp_count(F.col(text), F.lit(pattern))), F.lit(0))
     counted = lines.groupBy(*group).agg(
         F.count(text).alias("line_count"),
         F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("char_count"),
-        F.coalesce(F.sum(F.regexp_count(F.col(text), F.lit(" "))), F.lit(0)).alias("space_count"),
-        F.coalesce(F.sum(F.size(tokens)), F.lit(0)).alias("word_count"),
-        F.coalesce(F.sum(F.size(F.filter(tokens, lambda t: F.length(t) >= LONG_TOKEN))), F.lit(0)).alias("long_token_count"),
-        F.coalesce(F.max(F.array_max(F.transform(tokens, F.length))), F.lit(0)).alias("max_token_len"),
+        F.coalesce(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit("")))), F.lit(0)).alias("space_count"),
+        count(r"\S+").alias("word_count"),
+        count(rf"\S{{{LONG_TOKEN},}}").alias("long_token_count"),
+        F.coalesce(F.max(F.array_max(F.transform(F.split(F.col(text), r"\s+"), F.length))), F.lit(0)).alias("max_token_len"),
     )
     return counted.withColumn("space_rate", F.try_divide("space_count", "char_count"))
 

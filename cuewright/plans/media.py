@@ -358,18 +358,6 @@ def newest_by_key(spark: SparkSession, sf: str) -> DataFrame:
 NEWEST_BY_KEY = "SELECT 'tv:item:' || user_id AS key, max(event_id) AS checked_at, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"
 
 
-def as_of(spark: SparkSession, sf: str) -> DataFrame:
-    """For each purchase the user's last view before it: one window over both kinds of event."""
-    e = table(spark, sf, "events").filter("event_type in ('purchase', 'view')")
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = e.withColumn("view_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(before))
-    return seen.filter("event_type = 'purchase'").select("event_id", "view_id")
-
-
-AS_OF = """SELECT event_id, view_id FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS view_id
-  FROM events WHERE event_type IN ('purchase', 'view')) WHERE event_type = 'purchase'"""
-
-
 def rollups(spark: SparkSession, sf: str) -> DataFrame:
     made = table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
     return made
@@ -426,11 +414,6 @@ def ranks(spark: SparkSession, sf: str) -> DataFrame:
 RANKS = """SELECT * FROM (SELECT o_custkey, o_orderkey, rank() OVER w AS place, round(o_totalprice - lead(o_totalprice) OVER w, 2) AS ahead, ntile(4) OVER w AS quarter FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE place <= 3"""
 
 
-def approximations(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"))
-
-
 QUERIES = {
     "queue_health": (queue_health, QUEUE_HEALTH),
     "queue_removals": (queue_removals, QUEUE_REMOVALS),
@@ -462,12 +445,10 @@ QUERIES = {
     "plane_statistics": (plane_statistics, PLANE_STATISTICS),
     "occurrence_numbers": (occurrence_numbers, OCCURRENCE_NUMBERS),
     "newest_by_key": (newest_by_key, NEWEST_BY_KEY),
-    "as_of_join": (as_of, AS_OF),
     "cube_counts": (rollups, ROLLUPS),
     "key_sets": (key_sets, KEY_SETS),
     "event_windows": (event_windows, EVENT_WINDOWS),
     "sessions": (sessions, SESSIONS),
     "join_shapes": (join_shapes, JOIN_SHAPES),
     "rank_windows": (ranks, RANKS),
-    "approximations": (approximations, None),
 }

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.text import let
-from ..functions.recognition import exportable_label, likelihood, quality_score, uses_spaces
+from ..functions.recognition import exportable_label, likelihood, uses_spaces, with_quality
 from ..operators import cues, evaluation, routing, telemetry
 from ..sources.subtitles import srt_text
 from ..streaming.stateful import baseline_batch, breaker_batch, rechunk_batch
@@ -78,8 +77,8 @@ def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of whole documents, and whether they would train a recogniser."""
     own = table(spark, sf, "documents")
     spaced = uses_spaces(F.col("lang"))
-    both = let(quality_score(F.col("text"), spaced), lambda q: F.struct(F.round(q, 3).alias("quality"), exportable_label(F.col("text"), spaced, q).alias("exportable")))
-    return own.select("doc_id", both.alias("s")).select("doc_id", "s.quality", "s.exportable")
+    scored = with_quality(own.select("doc_id", "text", "lang"), F.col("text"), spaced, "_q")
+    return scored.select("doc_id", F.round("_q", 3).alias("quality"), exportable_label(F.col("text"), spaced, F.col("_q")).alias("exportable"))
 
 
 def ngram_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,12 +101,6 @@ CER_PAIRS = r"""WITH p AS (SELECT p_partkey, p_name, p_type, upper(regexp_replac
 SELECT p_partkey, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(a, b) / length(a) END, 6) AS cer, round(levenshtein(p_name, p_type) / greatest(length(p_name), 1), 6) AS training_cer FROM p"""
 
 
-def wer_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Word error rates of part names against types."""
-    words = lambda c: T.word_tokens(F.col(c))
-    return table(spark, sf, "part").select("p_partkey", F.round(evaluation.error_rate(words("p_name"), words("p_type")), 6).alias("wer"), F.round(evaluation.line_similarity(words("p_name"), words("p_type")), 6).alias("similarity"))
-
-
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "documents").select(
         F.col("lang").alias("language"), (F.col("n_chars") % 100 / 100).alias("cer"), (F.col("doc_id") % 50 / 50).alias("wer"), (F.col("n_chars") % 7).cast("double").alias("infer_ms"), F.expr("doc_id % 5 = 0").alias("low"),
@@ -257,15 +250,6 @@ REPEAT_COLLAPSE = """WITH l AS (SELECT user_id, event_id, event_id % 3 AS s, lag
 SELECT user_id AS sequence_id, md5(coalesce(string_agg(s::VARCHAR, '' ORDER BY event_id) FILTER (s <> 0 AND (b IS NULL OR b <> s)), '')) AS digest, (count(*) FILTER (s <> 0 AND (b IS NULL OR b <> s)))::INT AS n FROM l GROUP BY user_id"""
 
 
-def label_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", T.fnv1a(F.col("p_name")).alias("hash"))
-
-
-def progress_reports(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("ord"), (F.col("event_id") / 100).alias("percent"))
-    return cues.progress(own)
-
-
 QUERIES = {
     "lang_normalise": (language_tags, LANGUAGE_TAGS),
     "routing_profile": (routing_profiles, ROUTING_PROFILES),
@@ -277,7 +261,6 @@ QUERIES = {
     "quality_score": (quality_scores, None),
     "ngram_score": (ngram_scores, ngram_sql()),
     "cer_pairs": (cer_pairs, CER_PAIRS),
-    "wer_pairs": (wer_pairs, None),
     "mode_language_summary": (mode_summary, MODE_SUMMARY),
     "worst_k": (worst_pairs, WORST_PAIRS),
     "cue_align": (aligned_cues, None),
@@ -293,6 +276,4 @@ QUERIES = {
     "throughput": (throughput, THROUGHPUT),
     "weighted_means": (weighted_means, WEIGHTED_MEANS),
     "repeat_collapse": (repeat_collapse, REPEAT_COLLAPSE),
-    "label_hash": (label_hashes, None),
-    "progress_reports": (progress_reports, None),
 }

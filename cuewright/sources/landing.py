@@ -10,7 +10,7 @@ import os
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -27,9 +27,17 @@ def variant(column: str | Column, path: str, kind: str) -> Column:
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of JSON files that hold an array (or one object a line), as VARIANT ``v``; bad records drop."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    return whole.filter("v is not null").select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("v"))
+    """(ord, v): a row a record of JSON files that hold an array or one record, as VARIANT ``v``; bad files drop.
+
+    ``ord`` is the record's place in its file, whatever way Spark splits the input.
+    """
+    return records(spark.read.text(path, wholetext=True), "value")
+
+
+def records(answers: DataFrame, body: str, *keep: str) -> DataFrame:
+    """The same of answers in a column, beside the columns to keep."""
+    parsed = answers.select(*keep, F.try_parse_json(body).alias("_v")).filter("_v is not null")
+    return parsed.select(*keep, F.posexplode(F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))).alias("ord", "v"))
 
 
 def _names(column: str, *paths: str) -> Column:
@@ -138,11 +146,11 @@ def only(items: DataFrame, ids: DataFrame, key: str = "item_id") -> DataFrame:
 
 
 def releases(raw: DataFrame, item: Column) -> DataFrame:
-    """Release candidates in list order (``ord``) as the structs that ``functions.releases`` works on."""
+    """Release candidates in list order (``ord``, from ``payloads``) as the structs that ``functions.releases`` works on."""
     arr = lambda p, kind="bigint": variant("v", p, f"array<{kind}>")
     named = F.transform(variant("v", "$.customFormats", "array<variant>"), lambda f: F.coalesce(F.try_variant_get(f, "$.name", "string"), F.try_variant_get(f, "$", "string")))
     return raw.select(
-        item.alias("item_id"), F.monotonically_increasing_id().alias("ord") if "ord" not in raw.columns else F.col("ord"),
+        item.alias("item_id"), F.col("ord").cast("long").alias("ord"),
         F.coalesce(variant("v", "$.title", "string"), variant("v", "$.releaseTitle", "string")).alias("title"),
         F.coalesce(variant("v", "$.protocol", "string"), variant("v", "$.protocol", "bigint").cast("string")).alias("protocol"),
         _names("v", "$.languages", "$.language").alias("languages"), _names("v", "$.subtitleLanguages", "$.subtitles", "$.subtitleLanguage").alias("subtitle_languages"),
@@ -173,9 +181,14 @@ STREAMS = (
 
 def streams(spark: SparkSession, path: str, kind: str = "all") -> DataFrame:
     """A row a stream of JSON probe dumps, of one kind if asked."""
+    return flat_streams(spark.read.schema(STREAMS).json(path), kind)
+
+
+def flat_streams(probes: DataFrame, kind: str = "all") -> DataFrame:
+    """The same of probe dumps that are read already."""
     from ..functions.media import rational
 
-    rows = spark.read.schema(STREAMS).json(path).select("file_id", "container", F.inline("streams"))
+    rows = probes.select("file_id", "container", F.inline("streams"))
     flat = rows.withColumn("fps", rational(F.col("fps.num"), F.col("fps.den"))).withColumn("attached_picture", F.col("disposition.attached_picture"))
     return flat if kind == "all" else flat.filter(F.col("kind") == kind)
 
@@ -251,9 +264,14 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def gpu_samples(spark: SparkSession, path: str) -> DataFrame:
     """GPU readings of a CSV; rows with fewer than seven fields drop."""
+    return gpu_readings(spark.read.text(path))
+
+
+def gpu_readings(lines: DataFrame) -> DataFrame:
+    """The same of lines (value) that are read already."""
     fields = F.transform(F.split("value", ","), strip)
     number = lambda k: fields[k].try_cast("double")
-    rows = spark.read.text(path).filter(F.size(fields) >= 7)
+    rows = lines.filter(F.size(fields) >= 7)
     return rows.select(number(1).cast("int").alias("gpu"), number(2).alias("util"), number(4).alias("memory"), number(5).alias("power"), number(6).alias("temperature")).filter("gpu is not null")
 
 
@@ -281,6 +299,21 @@ def dispatch(event: Column) -> Column:
 
 
 def current_history_id(explicit: Column, history_: DataFrame, items: DataFrame, depth: int = 10) -> DataFrame:
-    """(download_id, history_id): the explicit id, else the newest of the download's newest rows, else null."""
-    newest = history_.groupBy("download_id").agg(F.max_by("id", F.struct("date", "id")).alias("_newest"))
-    return items.join(newest, "download_id", "left").select("download_id", F.coalesce(explicit, F.col("_newest")).alias("history_id"))
+    """(download_id, history_id): the explicit id, else the newest of the download's newest ``depth`` rows that has one, else null."""
+    newest = Window.partitionBy("download_id").orderBy(F.col("date").desc_nulls_last(), F.col("id").desc())
+    recent = history_.withColumn("_place", F.row_number().over(newest)).filter(F.col("_place") <= depth)
+    chosen = recent.groupBy("download_id").agg(F.min_by("id", F.when(F.col("id").isNotNull(), F.col("_place"))).alias("_newest"))
+    return items.join(chosen, "download_id", "left").select("download_id", F.coalesce(explicit, F.col("_newest")).alias("history_id"))
+
+
+def checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, sha256) of the files of a folder, in lower-case hex; Spark lists no empty files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def matches_checksum(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, verdict) of expected files (name, sha256): ``ok``, ``mismatch`` or ``missing``; case and outer spaces of a sum aside."""
+    found = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("sha256").alias("_found"))
+    verdict = F.when(F.col("_found").isNull(), "missing").when(F.lower(strip(F.col("sha256"))) == F.col("_found"), "ok").otherwise("mismatch")
+    return expected.join(found, "name", "left").select("name", verdict.alias("verdict"))

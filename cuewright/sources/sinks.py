@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.recognition import exportable_label, uses_spaces
@@ -10,7 +10,7 @@ from ..functions.text import fnv1a
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
-    """The newest row of each key, sorted by key; write it to a new path and swap paths.
+    """The newest row of each key, sorted by key; ``write_table`` puts it in place.
 
     ``max_by`` combines rows before the shuffle, so a key that is written often is no burden.
     """
@@ -19,6 +19,43 @@ def upsert(table: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
     return every.groupBy(key).agg(F.max_by("_row", at).alias("_row")).select(key, *(F.col(f"_row.{c}").alias(c) for c in own)).orderBy(key)
 
 
+def _files(spark: SparkSession, folder: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The finished versions of a kept table, oldest first (Spark marks a finished write)."""
+    files, at = _files(spark, folder)
+    if not files.exists(at):
+        return []
+    names = [s.getPath() for s in files.listStatus(at)]
+    done = [p for p in names if p.getName().startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("v=")) for p in done)
+
+
+def read_table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The newest finished version; no rows if there is none."""
+    found = versions(spark, folder)
+    return spark.read.schema(schema).parquet(f"{folder}/v={found[-1]}") if found else spark.createDataFrame([], schema)
+
+
+def write_table(rows: DataFrame, folder: str, keep: int = 2) -> int:
+    """Writes a new version beside the old ones, which readers use until it is finished; its number.
+
+    The write that finishes second of two of one number fails, so no update is lost.  Versions before the
+    last ``keep`` are removed.
+    """
+    spark = rows.sparkSession
+    found = versions(spark, folder)
+    number = found[-1] + 1 if found else 1
+    rows.write.mode("errorifexists").parquet(f"{folder}/v={number}")
+    for old in [*found, number][:-keep]:
+        files, at = _files(spark, f"{folder}/v={old}")
+        files.delete(at, True)
+    return number
+
+
 def training_samples(lines: DataFrame, mode: str = "both") -> DataFrame:
     """Line or rectangle crops that may train a recogniser: file name by label hash, and the padded box.
 
@@ -35,6 +72,11 @@ def training_samples(lines: DataFrame, mode: str = "both") -> DataFrame:
     return joined.filter(wanted).withColumn("bbox", box).drop("_has_line")
 
 
+def sample_manifest(samples: DataFrame) -> DataFrame:
+    """(value): a line a sample for a recogniser's list of labels, name and text parted by a tab, each once."""
+    return samples.select(F.concat_ws("\t", "name", F.translate("text", "\t\r\n", "   ")).alias("value")).distinct()
+
+
 def report_markdown(summary: DataFrame) -> DataFrame:
     """(markdown): a table a mode from ``evaluation.summarise_modes`` rows (a few modes and languages)."""
     cell = lambda c: F.format_string("%.4f", F.col(c))
@@ -45,11 +87,17 @@ def report_markdown(summary: DataFrame) -> DataFrame:
 
 
 def split_labels(labels: DataFrame, *, seed: int, validation: Column, val_count: int, text: str = "text") -> DataFrame:
-    """Adds split: fixed validation lines, filled up to ``val_count`` by the smallest seeded hashes; else train."""
-    ranked = labels.withColumn("_h", F.xxhash64(F.lit(seed), F.col(text)))
-    fixed = ranked.filter(validation).withColumn("split", F.lit("val"))
-    rest = ranked.filter(~validation)
-    missing = max(0, val_count - fixed.count())
-    filled = rest.orderBy("_h", text).limit(missing).select(text).distinct().withColumn("split", F.lit("val"))
-    others = rest.join(F.broadcast(filled), text, "left").withColumn("split", F.coalesce("split", F.lit("train")))  # val_count rows at most
-    return fixed.select(*labels.columns, "split").unionByName(others.select(*labels.columns, "split"))
+    """Adds split: fixed validation lines (a null flag: not fixed), filled up to ``val_count`` rows by the
+    texts of smallest seeded hashes; else train.
+
+    All rows of a text that fills up are validation, so that no text is in both; the last one may take the
+    split over ``val_count``.  Texts are counted before they are ordered.
+    """
+    fixed_flag = F.coalesce(validation, F.lit(False))
+    ranked = labels.withColumn("_h", F.xxhash64(F.lit(seed), F.col(text))).withColumn("_fixed", fixed_flag)
+    missing = max(0, val_count - ranked.filter("_fixed").count())
+    smallest = ranked.filter("not _fixed").groupBy("_h", text).agg(F.count("*").alias("_n")).orderBy("_h", text).limit(missing)  # val_count rows at most
+    before = F.sum("_n").over(Window.orderBy("_h", text).rowsBetween(Window.unboundedPreceding, -1))
+    filled = smallest.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < missing).select(F.col(text).alias("_text"), F.lit("val").alias("_val"))
+    joined = ranked.join(filled, F.col(text).eqNullSafe(F.col("_text")), "left")
+    return joined.select(*labels.columns, F.when(F.col("_fixed"), "val").otherwise(F.coalesce("_val", F.lit("train"))).alias("split"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ass_escape, strip, word_tokens
+from ..functions.text import WS, ass_escape, strip
 from ..operators.cues import ass_time, time_text
 
 
@@ -14,35 +14,52 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+#: A time line, wherever it stands in a line, and what ends a line.
+TIMES = r"([0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3})\s+-->\s+([0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3})"
+LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 def milliseconds(stamp: Column) -> Column:
-    """``HH:MM:SS,mmm`` (or with a full stop) in milliseconds; null if it is none."""
-    form = r"([0-9]+):([0-9]{2}):([0-9]{2})[,.]([0-9]{1,3})"
-    part = lambda k: F.regexp_extract(stamp, form, k).try_cast("long")
-    fraction = F.rpad(F.regexp_extract(stamp, form, 4), 3, "0").try_cast("long")
-    return ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + fraction
+    """``HH:MM:SS,mmm`` in milliseconds; null if it is none."""
+    part = lambda k, n: F.substring(stamp, k, n).try_cast("long")
+    return ((part(1, 2) * 60 + part(4, 2)) * 60 + part(7, 2)) * 1000 + part(10, 3)
+
+
+def _lines(text: Column) -> Column:
+    """The lines, trimmed, without a byte order mark."""
+    return F.transform(F.split(F.regexp_replace(text, "^\ufeff", ""), LINE_END), strip)
+
+
+def _is_number(line: Column) -> Column:
+    return line.rlike(r"^\p{Nd}+$")
 
 
 def srt_cues(files: DataFrame, *, file: str = "file", text: str = "text") -> DataFrame:
     """(file, ord, start_ms, end_ms, text) of SRT texts.
 
-    Cues are cut from each file within its row: parts between blank lines; lines of digits alone go, the
-    line with the arrow gives the times, the rest is joined by spaces.  So a caption of digits alone is
-    lost.  Parts without text drop.
+    A cue is a run of text lines; blank lines and time lines end it, lines of digits alone are skipped.
+    It has the times of the last time line before it, but none if another cue came between them.  So
+    cues that no blank line parts stay apart, and text after a blank line within a cue has no times.
     """
-    blocks = F.split(F.regexp_replace(F.regexp_replace(F.col(text), "\r", ""), "^﻿", ""), r"\n[ \t]*(?:\n[ \t]*)+")
-    rows = files.select(file, F.posexplode(blocks).alias("_at", "_block"))
-    lines = F.filter(F.transform(F.split("_block", "\n"), strip), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
-    arrow = F.try_element_at(F.filter(lines, lambda x: F.contains(x, F.lit("-->"))), F.lit(1))
-    body = F.array_join(F.filter(lines, lambda x: ~F.contains(x, F.lit("-->"))), " ")
-    made = rows.select(file, "_at", milliseconds(F.split_part(arrow, F.lit("-->"), F.lit(1))).alias("start_ms"), milliseconds(F.split_part(arrow, F.lit("-->"), F.lit(2))).alias("end_ms"), body.alias("text")).filter("text <> ''")
-    place = F.row_number().over(Window.partitionBy(file).orderBy("_at")) - 1
-    return made.select(file, place.alias("ord"), "start_ms", "end_ms", "text")
+    rows = files.select(file, F.posexplode(_lines(F.col(text))).alias("_at", "_line"))
+    so_far = Window.partitionBy(file).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    timed = F.col("_line").rlike(TIMES)
+    kind = F.when(F.col("_line") == "", "blank").when(_is_number(F.col("_line")), "number").when(timed, "time").otherwise("text")
+    marked = rows.withColumn("_kind", kind).withColumn("_run", F.count_if(F.col("_kind").isin("blank", "time")).over(so_far)).withColumn("_times", F.last(F.when(F.col("_kind") == "time", F.struct("_at", "_line")), ignorenulls=True).over(so_far))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]), " ")
+    cues = marked.filter("_kind = 'text'").groupBy(file, "_run").agg(F.min("_at").alias("_at"), F.first("_times").alias("_times"), body.alias("text"))
+    in_order = Window.partitionBy(file).orderBy("_at")
+    first = F.lag("_times._at").over(in_order).eqNullSafe(F.col("_times._at"))
+    stamp = lambda k: F.when(~first | (F.row_number().over(in_order) == 1), milliseconds(F.regexp_extract(F.col("_times._line"), TIMES, k)))
+    return cues.select(file, (F.row_number().over(in_order) - 1).alias("ord"), stamp(1).alias("start_ms"), stamp(2).alias("end_ms"), "text")
 
 
 def srt_tokens(files: DataFrame, *, file: str = "file", text: str = "text") -> DataFrame:
-    """(file, tokens, cues): all word tokens and the number of cues."""
-    cues = srt_cues(files, file=file, text=text)
-    return cues.groupBy(file).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", word_tokens(F.col("text")).alias("t")))), lambda s: s["t"])).alias("tokens"), F.count("*").alias("cues"))
+    """(file, tokens, cues): the white-space tokens of all text lines as written, and the number of time lines."""
+    rows = files.select(file, _lines(F.col(text)).alias("_lines"))
+    words = F.filter(F.col("_lines"), lambda x: (x != "") & ~_is_number(x) & ~x.rlike(TIMES))
+    tokens = F.filter(F.split(F.array_join(words, " "), f"{WS}+"), lambda t: t != "")
+    return rows.select(file, tokens.alias("tokens"), F.size(F.filter("_lines", lambda x: x.rlike(TIMES))).cast("long").alias("cues"))
 
 
 def _joined(rows: DataFrame, track: str, line: Column) -> DataFrame:

@@ -138,19 +138,34 @@ def progress(reports: DataFrame, step_percent: float = 5.0, key: str = "job_id")
 def cooldowns(searches: DataFrame, days: int, key: str = "key") -> DataFrame:
     """Whether each search may run: not while the key's last search without result is younger than ``days``.
 
-    Searches carry ``at`` (seconds) and ``found``.
+    Searches carry ``at`` (seconds) and ``found``.  A key's state goes once it was not written for ``days``
+    by the clock; by then no search of the time can be within its cooldown.  The watermark is that of the
+    clock, not of ``at``, so that a late search is never dropped.
     """
-
-    def step(rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        last, out = held[0] if held else None, []
+    window = days * 86400
+
+    def run(keys: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = _ordered(frames)
+        last, out = held.get[0] if held.exists else None, []
         for at, found in zip(rows["at"].tolist(), rows["found"].tolist(), strict=True):
-            allowed = last is None or not 0 <= at - last < days * 86400
+            allowed = last is None or not 0 <= at - last < window
             out.append(allowed)
             if allowed:
                 last = None if found else at
-        return rows.assign(allowed=out)[[key, "ord", "at", "allowed"]], (last,)
-
-    return _stateful(searches, key, step, f"{key} {searches.schema[key].dataType.simpleString()}, ord bigint, at bigint, allowed boolean", "last bigint")
+        if last is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((last,))
+            held.setTimeoutTimestamp(held.getCurrentProcessingTimeMs() + window * 1000)
+        yield rows.assign(allowed=out)[[key, "ord", "at", "allowed"]]
+
+    output = f"{key} {searches.schema[key].dataType.simpleString()}, ord bigint, at bigint, allowed boolean"
+    clocked = searches.withColumn("_read", F.current_timestamp()).withWatermark("_read", "0 seconds")
+    return clocked.groupBy(key).applyInPandasWithState(run, output, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, *, time: str = "ts", late: str = "10 minutes", width: str = "1 day", by: str = "event_type") -> DataFrame:

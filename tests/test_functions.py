@@ -167,10 +167,19 @@ def test_repair(spark):
     got = values(spark, ["whereareyou going,my friend", None, ""], "string", lambda c: repair.postprocess(shared, c, F.lit("en")))
     assert got == ["where are you going, my friend", None, ""]
     assert values(spark, ["whereareyou"], "string", lambda c: repair.postprocess(shared, c, F.lit("fra"))) == ["whereareyou"]
-    assert values(spark, ["l0ve th1s", "21st", "vvhat", "hIs lIfe", "you | me"], "string", repair.unconfused) == ["love thls", "21st", "what", "his life", "you I me"]
+    assert values(spark, ["l0ve th1s", "l2th", "vvhat", "hIs lIfe", "you | me"], "string", repair.unconfused_text) == ["love thls", "12th", "what", "his life", "you I me"]
     assert values(spark, ["Every thing is any more", "the me at"], "string", repair.unfragmented) == ["Everything is anymore", "the meat"]
 
 
+def test_runs_of_words_are_cut_anew():
+    split = {"wearegoinghome": "we are going home", "theSat": "the Sat"}.get
+    cut = lambda text: repair.rejoined(text, lambda w: split(w, w))
+    assert cut("weare goinghome") == "weare goinghome"  # nothing is suspect
+    assert cut("(wearegoinghom e), then\nmore") == "(we are going home), then more"
+    assert cut("th eSat") == "th eSat"  # too short together
+    assert cut("12 - ok") == "12 - ok" and cut("") == ""
+
+
 def test_hardware(spark):
     backend = lambda want, resized, ok: spark.range(1).select(hardware.resize_backend(F.lit(want), F.lit(resized), {"decode": F.lit(ok)}).alias("b")).first().b
     assert (backend("auto", True, True).backend, backend("auto", True, False).backend, backend("cuda", True, False).backend, backend("cuda", False, False).backend) == ("cuda", "software", None, "software")

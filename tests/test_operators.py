@@ -106,10 +106,32 @@ def test_align_tolerance_and_competition(spark):
 def test_rates_of_a_track(spark):
     pairs = spark.createDataFrame([("t", 0, 0, "one two", "one two"), ("t", 1, None, "three", None), ("t", None, 1, None, "four")], "track_id string, ref_ord bigint, hyp_ord bigint, ref_text string, hyp_text string")
     r = evaluation.roll_up(pairs).first()
-    assert (r.reference_words, r.hypothesis_words, r.word_edits, round(r.wer, 6), r.accepted) == (3, 3, 2, round(2 / 3, 6), False)
+    assert (r.reference_words, r.hypothesis_words, r.word_edits, round(r.wer, 6), r.accepted) == (3, 3, 1, round(1 / 3, 6), False)
     assert [round(x.similarity, 3) for x in evaluation.worst(evaluation.with_pair_similarity(pairs), 2).collect()] == [0.0, 0.0]
 
 
+def test_edits_of_any_length():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 90))) for _ in range(2))
+        assert evaluation.edits(a, b) == plain(a, b)
+    assert evaluation.edits("ab" * 20_000, "ba" * 20_000) == 2
+
+
+def test_text_that_moves_between_cues_costs_nothing(spark):
+    pairs = spark.createDataFrame([("t", 0, 0, "one two", "one"), ("t", 1, 1, "three", "two three")], "track_id string, ref_ord bigint, hyp_ord bigint, ref_text string, hyp_text string")
+    r = evaluation.roll_up(pairs).first()
+    assert (r.word_edits, r.char_edits, r.accepted) == (0, 0, True)
+
+
 def test_boxes_and_ink(spark):
     boxes = spark.createDataFrame([(1, 0, 0, 10, 10, "ab", 0.5), (1, 20, 1, 30, 11, "cd", 1.0), (1, 31, 0, 40, 10, "e", None), (1, 0, 30, 10, 40, "z", 1.0)], "cue_id int, left int, top int, right int, bottom int, text string, score double")
     assert [(r.text, r.score, r.right) for r in cues.merge_boxes(boxes).orderBy("line").collect()] == [("ab cde", 0.75, 40), ("z", 1.0, 10)]
@@ -157,6 +179,10 @@ def test_upsert_and_split(spark):
     made = sinks.split_labels(labels, seed=5, validation=F.col("text") == "line 3", val_count=6)
     assert made.filter("split = 'val'").count() == 6 and made.count() == 30
     assert made.filter("text = 'line 3'").first().split == "val"
+    repeated = labels.unionByName(labels).withColumn("flag", F.lit(None).cast("boolean"))
+    both = sinks.split_labels(repeated, seed=5, validation=F.col("flag"), val_count=7)
+    assert both.count() == 60 and both.filter("split = 'val'").count() == 8  # whole texts
+    assert both.groupBy("text").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
 
 
 def test_report(spark):

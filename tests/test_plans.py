@@ -5,13 +5,13 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from cuewright.plans import media, text
+from cuewright.plans import flows, landed, media, rules, text
 
 from .oracle import connect, differences
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
-OWN = media.QUERIES | text.QUERIES
+OWN = media.QUERIES | text.QUERIES | landed.QUERIES | rules.QUERIES | flows.QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -81,7 +81,7 @@ def test_small_sources(spark, tmp_path):
         landing.download_plan(paths, "tv", given=["x"])
 
 
-SRT = "1\n00:00:01,000 --> 00:00:02,500\nHello\nthere\n\n2\n00:00:03,000 --> 00:00:04,000\n1984\n\n3\n00:00:05.5 --> 00:00:06,000\nLast\n"
+SRT = "1\n00:00:01,000 --> 00:00:02,500\nHello\nthere\n\n2\n00:00:03,000 --> 00:00:04,000\n1984\n\n3\n00:00:05,500 --> 00:00:06,000\nLast\n"
 
 
 def test_srt_round_trip(spark):
@@ -90,11 +90,40 @@ def test_srt_round_trip(spark):
     assert [tuple(r)[1:] for r in cues.orderBy("ord").collect()] == [(0, 1000, 2500, "Hello there"), (1, 5500, 6000, "Last")]
     again = subtitles.srt_text(cues.withColumnRenamed("file", "track_id")).select(F.col("track_id").alias("file"), "text")
     assert sorted(map(tuple, subtitles.srt_cues(again).collect())) == sorted(map(tuple, cues.collect()))
-    assert subtitles.srt_tokens(files).first().tokens == ["hello", "there", "last"]
+    assert subtitles.srt_tokens(files).first().tokens == ["Hello", "there", "Last"]
     ass = subtitles.ass_text(cues.withColumnRenamed("file", "track_id")).first().text
     assert "PlayResX: 1920" in ass and "Dialogue: 0,0:00:01.00,0:00:02.50,Default,,0,0,0,,Hello there\n" in ass
 
 
+def test_srt_without_blank_lines_and_with_inner_ones(spark):
+    texts = {
+        "glued": "1\n00:00:01,000 --> 00:00:02,000\none\n2\n00:00:03,000 --> 00:00:04,000\ntwo",
+        "inner": "1\n00:00:01,000 --> 00:00:02,000\none\n\nmore\n\n7",
+        "late": "00:00:01,000 --> 00:00:02,000\n\none\ntwo",
+        "none": "just text\n00:00:05.000 --> 00:00:06.000",
+        "empty": "",
+    }
+    got = {}
+    for r in subtitles.srt_cues(spark.createDataFrame(list(texts.items()), "file string, text string")).orderBy("file", "ord").collect():
+        got.setdefault(r.file, []).append((r.ord, r.start_ms, r.end_ms, r.text))
+    assert got == {
+        "glued": [(0, 1000, 2000, "one"), (1, 3000, 4000, "two")],
+        "inner": [(0, 1000, 2000, "one"), (1, None, None, "more")],
+        "late": [(0, 1000, 2000, "one two")],
+        "none": [(0, None, None, "just text 00:00:05.000 --> 00:00:06.000")],
+    }
+    counts = {r.file: (len(r.tokens), r.cues) for r in subtitles.srt_tokens(spark.createDataFrame(list(texts.items()), "file string, text string")).collect()}
+    assert counts == {"glued": (2, 2), "inner": (2, 1), "late": (2, 1), "none": (5, 0), "empty": (0, 0)}
+
+
+def test_checksums(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    (tmp_path / "b.bin").write_bytes(b"x")
+    sums = landing.checksums(spark, str(tmp_path), "*.bin")
+    expected = spark.createDataFrame([("a.bin", " BA7816BF8F01CFEA414140DE5DAE2223B00361A396177A9CB410FF61F20015AD"), ("b.bin", "00"), ("c.bin", "00")], "name string, sha256 string")
+    assert {r.name: r.verdict for r in landing.matches_checksum(sums, expected).collect()} == {"a.bin": "ok", "b.bin": "mismatch", "c.bin": "missing"}
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.toml").write_text("a = 1\n[language_profiles]\nFR = ' Korean '\n")
     assert config.load(str(tmp_path / "c.toml"), variable="X", default="none")["a"] == 1
