@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .text_arrays import EXACT, SLICE_BYTES, Piece, mix, pieces, row_slices, spread
 
 MARK = "▁"
-SHORT, ROUND = 48, 1 << 16
+SHORT, ROUND = 48, 1 << 18
 NONE = np.int64(1 << 40)
 
 
@@ -119,20 +119,19 @@ def merge_short(model: PieceModel, symbols: np.ndarray, part: np.ndarray, key: n
     begin = spread(np.zeros(len(key), np.int64), counts)
     end = begin + 1
 
-    def candidates(at: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs (at, at + 1) that may merge, else NONE."""
-        to = model.merge_of(symbols[at], symbols[at + 1])
-        ok = np.flatnonzero(to >= 0)
+    def propose(at: np.ndarray) -> None:
+        """The pairs (at, at + 1): their rank if they may merge, else NONE, and what they make."""
+        made = model.merge_of(symbols[at], symbols[at + 1])
+        ok = np.flatnonzero(made >= 0)
         if dropout > 0 and len(ok):
             a = at[ok]
             ok = ok[~_skipped(key[part[a]], begin[a], end[a], end[a + 1], dropout)]
-        out = np.full(len(at), NONE, np.int64)
-        out[ok] = model.rank[to[ok]]
-        return out
+        rank[at] = NONE
+        rank[at[ok]] = model.rank[made[ok]]
+        to[at[ok]] = made[ok]
 
-    rank = np.full(len(symbols), NONE, np.int64)
-    inner = np.flatnonzero(part[1:] == part[:-1]) if len(part) else np.zeros(0, np.int64)
-    rank[inner] = candidates(inner)
+    rank, to = np.full(len(symbols), NONE, np.int64), np.zeros(len(symbols), np.int64)
+    propose(np.flatnonzero(part[1:] == part[:-1]) if len(part) else np.zeros(0, np.int64))
     done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(symbols):
         firsts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -145,20 +144,16 @@ def merge_short(model: PieceModel, symbols: np.ndarray, part: np.ndarray, key: n
         if not going.any():
             break
         at = firsts[going] + best[going] % 64
-        symbols[at] = model.merge_of(symbols[at], symbols[at + 1])
+        symbols[at] = to[at]
         end[at] = end[at + 1]
         keep = ~stays
         keep[at + 1] = False
         moved = np.cumsum(keep) - 1
         new = moved[at]
-        symbols, part, begin, end, rank = symbols[keep], part[keep], begin[keep], end[keep], rank[keep]
+        symbols, part, begin, end, rank, to = symbols[keep], part[keep], begin[keep], end[keep], rank[keep], to[keep]
         rank[new] = NONE
-        right = new[new + 1 < len(symbols)]
-        right = right[part[right] == part[right + 1]]
-        left = new[new > 0] - 1
-        left = left[part[left] == part[left + 1]]
-        rank[left] = candidates(left)
-        rank[right] = candidates(right)
+        beside = np.concatenate([new[new > 0] - 1, new[new + 1 < len(symbols)]])
+        propose(beside[part[beside] == part[beside + 1]])
     parts = np.concatenate([p for p, _ in done]) if done else np.zeros(0, np.int64)
     out = np.concatenate([s for _, s in done]) if done else np.zeros(0, np.int64)
     order = np.argsort(parts, kind="stable")

@@ -206,3 +206,28 @@ def test_quality_rules_are_what_their_text_says(spark):
     for r in rows:
         total = model.intercept + sum(w for w, rule in model.weighted if all(above < r[n] <= upto for n, above, upto in rule.bounds))
         assert abs(got[r.doc_id] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_license_recall_of_changed_notices(spark):
+    """Notices with words dropped, changed and inserted: found wherever a stretch of the text holds enough of them."""
+    import random
+
+    rng = random.Random(11)
+    shingles = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    rows, wanted = [], []
+    for name, text in license_scan.NOTICES.items():
+        words_ = brute.item_words(text)
+        k = min(5, len(words_))
+        for _ in range(12):
+            own = list(words_)
+            for _ in range(max(1, len(own) // 60) * rng.randint(0, 2)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = [f"x{rng.randrange(99)}"] * rng.randint(0, 2)
+            before, after = ([f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 300))] for _ in range(2))
+            share = len(shingles(own, k) & shingles(words_, k)) / len(shingles(words_, k))
+            if share >= 0.8:
+                wanted.append((len(rows), name))
+            rows.append((len(rows), " ".join([*before, *own, *after])))
+    found = {(r.doc_id, m.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() for m in r.matches}
+    assert len(wanted) > 200
+    assert sum(x in found for x in wanted) >= 0.995 * len(wanted)
