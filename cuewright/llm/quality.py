@@ -6,7 +6,7 @@ regression gives most rules weight zero; the others compile into one Spark colum
 scores every whole text on the JVM.
 
 Learning reads at most ``train_rows`` labelled documents, those of smallest id hash: that bounds the
-model's cost, and their ids are all that is broadcast.  Labels are the only other input; id,
+model's cost, and their ids are all that is broadcast; of rows that repeat an id one is learnt from.  Labels are the only other input; id,
 language and source never enter a score.
 
 Defined results: null and empty texts have all statistics zero and are scored like any other; null
@@ -110,8 +110,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     names = list(named)
     sample = labelled_sample(labels, id_col, label_col, train_rows)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # at most train_rows ids
-    # the scan keeps its tasks; at most train_rows rows of numbers move, dealt alike in every run
-    rows = checkpoint(own.select("_id", *(c.alias(n) for n, c in named.items()), "_label").repartition(4, "_id").sortWithinPartitions("_id", *names))
+    # the scan keeps its tasks; one row of numbers an id moves (of texts that repeat an id the least), dealt alike in every run
+    numbers = own.select("_id", "_label", F.struct(*(c.alias(n) for n, c in named.items())).alias("_s")).groupBy("_id", "_label").agg(F.min("_s").alias("_s"))
+    rows = checkpoint(numbers.select("_id", "_s.*", "_label").repartition(4, "_id").sortWithinPartitions("_id"))
     share = rows.agg(F.count("*").alias("n"), F.sum("_label").alias("ones")).first()
     if not share.n or share.ones in (0, share.n):
         odds = ((share.ones or 0) + 0.5) / (share.n + 1) if share.n else 0.5
