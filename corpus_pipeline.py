@@ -13,9 +13,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learnt language, which fills a null ``lang``; those judged ``und`` (no text, no letter) go.
+    """Documents of a learnt language, which fills a null ``lang``; those judged ``und`` go.
 
-    Where no row is labelled there is nothing to judge by, and all texts with a letter stay.
+    ``und`` are null and empty texts and those without a letter.  Ids may be null or repeat: each row is
+    judged by its text alone.  Where no row is labelled there is nothing to judge by, and all texts with a
+    letter stay.
     """
     parser = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     if not parser.langs:
@@ -25,28 +27,43 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines cut from the texts; n_chars follows."""
+    """Lines of 20 characters or more that three documents hold, cut from all but the largest id; n_chars follows.
+
+    All rows stay; a text may become empty.  Null texts and rows of a null id stay as they are; rows that
+    repeat an id count as one document.
+    """
     return line_dedup.dedup_lines(docs, counts=False).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that of the smallest id.
+
+    Texts without words are one group.  Of rows that repeat the id that stays, the one of the smallest text
+    is kept; rows of a null id only where their whole group has none.
+    """
     return simhash.keep_one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark contamination."""
+    """Documents without benchmark contamination: those of which fewer than one word in twenty is hit.
+
+    Null and wordless texts stay; rows that repeat an id are each judged; without items all stay.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document left, with merge-dropout."""
+    """Token ids of every document left, with merge-dropout: doc_id, ids, n_pieces and lossless.
+
+    Null and empty texts have no ids; rows that repeat an id and text get the same ids.
+    """
     return merge_dropout.encode(docs, merge_dropout.PieceModel(TOKENIZER))
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("pieces", pieces)]
 
-#: The language model of stage 1 and the keyed segmentation of stage 5 have no SQL form; tests compare stages with brute force.
+#: The language model of stage 1 and the keyed segmentation of stage 5 have no SQL form; ``tests/llm/test_pipeline.py``
+#: holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import strip
 
@@ -144,37 +144,61 @@ def zip_by_order(reference: DataFrame, hypothesis: DataFrame, *, track: str = "t
     return side(reference, "ref_text").join(side(hypothesis, "hyp_text"), [track, "place"])
 
 
+def _lines_of(boxes: list[dict]) -> list[dict]:
+    """Lines of one cue's boxes, which come by (top, left); text, score and box of each."""
+    found: list[list[dict]] = []
+    for box in boxes:
+        centre = (box["top"] + box["bottom"]) / 2
+        for line in found:
+            mean = sum((b["top"] + b["bottom"]) / 2 for b in line) / len(line)
+            height = sum(b["bottom"] - b["top"] for b in line) / len(line)
+            if abs(centre - mean) <= max(0.6 * height, 4):
+                line.append(box)
+                break
+        else:
+            found.append([box])
+    out = []
+    for line in found:
+        line.sort(key=lambda b: b["left"])
+        gap = max(0.25 * sum(b["bottom"] - b["top"] for b in line) / len(line), 2)
+        text = line[0]["text"] + "".join((" " if b["left"] - a["right"] > gap else "") + b["text"] for a, b in zip(line, line[1:], strict=False))
+        scores = [b["score"] for b in line if b["score"] is not None and b["score"] == b["score"]]
+        out.append({"text": text, "score": sum(scores) / len(scores) if scores else None, "left": min(b["left"] for b in line), "top": min(b["top"] for b in line), "right": max(b["right"] for b in line), "bottom": max(b["bottom"] for b in line)})
+    return sorted(out, key=lambda x: (x["top"], x["left"]))
+
+
 def merge_boxes(boxes: DataFrame, *, cue: str = "cue_id") -> DataFrame:
     """Lines of recognised boxes (left, top, right, bottom, text, score): cue, line, text, score and box.
 
     Boxes by (top, left) join the first line whose mean centre is near; within a line, by left, a gap
-    over a quarter of the mean height is a space.  A cue is one image, so its boxes are one group.
+    over a quarter of the mean height is a space.  A task reads boxes in order and holds those of one
+    cue, which is one image.
     """
+    names = ["left", "top", "right", "bottom", "text", "score"]
+    made = [cue, "line", "text", "score", "left", "top", "right", "bottom"]
 
-    def lines(group: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[dict]] = []
-        for box in group.sort_values(["top", "left"], kind="stable").to_dict("records"):
-            centre = (box["top"] + box["bottom"]) / 2
-            for line in found:
-                mean = sum((b["top"] + b["bottom"]) / 2 for b in line) / len(line)
-                height = sum(b["bottom"] - b["top"] for b in line) / len(line)
-                if abs(centre - mean) <= max(0.6 * height, 4):
-                    line.append(box)
-                    break
-            else:
-                found.append([box])
-        out = []
-        for line in found:
-            line.sort(key=lambda b: b["left"])
-            gap = max(0.25 * sum(b["bottom"] - b["top"] for b in line) / len(line), 2)
-            text = line[0]["text"] + "".join((" " if b["left"] - a["right"] > gap else "") + b["text"] for a, b in zip(line, line[1:], strict=False))
-            scores = [b["score"] for b in line if b["score"] == b["score"] and b["score"] is not None]
-            out.append({cue: line[0][cue], "text": text, "score": sum(scores) / len(scores) if scores else None, "left": min(b["left"] for b in line), "top": min(b["top"] for b in line), "right": max(b["right"] for b in line), "bottom": max(b["bottom"] for b in line)})
-        out.sort(key=lambda x: (x["top"], x["left"]))
-        return pd.DataFrame([x | {"line": k} for k, x in enumerate(out)])[[cue, "line", "text", "score", "left", "top", "right", "bottom"]]
-
-    kind = boxes.schema[cue].dataType.simpleString()
-    return boxes.groupBy(cue).applyInPandas(lines, f"{cue} {kind}, line int, text string, score double, left int, top int, right int, bottom int")
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def closed() -> list[dict]:
+            return [{cue: now, "line": k} | line for k, line in enumerate(_lines_of(held))]
+
+        for batch in batches:
+            rows = []
+            for own, box in zip(batch.column(0).to_pylist(), batch.select(names).to_pylist(), strict=True):
+                if held and own != now:
+                    rows += closed()
+                    held = []
+                now = own
+                held.append(box)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+        yield pa.RecordBatch.from_pylist(closed(), schema)
+
+    read = boxes.select(cue, *(F.col(c).cast("int") for c in names[:4]), F.col("text"), F.col("score").cast("double"))
+    kind = read.schema[cue].dataType
+    schema = pa.schema([pa.field(cue, to_arrow_type(kind)), pa.field("line", pa.int32()), pa.field("text", pa.string()), pa.field("score", pa.float64()), *(pa.field(c, pa.int32()) for c in names[:4])])
+    sorted_ = read.repartition(cue).sortWithinPartitions(cue, "top", "left")
+    return sorted_.mapInArrow(lines, f"{cue} {kind.simpleString()}, line int, text string, score double, left int, top int, right int, bottom int").select(*made)
 
 
 #: A line is read word by word if it has so many crops, and so many of them must be read.

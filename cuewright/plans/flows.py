@@ -20,14 +20,14 @@ WORDS = ["alpha", "beta", "gamma", "delta", "it's", "Ok"]
 
 
 def _captions(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as the captions of 40 files: n-th caption of a file, with its words and how it is set apart."""
+    """Events as the captions of users' files: n-th caption of a file, with its words."""
     place = Window.partitionBy("file").orderBy("event_id")
-    e = table(spark, sf, "events").filter("event_id <= 4000").select((F.col("event_id") % 40).alias("file"), "event_id")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("file"), "event_id")
     word = lambda n: F.element_at(F.array(*map(F.lit, WORDS)), (n % 6 + 1).cast("int"))
     return e.withColumn("n", F.row_number().over(place)).withColumn("a", word(F.col("event_id"))).withColumn("b", word(F.floor(F.col("event_id") / 7)))
 
 
-_CAPTIONS_SQL = f"""c AS (SELECT event_id % 40 AS file, event_id, row_number() OVER (PARTITION BY event_id % 40 ORDER BY event_id) AS n, {WORDS!r}[(event_id % 6 + 1)::INT] AS a, {WORDS!r}[(event_id // 7 % 6 + 1)::INT] AS b FROM events WHERE event_id <= 4000)""".replace('"it\'s"', "'it''s'")
+_CAPTIONS_SQL = f"""c AS (SELECT user_id AS file, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, {WORDS!r}[(event_id % 6 + 1)::INT] AS a, {WORDS!r}[(event_id // 7 % 6 + 1)::INT] AS b FROM events)""".replace('"it\'s"', "'it''s'")
 
 
 def _srt(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,11 +108,11 @@ SELECT p_partkey, format('{:016x}', list_reduce(list_prepend(1469598103934665603
 
 
 def progress_reports(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "events").filter("event_id <= 20000").select(F.expr("user_id % 20").alias("job_id"), F.col("event_id").alias("ord"), (F.col("event_id") / 100).alias("percent"))
+    own = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("ord"), (F.col("event_id") / 100).alias("percent"))
     return cues.progress(own)
 
 
-PROGRESS_REPORTS = """WITH RECURSIVE e AS (SELECT user_id % 20 AS job_id, event_id AS ord, event_id / 100 AS percent FROM events WHERE event_id <= 20000),
+PROGRESS_REPORTS = """WITH RECURSIVE e AS (SELECT user_id AS job_id, event_id AS ord, event_id / 100 AS percent FROM events),
 r(job_id, ord, percent) AS (SELECT DISTINCT job_id, -1::BIGINT, 0.0::DOUBLE FROM e UNION ALL
   SELECT job_id, min(ord), min(percent) FROM (SELECT r.job_id, e.ord, e.percent FROM r JOIN e ON e.job_id = r.job_id AND e.ord > r.ord AND (e.percent >= r.percent + 5 OR e.percent >= 100 AND r.percent < 100)) GROUP BY job_id)
 SELECT job_id, ord, percent FROM r WHERE ord >= 0"""
@@ -147,11 +147,11 @@ def range_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Events within ranges of other events' numbers, of the same user."""
     e = table(spark, sf, "events")
     points = e.select("user_id", F.col("event_id").alias("at"))
-    ranges = e.filter("event_id % 10 = 0").select("user_id", F.col("event_id").alias("begin"), (F.col("event_id") + F.col("event_id") % 1000).alias("end"))
+    ranges = e.select("user_id", F.col("event_id").alias("begin"), (F.col("event_id") + F.col("event_id") % 1000).alias("end"))
     return joins.range_join(points, ranges, by=["user_id"], at="at", begin="begin", end="end", width=500.0).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-RANGE_COUNTS = "SELECT a.user_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id % 10 = 0 AND a.event_id >= b.event_id AND a.event_id < b.event_id + b.event_id % 1000 GROUP BY a.user_id"
+RANGE_COUNTS = "SELECT a.user_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id >= b.event_id AND a.event_id < b.event_id + b.event_id % 1000 GROUP BY a.user_id"
 
 
 def rollup_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,17 +240,17 @@ SELECT stream_id, unnest(range(0, total // 1024)) AS frame, 1024::BIGINT AS n FR
 
 
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
-    reports = lambda e: e.filter("event_id <= 20000").select(F.expr("user_id % 20").alias("job_id"), F.col("event_id").alias("ord"), (F.col("event_id") / 100).alias("percent"))
+    reports = lambda e: e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("ord"), (F.col("event_id") / 100).alias("percent"))
     return streamed(spark, sf, lambda e: stateful.progress(reports(e)))
 
 
 def stream_cooldowns(spark: SparkSession, sf: str) -> DataFrame:
     """Searches of keys a day apart by number, none of which finds anything: one in three days may run."""
-    searches = lambda e: e.filter("event_id <= 3000").select(F.concat(F.lit("k"), (F.col("event_id") % 30).cast("string")).alias("key"), F.col("event_id").alias("ord"), (F.floor(F.col("event_id") / 30) * 86400).alias("at"), F.lit(False).alias("found"))
+    searches = lambda e: e.select(F.concat(F.lit("k"), (F.col("event_id") % 30).cast("string")).alias("key"), F.col("event_id").alias("ord"), (F.floor(F.col("event_id") / 30) * 86400).alias("at"), F.lit(False).alias("found"))
     return streamed(spark, sf, lambda e: stateful.cooldowns(searches(e), 3)).select("key", "ord", "allowed")
 
 
-STREAM_COOLDOWNS = """WITH RECURSIVE e AS (SELECT 'k' || (event_id % 30) AS key, event_id AS ord, event_id // 30 AS day FROM events WHERE event_id <= 3000),
+STREAM_COOLDOWNS = """WITH RECURSIVE e AS (SELECT 'k' || (event_id % 30) AS key, event_id AS ord, event_id // 30 AS day FROM events),
 r(key, day) AS (SELECT key, min(day) FROM e GROUP BY key UNION ALL SELECT key, min(day) FROM (SELECT r.key, e.day FROM r JOIN e ON e.key = r.key AND e.day >= r.day + 3) GROUP BY key)
 SELECT e.key, ord, r.day IS NOT NULL AS allowed FROM e LEFT JOIN r ON r.key = e.key AND r.day = e.day"""
 
@@ -265,6 +265,17 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 STREAM_WINDOWS = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) - 1 FROM events) GROUP BY ALL"
 
 
+def stream_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as packets of the streams that suppliers stand for, counted by kind; those of other streams drop."""
+    contexts = table(spark, sf, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("stream_id"), F.expr("case s_suppkey % 2 when 0 then 'video' else 'audio' end").alias("kind"))
+    packets = lambda e: e.select((F.col("user_id") % 50).alias("stream_id"), F.col("event_id").alias("ord"))
+    out = streamed(spark, sf, lambda e: stateful.routed(packets(e), contexts))
+    return out.groupBy("stream_id", "kind").agg(F.count("*").alias("n"), F.max("ord").alias("last"))
+
+
+STREAM_ROUTES = "SELECT s_suppkey AS stream_id, CASE s_suppkey % 2 WHEN 0 THEN 'video' ELSE 'audio' END AS kind, count(*) AS n, max(event_id) AS last FROM events JOIN supplier ON s_suppkey = user_id % 50 WHERE s_suppkey % 3 <> 0 GROUP BY s_suppkey"
+
+
 QUERIES = {
     "srt_cues": (srt_cues, SRT_CUES),
     "srt_tokens": (srt_tokens, SRT_TOKENS),
@@ -287,4 +298,5 @@ QUERIES = {
     "stream_progress": (stream_progress, PROGRESS_REPORTS),
     "stream_cooldowns": (stream_cooldowns, STREAM_COOLDOWNS),
     "stream_windows": (stream_windows, STREAM_WINDOWS),
+    "stream_routes": (stream_routes, STREAM_ROUTES),
 }

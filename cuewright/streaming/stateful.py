@@ -30,6 +30,15 @@ def _stateful(frame: DataFrame, key: str, step: Callable[[pd.DataFrame, tuple |
     return frame.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def routed(packets: DataFrame, contexts: DataFrame, *, stream: str = "stream_id") -> DataFrame:
+    """Packets with what is known of their stream (kind and more); packets of other streams drop.
+
+    ``contexts`` is a table of the streams that are taken, so this is a join of a stream with a table: no
+    state, and each packet is routed as it comes.
+    """
+    return packets.join(contexts, stream, "inner")
+
+
 def monotonic(packets: DataFrame, key: str = "stream_id") -> DataFrame:
     """Strictly increasing dts of each stream; pts never below a moved dts. Late packets are moved, not dropped."""
 
