@@ -309,7 +309,11 @@ def count_bigrams(training: DataFrame, table: DataFrame, vocabulary: Vocabulary,
         kept = n >= min_count
         return pa.table({"v": v[kept], "w": w[kept], "n": n[kept]})
 
-    return stored(training.mapInArrow(run, "g int, kind int, size long, data binary").groupBy("g").applyInArrow(total, "v long, w long, n long"), "bigrams")
+    made = stored(training.mapInArrow(run, "g int, kind int, size long, data binary").groupBy("g").applyInArrow(total, "v long, w long, n long"), "bigrams")
+    for sent in (shared, often):  # the written table needs them no more
+        if sent is not None:
+            sent.destroy()
+    return made
 
 
 def _tail_words(table: DataFrame, vocabulary: Vocabulary, min_count: int) -> DataFrame:
@@ -361,7 +365,9 @@ def tail_values(bigrams: DataFrame, table: DataFrame, vocabulary: Vocabulary, mi
             yield pa.RecordBatch.from_arrays([pa.array(pair_keys(v, w).view(np.int64)), pa.array(value)], ["h", "value"])
 
     rows = pairs.select("v", "w", "n", "c", "left", "cw").unionByName(alone)
-    return stored(rows.mapInArrow(valued, "h long, value double"), "values")
+    made = stored(rows.mapInArrow(valued, "h long, value double"), "values")
+    shared.destroy()
+    return made
 
 
 def build_tries(bigrams: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, int, int]:
@@ -387,7 +393,9 @@ def build_tries(bigrams: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame,
         return pa.table({"shard": group.column("shard").slice(0, 1), "trie": pa.array([trie.to_bytes()], pa.binary())})
 
     sharded = bigrams.select("v", "w", "n", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"))
-    return stored(sharded.groupBy("shard").applyInArrow(build, "shard int, trie binary"), "tries"), least, every - entries
+    made = stored(sharded.groupBy("shard").applyInArrow(build, "shard int, trie binary"), "tries")
+    shared.destroy()
+    return made, least, every - entries
 
 
 def _score_piece(piece: Piece, own: Vocabulary, index: HashIndex, unigram: np.ndarray, tries: list[NgramTrie], first: bool) -> tuple[np.ndarray, ...]:
