@@ -103,6 +103,27 @@ def test_align_tolerance_and_competition(spark):
     assert {r.ref_ord: r.hyp_ord for r in both} == {0: 0, 1: None}
 
 
+def test_align_is_greedy_by_reference_cue(spark):
+    rng = random.Random(9)
+    track = lambda n: [(a := rng.randrange(6000), a + rng.choice([0, 200, 900])) for _ in range(n)]
+    sides = {t: (track(rng.randint(0, 14)), track(rng.randint(0, 14))) for t in range(25)}
+    frame = lambda side: spark.createDataFrame([(t, k, a, b, "x") for t, own in sides.items() for k, (a, b) in enumerate(own[side])], "track_id int, ord bigint, start_ms bigint, end_ms bigint, text string")
+    want = set()
+    for t, (ref, hyp) in sides.items():
+        used = set()
+        for i, (a, b) in enumerate(ref):
+            best = None
+            for j, (c, d) in enumerate(hyp):
+                overlap, delta = max(0, min(b, d) - max(a, c)), abs(a - c)
+                if j not in used and (overlap > 0 or delta <= 350) and (best is None or (overlap, -delta) > best[0]):
+                    best = (overlap, -delta), j
+            want.add((t, i, best[1] if best else None))
+            used |= {best[1]} if best else set()
+        want |= {(t, None, j) for j in range(len(hyp)) if j not in used}
+    for bin_ms in (500, 10_000):
+        assert {(r.track_id, r.ref_ord, r.hyp_ord) for r in cues.align(frame(0), frame(1), bin_ms=bin_ms).collect()} == want
+
+
 def test_rates_of_a_track(spark):
     pairs = spark.createDataFrame([("t", 0, 0, "one two", "one two"), ("t", 1, None, "three", None), ("t", None, 1, None, "four")], "track_id string, ref_ord bigint, hyp_ord bigint, ref_text string, hyp_text string")
     r = evaluation.roll_up(pairs).first()
