@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, inner_product, language_id, license_scan, line_dedup, lm_score, merge_dropout, quality, simhash, url_filter
+from . import decontaminate, digest_index, inner_product, language_id, license_scan, line_dedup, lm_score, merge_dropout, quality, simhash, url_filter
 from .shared import remainder
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -79,9 +79,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = digest_index.DigestIndex(spark).insert(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_lm_score, op3_url_filter, op4_merge_dropout, op5_quality, op6_decontaminate, op7_line_dedup, op8_language_id, op9_inner_product, op10_simhash)
+    for f in (op1_license_scan, op2_lm_score, op3_url_filter, op4_merge_dropout, op5_quality, op6_decontaminate, op7_line_dedup, op8_language_id, op9_inner_product, op10_simhash, op13_exact_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,5 +125,9 @@ OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5"""
 
+OP13 = r"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
+
 #: The other operators learn models, hash with a function that DuckDB lacks, or retrieve by probability.
-ORACLES = {"op3_url_filter": OP3, "op6_decontaminate": OP6, "op7_line_dedup": OP7, "op9_inner_product": OP9}
+ORACLES = {"op3_url_filter": OP3, "op6_decontaminate": OP6, "op7_line_dedup": OP7, "op9_inner_product": OP9, "op13_exact_dedup": OP13}

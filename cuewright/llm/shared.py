@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def claim(spark: SparkSession, path: str, text: str | None = None) -> str | None:
+    """The text of a small file; where there is none, it is made with ``text``, if given, and null is returned.
+
+    Making fails if another writer was first, in one step of the file system; then theirs is returned.
+    """
+    files, at = _file_system(spark, path)
+    if text is not None and not files.exists(at):
+        try:
+            out = files.create(at, False)
+        except Py4JJavaError:
+            if not files.exists(at):
+                raise
+        else:
+            out.write(bytearray(text.encode()))
+            out.close()
+            return None
+    return spark.read.text(path, wholetext=True).first()[0] if files.exists(at) else None
+
+
 def release(spark: SparkSession) -> int:
     """Removes all tables that ``stored`` wrote in this process, once no result that reads them is needed; how many."""
     n = len(_WRITTEN)
