@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, digest_index, inner_product, language_id, license_scan, line_dedup, lm_score, merge_dropout, quality, simhash, url_filter
+from . import decontaminate, digest_index, inner_product, language_id, license_scan, line_dedup, lm_score, merge_dropout, quality, resample, simhash, url_filter
 from .shared import remainder
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -79,6 +79,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest_index.DigestIndex(spark).insert(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -86,7 +91,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_lm_score, op3_url_filter, op4_merge_dropout, op5_quality, op6_decontaminate, op7_line_dedup, op8_language_id, op9_inner_product, op10_simhash, op13_exact_dedup)
+    for f in (op1_license_scan, op2_lm_score, op3_url_filter, op4_merge_dropout, op5_quality, op6_decontaminate, op7_line_dedup, op8_language_id, op9_inner_product, op10_simhash, op11_importance_resampling, op13_exact_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,9 +130,26 @@ OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5"""
 
+#: DuckDB has no crc32: its table comes from the polynomial, eight steps an entry, and words are stepped through byte by byte.
+OP11 = rf"""WITH RECURSIVE steps(k, step, c) AS (SELECT k, 0, k FROM range(256) r(k) UNION ALL SELECT k, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE step < 8),
+tab AS (SELECT list(c ORDER BY k) AS crc FROM steps WHERE step = 8),
+dw AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+df AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM dw) GROUP BY doc_id, word),
+bf AS (SELECT unnest(regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+code AS (SELECT word, xor(list_reduce([('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT for i in range(length(hex(word)) // 2)], lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM df UNION SELECT word FROM bf), tab),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM df JOIN code USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM bf JOIN code USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM df JOIN code USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM dw LEFT JOIN m USING (doc_id)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM y WHERE n_features >= 20) // 100 THEN place END AS rank FROM r"""
+
 OP13 = r"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
 
 #: The other operators learn models, hash with a function that DuckDB lacks, or retrieve by probability.
-ORACLES = {"op3_url_filter": OP3, "op6_decontaminate": OP6, "op7_line_dedup": OP7, "op9_inner_product": OP9, "op13_exact_dedup": OP13}
+ORACLES = {"op3_url_filter": OP3, "op6_decontaminate": OP6, "op7_line_dedup": OP7, "op9_inner_product": OP9, "op11_importance_resampling": OP11, "op13_exact_dedup": OP13}
