@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, digest_index, inner_product, language_id, license_scan, line_dedup, lm_score, merge_dropout, quality, resample, simhash, url_filter
+from . import block_max, decontaminate, digest_index, inner_product, language_id, license_scan, line_dedup, lm_score, merge_dropout, quality, resample, simhash, url_filter
 from .shared import remainder
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -84,6 +84,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumnRenamed("id", "doc_id")
 
 
+def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.search(block_max.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest_index.DigestIndex(spark).insert(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -91,7 +95,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_lm_score, op3_url_filter, op4_merge_dropout, op5_quality, op6_decontaminate, op7_line_dedup, op8_language_id, op9_inner_product, op10_simhash, op11_importance_resampling, op13_exact_dedup)
+    for f in (op1_license_scan, op2_lm_score, op3_url_filter, op4_merge_dropout, op5_quality, op6_decontaminate, op7_line_dedup, op8_language_id, op9_inner_product, op10_simhash, op11_importance_resampling, op12_block_max_wand, op13_exact_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -147,9 +151,20 @@ y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT
 r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM y)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM y WHERE n_features >= 20) // 100 THEN place END AS rank FROM r"""
 
+OP12 = rf"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_lower("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM n, c),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_lower("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
 OP13 = r"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
 
 #: The other operators learn models, hash with a function that DuckDB lacks, or retrieve by probability.
-ORACLES = {"op3_url_filter": OP3, "op6_decontaminate": OP6, "op7_line_dedup": OP7, "op9_inner_product": OP9, "op11_importance_resampling": OP11, "op13_exact_dedup": OP13}
+ORACLES = {"op3_url_filter": OP3, "op6_decontaminate": OP6, "op7_line_dedup": OP7, "op9_inner_product": OP9, "op11_importance_resampling": OP11, "op12_block_max_wand": OP12, "op13_exact_dedup": OP13}
