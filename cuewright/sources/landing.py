@@ -85,14 +85,14 @@ def active_ids(raw: DataFrame) -> DataFrame:
     return item_ids(raw).select(F.explode("item_ids").alias("item_id")).distinct()
 
 
-def history(raw: DataFrame, kind: str, min_day: int | None = None, wanted: str = "downloadFolderImported") -> DataFrame:
+def history(raw: DataFrame, kind: str, min_day: int | None = None, wanted: str = "downloadFolderImported", keep: tuple[str, ...] = ()) -> DataFrame:
     """Import history; rows older than ``min_day`` go, rows without a date stay.
 
-    Stored as Parquet by day, the filter prunes row groups, which takes the place of stopping early.
+    Stored as Parquet by day, the filter prunes row groups; ``paged`` reads pages and stops early.
     """
     item = _first_id("v", "$.episodeId", "$.episode.id") if kind == "tv" else _first_id("v", "$.movieId", "$.movie.id")
     rows = raw.select(
-        variant("v", "$.id", "bigint").alias("id"), F.lit(kind).alias("kind"), item.alias("item_id"),
+        *keep, variant("v", "$.id", "bigint").alias("id"), F.lit(kind).alias("kind"), item.alias("item_id"),
         variant("v", "$.eventType", "string").alias("event_type"), variant("v", "$.date", "string").alias("date"), variant("v", "$.downloadId", "string").alias("download_id"),
     ).withColumn("day", day_number(F.col("date")))
     rows = rows.filter(F.col("event_type") == wanted)
