@@ -1,8 +1,10 @@
 """Plain-Python versions of the contracts, a text at a time."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -86,3 +88,53 @@ def simhash_components(prints):
     for f in fps:
         least[root(f)] = min(least[root(f)], *by[f], 1 << 62)
     return {doc: least[root(fp)] for doc, fp in prints.items()}
+
+
+def importance(docs, target, buckets=10_000, percent=10, min_words=20, seed=2024, max_run=1):
+    """[(doc, n_features, weight, score, rank)] in the order of docs."""
+
+    def features(text):
+        w = item_words(text)
+        return [zlib.crc32(" ".join(w[k : k + n]).encode()) % buckets for n in range(1, max_run + 1) for k in range(len(w) - n + 1)]
+
+    own = [features(t) for _, t in docs]
+    s, t = Counter(b for f in own for b in f), Counter(b for x in target for b in features(x))
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (big_s + buckets) / ((s[b] + 1) * (big_t + buckets)))) for b in s}
+    out = []
+    for (doc, _), f in zip(docs, own, strict=True):
+        h = int(hashlib.sha256(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        out.append([doc, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    able = [r for r, (_, text) in zip(out, docs, strict=True) if len(item_words(text)) >= min_words]
+    able.sort(key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for k, r in enumerate(able[: percent * len(able) // 100]):
+        r[4] = k + 1
+    return [tuple(r) for r in out]
+
+
+def ranked(docs, items, k=10):
+    """{item: [(doc, score)]} of the k best documents, every document scored."""
+    own = [(d, Counter(item_words(t))) for d, t in docs if d is not None and item_words(t)]
+    n_docs, n_terms = len(own), sum(c.total() for _, c in own)
+    df = Counter(w for _, c in own for w in c)
+    out = {}
+    for item, text in items:
+        scored = []
+        for doc, c in own:
+            m = 10 + 90 * c.total() * n_docs // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (10**9 * c[w] // (1000 * c[w] + 8 * m)) for w in set(item_words(text)) if c[w])
+            if score > 0:
+                scored.append((-score, doc))
+        out[item] = [(doc, -score) for score, doc in sorted(scored)[:k]]
+    return out
+
+
+def exact_groups(docs):
+    """[(doc, keep, size, kept, sha256)] in the order of docs."""
+    text = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    ids, size = defaultdict(list), Counter(text(t) for _, t in docs)
+    for doc, t in docs:
+        ids[text(t)] += [doc] * (doc is not None)
+    keep = {t: min(x, default=None) for t, x in ids.items()}
+    return [(doc, keep[text(t)], size[text(t)], doc == keep[text(t)], hashlib.sha256(text(t).encode()).hexdigest()) for doc, t in docs]
