@@ -6,7 +6,8 @@ the block needs, and beside them, uncompressed, the block's first and last numbe
 impact.  ``search`` moves over these heads alone: at every number the maxima of the blocks that
 cover it, times their terms' weights, bound the score there.  Ranges are taken by falling bounds; only
 blocks that reach into a range whose bound is not under the k-th best score so far are decompressed,
-and a task's k-th best score is carried from shard to shard.
+and a task's k-th best score is carried from shard to shard.  A block of a rare term says little over the
+many numbers it spans, so the few postings of such blocks are read at once and bound exactly.
 
 The impact of a term that a document of n terms holds tf times is, in whole numbers,
 
@@ -15,7 +16,7 @@ The impact of a term that a document of n terms holds tf times is, in whole numb
 (N: documents with a term, L: all their terms), its weight floor(1000 * ln((2 * N + 2) / (2 * df + 1))).
 
 At size: the texts are read twice (N and L first) and moved never; the index is written once, about
-half as large as the texts; a task gives at most k rows an item and holds one shard.  Items are a
+two thirds as large as the texts; a task gives at most k rows an item and holds one shard.  Items are a
 stated query set: they go to the tasks in blocks of at most ``block_terms`` words, each a pass over
 the shards' terms and one over the index.
 
@@ -50,8 +51,10 @@ SHARD_BYTES = 16 << 20
 BLOCK = 128
 #: Words of the items that are sent to the tasks at once.
 BLOCK_TERMS = 500_000
+#: A block that spans more than so many numbers a posting is read at once.
+SPARSE = 16
 #: Documents whose range of bounds is looked at first; each further step takes twice as many.
-FIRST_STEP = 256
+FIRST_STEP = 16
 
 
 def _bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -149,14 +152,20 @@ class Shard:
         """The k best of ``best`` and this shard's documents, as (score, id), for terms of the shard."""
         n_blocks = self.blocks[terms + 1] - self.blocks[terms]
         which, weight = spread(self.blocks[terms], n_blocks), np.repeat(weights, n_blocks)
+        scores = np.zeros(len(self.m), np.int64)
+        sparse = self.last[which] - self.first[which] >= SPARSE * self.size[which]
+        exact, impact = self.postings(which[sparse])
+        impact *= np.repeat(weight[sparse], self.size[which[sparse]])
+        np.add.at(scores, exact, impact)
+        which, weight = which[~sparse], weight[~sparse]
         first, after, bound = self.first[which], self.last[which] + 1, self.top[which] * weight
-        edges, at = np.unique(np.concatenate([first, after]), return_inverse=True)
+        edges, at = np.unique(np.concatenate([first, exact, after, exact + 1]), return_inverse=True)
         change = np.zeros(len(edges), np.int64)
-        np.add.at(change, at, np.concatenate([bound, -bound]))
+        np.add.at(change, at, np.concatenate([bound, impact, -bound, -impact]))
         reach = np.cumsum(change)[:-1]  # the most a document of edges[i] .. edges[i + 1] - 1 can score
         order = np.argsort(-reach, kind="stable")
         docs_up_to = np.cumsum(np.diff(edges)[order])
-        scores, read = np.zeros(len(self.m), np.int64), np.zeros(len(which), bool)
+        read = np.zeros(len(which), bool)
         done, step = 0, FIRST_STEP
         while done < len(order):
             least = best[0][-1] if len(best[0]) == k else 1
