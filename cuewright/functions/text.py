@@ -179,6 +179,25 @@ def strip_font_overrides(ass: Column) -> Column:
     return F.regexp_replace(sizes, r"(?i)\\fn[^\\{}]*", "")
 
 
+def strip_styles(text: Column) -> Column:
+    """Without font tags, font overrides and the override blocks that they leave empty."""
+    return F.replace(strip_font_overrides(strip_font_tags(text)), F.lit("{}"), F.lit(""))
+
+
+def plain_text_packet(packet: Column) -> Column:
+    """A text packet (two bytes of length, text, style boxes) without styles: its text stripped, its boxes gone.
+
+    Packets that are too short for their length, or whose text would be too long for it, stay as they are.
+    Bytes that are no UTF-8 count as U+FFFD.
+    """
+    said = F.conv(F.hex(F.substring(packet, 1, 2)), 16, 10).cast("int")
+    raw = F.substring(packet, F.lit(3), said)
+    text = strip_styles(F.make_valid_utf8(raw.cast("string"))).cast("binary")
+    whole = (F.octet_length(packet) >= 2) & (said + 2 <= F.octet_length(packet)) & (F.octet_length(text) <= 65535)
+    size = F.unhex(F.lpad(F.hex(F.octet_length(text)), 4, "0"))
+    return F.when(whole & ((said + 2 < F.octet_length(packet)) | (text != raw)), F.concat(size, text)).otherwise(packet)
+
+
 def ass_text(line: Column) -> Column:
     r"""The text of a dialogue line: after its last comma, without ``{...}``, ``\N`` as line feeds."""
     text = F.regexp_replace(line, r"(?s)^.*,", "")

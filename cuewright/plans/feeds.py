@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import landing, paged
+from ..sources.images import write_images
+from ..sources.replace import Journal
 from ..streaming import demux
 from .flows import _folder
 from .stand_ins import table
@@ -102,7 +104,32 @@ UNION ALL SELECT file_id, 2, 'subtitle', CASE WHEN failed THEN 'skip' ELSE 'writ
 UNION ALL SELECT file_id, NULL, 'file', 'end', coalesce(taken, 0), NULL, NULL, n - coalesce(taken, 0) FROM (SELECT file_id, count(*) AS n FROM p GROUP BY file_id) LEFT JOIN e USING (file_id)"""
 
 
+def replace_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers' files put in place of others, in place or beside, stopped at two steps and recovered twice."""
+    k, root = F.col("s_suppkey"), f"{_folder(spark)}/replace-{uuid.uuid4().hex}"
+    at = lambda kind: F.concat(F.lit(f"{root}/files/"), k.cast("string"), F.lit(f".{kind}"))
+    s = table(spark, sf, "supplier")
+    old = s.filter("s_suppkey % 7 <> 0").select(F.concat(k.cast("string"), F.lit(".in")).alias("name"), F.concat(F.lit("old "), "s_name").cast("binary").alias("content"))
+    new = s.filter("s_suppkey % 6 <> 1").select(F.concat(k.cast("string"), F.lit(".temp")).alias("name"), F.concat(F.lit("new "), "s_name").cast("binary").alias("content"))
+    write_images(old.unionByName(new), f"{root}/files")
+    journal = Journal(spark, f"{root}/journal")
+    journal.plan(s.select(k.alias("plan_id"), at("in").alias("input"), at("temp").alias("temp"), F.when(k % 2 == 0, at("in")).otherwise(at("out")).alias("final"), at("backup").alias("backup")))
+    journal.move()
+    journal.promote(F.col("plan_id") % 6 != 2)  # these never came so far
+    journal.finish(F.col("plan_id") % 6 != 3)
+    journal.recover()
+    Journal(spark, f"{root}/journal").recover()
+    found = spark.read.format("binaryFile").load(f"{root}/files").select(F.regexp_extract("path", r"/([0-9]+)\.[a-z]+$", 1).cast("long").alias("plan_id"), F.struct(F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("kind"), F.col("content").cast("string").alias("text")).alias("f"))
+    left = found.groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: F.concat(f["kind"], F.lit(": "), f["text"])), ", ").alias("files"))
+    return journal.states().join(left, "plan_id", "left").select(F.col("plan_id").alias("s_suppkey"), "state", "files")
+
+
+REPLACE_PLANS = """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 1 THEN 'refused' WHEN 2 THEN 'rolled back' ELSE 'done' END AS state,
+  CASE WHEN s_suppkey % 6 NOT IN (1, 2) THEN CASE WHEN s_suppkey % 2 = 0 THEN 'in' ELSE 'out' END || ': new ' || s_name WHEN s_suppkey % 7 <> 0 THEN 'in: old ' || s_name END AS files FROM supplier"""
+
+
 QUERIES = {
     "paged_history": (paged_history, PAGED_HISTORY),
     "stream_demux": (stream_demux, STREAM_DEMUX),
+    "replace_plans": (replace_plans, REPLACE_PLANS),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +45,27 @@ def read_table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def write_table(rows: DataFrame, folder: str, keep: int = 2) -> int:
     """Writes a new version beside the old ones, which readers use until it is finished; its number.
 
-    The write that finishes second of two of one number fails, so no update is lost.  Versions before the
-    last ``keep`` are removed.
+    The rows are written to a folder of their own, which then becomes the version by a rename.  Of two
+    writers of one number the rename of the second does not put its folder there, which the writer sees by
+    its own mark: it fails with ``FileExistsError``, and its rows are in no version.  Versions before the last
+    ``keep`` are removed.
     """
     spark = rows.sparkSession
     found = versions(spark, folder)
-    number = found[-1] + 1 if found else 1
-    rows.write.mode("errorifexists").parquet(f"{folder}/v={number}")
+    number, token = found[-1] + 1 if found else 1, uuid.uuid4().hex
+    own, mark = f"{folder}/_new-{token}", f"_by-{token}"
+    rows.write.parquet(own)
+    files, at = _files(spark, f"{folder}/v={number}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files.create(path(own, mark), False).close()
+    if not files.exists(at):
+        files.rename(path(own), at)
+    if not files.exists(path(at, mark)):  # another writer was first; a rename into its folder is taken back
+        for left in (path(own), path(at, f"_new-{token}")):
+            files.delete(left, True)
+        raise FileExistsError(f"version {number} of {folder} was written meanwhile: read the table again and repeat the update")
     for old in [*found, number][:-keep]:
-        files, at = _files(spark, f"{folder}/v={old}")
-        files.delete(at, True)
+        files.delete(path(f"{folder}/v={old}"), True)
     return number
 
 
