@@ -8,8 +8,9 @@ not from a list in the code.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from typing import NamedTuple
 
 import pandas as pd
@@ -28,6 +29,7 @@ class Lexicon(NamedTuple):
     words: frozenset[str]
     pairs: frozenset[str]
     triples: frozenset[str]
+    costs: Mapping[str, int] = {}
 
     def likelihood(self, token: str) -> float:
         lower = token.lower()
@@ -53,7 +55,14 @@ def learn(corpus: DataFrame, text: str = "text", *, min_count: int = 3) -> Lexic
         each = word.select("n", F.explode(F.transform(spans, lambda i: F.substring(F.col("w"), i, F.lit(size)))).alias("g"))
         return each.filter(~F.contains("g", F.lit("'"))).groupBy("g").agg(F.sum("n").alias("n"))
 
-    return Lexicon(frozenset(top(word, MAX_WORDS)), frozenset(top(groups(2), MAX_PAIRS)), frozenset(top(groups(3), MAX_TRIPLES)))
+    known = top(word, MAX_WORDS)
+    return Lexicon(frozenset(known), frozenset(top(groups(2), MAX_PAIRS)), frozenset(top(groups(3), MAX_TRIPLES)), word_costs(known))
+
+
+def word_costs(ranked: list[str]) -> dict[str, int]:
+    """What a word costs in a cut, in millionths, by its rank among words that follow Zipf's law."""
+    spread = math.log(max(len(ranked), 3))
+    return {w: math.floor(1_000_000 * math.log((k + 1) * spread)) for k, w in enumerate(ranked)}
 
 
 #: Digits read for letters, and marks read for letters, in order.
@@ -166,6 +175,64 @@ def split_known(word: str, lexicon: Lexicon) -> list[str] | None:
     return _pieces(word, best) if best[n] is not None and best[n][1] <= -2 else None
 
 
+#: Words of one or two letters that a cut may hold, and words that a capital may begin.
+SHORT_WORDS = frozenset("a i am an as at be by do go he if in is it me my no of on or so to up us we".split())
+FIRST_WORDS = frozenset("but the why who what when where how let if it is you book".split())
+
+
+def cheapest_cut(lower: str, costs: Mapping[str, int]) -> list[str] | None:
+    """The cut into known words of the least cost together, the last word the shorter one of equals; None if there is none."""
+    longest = max(map(len, costs), default=0)
+    best: list[tuple[int, int] | None] = [(0, 0), *[None] * len(lower)]  # cost, length of the last word
+    for end in range(1, len(lower) + 1):
+        found = ((best[end - k][0] + costs[lower[end - k : end]], k) for k in range(1, min(end, longest) + 1) if best[end - k] is not None and lower[end - k : end] in costs)
+        best[end] = min(found, default=None)
+    out, end = [], len(lower)
+    while end and best[end] is not None:
+        out.append(lower[end - best[end][1] : end])
+        end -= best[end][1]
+    return None if end else out[::-1]
+
+
+def split_probable(word: str, lexicon: Lexicon) -> list[str] | None:
+    """The cheapest cut of a glued word of eight letters or more; None if what it gives is unlike words.
+
+    So is a piece of one or two letters that is no common word, an ``a`` after a long first word, a short
+    unknown first word with a capital before three others, and six pieces or more of hardly three letters.
+    """
+    if len(word) < 8 or not word.isascii():
+        return None
+    small = cheapest_cut(word.lower(), lexicon.costs)
+    if small is None or len(small) < 2 or any(len(p) <= 2 and p not in SHORT_WORDS for p in small):
+        return None
+    first = small[0]
+    if small[1] == "a" and len(first) >= 4 and first not in FIRST_WORDS:
+        return None
+    if "A" <= word[0] <= "Z" and len(first) <= 3 and first not in SHORT_WORDS | FIRST_WORDS and len(small) > 3:
+        return None
+    if len(small) >= 6 and len(word) / len(small) < 3.2 or any(len(p) >= 3 and lexicon.likelihood(p) < -2.2 for p in small):
+        return None
+    out, at = [], 0
+    for p in small:
+        out.append(word[at : at + len(p)])
+        at += len(p)
+    return out
+
+
+def split_after_title(word: str, lexicon: Lexicon) -> list[str] | None:
+    """A capitalised word of twelve letters or more cut after five to ten of them, if the rest is three words or more."""
+    if len(word) < 12 or not word.isascii() or not "A" <= word[0] <= "Z":
+        return None
+    for k in range(5, min(len(word), 10) + 1):
+        head, rest = word[:k], word[k:]
+        if len(rest) < 8 or not "a" <= rest[0] <= "z":
+            continue
+        cut = split_known(rest, lexicon) or split_probable(rest, lexicon)
+        if cut and len(cut) >= 3 and lexicon.likelihood(head) >= -1.2:
+            return [head, *cut]
+    return None
+
+
 def split_likely(word: str, lexicon: Lexicon) -> list[str] | None:
     """A cut by letter-group likelihood where no dictionary cut is found; None unless it clearly gains."""
     lower, n = word.lower(), len(word)
@@ -199,8 +266,16 @@ def _pieces(word: str, best: list) -> list[str]:
     return out[::-1]
 
 
-def split_word(word: str, lexicon: Lexicon) -> str:
-    """A glued word cut by case, dictionary, contraction or likelihood, in this order; else itself."""
+#: Fixed value: letters of a piece that may be glued still.
+RESIDUAL = 12
+
+
+def split_word(word: str, lexicon: Lexicon, probable: bool = False) -> str:
+    """A glued word cut by case, dictionary, contraction or likelihood, in this order; else itself.
+
+    With ``probable`` the cheapest cut by word costs replaces a dictionary cut with a long piece, and comes
+    before contractions where there is no dictionary cut.
+    """
     if len(word) < 4:
         return word
     for k in range(2, len(word) - 1):
@@ -209,12 +284,16 @@ def split_word(word: str, lexicon: Lexicon) -> str:
             if head.lower() in lexicon.words or split_known(head, lexicon) or lexicon.likelihood(head) > -1.5:
                 return " ".join([*(split_known(head, lexicon) or [head]), *(split_known(tail, lexicon) or [tail])])
     if cut := split_known(word, lexicon):
+        if probable and any(sum(c.isalpha() for c in p) >= RESIDUAL for p in cut):
+            cut = split_probable(word, lexicon) or cut
+        return " ".join(cut)
+    if probable and (cut := split_probable(word, lexicon) or split_after_title(word, lexicon)):
         return " ".join(cut)
     head, mark, tail = word.partition("'")
     for suffix in ("s", "re", "ve", "ll", "d", "m", "t"):
         if head and mark and tail.lower().startswith(suffix) and len(tail) - len(suffix) >= 2 and tail.isalpha():
             rest = tail[len(suffix) :]
-            return " ".join([head + mark + tail[: len(suffix)], *(split_likely(rest, lexicon) or [rest])])
+            return " ".join([head + mark + tail[: len(suffix)], *(probable and split_probable(rest, lexicon) or split_likely(rest, lexicon) or [rest])])
     return " ".join(split_likely(word, lexicon) or [word])
 
 
@@ -256,8 +335,8 @@ def rejoined(text: str, split: Callable[[str], str]) -> str:
     return " ".join(out)
 
 
-def postprocess(lexicon_broadcast, text: Column, language: Column) -> Column:
-    """English text repaired in a fixed order; other languages are normalised alone.
+def postprocess(lexicon_broadcast, text: Column, language: Column, probable: bool = False) -> Column:
+    """English text repaired in a fixed order; other languages are normalised alone. ``probable`` is as in ``split_word``.
 
     Word by word in Arrow UDFs, equal words once a batch; spacing and fragments as native expressions.
     """
@@ -268,7 +347,7 @@ def postprocess(lexicon_broadcast, text: Column, language: Column) -> Column:
 
         def change(name: str, word: str) -> str:
             if (name, word) not in known:
-                known[name, word] = {"confused": unconfused, "wrong": lambda w: corrected(w, lexicon), "glued": lambda w: split_word(w, lexicon)}[name](word)
+                known[name, word] = {"confused": unconfused, "wrong": lambda w: corrected(w, lexicon), "glued": lambda w: split_word(w, lexicon, probable)}[name](word)
             return known[name, word]
 
         by_word = lambda form, name, t: form.sub(lambda m: change(name, m[0]), t)
@@ -290,3 +369,14 @@ def postprocess(lexicon_broadcast, text: Column, language: Column) -> Column:
 def unconfused_text(texts: pd.Series) -> pd.Series:
     """``unconfused`` for each token of a text."""
     return pd.Series([None if t is None else _TOKEN.sub(lambda m: unconfused(m[0]), t) for t in texts])
+
+
+def cut_words(lexicon_broadcast, words: Column) -> Column:
+    """``split_probable`` of each word, its pieces joined by spaces; null where there is no cut."""
+
+    @F.pandas_udf(StringType())
+    def cut(own: pd.Series) -> pd.Series:
+        lexicon = lexicon_broadcast.value
+        return pd.Series([None if w is None or (p := split_probable(w, lexicon)) is None else " ".join(p) for w in own], dtype=object)
+
+    return cut(words)

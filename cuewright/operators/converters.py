@@ -74,6 +74,8 @@ class ConvertImages:
     """
 
     NEEDED = ("image_id", "part", "converter", "language", "content")
+    #: ``register`` fills in those of the session, as tasks know only what is sent to them.
+    known = CONVERTERS
 
     def __init__(self) -> None:
         self.made: dict[str, Converter] = {}
@@ -97,10 +99,10 @@ class ConvertImages:
         if row.content is None:
             return
         if row.converter not in self.made:
-            if row.converter not in CONVERTERS:
+            if row.converter not in self.known:
                 yield row.image_id, row.converter, None, None, None, None, None, None, f"there is no converter {row.converter}"
                 return
-            self.made[row.converter] = CONVERTERS[row.converter]()
+            self.made[row.converter] = self.known[row.converter]()
         try:
             lines = self.made[row.converter].extract(bytes(row.content), row.language)
         except Exception as e:  # a converter's fault is the image's result
@@ -111,8 +113,12 @@ class ConvertImages:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``convert_images(TABLE(...))`` known to the session's SQL."""
-    spark.udtf.register("convert_images", F.udtf(ConvertImages))
+    """Makes ``convert_images(TABLE(...))``, with the converters there are by now, known to the session's SQL."""
+
+    class Own(ConvertImages):
+        known = dict(CONVERTERS)
+
+    spark.udtf.register("convert_images", F.udtf(Own))
 
 
 def converted(images: DataFrame, parts: int = 64) -> DataFrame:

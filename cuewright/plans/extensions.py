@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import repair
 from ..operators import converters
 from ..sources import landing
 from ..sources.images import write_images
@@ -57,7 +58,37 @@ UNION ALL SELECT doc_id, converter, 0, sha256(trim(text, blank)), NULL FROM d, b
 UNION ALL SELECT doc_id, 'fallback', NULL, NULL, 'there is no converter fallback' FROM d WHERE converter IS NULL"""
 
 
+def glued_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two words of all texts glued together, and their cheapest cut by costs learnt from the same texts."""
+    docs = table(spark, sf, "documents")
+    lexicon = spark.sparkContext.broadcast(repair.learn(docs))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    pairs = F.transform(F.filter(F.transform(words, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda p: p["k"] % 2 == 0), lambda p: F.concat(p["w"], F.coalesce(F.get(words, p["k"] + 1), F.lit(""))))
+    tokens = docs.select(F.explode(pairs).alias("token")).filter(F.length("token") >= 8).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.withColumn("cut", repair.cut_words(lexicon, F.col("token")))
+
+
+GLUED_PAIRS = r"""WITH RECURSIVE w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM documents),
+c AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS rank FROM w WHERE regexp_matches(w, '[a-z]') GROUP BY w HAVING count(*) >= 3),
+v AS (SELECT w, floor(1000000 * ln(rank * ln(greatest((SELECT count(*) FROM c WHERE rank <= 50000), 3))))::BIGINT AS cost FROM c WHERE rank <= 50000),
+d AS (SELECT regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents),
+t AS MATERIALIZED (SELECT token, count(*) AS n FROM (SELECT unnest([ws[k] || coalesce(ws[k + 1], '') for k in range(1, len(ws) + 1, 2)]) AS token FROM d) WHERE length(token) >= 8 GROUP BY token),
+r(token, low, i, costs, cuts) AS (SELECT DISTINCT lower(token), lower(token), 0, [0]::BIGINT[], [0]::BIGINT[] FROM t
+  UNION ALL SELECT token, low, i + 1, list_append(costs, best // 1024), list_append(cuts, best % 1024) FROM (
+    SELECT token, low, i, costs, cuts, min((costs[i + 2 - k] + cost) * 1024 + k) AS best
+    FROM (SELECT *, unnest(range(1, least(i + 1, (SELECT max(length(w)) FROM v)) + 1)) AS k FROM r WHERE i < length(low)) LEFT JOIN v ON v.w = low[i + 2 - k:i + 1] GROUP BY token, low, i, costs, cuts)),
+p(token, cuts, pos, parts) AS (SELECT token, cuts, i, []::VARCHAR[] FROM r WHERE i = length(low) AND costs[i + 1] IS NOT NULL
+  UNION ALL SELECT token, cuts, pos - cuts[pos + 1], list_prepend(token[pos - cuts[pos + 1] + 1:pos], parts) FROM p WHERE pos > 0),
+s AS (SELECT token, parts FROM p WHERE pos = 0),
+g AS (SELECT t.token, n, CASE WHEN len(parts) < 2 OR len(list_filter(parts, lambda x: length(x) <= 2 AND x NOT IN ('a', 'i', 'am', 'an', 'as', 'at', 'be', 'by', 'do', 'go', 'he', 'if', 'in', 'is', 'it', 'me', 'my', 'no', 'of', 'on', 'or', 'so', 'to', 'up', 'us', 'we'))) > 0 THEN NULL
+  WHEN parts[2] = 'a' AND length(parts[1]) >= 4 AND parts[1] NOT IN ('what', 'when', 'where', 'book') THEN NULL
+  WHEN regexp_matches(t.token, '^[A-Z]') AND length(parts[1]) <= 3 AND len(parts) > 3 AND parts[1] NOT IN ('a', 'i', 'am', 'an', 'as', 'at', 'be', 'by', 'do', 'go', 'he', 'if', 'in', 'is', 'it', 'me', 'my', 'no', 'of', 'on', 'or', 'so', 'to', 'up', 'us', 'we', 'but', 'the', 'why', 'who', 'how', 'let', 'you') THEN NULL
+  WHEN len(parts) >= 6 AND length(t.token) / len(parts) < 3.2 THEN NULL ELSE parts END AS parts FROM t LEFT JOIN s ON lower(t.token) = s.token)
+SELECT token, n, array_to_string([token[1 + list_sum([length(parts[j])::BIGINT for j in range(1, k)] || [0::BIGINT])::BIGINT:list_sum([length(parts[j])::BIGINT for j in range(1, k + 1)])::BIGINT] for k in range(1, len(parts) + 1)], ' ') AS cut FROM g"""
+
+
 QUERIES = {
+    "glued_pairs": (glued_pairs, GLUED_PAIRS),
     "model_registry": (model_registry, MODEL_REGISTRY),
     "converted_lines": (converted_lines, CONVERTED_LINES),
 }
