@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .codepoints import counted_texts
 from .media import box_area
 from .text import WS, ascii_lower, let, normalise_lines, strip
 
@@ -90,11 +91,14 @@ def quality_score(text: Column, spaced: Column) -> Column:
     return let(normalise_lines(text), own)
 
 
-def with_quality(rows: DataFrame, text: Column, spaced: Column, name: str = "quality") -> DataFrame:
-    """Adds the score as a column, step after step, so that each pass over a text is compiled and made once."""
-    made = rows.withColumn("_clean", normalise_lines(text)).withColumn("_single", single_spaced(F.col("_clean")))
-    counted = made.withColumn("_s", _statistics(F.col("_clean"), F.col("_single"), bare_words(F.col("_single"))))
-    return counted.withColumn(name, _score(F.col("_s"), spaced)).drop("_clean", "_single", "_s")
+def with_quality(rows: DataFrame, text: Column, spaced: Column, name: str = "quality", run: str | None = None) -> DataFrame:
+    """Adds the score of whole documents as a column, from counts that one pass over a batch of texts makes.
+
+    ``run`` names a further column: whether a text has a letter token of 14.  Null texts have null results.
+    """
+    made = rows.withColumn("_s", counted_texts(text, SHORT_WORDS))
+    scored = made.withColumn(name, F.when(F.col("_s").isNotNull(), _score(F.col("_s"), spaced)))
+    return (scored.withColumn(run, F.col("_s.run")) if run else scored).drop("_s")
 
 
 def joined_lines(lines: Column) -> Column:
@@ -163,12 +167,12 @@ def residual_fallback(processed: Column, language: Column) -> Column:
     return uses_spaces(language) & F.exists(texts, wrong)
 
 
-def exportable_label(text: Column, spaced: Column, quality: Column | None = None) -> Column:
+def exportable_label(text: Column, spaced: Column, quality: Column | None = None, run: Column | None = None) -> Column:
     """Whether a line may train a recogniser: quality of 0.72 and no letter token of 14.
 
-    ``quality``: the text's score, where it is known already.
+    ``quality`` and ``run``: the text's score and whether it has such a token, where they are known already.
     """
-    return ((quality_score(text, spaced) if quality is None else quality) >= 0.72) & ~text.rlike(r"(?:\p{IsAlphabetic}'*+){14}")
+    return ((quality_score(text, spaced) if quality is None else quality) >= 0.72) & ~(text.rlike(r"(?:\p{IsAlphabetic}'*+){14}") if run is None else run)
 
 
 def quality_after(processed: Column, language: Column) -> Column:

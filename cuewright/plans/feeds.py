@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import landing, paged
 from ..sources.images import write_images
 from ..sources.replace import Journal
 from ..streaming import demux
-from .flows import _folder
+from .flows import _folder, in_parts
 from .stand_ins import table
 
 MIN_DAY = 9000
@@ -54,22 +53,6 @@ SELECT s::VARCHAR AS source, page, opened, id, CASE WHEN s % 2 = 0 THEN 'tv' ELS
 FROM h JOIN t USING (s) WHERE page <= opened AND o_orderstatus = 'F' AND (day IS NULL OR day >= {MIN_DAY})"""
 
 
-def in_parts(spark: SparkSession, sf: str, through: Callable[[DataFrame], DataFrame], part: Column, parts: int, last: DataFrame | None = None) -> DataFrame:
-    """What a streaming operator appends over the events that come in ``parts`` parts, one after the other.
-
-    Each part is a run of its own from the checkpoint, so state is read back from it; ``last`` is a further part.
-    """
-    root = f"{_folder(spark)}/parts-{uuid.uuid4().hex}"
-    events = table(spark, sf, "events")
-    for k in range(parts + (last is not None)):
-        own = events.filter(part == k) if k < parts else last
-        own.write.mode("append").parquet(f"{root}/in")
-        made = through(spark.readStream.schema(events.schema).parquet(f"{root}/in"))
-        query = made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).outputMode("append").start()
-        query.awaitTermination()
-    return spark.read.schema(made.schema).parquet(f"{root}/out")
-
-
 def stream_demux(spark: SparkSession, sf: str) -> DataFrame:
     """Events as the packets of twenty files with four streams each, in three parts; streams that no supplier stands for drop.
 

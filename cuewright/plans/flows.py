@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -204,16 +205,28 @@ def _folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="cuewright-")
 
 
-def streamed(spark: SparkSession, sf: str, through) -> DataFrame:
-    """What a streaming operator appends over the events as a stream, until all are read."""
-    root = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-    made = through(events)
-    query = made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).outputMode("append").start()
-    query.awaitTermination()
+def in_parts(spark: SparkSession, sf: str, through: Callable[[DataFrame], DataFrame], part: Column, parts: int, last: DataFrame | None = None) -> DataFrame:
+    """What a streaming operator appends over the events that come in ``parts`` parts, one after the other.
+
+    Each part is a run of its own from the checkpoint, so state is read back from it; ``last`` is a further part.
+    """
+    root = f"{_folder(spark)}/parts-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    for k in range(parts + (last is not None)):
+        own = events.filter(part == k) if k < parts else last
+        own.write.mode("append").parquet(f"{root}/in")
+        made = through(spark.readStream.schema(events.schema).parquet(f"{root}/in"))
+        query = made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).outputMode("append").start()
+        query.awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{root}/out")
 
 
+def streamed(spark: SparkSession, sf: str, through: Callable[[DataFrame], DataFrame], parts: int = 3) -> DataFrame:
+    """The same with parts by number, so that a stream's rows come in their order."""
+    most = table(spark, sf, "events").agg(F.max("event_id").alias("m")).first().m or 0
+    return in_parts(spark, sf, through, F.floor(F.col("event_id") * parts / (most + 1)), parts)
+
+
 def stream_monotonic(spark: SparkSession, sf: str) -> DataFrame:
     packets = lambda e: e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("ord"), (F.col("event_id") % 97).alias("dts"), (F.col("event_id") % 101).alias("pts"))
     return streamed(spark, sf, lambda e: stateful.monotonic(packets(e))).select("stream_id", "ord", "new_dts", "new_pts")
@@ -231,12 +244,16 @@ def stream_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
-    packets = lambda e: e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("ord"), (F.col("event_id") % 700).alias("samples"), F.lit(False).alias("flush"))
+    """Samples of users' streams, flushed at each error: tails shorter than a frame are written there."""
+    packets = lambda e: e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("ord"), (F.col("event_id") % 700).alias("samples"), (F.col("event_type") == "error").alias("flush"))
     return streamed(spark, sf, lambda e: stateful.rechunk(packets(e)))
 
 
-STREAM_FRAMES = """WITH t AS (SELECT user_id AS stream_id, sum(event_id % 700)::BIGINT AS total FROM events GROUP BY user_id)
-SELECT stream_id, unnest(range(0, total // 1024)) AS frame, 1024::BIGINT AS n FROM t WHERE total >= 1024"""
+STREAM_FRAMES = """WITH e AS (SELECT user_id AS stream_id, event_id, event_id % 700 AS samples, event_type = 'error' AS flush FROM events),
+s AS (SELECT *, coalesce(sum(flush::INT) OVER (PARTITION BY stream_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+t AS (SELECT stream_id, part, sum(samples)::BIGINT AS total, bool_or(flush) AS flushed FROM s GROUP BY stream_id, part),
+f AS (SELECT stream_id, part, unnest([least(1024, total - k * 1024) for k in range(0, CASE WHEN flushed THEN (total + 1023) // 1024 ELSE total // 1024 END)]) AS n, generate_subscripts([k for k in range(0, CASE WHEN flushed THEN (total + 1023) // 1024 ELSE total // 1024 END)], 1) AS place FROM t)
+SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY part, place) - 1 AS frame, n::BIGINT AS n FROM f"""
 
 
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,6 +282,20 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 STREAM_WINDOWS = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) - 1 FROM events) GROUP BY ALL"
 
 
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Days counted where half of the events come late, a third of the whole time behind: those of days that are closed by then drop."""
+    most = table(spark, sf, "events").agg(F.max("event_id").alias("m")).first().m or 0
+    part = F.floor(F.col("event_id") * 3 / (most + 1)) + F.when(F.col("event_id") % 2 == 1, 1).otherwise(0)
+    counted = lambda e: stateful.windowed_counts(e, late="5 days").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return in_parts(spark, sf, counted, part, 4)
+
+
+STREAM_LATE = """WITH m AS (SELECT max(event_id) AS m FROM events), e AS (SELECT event_type, ts, CAST(ts AS DATE) AS day, event_id * 3 // (m + 1) + event_id % 2 AS part FROM events, m),
+w AS (SELECT k AS part, date_trunc('milliseconds', max(ts)) - INTERVAL 5 DAY AS mark FROM e, range(0, 4) r(k) WHERE part <= k GROUP BY k),
+a AS (SELECT e.* FROM e LEFT JOIN w ON w.part = e.part - 1 WHERE mark IS NULL OR day + INTERVAL 1 DAY > mark)
+SELECT strftime(day, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM a WHERE day + INTERVAL 1 DAY <= (SELECT max(mark) FROM w) GROUP BY ALL"""
+
+
 def stream_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Events as packets of the streams that suppliers stand for, counted by kind; those of other streams drop."""
     contexts = table(spark, sf, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("stream_id"), F.expr("case s_suppkey % 2 when 0 then 'video' else 'audio' end").alias("kind"))
@@ -298,5 +329,6 @@ QUERIES = {
     "stream_progress": (stream_progress, PROGRESS_REPORTS),
     "stream_cooldowns": (stream_cooldowns, STREAM_COOLDOWNS),
     "stream_windows": (stream_windows, STREAM_WINDOWS),
+    "stream_late": (stream_late, STREAM_LATE),
     "stream_routes": (stream_routes, STREAM_ROUTES),
 }

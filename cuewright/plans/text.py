@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.codepoints import collapsed_texts, normalised_texts
 from ..functions.recognition import exportable_label, likelihood, uses_spaces, with_quality
 from ..operators import cues, evaluation, routing, telemetry
 from ..sources.subtitles import srt_text
@@ -33,7 +34,7 @@ ROUTING_PROFILES = "SELECT lang, CASE WHEN lang = 'en' THEN 'english' ELSE 'lati
 
 
 def text_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "documents").select("doc_id", T.normalise_lines(F.col("text")).alias("t"), T.evaluation_text(F.col("text")).alias("e"))
+    own = table(spark, sf, "documents").select("doc_id", normalised_texts(F.col("text")).alias("t"), collapsed_texts(F.col("text")).alias("e"))
     return own.select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("lines"), F.md5(F.encode("e", "UTF-8")).alias("collapsed"))
 
 
@@ -77,8 +78,8 @@ def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of whole documents, and whether they would train a recogniser."""
     own = table(spark, sf, "documents")
     spaced = uses_spaces(F.col("lang"))
-    scored = with_quality(own.select("doc_id", "text", "lang"), F.col("text"), spaced, "_q")
-    return scored.select("doc_id", F.round("_q", 3).alias("quality"), exportable_label(F.col("text"), spaced, F.col("_q")).alias("exportable"))
+    scored = with_quality(own.select("doc_id", "text", "lang"), F.col("text"), spaced, "_q", "_run")
+    return scored.select("doc_id", F.round("_q", 3).alias("quality"), exportable_label(F.col("text"), spaced, F.col("_q"), F.col("_run")).alias("exportable"))
 
 
 def ngram_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Seconds that event times of cooldowns are moved by: a watermark begins at 1970, before which all would be late.
+EPOCH = 2**32
 BASELINE_MS, BASELINE_SAMPLES, BASELINE_SHARE = 180_000, 12, 0.85
 
 
@@ -144,12 +146,13 @@ def progress(reports: DataFrame, step_percent: float = 5.0, key: str = "job_id")
     return _stateful(reports, key, step, f"{key} {reports.schema[key].dataType.simpleString()}, ord bigint, percent double", "last double")
 
 
-def cooldowns(searches: DataFrame, days: int, key: str = "key") -> DataFrame:
+def cooldowns(searches: DataFrame, days: int, key: str = "key", late: str = "30 days") -> DataFrame:
     """Whether each search may run: not while the key's last search without result is younger than ``days``.
 
-    Searches carry ``at`` (seconds) and ``found``.  A key's state goes once it was not written for ``days``
-    by the clock; by then no search of the time can be within its cooldown.  The watermark is that of the
-    clock, not of ``at``, so that a late search is never dropped.
+    Searches carry ``at`` (seconds) and ``found``.  Their event time is ``at``, whatever the clock says: a key's
+    state goes when the watermark has passed the end of its cooldown, so that no search still to come can be
+    within it, however far the stream lags.  A search more than ``late`` older than the newest one is late and
+    drops, as its key's state may be gone.
     """
     window = days * 86400
 
@@ -164,17 +167,16 @@ def cooldowns(searches: DataFrame, days: int, key: str = "key") -> DataFrame:
             out.append(allowed)
             if allowed:
                 last = None if found else at
-        if last is None:
-            if held.exists:
-                held.remove()
-        else:
+        if last is not None and (ends := (last + window + EPOCH) * 1000) > held.getCurrentWatermarkMs():
             held.update((last,))
-            held.setTimeoutTimestamp(held.getCurrentProcessingTimeMs() + window * 1000)
+            held.setTimeoutTimestamp(ends)
+        elif held.exists:
+            held.remove()
         yield rows.assign(allowed=out)[[key, "ord", "at", "allowed"]]
 
     output = f"{key} {searches.schema[key].dataType.simpleString()}, ord bigint, at bigint, allowed boolean"
-    clocked = searches.withColumn("_read", F.current_timestamp()).withWatermark("_read", "0 seconds")
-    return clocked.groupBy(key).applyInPandasWithState(run, output, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = searches.withColumn("_at", F.timestamp_seconds(F.col("at") + EPOCH)).withWatermark("_at", late)
+    return timed.groupBy(key).applyInPandasWithState(run, output, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, *, time: str = "ts", late: str = "10 minutes", width: str = "1 day", by: str = "event_type") -> DataFrame:

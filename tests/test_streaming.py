@@ -56,6 +56,14 @@ def test_progress_and_cooldowns(spark, tmp_path):
     assert [(r.ord, r.allowed) for r in got.orderBy("ord").collect()] == [(0, True), (1, False), (2, True), (3, True)]
 
 
+def test_cooldowns_go_by_event_time(spark, tmp_path):
+    day = 86400
+    rows = [[("k", 0, 100 * day, False), ("j", 1, 100 * day, False)], [("other", 2, 131 * day, False), ("j", 3, 101 * day, False)], [("k", 4, 102 * day + 1, False), ("late", 5, 100 * day, False), ("j", 6, 101 * day + 5, False)], [("j", 7, 140 * day, False), ("late", 8, 100 * day, False)]]
+    got = streamed(spark, tmp_path, rows, "key string, ord bigint, at bigint, found boolean", lambda s: stateful.cooldowns(s, 2), "event_time")
+    # Spark takes rows by the watermark of the batch before: 100 days are late in the fourth; all others are judged by what was held
+    assert [(r.ord, r.allowed) for r in got.orderBy("ord").collect()] == [(0, True), (1, True), (2, True), (3, False), (4, True), (5, True), (6, False), (7, True)]
+
+
 def test_windows_with_a_watermark(spark, tmp_path):
     rows = [[("2024-01-01 10:00:00", "a", 1.0), ("2024-01-01 11:00:00", "a", 2.0)], [("2024-01-03 00:00:00", "a", 1.0)]]
     frames = [[(ts, e, v) for ts, e, v in b] for b in rows]
