@@ -76,26 +76,21 @@ def _kept(points: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.
 
 def normalised(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines trimmed, empty ones and carriage returns gone, joined by line feeds."""
-    points, bounds = _kept(points, bounds, points != 0x0D)
-    n = len(points)
-    at = np.arange(n)
-    solid = classes()[points] & SPACE == 0
-    begins = np.zeros(n, bool)
-    begins[bounds[:-1][bounds[:-1] < n]] = True
-    begins[1:] |= points[:-1] == 0x0A
-    # the solid characters at or before, and at or after, each place, within the same line
-    line = np.cumsum(begins)
-    last = np.maximum.accumulate(np.where(solid, at, -1)) if n else at
-    after = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1] if n else at
-    line_of = np.append(line, 0)
-    inside = (last >= 0) & (line_of[np.maximum(last, 0)] == line) & (after < n) & (line_of[after] == line)
-    # a line feed stays if a solid character is before it and another behind it in the same text
-    text = np.zeros(n + 1, np.int64)
-    np.add.at(text, bounds[:-1], 1)
-    text = np.cumsum(text)
-    ends = (points == 0x0A) & (last >= 0) & (line_of[np.maximum(last, 0)] == line) & (after < n)
-    ends &= text[np.minimum(after, n)] == text[:n]
-    return _kept(points, bounds, inside | ends)
+    returns = points == 0x0D
+    if returns.any():
+        points, bounds = _kept(points, bounds, ~returns)
+    feeds = np.flatnonzero(points == 0x0A)
+    starts, ends = np.sort(np.concatenate([bounds[:-1], feeds + 1])), np.sort(np.concatenate([feeds, bounds[1:]]))
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(feeds, bounds)) + 1)
+    solid = np.flatnonzero(classes()[points] & SPACE == 0)
+    a, b = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    full = np.flatnonzero(b > a)
+    edge = np.zeros(len(points) + 1, np.int8)
+    edge[solid[a[full]]] = 1
+    edge[solid[b[full] - 1] + 1] -= 1
+    keep = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    keep[ends[full[:-1][text[full[:-1]] == text[full[1:]]]]] = True  # the line feed before a further line of the text
+    return _kept(points, bounds, keep)
 
 
 def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -180,16 +175,15 @@ def collapsed(points: np.ndarray, bounds: np.ndarray) -> list[str]:
     points = points.copy()
     for was, now in QUOTES.items():
         points[points == was] = now
-    n = len(points)
     space = classes()[points] & SPACE != 0
-    edge = np.zeros(n + 1, bool)
+    edge = np.zeros(len(points) + 1, bool)
     edge[bounds] = True
-    at = np.arange(n)
-    solid_after = np.append(np.minimum.accumulate(np.where(~space, at, n)[::-1])[::-1], n) if n else np.zeros(1, np.int64)
-    text = np.cumsum(np.bincount(bounds[:-1], minlength=n + 1))
-    first = space & (edge[:-1] | ~np.concatenate([[False], space[:-1]])[:n])
-    follows = (solid_after[:-1] < n) & (text[np.minimum(solid_after[:-1], n)] == text[:n])
-    keep = ~space | (first & ~edge[:-1] & follows)
+    at = np.flatnonzero(space)
+    apart = np.ones(len(at) + 1, bool)  # whether a run begins at at[k], and ends before it
+    apart[1:-1] = (np.diff(at) > 1) | edge[at[1:]]
+    first, last = at[apart[:-1]], at[apart[1:]]
+    keep = ~space
+    keep[first[~edge[first] & ~edge[last + 1]]] = True
     points[space] = 0x20
     return [s.replace("…", "...") for s in strings(*_kept(points, bounds, keep))]
 

@@ -43,15 +43,11 @@ def records(answers: DataFrame, body: str, *keep: str) -> DataFrame:
 def _names(column: str, *paths: str) -> Column:
     """Languages at some paths, each an array of strings or objects with names, an object or a string; sorted."""
     of_object = lambda v: F.coalesce(*(F.try_variant_get(v, p, "string") for p in ("$.name", "$.language", "$.code", "$.iso", "$.value", "$.label")))
-
-    def at(path: str) -> Column:
-        node = F.try_variant_get(F.col(column), path, "variant")
-        listed = F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda v: F.coalesce(of_object(v), F.try_variant_get(v, "$", "string")))
-        single = F.coalesce(of_object(node), F.try_variant_get(node, "$", "string"))
-        parts = F.coalesce(listed, F.array(single))
-        return F.coalesce(F.flatten(F.transform(F.array_compact(parts), lambda s: F.split(s, r"[,/;|\s]+"))), F.array().cast("array<string>"))
-
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.concat(*map(at, paths)), language_tag))))
+    at = lambda path: F.coalesce(F.try_variant_get(F.col(column), path, "array<variant>"), F.array(F.try_variant_get(F.col(column), path, "variant")))
+    nodes = F.array_compact(F.concat(*map(at, paths)))
+    texts = F.transform(nodes, lambda v: F.coalesce(of_object(v), F.try_variant_get(v, "$", "string")))
+    parts = F.flatten(F.transform(F.array_compact(texts), lambda s: F.split(s, r"[,/;|\s]+")))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(parts, language_tag))))
 
 
 def _first_id(column: str, *paths: str) -> Column:
@@ -146,10 +142,14 @@ def only(items: DataFrame, ids: DataFrame, key: str = "item_id") -> DataFrame:
 
 
 def releases(raw: DataFrame, item: Column) -> DataFrame:
-    """Release candidates in list order (``ord``, from ``payloads``) as the structs that ``functions.releases`` works on."""
+    """Release candidates in list order (``ord``, from ``payloads``) as the structs that ``functions.releases`` works on.
+
+    The fields are made behind a generator, through which Spark pushes no filter: each is taken from the
+    VARIANT once, not anew in each expression that names it.
+    """
     arr = lambda p, kind="bigint": variant("v", p, f"array<{kind}>")
     named = F.transform(variant("v", "$.customFormats", "array<variant>"), lambda f: F.coalesce(F.try_variant_get(f, "$.name", "string"), F.try_variant_get(f, "$", "string")))
-    return raw.select(
+    fields = F.struct(
         item.alias("item_id"), F.col("ord").cast("long").alias("ord"),
         F.coalesce(variant("v", "$.title", "string"), variant("v", "$.releaseTitle", "string")).alias("title"),
         F.coalesce(variant("v", "$.protocol", "string"), variant("v", "$.protocol", "bigint").cast("string")).alias("protocol"),
@@ -161,6 +161,7 @@ def releases(raw: DataFrame, item: Column) -> DataFrame:
         F.transform(variant("v", "$.mappedEpisodeInfo", "array<variant>"), lambda m: F.try_variant_get(m, "$.id", "bigint")).alias("mapped_ids"),
         arr("$.episodeIds").alias("episode_ids"), variant("v", "$.episodeId", "bigint").alias("episode_id"), arr("$.episodeNumbers").alias("episode_numbers"), arr("$.absoluteEpisodeNumbers").alias("absolute_numbers"),
     )
+    return raw.select(F.inline(F.array(fields)))
 
 
 def import_items(raw: DataFrame) -> DataFrame:
