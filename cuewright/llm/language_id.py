@@ -7,8 +7,9 @@ the language with the least cost wins.
 
 Training reads a bounded sample: from each language the documents with the smallest id hash in
 ``sample_docs`` hash classes, until ``train_chars`` symbols are filled.  The sample bounds the
-automata (about 2 * train_chars states each), which is what is sent to the tasks; every document is
-scored whole.  Every letter is a symbol of its own; the ``alphabet`` commonest have a column in the
+automata (about 2 * train_chars states each).  They are sent to the tasks in blocks of languages of at
+most ``sent_bytes``, each a pass over the texts, which are written down with the best language so far
+between two passes; a dozen languages are one block.  Every document is scored whole.  Every letter is a symbol of its own; the ``alphabet`` commonest have a column in the
 automata's table, others are looked up in a sorted list of transitions.
 
 A text is stepped through in blocks of ``block`` symbols, thousands of blocks at a time.  Each block
@@ -31,11 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .text_arrays import row_slices
 
 TRAIN_CHARS = 30_000
 SAMPLE_DOCS = 32
 ALPHABET = 62
+#: Automata that are sent to the tasks at once.
+SENT_BYTES = 128 << 20
+#: Places of a table from which they are numbered in 64 bits.
+WIDE = 2**31
 #: The symbol of a letter without a column, in the grid of symbols.
 OTHER = 255
 #: Texts are stepped through together in groups of about so many symbols.
@@ -113,15 +119,19 @@ def is_letter(point: int) -> bool:
     return chr(point).isalpha() or unicodedata.category(chr(point))[0] == "M"
 
 
+def common_letters(texts: dict[str, list[str]], alphabet: int) -> np.ndarray:
+    """The commonest letters of all texts, in the order of their code points."""
+    points, counts = np.unique(_points("".join(t for lang in sorted(texts) for t in texts[lang]).lower()), return_counts=True)
+    letters = [(-n, p) for p, n in zip(points.tolist(), counts.tolist(), strict=True) if is_letter(p)]
+    return np.array(sorted(p for _, p in sorted(letters)[: min(alphabet, OTHER - 1)]), np.int64)
+
+
 class CrossParser:
-    """Automata of all languages as one table over a common alphabet."""
+    """Automata of some languages as one table over a common alphabet."""
 
-    def __init__(self, texts: dict[str, list[str]], train_chars: int = TRAIN_CHARS, alphabet: int = ALPHABET) -> None:
+    def __init__(self, texts: dict[str, list[str]], train_chars: int = TRAIN_CHARS, alphabet: int = ALPHABET, points: np.ndarray | None = None) -> None:
         self.langs = sorted(texts)
-        every = "".join(t for lang in self.langs for t in texts[lang])
-        points, counts = np.unique(_points(every.lower()), return_counts=True)
-        letters = [(-n, p) for p, n in zip(points.tolist(), counts.tolist(), strict=True) if is_letter(p)]
-        self.points = np.array(sorted(p for _, p in sorted(letters)[: min(alphabet, OTHER - 1)]), np.int64)
+        self.points = common_letters(texts, alphabet) if points is None else points
         # symbols: 0 white space and all that is no letter, 1 .. letters with a column, then size + code point
         self.size = len(self.points) + 1
         tables, self.base, self.bits, at = [], [], [], 0
@@ -130,15 +140,15 @@ class CrossParser:
         for k, lang in enumerate(self.langs):
             symbols = np.concatenate([self.symbols(t) for t in texts[lang]] or [np.zeros(0, np.int64)])[:train_chars]
             table, others, roots = SuffixAutomaton(symbols.tolist()).table(self.size)
-            tables.append(table + np.int32(2 * at))
+            tables.append(table.astype(np.int64) + 2 * at)
             more |= {((state + at) * self.size, c): (to + at) * self.size for (state, c), to in others.items()}
             first |= {(k, c): (to + at) * self.size for c, to in roots.items()}
             self.base.append(at)
             self.bits.append(np.log2(max(2, len(symbols))))
             at += len(table)
         # a step gives the next row's place in the flat table, doubled, plus the new-phrase bit
-        flat = np.concatenate(tables).astype(np.int64) if tables else np.zeros((0, self.size), np.int64)
-        self.flat = ((flat >> 1) * self.size * 2 | (flat & 1)).astype(np.int32).ravel()
+        flat = np.concatenate(tables) if tables else np.zeros((0, self.size), np.int64)
+        self.flat = ((flat >> 1) * self.size * 2 | (flat & 1)).astype(np.int32 if 2 * flat.size < WIDE else np.int64).ravel()
         self.more, self.first = Lookup(more), Lookup(first)
 
     def symbols(self, text: str) -> np.ndarray:
@@ -198,8 +208,7 @@ class CrossParser:
             return found
 
         for k, base in enumerate(self.base):
-            root = np.int32(base * self.size)
-            end = np.full(total, root, np.int32)
+            end = np.full(total, base * self.size, self.flat.dtype)
             begins = np.zeros((block, total), bool)
             for step in range(block):
                 n = live[step]
@@ -259,21 +268,46 @@ def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: s
     return wanted.select("lang", "h", F.substring("text", 1, 2 * train_chars).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, train_chars: int = TRAIN_CHARS) -> CrossParser:
+class Languages:
+    """The training texts of all languages, and their automata in blocks."""
+
+    def __init__(self, texts: dict[str, list[str]], train_chars: int = TRAIN_CHARS, sent_bytes: int = SENT_BYTES) -> None:
+        self.langs, self.texts, self.train_chars, self.sent_bytes = sorted(texts), texts, train_chars, sent_bytes
+
+    def parsers(self) -> Iterator[CrossParser]:
+        """The automata of a block of languages after the other, in the order of their names; at least one."""
+        points = common_letters(self.texts, ALPHABET)
+        held: list[str] = []
+        size = 0
+        for lang in self.langs:
+            # two states a symbol at most, a row of places each
+            own = 2 * min(self.train_chars, sum(map(len, self.texts[lang]))) * (len(points) + 1) * 4
+            if held and size + own > self.sent_bytes:
+                yield CrossParser({x: self.texts[x] for x in held}, self.train_chars, points=points)
+                held, size = [], 0
+            held.append(lang)
+            size += own
+        yield CrossParser({x: self.texts[x] for x in held}, self.train_chars, points=points)
+
+
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, train_chars: int = TRAIN_CHARS, sent_bytes: int = SENT_BYTES) -> Languages:
     texts: dict[str, list[str]] = {}
     filled: dict[str, int] = {}
     for row in sorted(training_sample(labelled, id_col, text_col, lang_col, sample_docs, train_chars).dropna().collect()):
         if filled.get(row.lang, 0) < train_chars:
             texts.setdefault(row.lang, []).append(row.text)
             filled[row.lang] = filled.get(row.lang, 0) + len(row.text)
-    return CrossParser(texts, train_chars)
+    return Languages(texts, train_chars, sent_bytes)
 
 
-def judge(texts: list[str | None], lettered: list[bool], parser: CrossParser, block: int) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
-    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+def judge(texts: list[str | None], lettered: list[bool], parser: CrossParser, block: int) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """Of each text the parser's language of least cost, that cost, and all languages' odds together, the best one's being 1.
+
+    Texts that are not judged have no language and an infinite cost.
+    """
+    lang, least, odds = [None] * len(texts), np.full(len(texts), np.inf), np.zeros(len(texts))
     if not parser.langs:
-        return lang, score
+        return lang, least, odds
     todo = [k for k, ok in enumerate(lettered) if ok and texts[k] is not None]
     group: list[int] = []
     held: list[np.ndarray] = []
@@ -282,11 +316,10 @@ def judge(texts: list[str | None], lettered: list[bool], parser: CrossParser, bl
     def close() -> None:
         costs = parser.phrases(held, block) * np.array(parser.bits)
         best = costs.argmin(1)
-        least = costs[np.arange(len(held)), best]
-        # the share of the best language if each bit of cost halves a language's odds
-        share = 1 / np.exp2(-np.minimum(costs - least[:, None], 60)).sum(1)
-        for k, b, s in zip(group, best.tolist(), share.tolist(), strict=True):
-            lang[k], score[k] = parser.langs[b], s
+        least[group] = costs[np.arange(len(held)), best]
+        odds[group] = np.exp2(-np.minimum(costs - least[group][:, None], 60)).sum(1)  # each bit of cost halves them
+        for k, b in zip(group, best.tolist(), strict=True):
+            lang[k] = parser.langs[b]
 
     for k in todo:
         symbols = parser.symbols(texts[k])
@@ -298,44 +331,58 @@ def judge(texts: list[str | None], lettered: list[bool], parser: CrossParser, bl
             group, held, size = [], [], 0
     if group:
         close()
-    return lang, score
-
-
-def identify(docs: DataFrame, parser: CrossParser, *, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
-    """id, lang_pred and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches, 1, GROUP_CHARS):
-            lang, score = judge(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shared.value, block)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
-
-    text = F.col(text_col).cast("string")
-    read = docs.select(F.col(id_col).alias("id"), text.alias("text"), has_letter(text).alias("lettered"))
-    return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return lang, least, odds
 
 
 #: Names of what ``with_language`` adds.
 LANG, SCORE = "_lang_pred", "_lang_score"
 
 
-def with_language(docs: DataFrame, parser: CrossParser, *, text_col: str = "text", block: int = 512) -> DataFrame:
-    """``docs`` with the language and its score as the last columns, ``LANG`` and ``SCORE``."""
-    shared, position = docs.sparkSession.sparkContext.broadcast(parser), docs.columns.index(text_col)
-    width = len(docs.columns)
-    names = [f"c{k}" for k in range(width)]
+def _judged(rows: DataFrame, position: int, kept: list[int], trained: Languages, block: int) -> DataFrame:
+    """Rows c0, c1, ... with ``LANG`` and ``SCORE``, of the columns those kept."""
+    width, spark = len(rows.columns), rows.sparkSession
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields]
+    state = {"lettered": "boolean", "lang": "string", "least": "double", "odds": "double"}
+    made = rows.withColumn("lettered", has_letter(F.col(f"c{position}").cast("string")))
+    parsers = trained.parsers()
+    parser, first = next(parsers), True
+    while parser is not None:
+        later = next(parsers, None)
+        shared = spark.sparkContext.broadcast(parser)
+        columns = list(range(width)) if later is not None else kept
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, columns=columns, first=first) -> Iterator[pa.RecordBatch]:
+            for batch in row_slices(batches, position, GROUP_CHARS):
+                lang, least, odds = judge(batch.column(position).to_pylist(), batch.column(width).to_pylist(), shared.value, block)
+                if not first:  # equal costs stay with the language of an earlier block
+                    old, was, n = batch.column(width + 1).to_pylist(), *(batch.column(width + k).to_numpy() for k in (2, 3))
+                    both = np.minimum(was, least)
+                    with np.errstate(invalid="ignore"):  # of texts that are not judged
+                        odds = np.where(np.isfinite(both), n * np.exp2(-np.minimum(was - both, 60)) + odds * np.exp2(-np.minimum(least - both, 60)), 0)
+                    lang, least = [a if w <= x else b for a, b, w, x in zip(old, lang, was, least, strict=True)], both
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), batch.column(width), pa.array(lang, pa.string()), pa.array(least), pa.array(odds)], [*(f"c{c}" for c in columns), *state])
+
+        made = made.mapInArrow(run, ", ".join([*(f"c{c} {kinds[c]}" for c in columns), *(f"{n} {k}" for n, k in state.items())]))
+        if later is not None:
+            made = stored(made, "languages")
+            shared.destroy()
+        parser, first = later, False
+    return made.select(*(f"c{c}" for c in kept), F.coalesce("lang", F.lit("und")).alias(LANG), F.when(F.col("lang").isNotNull(), 1 / F.col("odds")).otherwise(0.0).alias(SCORE))
+
+
+def identify(docs: DataFrame, trained: Languages, *, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
+    """id, lang_pred and score of every row."""
+    rows = docs.select(F.col(id_col).alias("c0"), F.col(text_col).cast("string").alias("c1"))
+    return _judged(rows, 1, [0], trained, block).toDF(id_col, "lang_pred", "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches, position, GROUP_CHARS):
-            lang, score = judge(batch.column(position).to_pylist(), batch.column(width).to_pylist(), shared.value, block)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, LANG, SCORE])
 
-    lettered = docs.select("*", has_letter(F.col(text_col).cast("string")).alias("_lettered"))
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    return lettered.toDF(*names, "lettered").mapInArrow(run, f"{kinds}, {LANG} string, {SCORE} double").toDF(*docs.columns, LANG, SCORE)
+def with_language(docs: DataFrame, trained: Languages, *, text_col: str = "text", block: int = 512) -> DataFrame:
+    """``docs`` with the language and its score as the last columns, ``LANG`` and ``SCORE``."""
+    every = list(range(len(docs.columns)))
+    return _judged(docs.toDF(*(f"c{k}" for k in every)), docs.columns.index(text_col), every, trained, block).toDF(*docs.columns, LANG, SCORE)
 
 
-def keep_languages(docs: DataFrame, parser: CrossParser, languages: list[str] | None = None, *, min_score: float = 0.0, text_col: str = "text", block: int = 512) -> DataFrame:
+def keep_languages(docs: DataFrame, trained: Languages, languages: list[str] | None = None, *, min_score: float = 0.0, text_col: str = "text", block: int = 512) -> DataFrame:
     """The rows judged one of ``languages`` (None: any that was learnt) with at least ``min_score``, all columns as they are."""
-    wanted = F.col(LANG).isin(languages if languages is not None else parser.langs or [""])
-    return with_language(docs, parser, text_col=text_col, block=block).filter(wanted & (F.col(SCORE) >= min_score)).select(*docs.columns)
+    wanted = F.col(LANG).isin(languages if languages is not None else trained.langs or [""])
+    return with_language(docs, trained, text_col=text_col, block=block).filter(wanted & (F.col(SCORE) >= min_score)).select(*docs.columns)

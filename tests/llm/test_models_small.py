@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuewright.llm import language_id, license_scan, lm_score, merge_dropout, quality, queries
 
@@ -157,7 +158,43 @@ def test_cross_parsing_is_that_of_whole_texts(spark, block, alphabet):
 
 def test_language_ties_go_to_the_first_name():
     parser = language_id.CrossParser({"bb": ["same text here"], "aa": ["same text here"]})
-    assert language_id.judge(["text here", None, "..."], [True, False, False], parser, 512)[0] == ["aa", "und", "und"]
+    assert language_id.judge(["text here", None, "..."], [True, False, False], parser, 512)[0] == ["aa", None, None]
+
+
+def plain_languages(texts, texts_of_docs):
+    """Language and score of each text, by plain phrases of every language."""
+    points = language_id.common_letters(texts, language_id.ALPHABET)
+    out = []
+    for text in texts_of_docs:
+        if not text or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        costs = []
+        for lang in sorted(texts):
+            parser = language_id.CrossParser({lang: texts[lang]}, points=points)
+            costs.append((plain_phrases(parser, lang, texts[lang], text) * parser.bits[0], lang))
+        least, best = min(costs)
+        out.append((best, 1 / sum(2 ** -(c - least) for c, _ in costs)))
+    return out
+
+
+@pytest.mark.parametrize("sent_bytes, wide", [(1, 2**31), (400_000, 2**31), (128 << 20, 2**31), (1, 1)])
+def test_languages_in_blocks_equal_plain_parses(spark, monkeypatch, sent_bytes, wide):
+    """Fifteen languages, one of which repeats another, in blocks of one, of some and of all; places in 32 and 64 bits."""
+    monkeypatch.setattr(language_id, "WIDE", wide)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null and text is not null").orderBy("doc_id").limit(60).collect()
+    texts = {f"l{k % 14:02}": [] for k in range(14)}
+    for k, r in enumerate(rows[:42]):
+        texts[f"l{k % 14:02}"].append(r.text[:700])
+    texts["l99"] = list(texts["l03"])
+    samples = [r.text[:500] for r in rows[20:50]] + [None, "", "...", "a", texts["l03"][0], "\u6f22\u5b57"]
+    trained = language_id.Languages(texts, sent_bytes=sent_bytes)
+    assert len(list(trained.parsers())) == {1: 15, 128 << 20: 1}.get(sent_bytes, len(list(trained.parsers())))
+    docs = spark.createDataFrame(list(enumerate(samples)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.identify(docs, trained, block=64).collect()}
+    assert got == {k: (lang, round(score, 9)) for k, (lang, score) in enumerate(plain_languages(texts, samples))}
+    judged = language_id.with_language(docs.withColumn("lettered", F.lit("x")), trained)
+    assert judged.columns == ["doc_id", "text", "lettered", language_id.LANG, language_id.SCORE] and judged.count() == len(samples)
 
 
 def plain_agenda(model, text, key, dropout):

@@ -5,9 +5,10 @@ from collections import defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuewright.llm import merge_dropout
+from cuewright.llm import language_id, merge_dropout
 from cuewright.llm.queries import TOKENIZER
 
 from . import brute
@@ -26,7 +27,9 @@ def test_stages_against_brute_force(spark, tmp_path):
     kept = read("language", step("language", docs))
     want = [(d, t) for d, t in rows if t and any(c.isalpha() for c in t)]
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(want)
-    assert kept.filter("lang is null").count() == 0
+    trained = language_id.train(docs)
+    judged = {(r.doc_id, r.lang_pred) for r in language_id.identify(docs, trained).collect() if r.lang_pred != "und"}
+    assert {(r.doc_id, r.lang) for r in kept.collect()} == judged
 
     cut = read("lines", step("lines", kept))
     digests = brute.line_dedup(want)
@@ -55,3 +58,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in corpus_pipeline.run(spark, SF).select("doc_id").collect():
         whole[r.doc_id] += 1
     assert dict(whole) == dict.fromkeys(back, 1)
+
+
+def test_the_language_stage_goes_by_the_text(spark):
+    """Wrong and missing labels are replaced by what a plain parse with every language says; only und goes."""
+    from .test_models_small import plain_languages
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).filter("doc_id < 40")
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit("xx")).otherwise(F.col("lang"))).withColumn("text", F.when(F.col("doc_id") % 10 == 9, F.lit("12 ... 3")).otherwise(F.substring("text", 1, 400)))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, wrong, SF).collect()}
+    trained = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = {r.doc_id: r.text for r in wrong.collect()}
+    want = dict(zip(texts, plain_languages(trained.texts, list(texts.values())), strict=True))
+    assert got == {d: lang for d, (lang, _) in want.items() if lang != "und"}
+    assert len(got) < 40
