@@ -13,17 +13,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learnt language, which fills a null ``lang``; those judged ``und`` go.
+    """Documents of a learnt language, with what the text is judged as in ``lang``; those judged ``und`` go.
 
-    ``und`` are null and empty texts and those without a letter.  Ids may be null or repeat: each row is
+    ``und`` are null and empty texts and those without a letter.  A label that the text contradicts, or a
+    missing one, is replaced: later stages and users go by the text.  Ids may be null or repeat: each row is
     judged by its text alone.  Where no row is labelled there is nothing to judge by, and all texts with a
-    letter stay.
+    letter stay as they are.
     """
-    parser = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    if not parser.langs:
+    trained = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    if not trained.langs:
         return docs.filter(language_id.has_letter(F.col("text")))
-    judged = language_id.with_language(docs, parser).filter(F.col(language_id.LANG) != "und")
-    return judged.withColumn("lang", F.coalesce("lang", language_id.LANG)).select(*docs.columns)
+    judged = language_id.with_language(docs, trained).filter(F.col(language_id.LANG) != "und")
+    return judged.withColumn("lang", F.col(language_id.LANG)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
