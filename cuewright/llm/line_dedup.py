@@ -7,11 +7,16 @@
   new rows for the keys it touches alone; the newest row of a key counts;
 * ``filters``: a cuckoo filter a shard over the keys that ``min_docs`` documents hold.  Keys that a
   batch takes over or under that number are inserted into, or deleted from, their shards' filters; other
-  shards are not touched.  A filter that gets too full is built anew, larger, from the counts;
-* ``commits``: a batch counts once its row is there, so a batch that failed leaves nothing behind.
+  shards are not touched.  A filter that gets too full is built anew, larger, from the counts.  Shards
+  follow the keys: there are ``SHARD_KEYS`` to a shard at first, and when twice as many come to be held
+  all filters are built anew with more shards, so that no task builds a large one;
+* ``commits``: a small file a batch, made under the next number and never written over.  A batch counts
+  once it is there, so a batch that failed leaves nothing behind; of two writers that began at one state
+  the second is refused.
 
 ``apply`` sends the filters to the tasks in blocks of at most ``filter_bytes``, a pass over the lines
-each, and only lines that pass them are looked up in the exact counts, which alone decide.
+each, and only lines that pass them are looked up in the exact counts, which alone decide.  Beyond
+``MOST_PASSES`` blocks all lines are looked up, by one shuffle, as it costs less than more passes.
 
 Keys are two independent 64-bit hashes of the normalised line.  A key that a third of the
 documents hold is counted by partial aggregation, and its join rows are split by adaptive
@@ -24,6 +29,7 @@ are one document.  Other columns are carried through.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -34,13 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cuckoo import CuckooFilter
-from .shared import exists, shared_dir, stored
+from .shared import claim, exists, shared_dir, stored
 from .text_arrays import FIRST, SECOND, Lines, Piece, lines, pieces, row_slices
 
 #: Filters that are sent to the tasks at once.
 FILTER_BYTES = 64 << 20
-#: Shards of the filters.
-SHARDS = 64
+#: Shards of the filters at least, and keys of a shard.
+SHARDS, SHARD_KEYS = 64, 1 << 20
+#: Passes over the lines at most.
+MOST_PASSES = 4
 
 
 def _keys(piece: Piece, own: Lines, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,35 +95,40 @@ class LineStore:
     def __init__(self, spark: SparkSession, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, shards: int = SHARDS, filter_bytes: int = FILTER_BYTES) -> None:
         self.spark, self.root = spark, path or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
         self.id_col, self.text_col, self.filter_bytes = id_col, text_col, filter_bytes
-        self.min_chars, self.min_docs, self.shards = min_chars, min_docs, shards
-        self.version = 0
-        if exists(spark, f"{self.root}/commits"):
-            last = spark.read.parquet(f"{self.root}/commits").orderBy(F.col("v").desc()).first()
-            if (last.min_chars, last.min_docs, last.shards) != (min_chars, min_docs, shards):
+        self.min_chars, self.min_docs, self.least_shards, self.shards, self.since, self.n_repeated = min_chars, min_docs, shards, shards, 1, 0
+        self.version, self.token, self.writers = 0, uuid.uuid4().hex, []
+        while (text := claim(spark, f"{self.root}/commits/{self.version + 1}")) is not None:
+            state = json.loads(text)
+            if (state["min_chars"], state["min_docs"]) != (min_chars, min_docs):
                 raise ValueError(f"the store at {self.root} was made with other settings")
-            self.version = last.v
+            self.version, self.shards, self.since, self.n_repeated = self.version + 1, state["shards"], state["since"], state["n_repeated"]
+            self.writers.append(state["writer"])
 
-    def _table(self, kind: str) -> DataFrame | None:
+    def _table(self, kind: str, since: int = 1) -> DataFrame | None:
         """The committed rows of a table, with the batch that wrote them as ``v``."""
         if not self.version or not exists(self.spark, f"{self.root}/{kind}"):
             return None
-        return self.spark.read.parquet(f"{self.root}/{kind}").filter(F.col("v") <= self.version)
+        rows = self.spark.read.parquet(f"{self.root}/{kind}")
+        return rows.filter(F.col("v").between(since, self.version) & F.col("writer").isin(self.writers)).drop("writer")
 
     def _write(self, rows: DataFrame, kind: str, v: int) -> DataFrame:
-        path = f"{self.root}/{kind}/v={v}"
-        rows.write.mode("overwrite").parquet(path)
+        path = f"{self.root}/{kind}/v={v}/writer={self.token}"
+        rows.write.mode("overwrite").parquet(path)  # what this writer left of an attempt that failed
         return self.spark.read.parquet(path)
 
     def _commit(self, v: int) -> LineStore:
-        self._write(self.spark.createDataFrame([(self.min_chars, self.min_docs, self.shards)], "min_chars int, min_docs int, shards int"), "commits", v)
+        state = {"min_chars": self.min_chars, "min_docs": self.min_docs, "shards": self.shards, "since": self.since, "n_repeated": self.n_repeated, "writer": self.token}
+        if claim(self.spark, f"{self.root}/commits/{v}", json.dumps(state)) is not None:
+            raise RuntimeError(f"another writer has changed the store at {self.root}: open it again and repeat the batch")
         self.version = v
+        self.writers.append(self.token)
         return self
 
     def postings(self) -> DataFrame | None:
         """(k1, k2, doc) of the documents that are in the store."""
         every, deleted = self._table("postings"), self._table("deleted")
         if every is None or deleted is None:
-            return every and every.select("k1", "k2", "doc")
+            return None if every is None else every.select("k1", "k2", "doc")
         gone = deleted.groupBy("doc").agg(F.max("v").alias("gone"))
         return every.join(gone, "doc", "left").filter(F.col("gone").isNull() | (F.col("v") > F.col("gone"))).select("k1", "k2", "doc")
 
@@ -165,13 +178,32 @@ class LineStore:
 
     def filters(self) -> DataFrame:
         """(shard, filter): the newest filter of each shard that has one."""
-        return self._table("filters").groupBy("shard").agg(F.max_by("filter", "v").alias("filter"))
+        return self._table("filters", self.since).groupBy("shard").agg(F.max_by("filter", "v").alias("filter"))
 
     def _update_filters(self, changed: DataFrame, v: int) -> None:
         """Takes the keys of a batch that came to ``min_docs``, or fell under it, into or out of their shards' filters."""
-        shard = F.pmod("k1", F.lit(self.shards)).cast("int").alias("shard")
         up, was = F.col("n_docs") >= self.min_docs, F.col("before") >= self.min_docs
-        crossed = changed.filter(up != was).select(shard, "k1", up.alias("up"))
+        crossed = changed.filter(up != was).select("k1", up.alias("up"))
+        self.n_repeated += crossed.agg(F.coalesce(F.sum(F.when(F.col("up"), 1).otherwise(-1)), F.lit(0)).alias("n")).first().n
+        if not self.version or self.n_repeated > 2 * SHARD_KEYS * self.shards:
+            self.shards, self.since = max(self.least_shards, -(-self.n_repeated // SHARD_KEYS)), v  # filters of other shards count no longer
+        shard = F.pmod("k1", F.lit(self.shards)).cast("int").alias("shard")
+
+        def build(group: pa.Table) -> pa.Table:
+            return pa.table({"shard": group.column("shard").slice(0, 1), "filter": pa.array([CuckooFilter.of(group.column("k1").to_numpy(), room=2).to_bytes()], pa.binary())})
+
+        def anew() -> DataFrame:
+            """(shard, k1) of all keys with this batch, whose counts are written."""
+            version, self.version = self.version, v
+            self.writers.append(self.token)
+            keys = self.repeated().select(shard, "k1")
+            self.version = version
+            self.writers.pop()
+            return keys
+
+        if self.since == v and self.version:
+            self._write(anew().groupBy("shard").applyInArrow(build, "shard int, filter binary"), "filters", v)
+            return
         empty = self.spark.createDataFrame([], "shard int, filter binary")
         old = self.filters() if self._table("filters") is not None else empty
 
@@ -188,16 +220,11 @@ class LineStore:
                 now = CuckooFilter.of(k1[ups])
             return pa.table({"shard": keys.column("shard").slice(0, 1), "filter": pa.array([now and now.to_bytes()], pa.binary())})
 
-        made = self._write(crossed.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(update, "shard int, filter binary"), "updates", v)
-        full = [r.shard for r in made.filter("filter is null").select("shard").collect()]  # SHARDS at most
-        if full:
-            def build(group: pa.Table) -> pa.Table:
-                return pa.table({"shard": group.column("shard").slice(0, 1), "filter": pa.array([CuckooFilter.of(group.column("k1").to_numpy(), room=2).to_bytes()], pa.binary())})
-
-            self.version += 1  # the counts of this batch are written
-            keys = self.repeated().select(shard, "k1").filter(F.col("shard").isin(full))
-            self.version -= 1
-            made = made.filter("filter is not null").unionByName(keys.groupBy("shard").applyInArrow(build, "shard int, filter binary"))
+        made = self._write(crossed.select(shard, "k1", "up").groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(update, "shard int, filter binary"), "updates", v)
+        full = made.filter("filter is null").select("shard")
+        if not full.isEmpty():
+            rebuilt = anew().join(F.broadcast(full), "shard", "left_semi")  # a row a shard at most
+            made = made.filter("filter is not null").unionByName(rebuilt.groupBy("shard").applyInArrow(build, "shard int, filter binary"))
         self._write(made, "filters", v)
 
     def apply(self, docs: DataFrame, *, counts: bool = True) -> DataFrame:
@@ -206,13 +233,15 @@ class LineStore:
         repeated, filters = self.repeated(), self.filters()
         blocks: list[list[int]] = [[]]
         size = 0
-        for shard, n in sorted(filters.select("shard", F.length("filter")).collect()):  # SHARDS at most
+        for shard, n in sorted(filters.select("shard", F.length("filter")).collect()):  # a row of two numbers a shard
             if blocks[-1] and size + n > self.filter_bytes:
                 blocks.append([])
                 size = 0
             blocks[-1].append(shard)
             size += n
         parts = []
+        if len(blocks) > MOST_PASSES:
+            parts, blocks = [postings(docs, self.id_col, self.text_col, self.min_chars)], []
         for block in blocks:  # one block at a time in the driver and the tasks
             shared = self.spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in filters.filter(F.col("shard").isin(block)).toLocalIterator()})
             parts.append(postings(docs, self.id_col, self.text_col, self.min_chars, shared, self.shards))

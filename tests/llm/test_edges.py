@@ -280,6 +280,38 @@ def test_filters_follow_the_counts(spark):
         store.insert(docs([7, 8, 9], range(900)))
 
 
+def test_shards_follow_the_keys(spark, monkeypatch):
+    """Filters are built anew with more shards once twice as many keys are held; an opened store goes on with them."""
+    import numpy as np
+
+    from cuewright.llm.cuckoo import CuckooFilter
+
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    line = "a line of its own, number {} of many".format
+    docs = lambda ids, lines: spark.createDataFrame([(i, "\n".join(line(k) for k in lines)) for i in ids], "doc_id long, text string")
+    store = line_dedup.LineStore(spark, shards=2).insert(docs([1, 2, 3], range(20)))
+    assert (store.shards, store.n_repeated) == (3, 20)
+    store.insert(docs([4, 5, 6], range(20, 25)))
+    assert (store.shards, store.since, store.n_repeated) == (3, 1, 25)
+    again = line_dedup.LineStore(spark, store.root, shards=2).insert(docs([7, 8, 9], range(25, 100)))
+    assert (again.shards, again.since, again.n_repeated) == (13, 3, 100)
+    again.delete(docs([7], [1]))
+    opened = line_dedup.LineStore(spark, store.root)
+    assert (opened.shards, opened.since, opened.n_repeated) == (13, 3, 25)
+    held = {r.shard: CuckooFilter.from_bytes(bytes(r.filter)) for r in opened.filters().collect()}
+    assert max(held) < 13 and all(held[r.k1 % 13].contains(np.array([r.k1], np.int64))[0] for r in opened.repeated().collect())
+    with pytest.raises(RuntimeError, match="another writer"):  # it knows nothing of the last two batches
+        store.insert(docs([10], range(3)))
+    assert line_dedup.LineStore(spark, store.root).version == 4
+
+
+def test_lines_are_found_by_passes_and_by_one_shuffle(spark, docs, monkeypatch):
+    want = counted(line_dedup.dedup_lines(docs).collect())
+    for most in (0, 1000):
+        monkeypatch.setattr(line_dedup, "MOST_PASSES", most)
+        assert counted(line_dedup.dedup_lines(docs, filter_bytes=0).collect()) == want
+
+
 def test_bytes_that_are_no_utf8(spark):
     docs = spark.sql("select cast(id as long) as doc_id, cast(unhex(concat('61207479706963616C206C696E6520FF20776974682062616420627974657320E2820A', hex(cast(id as string)), 'C3')) as string) as text from range(4)")
     kept = line_dedup.dedup_lines(docs).selectExpr("doc_id", "hex(text) as h", "n_dropped").collect()
