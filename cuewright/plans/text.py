@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.codepoints import collapsed_texts, normalised_texts
-from ..functions.recognition import exportable_label, likelihood, uses_spaces, with_quality
+from ..functions.recognition import likelihood
 from ..operators import cues, evaluation, routing, telemetry
 from ..sources.subtitles import srt_text
 from ..streaming.stateful import baseline_batch, breaker_batch, rechunk_batch
@@ -74,14 +74,6 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 TOKEN_COUNTS = r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}'']+|[^\p{L}\p{M}\p{Nd}\p{Pc}''\s]'))::INT AS n FROM documents"""
 
 
-def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of whole documents, and whether they would train a recogniser."""
-    own = table(spark, sf, "documents")
-    spaced = uses_spaces(F.col("lang"))
-    scored = with_quality(own.select("doc_id", "text", "lang"), F.col("text"), spaced, "_q", "_run")
-    return scored.select("doc_id", F.round("_q", 3).alias("quality"), exportable_label(F.col("text"), spaced, F.col("_q"), F.col("_run")).alias("exportable"))
-
-
 def ngram_scores(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.round(likelihood(F.col("p_name"), PAIRS, TRIPLES), 6).alias("score"))
 
@@ -259,7 +251,6 @@ QUERIES = {
     "bit_rates": (bit_rates, BIT_RATES),
     "quality_labels": (quality_labels, QUALITY_LABELS),
     "token_counts": (token_counts, TOKEN_COUNTS),
-    "quality_score": (quality_scores, None),
     "ngram_score": (ngram_scores, ngram_sql()),
     "cer_pairs": (cer_pairs, CER_PAIRS),
     "mode_language_summary": (mode_summary, MODE_SUMMARY),
