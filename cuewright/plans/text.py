@@ -123,11 +123,24 @@ WORST_PAIRS = "SELECT doc_id AS ref_ord, round((n_chars % 101) / 101.0, 6) AS si
 
 def aligned_cues(spark: SparkSession, sf: str) -> DataFrame:
     """Even events as a reference track, odd ones as the hypothesis, aligned in time."""
-    own = cue_frame(spark, sf).withColumn("end_ms", F.col("start_ms") + 60_000 * (F.col("ord") % 60))
-    pairs = cues.align(own.filter("ord % 2 = 0"), own.filter("ord % 2 = 1"), bin_ms=3_600_000)
+    own = cue_frame(spark, sf).withColumn("end_ms", F.col("start_ms") + 1_200_000 * (F.col("ord") % 60))
+    pairs = cues.align(own.filter("ord % 2 = 0"), own.filter("ord % 2 = 1"), bin_ms=14_400_000)
     return pairs.select("track_id", "ref_ord", "hyp_ord", "overlap", "delta")
 
 
+#: Reference cues are taken one after the other; each step picks the best hypothesis cue that no step before has used.
+CUE_ALIGN = f"""WITH RECURSIVE {CUES_SQL}, own AS (SELECT track_id, ord, start_ms AS a, start_ms + 1200000 * (ord % 60) AS b FROM cues),
+r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ord) AS n FROM own WHERE ord % 2 = 0), h AS (SELECT * FROM own WHERE ord % 2 = 1),
+p AS (SELECT r.track_id, n, h.ord AS hyp_ord, greatest(least(r.b, h.b) - greatest(r.a, h.a), 0) AS overlap, abs(r.a - h.a) AS delta FROM r JOIN h ON r.track_id = h.track_id WHERE least(r.b, h.b) > greatest(r.a, h.a) OR abs(r.a - h.a) <= {cues.TOLERANCE_MS}),
+m AS (SELECT track_id, max(n) AS most FROM r GROUP BY track_id),
+s(track_id, n, used, hyp_ord, overlap, delta) AS (SELECT track_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM m
+  UNION ALL SELECT track_id, n + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.hyp_ord) END, best.hyp_ord, best.overlap, best.delta FROM (
+    SELECT s.track_id, s.n, s.used, arg_min(struct_pack(hyp_ord := p.hyp_ord, overlap := p.overlap, delta := p.delta), struct_pack(a := -p.overlap, b := p.delta, c := p.hyp_ord)) AS best
+    FROM s JOIN m ON m.track_id = s.track_id AND s.n < m.most LEFT JOIN p ON p.track_id = s.track_id AND p.n = s.n + 1 AND NOT list_contains(s.used, p.hyp_ord) GROUP BY s.track_id, s.n, s.used))
+SELECT r.track_id, r.ord AS ref_ord, hyp_ord, overlap, delta FROM r JOIN s ON s.track_id = r.track_id AND s.n = r.n
+UNION ALL SELECT track_id, NULL, ord, NULL, NULL FROM h WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.track_id = h.track_id AND s.hyp_ord = h.ord)"""
+
+
 def cue_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return cues.sanitise(cue_frame(spark, sf)).select("track_id", "ord", "start_ms", "end_ms")
 
@@ -255,7 +268,7 @@ QUERIES = {
     "cer_pairs": (cer_pairs, CER_PAIRS),
     "mode_language_summary": (mode_summary, MODE_SUMMARY),
     "worst_k": (worst_pairs, WORST_PAIRS),
-    "cue_align": (aligned_cues, None),
+    "cue_align": (aligned_cues, CUE_ALIGN),
     "cue_truncate": (cue_truncate, CUE_TRUNCATE),
     "srt_digests": (srt_digests, SRT_DIGESTS),
     "monotonic_dts": (monotonic_dts, MONOTONIC_DTS),
