@@ -5,13 +5,13 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from cuewright.plans import extensions, feeds, files, flows, images, landed, media, quality, rules, text
+from cuewright.plans import extensions, feeds, files, flows, images, landed, media, quality, repairs, rules, text
 
 from .oracle import connect, differences
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
-OWN = media.QUERIES | text.QUERIES | landed.QUERIES | rules.QUERIES | flows.QUERIES | feeds.QUERIES | images.QUERIES | extensions.QUERIES | quality.QUERIES | files.QUERIES
+OWN = media.QUERIES | text.QUERIES | landed.QUERIES | rules.QUERIES | flows.QUERIES | feeds.QUERIES | images.QUERIES | extensions.QUERIES | quality.QUERIES | files.QUERIES | repairs.QUERIES
 
 
 @pytest.fixture(scope="module")
