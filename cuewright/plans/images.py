@@ -45,13 +45,16 @@ def _drawn(width: Column, height: Column, pixel) -> Column:
 
 
 def image_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Words cut out of parts' images: bands of four or five rows, columns of ink at uneven distances."""
+    """Words cut out of parts' image files: bands of four or five rows, columns of ink at uneven distances."""
     key = F.col("p_partkey").cast("int")
     width, height = (20 + F.col("p_size")).cast("int"), (12 + key % 20).cast("int")
     ink = lambda x, y: (y % 7 < 5 - key % 2) & ((x * 3 + key) % 11 < 7) & (F.floor(x / 6) % 3 > 0)
     pixels = _drawn(width, height, lambda x, y: F.when(ink(x, y), key % 245).otherwise(255))
     head = F.concat(F.lit("P5\n"), width.cast("string"), F.lit(" "), height.cast("string"), F.lit("\n255\n")).cast("binary")
-    words = table(spark, sf, "part").select("p_partkey", images.word_crops(F.concat(head, pixels)).alias("words")).select("p_partkey", F.posexplode("words").alias("word", "c"))
+    folder = f"{_folder(spark)}/images-{uuid.uuid4().hex}"
+    write_images(table(spark, sf, "part").select(F.concat(key.cast("string"), F.lit(".pgm")).alias("name"), F.concat(head, pixels).alias("content")), folder)
+    found = pgm_files(spark, folder).select(F.split("name", r"\.")[0].cast("long").alias("p_partkey"), images.word_crops(F.col("content")).alias("words"))
+    words = found.select("p_partkey", F.posexplode("words").alias("word", "c"))
     return words.select("p_partkey", "word", "c.left", "c.top", "c.right", "c.bottom", F.sha2("c.pgm", 256).alias("sha256"))
 
 
