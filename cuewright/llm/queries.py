@@ -29,8 +29,8 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
-    url_filter.Rule("block", "net", "/de/"),
-    url_filter.Rule("allow", "example.net", "/de/8"),
+    url_filter.Rule("allow", "net", "/de/"),
+    url_filter.Rule("block", "example.net", "/de/8"),
     url_filter.Rule("block", "org", "/es/"),
 ]
 
