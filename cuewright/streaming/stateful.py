@@ -8,6 +8,7 @@ their ``ord`` column.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Seconds that event times of cooldowns are moved by: a watermark begins at 1970, before which all would be late.
+#: A second is a millisecond of event time: Arrow hands pandas nanoseconds, which end in 2262.
 EPOCH = 2**32
 BASELINE_MS, BASELINE_SAMPLES, BASELINE_SHARE = 180_000, 12, 0.85
 
@@ -146,7 +148,7 @@ def progress(reports: DataFrame, step_percent: float = 5.0, key: str = "job_id")
     return _stateful(reports, key, step, f"{key} {reports.schema[key].dataType.simpleString()}, ord bigint, percent double", "last double")
 
 
-def cooldowns(searches: DataFrame, days: int, key: str = "key", late: str = "30 days") -> DataFrame:
+def cooldowns(searches: DataFrame, days: int, key: str = "key", late: timedelta = timedelta(days=30)) -> DataFrame:
     """Whether each search may run: not while the key's last search without result is younger than ``days``.
 
     Searches carry ``at`` (seconds) and ``found``.  Their event time is ``at``, whatever the clock says: a key's
@@ -167,7 +169,7 @@ def cooldowns(searches: DataFrame, days: int, key: str = "key", late: str = "30
             out.append(allowed)
             if allowed:
                 last = None if found else at
-        if last is not None and (ends := (last + window + EPOCH) * 1000) > held.getCurrentWatermarkMs():
+        if last is not None and (ends := last + window + EPOCH) > held.getCurrentWatermarkMs():
             held.update((last,))
             held.setTimeoutTimestamp(ends)
         elif held.exists:
@@ -175,7 +177,7 @@ def cooldowns(searches: DataFrame, days: int, key: str = "key", late: str = "30
         yield rows.assign(allowed=out)[[key, "ord", "at", "allowed"]]
 
     output = f"{key} {searches.schema[key].dataType.simpleString()}, ord bigint, at bigint, allowed boolean"
-    timed = searches.withColumn("_at", F.timestamp_seconds(F.col("at") + EPOCH)).withWatermark("_at", late)
+    timed = searches.withColumn("_at", F.timestamp_millis(F.col("at") + EPOCH)).withWatermark("_at", f"{int(late.total_seconds())} milliseconds")
     return timed.groupBy(key).applyInPandasWithState(run, output, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -64,6 +64,13 @@ def test_cooldowns_go_by_event_time(spark, tmp_path):
     assert [(r.ord, r.allowed) for r in got.orderBy("ord").collect()] == [(0, True), (1, True), (2, True), (3, False), (4, True), (5, True), (6, False), (7, True)]
 
 
+def test_cooldowns_of_far_centuries(spark, tmp_path):
+    day = 86400
+    rows = [[("k", 0, -40 * 365 * day, False)], [("k", 1, 200_000 * day, False), ("k", 2, 200_001 * day, False)], [("k", 3, 40_000_000 * day, False), ("j", 4, 40_000_000 * day, False)], [("k", 5, 40_000_001 * day, False)]]
+    got = streamed(spark, tmp_path, rows, "key string, ord bigint, at bigint, found boolean", lambda s: stateful.cooldowns(s, 2), "centuries")
+    assert [(r.ord, r.at, r.allowed) for r in got.orderBy("ord").collect()] == [(0, -40 * 365 * day, True), (1, 200_000 * day, True), (2, 200_001 * day, False), (3, 40_000_000 * day, True), (4, 40_000_000 * day, True), (5, 40_000_001 * day, False)]
+
+
 def test_windows_with_a_watermark(spark, tmp_path):
     rows = [[("2024-01-01 10:00:00", "a", 1.0), ("2024-01-01 11:00:00", "a", 2.0)], [("2024-01-03 00:00:00", "a", 1.0)]]
     frames = [[(ts, e, v) for ts, e, v in b] for b in rows]
