@@ -8,9 +8,11 @@ not from a list in the code.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Callable, Mapping
+from functools import cached_property
 from typing import NamedTuple
 
 import pandas as pd
@@ -47,7 +49,7 @@ def learn(corpus: DataFrame, text: str = "text", *, min_count: int = 3) -> Lexic
 
     Counts are aggregations with partial sums; only the bounded tops come to the driver.
     """
-    word = corpus.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z']+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter((F.col("n") >= min_count) & F.col("w").rlike("[a-z]"))
+    word = corpus.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z']+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter((F.col("n") >= min_count) & F.col("w").rlike("[a-z]")).persist()
     top = lambda df, k: [r[0] for r in df.orderBy(F.col("n").desc(), df.columns[0]).limit(k).collect()]
 
     def groups(size: int) -> DataFrame:
@@ -55,14 +57,44 @@ def learn(corpus: DataFrame, text: str = "text", *, min_count: int = 3) -> Lexic
         each = word.select("n", F.explode(F.transform(spans, lambda i: F.substring(F.col("w"), i, F.lit(size)))).alias("g"))
         return each.filter(~F.contains("g", F.lit("'"))).groupBy("g").agg(F.sum("n").alias("n"))
 
-    known = top(word, MAX_WORDS)
-    return Lexicon(frozenset(known), frozenset(top(groups(2), MAX_PAIRS)), frozenset(top(groups(3), MAX_TRIPLES)), word_costs(known))
+    try:
+        known = top(word, MAX_WORDS)
+        return Lexicon(frozenset(known), frozenset(top(groups(2), MAX_PAIRS)), frozenset(top(groups(3), MAX_TRIPLES)), word_costs(known))
+    finally:
+        word.unpersist()
 
 
-def word_costs(ranked: list[str]) -> dict[str, int]:
+def glued(docs: DataFrame, word: str, text: str = "text") -> DataFrame:
+    """(token): every two words of all texts glued together, a last one alone as it is.
+
+    A text's words are a column, which the pairs take theirs from: each text is searched once, not for each pair.
+    """
+    found = docs.select(F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("words"))
+    first = F.filter(F.transform("words", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda p: p["k"] % 2 == 0)
+    pairs = F.transform(first, lambda p: F.concat(p["w"], F.coalesce(F.get("words", p["k"] + 1), F.lit(""))))
+    return found.select(F.explode(pairs).alias("token"))
+
+
+#: Letters of word ends that are looked up while a cut is sought; longer words are tried by their lengths.
+WORD_END = 24
+
+
+class Costs(dict[str, int]):
+    """Costs of words, with the ends of words and the lengths of those longer than ``WORD_END``."""
+
+    @cached_property
+    def ends(self) -> frozenset[str]:
+        return frozenset(w[-k:] for w in self for k in range(1, min(len(w), WORD_END) + 1))
+
+    @cached_property
+    def longer(self) -> list[int]:
+        return sorted({len(w) for w in self if len(w) > WORD_END})
+
+
+def word_costs(ranked: list[str]) -> Costs:
     """What a word costs in a cut, in millionths, by its rank among words that follow Zipf's law."""
     spread = math.log(max(len(ranked), 3))
-    return {w: math.floor(1_000_000 * math.log((k + 1) * spread)) for k, w in enumerate(ranked)}
+    return Costs((w, math.floor(1_000_000 * math.log((k + 1) * spread))) for k, w in enumerate(ranked))
 
 
 #: Digits read for letters, and marks read for letters, in order.
@@ -147,6 +179,8 @@ def _piece(piece: str, lexicon: Lexicon) -> int | None:
     """What a dictionary piece costs beside its length; None if it is none."""
     if piece in lexicon.words:
         return 0
+    if "'" not in piece:
+        return None
     if piece == "'em":
         return -2
     for suffix, least in (("'s", 3), ("'", 3), ("n't", 2)):
@@ -182,11 +216,17 @@ FIRST_WORDS = frozenset("but the why who what when where how let if it is you bo
 
 def cheapest_cut(lower: str, costs: Mapping[str, int]) -> list[str] | None:
     """The cut into known words of the least cost together, the last word the shorter one of equals; None if there is none."""
-    longest = max(map(len, costs), default=0)
+    costs = costs if isinstance(costs, Costs) else Costs(costs)
+    ends, longer = costs.ends, costs.longer
     best: list[tuple[int, int] | None] = [(0, 0), *[None] * len(lower)]  # cost, length of the last word
     for end in range(1, len(lower) + 1):
-        found = ((best[end - k][0] + costs[lower[end - k : end]], k) for k in range(1, min(end, longest) + 1) if best[end - k] is not None and lower[end - k : end] in costs)
-        best[end] = min(found, default=None)
+        own: tuple[int, int] | None = None
+        for k in itertools.chain(range(1, min(end, WORD_END) + 1), longer):
+            if k > end or k <= WORD_END and lower[end - k : end] not in ends:
+                break  # no known word ends like this
+            if (before := best[end - k]) is not None and (cost := costs.get(lower[end - k : end])) is not None:
+                own = min(own, (before[0] + cost, k)) if own else (before[0] + cost, k)
+        best[end] = own
     out, end = [], len(lower)
     while end and best[end] is not None:
         out.append(lower[end - best[end][1] : end])

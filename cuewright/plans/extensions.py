@@ -62,9 +62,7 @@ def glued_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every two words of all texts glued together, and their cheapest cut by costs learnt from the same texts."""
     docs = table(spark, sf, "documents")
     lexicon = spark.sparkContext.broadcast(repair.learn(docs))
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    pairs = F.transform(F.filter(F.transform(words, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda p: p["k"] % 2 == 0), lambda p: F.concat(p["w"], F.coalesce(F.get(words, p["k"] + 1), F.lit(""))))
-    tokens = docs.select(F.explode(pairs).alias("token")).filter(F.length("token") >= 8).groupBy("token").agg(F.count("*").alias("n"))
+    tokens = repair.glued(docs, "[A-Za-z]+").filter(F.length("token") >= 8).groupBy("token").agg(F.count("*").alias("n"))
     return tokens.withColumn("cut", repair.cut_words(lexicon, F.col("token")))
 
 

@@ -28,6 +28,26 @@ def test_cheapest_cut_is_the_cheapest_of_all(word):
     assert got is None or sum(LEXICON.costs[p] for p in got) == every[0][0]
 
 
+def test_words_longer_than_the_ends_are_cut_out():
+    long_, longer = "wordy" * 6, "long" * 20
+    costs = repair.word_costs(["a", "be", long_, longer, "wordywordy"])
+    for word in (f"a{long_}be", f"{longer}{long_}", f"be{longer}a{longer}", f"x{longer}", "wordywordya"):
+        own = [w for w in itertools.product(["", *costs], repeat=4) if "".join(w) == word]
+        want = min((sum(costs[p] for p in w if p) for w in own), default=None)
+        got = repair.cheapest_cut(word, dict(costs))
+        assert (got and (sum(costs[p] for p in got), "".join(got))) == (want and (want, word))
+
+
+def test_words_of_long_texts_are_glued_in_one_search(spark):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    long_ = [words[k * k % 64] for k in range(20_001)]
+    docs = spark.createDataFrame([(" ".join(long_),), ("one",), ("",), (None,), ("a-b c",)], "text string")
+    got = [r.token for r in repair.glued(docs, "[a-z]+").collect()]
+    assert sorted(got) == sorted([*map("".join, itertools.batched(long_, 2)), "one", "ab", "c"])
+    plan = repair.glued(docs, "[a-z]+")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # a search within the pairs' lambda would run once a pair
+
+
 def test_guards_of_probable_cuts():
     known = repair.Lexicon(frozenset(), frozenset(), frozenset(), repair.word_costs([*RANKED, "xq", "ca", "bat", "ran", "far", "off"]))
     cut = lambda w: repair.split_probable(w, known)
