@@ -92,9 +92,7 @@ def known_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Every two words of all texts glued together, cut into words that the same texts hold three times or more."""
     docs = table(spark, sf, "documents")
     shared = spark.sparkContext.broadcast(repair.learn(docs))
-    words = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
-    pairs = F.transform(F.filter(F.transform(words, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda p: p["k"] % 2 == 0), lambda p: F.concat(p["w"], F.coalesce(F.get(words, p["k"] + 1), F.lit(""))))
-    tokens = docs.select(F.explode(pairs).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    tokens = repair.glued(docs, "[a-z]+").groupBy("token").agg(F.count("*").alias("n"))
 
     def cut(word: str) -> str | None:
         pieces = repair.split_known(word, shared.value)
