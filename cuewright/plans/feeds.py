@@ -36,8 +36,8 @@ def _page_files(spark: SparkSession, sf: str) -> str:
 def paged_history(spark: SparkSession, sf: str) -> DataFrame:
     """Imports of the days asked for, with how many pages of their server were opened."""
     root = _page_files(spark, sf)
-    raw = paged.paged(spark, root, min_day=MIN_DAY).select("source", "page", F.parse_json("record").alias("v"))
-    opened = paged.paged(spark, root, min_day=MIN_DAY, report=True)
+    raw = paged.paged(spark, root, min_day=MIN_DAY, max_pages=0).select("source", "page", F.parse_json("record").alias("v"))
+    opened = paged.paged(spark, root, min_day=MIN_DAY, max_pages=0, report=True)
     kinds = []
     for kind, rest in (("tv", 0), ("movie", 1)):
         own = raw.filter(F.col("source").cast("int") % 2 == rest)

@@ -5,13 +5,15 @@ an object with ``records``.  A scan with a day limit reads a server's pages in o
 first page that holds an older record (or none at all), so the work follows the days that are asked for and
 not the pages that are there.  Older records of the last page drop; records without a date stay.
 
-Servers are independent: tasks take whole servers, and a server has at most ``max_pages`` pages.  The limit
+Servers are independent: tasks take whole servers.  At most ``max_pages`` pages of a server are opened if that
+option is above 0, and the report says where that left pages out.  The day limit
 is an option, or a filter on ``day`` that Spark pushes into the scan, in which case undated records drop.
 Pages are listed and read through the file system of the path, which the driver and all executors see.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator, Sequence
 from datetime import date
@@ -20,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
-#: Pages of a server at most, and tasks of a scan.
+#: Pages of a server at most unless a scan says otherwise (0: all), and tasks of a scan.
 MAX_PAGES, TASKS = 1000, 200
 RECORDS = "source string, page int, ord int, id bigint, event_type string, day int, record string"
 PAGES = "source string, opened int, stopped string"
@@ -74,11 +76,14 @@ class _Reader(DataSourceReader):
         for name in partition.names:
             source = name.removeprefix("source=")
             opened, stopped = 0, "the last page"
-            for page in range(1, self.max_pages + 1):
+            for page in itertools.count(1):
                 held = files.get_file_info(fs.FileSelector(f"{root}/{name}/page={page}", allow_not_found=True))
                 body = next((x for x in held if x.is_file and x.base_name[0] not in "._"), None)
                 if body is None:
                     break
+                if 0 < self.max_pages < page:
+                    stopped = "the page limit"
+                    break
                 opened += 1
                 records = self._records(files, body.path)
                 old = False
@@ -127,7 +132,7 @@ class PagedAnswers(DataSource):
 
 
 def paged(spark: SparkSession, root: str, *, min_day: int | None = None, max_pages: int = MAX_PAGES, report: bool = False) -> DataFrame:
-    """The records of all servers under ``root``, or what was opened of each."""
+    """The records of all servers under ``root``, or what was opened of each; of all their pages if ``max_pages`` is 0."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark refuses a source with filters otherwise
     spark.dataSource.register(PagedAnswers)
     read = spark.read.format("paged_answers").option("max_pages", max_pages)

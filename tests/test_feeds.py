@@ -40,6 +40,14 @@ def test_pages_are_read_until_the_first_older_record(spark, pages):
     assert paged(spark, pages, max_pages=3, report=True).filter("source = 'long'").first().opened == 3
 
 
+def test_all_pages_of_a_long_history_are_read(spark, tmp_path):
+    put(tmp_path, "s", [[{"id": k, "date": "2024-01-05"}] for k in range(1, 1104)])
+    assert paged(spark, str(tmp_path), max_pages=0).count() == 1103
+    assert [tuple(r) for r in paged(spark, str(tmp_path), max_pages=0, report=True).collect()] == [("s", 1103, "the last page")]
+    assert [tuple(r) for r in paged(spark, str(tmp_path), report=True).collect()] == [("s", 1000, "the page limit")]
+    assert [tuple(r) for r in paged(spark, str(tmp_path), max_pages=1103, report=True).collect()] == [("s", 1103, "the last page")]
+
+
 def test_a_day_filter_is_pushed_into_the_scan(spark, pages):
     rows = paged(spark, pages).filter(f"day >= {LIMIT} and source = 'old'").collect()
     assert sorted(r.id for r in rows) == [1, 6]  # page 3 would hold 4, undated records drop
