@@ -45,7 +45,7 @@ def fixture_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").filter("text is not null")
     file = lambda kind: F.concat(F.lit("d"), k.cast("string"), F.lit(f".{kind}")).alias("name")
     said = F.to_json(F.struct(F.col("text").alias("expected_text"), F.when(k % 4 > 0, F.col("lang")).alias("language"), F.when(k % 3 > 0, k % 5 / 3 - 0.2).alias("min_similarity")))
-    write_images(d.filter("doc_id % 10 <> 3").select(file("png"), F.col("text").cast("binary").alias("content")).unionByName(d.filter("doc_id % 10 <> 7").select(file("json"), said.cast("binary").alias("content"))), root)
+    write_images(d.filter("doc_id % 10 <> 3").select(file("png"), F.col("text").cast("binary").alias("content")).unionByName(d.filter("doc_id % 10 <> 7").select(file("json"), said.cast("binary").alias("content"))), root, sharded=True)
     pairs = landing.fixtures(spark, root)
     return pairs.select("name", "language", F.sha2("expected_text", 256).alias("sha256"), F.round("min_similarity", 6).alias("min_similarity"), F.regexp_extract("image", "([^/]+)$", 1).alias("image"))
 

@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType
 from ..functions.media import BITMAP_SUBTITLES
 from ..functions.releases import day_number
 from ..functions.text import language_tag, redacted, strip
+from .images import listed, read_files
 
 MESSAGES = "array<struct<title:string,messages:array<string>>>"
 EMPTY_IDS = "array<bigint>"
@@ -215,8 +216,8 @@ def retagged(streams_: DataFrame, tag: str, missing: Column) -> DataFrame:
 def fixtures(spark: SparkSession, folder: str) -> DataFrame:
     """Images with their sibling JSON by stem: name, language (eng), expected text and min_similarity in [0, 1]."""
     stem = F.regexp_extract(F.col("path"), r"([^/]+)\.[^.]+$", 1)
-    images = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select(stem.alias("name"), F.col("path").alias("image"))
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select(stem.alias("name"), F.from_json(F.col("content").cast("string"), "expected_text string, language string, min_similarity double").alias("j"))
+    images = listed(spark, folder, ".png").select(stem.alias("name"), F.col("path").alias("image"))
+    raw = read_files(spark, folder, ".json").select(stem.alias("name"), F.from_json(F.col("content").cast("string"), "expected_text string, language string, min_similarity double").alias("j"))
     bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("j.min_similarity", F.lit(0.0))))
     return images.join(raw, "name").select("name", "image", F.coalesce("j.language", F.lit("eng")).alias("language"), "j.expected_text", bounded.alias("min_similarity")).orderBy("name")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions import images
 from cuewright.functions.text import plain_text_packet
-from cuewright.sources.images import pgm_files, write_images
+from cuewright.sources.images import listed, pgm_files, read_files, write_images
 
 
 def plain_raster(indexes, palette, grey):
@@ -89,3 +89,18 @@ def test_text_packets(spark):
     ]
     made = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(pairs)], "k int, p binary").select("k", plain_text_packet(F.col("p")).alias("p")).collect()
     assert {r.k: r.p for r in made} == {k: want for k, (_, want) in enumerate(pairs)}
+
+
+def test_files_are_listed_and_read_in_folders_below(spark, tmp_path):
+    rows = [(f"{k}.{'pgm' if k % 3 else 'txt'}", bytes([k % 256]) * (k % 5) * 40_000) for k in range(300)]
+    want = {n: c for n, c in rows if c and n.endswith(".pgm")}
+    for sharded in (False, True):
+        folder = str(tmp_path / f"files-{sharded}")
+        assert write_images(spark.createDataFrame(rows, "name string, content binary"), folder, sharded) == 300
+        (tmp_path / f"files-{sharded}" / "_hidden.pgm").write_bytes(b"x")
+        got = read_files(spark, folder, ".pgm").collect()
+        assert len(got) == len(want) and {r.name: bytes(r.content) for r in got} == want
+        assert all(r.path.startswith("file:/") and r.path.endswith("/" + r.name) for r in got)
+        assert {r.name for r in listed(spark, folder, ".pgm").collect()} == set(want)
+        plan = listed(spark, folder, ".pgm")._jdf.queryExecution().optimizedPlan().toString()
+        assert "binaryFile" not in plan  # its file index is the driver's
