@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images
 from ..functions.text import plain_text_packet
-from ..sources.images import pgm_files, write_images
+from ..sources.images import pgm_files, spread, write_images
 from .flows import _folder
 from .stand_ins import table
 
@@ -48,11 +48,13 @@ def image_words(spark: SparkSession, sf: str) -> DataFrame:
     """Words cut out of parts' image files: bands of four or five rows, columns of ink at uneven distances."""
     key = F.col("p_partkey").cast("int")
     width, height = (20 + F.col("p_size")).cast("int"), (12 + key % 20).cast("int")
-    ink = lambda x, y: (y % 7 < 5 - key % 2) & ((x * 3 + key) % 11 < 7) & (F.floor(x / 6) % 3 > 0)
-    pixels = _drawn(width, height, lambda x, y: F.when(ink(x, y), key % 245).otherwise(255))
+    inked = lambda x: ((x * 3 + key) % 11 < 7) & (F.floor(x / 6) % 3 > 0)
+    line = F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda x: F.when(inked(x), F.lpad(F.hex(key % 245), 2, "0")).otherwise("FF")), "")
+    band = F.concat(F.repeat(line, 5 - key % 2), F.repeat(F.repeat(F.lit("FF"), width), 2 + key % 2))  # rows alike, seven by seven
+    pixels = F.unhex(F.substring(F.repeat(band, F.ceil(height / 7).cast("int")), F.lit(1), 2 * width * height))
     head = F.concat(F.lit("P5\n"), width.cast("string"), F.lit(" "), height.cast("string"), F.lit("\n255\n")).cast("binary")
     folder = f"{_folder(spark)}/images-{uuid.uuid4().hex}"
-    write_images(table(spark, sf, "part").select(F.concat(key.cast("string"), F.lit(".pgm")).alias("name"), F.concat(head, pixels).alias("content")), folder)
+    write_images(spread(table(spark, sf, "part"), "p_partkey").select(F.concat(key.cast("string"), F.lit(".pgm")).alias("name"), F.concat(head, pixels).alias("content")), folder, sharded=True)
     found = pgm_files(spark, folder).select(F.split("name", r"\.")[0].cast("long").alias("p_partkey"), images.word_crops(F.col("content")).alias("words"))
     words = found.select("p_partkey", F.posexplode("words").alias("word", "c"))
     return words.select("p_partkey", "word", "c.left", "c.top", "c.right", "c.bottom", F.sha2("c.pgm", 256).alias("sha256"))
