@@ -5,6 +5,8 @@ Everything that would change a service is a row of an ``actions`` frame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,15 +150,17 @@ def merge_summaries(*summaries: DataFrame) -> DataFrame:
     return summarise(every)
 
 
-def language_audit(files: DataFrame, queue_items: DataFrame, cooldowns: DataFrame, releases: DataFrame, history: DataFrame, *, audio: list[str], subtitles: list[str], policy: str, now: Column, cooldown_days: int, budget: int, kind: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
+def language_audit(files: DataFrame, queue_items: DataFrame, cooldowns: DataFrame, releases: DataFrame | Callable[[DataFrame], DataFrame], history: DataFrame, *, audio: list[str], subtitles: list[str], policy: str, now: Column, cooldown_days: int, budget: int, kind: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
     """(actions, summary) of one audit: cheap filters before the release search, in this order: queue,
-    cooldown, budget, history id."""
+    cooldown, budget, history id.  ``releases`` may be a search: it is given the items (item_id) to search for
+    and returns their releases, so that those of other items are not even read into fields."""
     judged = assess(files, audio, subtitles)
     missing = judged.filter(~F.col("satisfied"))
     requirements = F.lit(f"{audio}|{subtitles}")
     waiting = cooled(not_queued(missing, queue_items), cooldowns, now, cooldown_days, kind=kind, noun="item", requirements=requirements)
     eligible = within_budget(waiting.filter(F.col("days_left").isNull()), budget)
-    chosen = best_release(releases, audio, subtitles, policy, episodes=kind == "tv")
+    found = releases if isinstance(releases, DataFrame) else releases(F.broadcast(eligible.select("item_id")))  # at most ``budget`` rows
+    chosen = best_release(found, audio, subtitles, policy, episodes=kind == "tv")
     searched = eligible.select("item_id").join(chosen, "item_id", "left").join(latest_import(history), "item_id", "left")
     actions = redownload_actions(searched, dry_run=dry_run)
     counts = judged.agg(F.count("*").alias("checked"), F.count_if("satisfied").alias("satisfied"), F.count_if(~F.col("satisfied")).alias("missing"))

@@ -115,8 +115,8 @@ LANDED_MOVIES = """SELECT 'movie' AS kind, p_partkey AS item_id, CASE WHEN p_par
   'm' || p_partkey AS path, 'English,Japanese' AS languages FROM part WHERE p_partkey % 9 <> 0 AND (p_partkey % 2 = 0 OR p_partkey % 4 = 1)"""
 
 
-def _release_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as the release lists of parts: single episodes, packs, ranges and hinted titles in eight shapes."""
+def _release_answers(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
+    """Line items as the release lists of parts, of those asked for (item_id) if given: single episodes, packs, ranges and hinted titles in eight shapes."""
     shape, part = "l_orderkey + l_linenumber", F.col("l_partkey")
     at = lambda k, v: case(shape, 8, k, v)
     none = F.lit(None).cast("array<struct<id:bigint>>")
@@ -130,7 +130,9 @@ def _release_answers(spark: SparkSession, sf: str) -> DataFrame:
         at(5, F.lit("seasonPack")).alias("releaseType"), mapped.alias("mappedEpisodeInfo"), at(2, F.array(part)).alias("episodeIds"), at(3, part + 1).alias("episodeId"), at(4, F.array(F.lit(1), F.lit(2))).alias("episodeNumbers"),
     )
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", F.to_json(release).alias("r")))), lambda s: s["r"])
-    lists = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("body"))
+    rows = table(spark, sf, "lineitem")
+    rows = rows if asked is None else rows.join(asked, rows["l_partkey"] == asked["item_id"], "left_semi")
+    lists = rows.groupBy("l_partkey").agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("body"))
     return landing.records(lists.select("l_partkey", F.replace("body", F.lit('"#2"'), F.lit("2")).alias("body")), "body", "l_partkey")
 
 
@@ -226,7 +228,7 @@ def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
     none = spark.createDataFrame([], "key string, requirements string, checked_at bigint")
     queued = table(spark, sf, "part").filter("p_partkey % 10 = 3").select(F.col("p_partkey").alias("item_id"))
     history = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("item_id"), F.lit("2024-01-01").alias("date"), F.lit("downloadFolderImported").alias("event_type"))
-    releases = landing.releases(_release_answers(spark, sf), F.col("l_partkey"))
+    releases = lambda asked: landing.releases(_release_answers(spark, sf, asked), F.col("l_partkey"))
     run = lambda kind: audit.language_audit(files, queued, none, releases, history, audio=["eng", "jpn"], subtitles=[], policy="custom-format-or-title", now=F.lit(0), cooldown_days=30, budget=150, kind=kind)[1]
     return audit.merge_summaries(run("tv"), run("movie"))
 

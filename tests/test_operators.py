@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuewright.operators import assess, audit, cues, devices, evaluation, frames, hardware, queue, telemetry
-from cuewright.sources import sinks
+from cuewright.sources import landing, sinks
 
 
 def rows(df, *columns):
@@ -21,6 +21,22 @@ def test_every_device_plays_the_common_profile(spark):
     assert [r.model for r in devices.pick(all_, models=[" Roku_Ultra ", "nest_hub", "roku_ultra"]).collect()] == ["nest_hub", "roku_ultra"]
 
 
+def test_audit_searches_releases_of_asked_items_alone(spark):
+    """A search gets the items within the budget; the others' releases are not asked for."""
+    files = spark.createDataFrame([(k, k, "Japanese", "", None) for k in range(6)], "item_id bigint, day int, info_audio string, info_subtitles string, languages array<string>")
+    none = spark.createDataFrame([], "key string, requirements string, checked_at bigint")
+    history = spark.createDataFrame([], "id bigint, item_id bigint, date string, event_type string")
+    asked = []
+
+    def search(items):
+        asked.extend(r.item_id for r in items.collect())
+        return landing.releases(landing.records(items.select("item_id", F.lit('[{"languages":["eng","jpn"]}]').alias("body")), "body", "item_id"), F.col("item_id"))
+
+    actions, _ = audit.language_audit(files, files.filter("item_id = 5").select("item_id"), none, search, history, audio=["eng", "jpn"], subtitles=[], policy="strict", now=F.lit(0), cooldown_days=0, budget=2, kind="movie")
+    assert sorted(asked) == [3, 4]
+    assert rows(actions, "item_id", "action") == [(3, "would-grab"), (4, "would-grab")]
+
+
 def test_best_release_takes_the_last_of_equals(spark):
     df = spark.createDataFrame([(1, 0, "torrent", 5), (1, 1, "usenet", 5), (1, 2, "usenet", 5), (1, 3, "torrent", 9)], "item_id bigint, ord bigint, protocol string, custom_format_score bigint")
     for name, kind in (("title", "string"), ("release_type", "string"), ("quality_weight", "bigint"), ("episode_id", "bigint"), ("rejected", "boolean"), ("download_allowed", "boolean")):
