@@ -41,14 +41,24 @@ def records(answers: DataFrame, body: str, *keep: str) -> DataFrame:
     return parsed.select(*keep, F.posexplode(F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))).alias("ord", "v"))
 
 
-def _names(column: str, *paths: str) -> Column:
-    """Languages at some paths, each an array of strings or objects with names, an object or a string; sorted."""
-    of_object = lambda v: F.coalesce(*(F.try_variant_get(v, p, "string") for p in ("$.name", "$.language", "$.code", "$.iso", "$.value", "$.label")))
-    at = lambda path: F.coalesce(F.try_variant_get(F.col(column), path, "array<variant>"), F.array(F.try_variant_get(F.col(column), path, "variant")))
-    nodes = F.array_compact(F.concat(*map(at, paths)))
-    texts = F.transform(nodes, lambda v: F.coalesce(of_object(v), F.try_variant_get(v, "$", "string")))
+NAMED = "struct<name:string,language:string,code:string,iso:string,value:string,label:string>"
+
+
+def _said(field: Column, kind: str = NAMED) -> Column:
+    """What a VARIANT says, an array of strings or objects with names, an object or a string, as an array; null if missing."""
+    get = lambda k: F.try_variant_get(field, "$", k)
+    names = [part.split(":")[0] for part in kind[7:-1].split(",")]
+    one = lambda object_, text: F.coalesce(*(object_[n] for n in names), text)
+    many = F.zip_with(get(f"array<{kind}>"), get("array<string>"), one)
+    return F.when(field.isNotNull(), F.coalesce(many, F.array(one(get(kind), get("string")))))
+
+
+def _names(*fields: Column) -> Column:
+    """Languages in some VARIANT fields, sorted."""
+    texts = F.concat(*(F.coalesce(_said(f), F.array().cast("array<string>")) for f in fields))
     parts = F.flatten(F.transform(F.array_compact(texts), lambda s: F.split(s, r"[,/;|\s]+")))
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(parts, language_tag))))
+    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(parts, language_tag))))
+    return F.when(F.coalesce(*fields).isNotNull(), found).otherwise(F.array().cast("array<string>"))
 
 
 def _first_id(column: str, *paths: str) -> Column:
@@ -142,27 +152,34 @@ def only(items: DataFrame, ids: DataFrame, key: str = "item_id") -> DataFrame:
     return items.join(ids.select(key).distinct(), key, "left_semi")
 
 
+RELEASE = (
+    "struct<title:string,releaseTitle:string,protocol:string,languages:variant,language:variant,subtitleLanguages:variant,subtitles:variant,subtitleLanguage:variant,customFormats:variant,"
+    "customFormatScore:bigint,qualityWeight:bigint,rejected:boolean,rejections:array<string>,downloadAllowed:boolean,releaseType:string,mappedEpisodeInfo:array<struct<id:bigint>>,"
+    "episodeIds:array<bigint>,episodeId:bigint,episodeNumbers:array<bigint>,absoluteEpisodeNumbers:array<bigint>>"
+)
+
+
 def releases(raw: DataFrame, item: Column) -> DataFrame:
     """Release candidates in list order (``ord``, from ``payloads``) as the structs that ``functions.releases`` works on.
 
-    The fields are made behind a generator, through which Spark pushes no filter: each is taken from the
-    VARIANT once, not anew in each expression that names it.
+    A record's fields are taken from the VARIANT in one pass, and lists of names made of them, each behind a
+    generator, which keeps expressions that name a field from taking it anew.  A filter on the item passes both.
     """
-    arr = lambda p, kind="bigint": variant("v", p, f"array<{kind}>")
-    named = F.transform(variant("v", "$.customFormats", "array<variant>"), lambda f: F.coalesce(F.try_variant_get(f, "$.name", "string"), F.try_variant_get(f, "$", "string")))
-    fields = F.struct(
-        item.alias("item_id"), F.col("ord").cast("long").alias("ord"),
-        F.coalesce(variant("v", "$.title", "string"), variant("v", "$.releaseTitle", "string")).alias("title"),
-        F.coalesce(variant("v", "$.protocol", "string"), variant("v", "$.protocol", "bigint").cast("string")).alias("protocol"),
-        _names("v", "$.languages", "$.language").alias("languages"), _names("v", "$.subtitleLanguages", "$.subtitles", "$.subtitleLanguage").alias("subtitle_languages"),
-        F.coalesce(F.array_compact(named), F.array().cast("array<string>")).alias("custom_formats"),
-        variant("v", "$.customFormatScore", "bigint").alias("custom_format_score"), variant("v", "$.qualityWeight", "bigint").alias("quality_weight"),
-        variant("v", "$.rejected", "boolean").alias("rejected"), arr("$.rejections", "string").alias("rejections"), variant("v", "$.downloadAllowed", "boolean").alias("download_allowed"),
-        variant("v", "$.releaseType", "string").alias("release_type"),
-        F.transform(variant("v", "$.mappedEpisodeInfo", "array<variant>"), lambda m: F.try_variant_get(m, "$.id", "bigint")).alias("mapped_ids"),
-        arr("$.episodeIds").alias("episode_ids"), variant("v", "$.episodeId", "bigint").alias("episode_id"), arr("$.episodeNumbers").alias("episode_numbers"), arr("$.absoluteEpisodeNumbers").alias("absolute_numbers"),
+    taken = raw.select(item.alias("item_id"), F.col("ord").cast("long").alias("ord"), F.inline(F.array(variant("v", "$", RELEASE))))
+    c = F.col
+    formats = F.when(F.schema_of_variant("customFormats").startswith("ARRAY"), F.array_compact(_said(c("customFormats"), "struct<name:string>")))
+    named = F.struct(
+        _names(c("languages"), c("language")).alias("languages"), _names(c("subtitleLanguages"), c("subtitles"), c("subtitleLanguage")).alias("subtitle_languages"),
+        F.coalesce(formats, F.array().cast("array<string>")).alias("custom_formats"),
     )
-    return raw.select(F.inline(F.array(fields)))
+    plain = {
+        "item_id": c("item_id"), "ord": c("ord"), "title": F.coalesce("title", "releaseTitle"), "protocol": c("protocol"), "custom_format_score": c("customFormatScore"), "quality_weight": c("qualityWeight"), "rejected": c("rejected"),
+        "rejections": c("rejections"), "download_allowed": c("downloadAllowed"), "release_type": c("releaseType"), "mapped_ids": c("mappedEpisodeInfo.id"), "episode_ids": c("episodeIds"), "episode_id": c("episodeId"),
+        "episode_numbers": c("episodeNumbers"), "absolute_numbers": c("absoluteEpisodeNumbers"),
+    }
+    made = taken.select(*(column.alias(name) for name, column in plain.items()), F.inline(F.array(named)))
+    names = list(plain)
+    return made.select(*names[:4], "languages", "subtitle_languages", "custom_formats", *names[4:])
 
 
 def import_items(raw: DataFrame) -> DataFrame:
@@ -171,7 +188,7 @@ def import_items(raw: DataFrame) -> DataFrame:
         variant("v", "$.downloadId", "string").alias("download_id"), variant("v", "$.path", "string").alias("path"), variant("v", "$.ord", "bigint").alias("ord"),
         F.transform(variant("v", "$.episodes", "array<variant>"), lambda e: F.try_variant_get(e, "$.id", "bigint")).alias("episodes"),
         variant("v", "$.episodeIds", EMPTY_IDS).alias("episode_ids"), variant("v", "$.episodeId", "bigint").alias("episode_id"),
-        _names("v", "$.languages").alias("languages"), F.transform(variant("v", "$.rejections", "array<variant>"), lambda r: F.coalesce(F.try_variant_get(r, "$.reason", "string"), F.try_variant_get(r, "$", "string"))).alias("rejections"),
+        _names(variant("v", "$.languages", "variant")).alias("languages"), F.transform(variant("v", "$.rejections", "array<variant>"), lambda r: F.coalesce(F.try_variant_get(r, "$.reason", "string"), F.try_variant_get(r, "$", "string"))).alias("rejections"),
     )
 
 

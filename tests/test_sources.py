@@ -49,6 +49,19 @@ def test_releases(spark, tmp_path):
     assert got["B"].languages == ["fra"]
 
 
+def test_release_fields_are_taken_in_one_pass(spark, tmp_path):
+    """Odd shapes as before: names of objects, objects without a name, nulls, numbers, records that are no object."""
+    raw = landed(spark, tmp_path, [{"title": 1, "protocol": 2, "languages": [{"iso": "fr"}, None, 7, {"x": 1}, "EN-us/und"], "language": {"label": "German; english"}, "customFormats": [{"name": None}, {"name": "N"}, 3], "rejections": ["a", None], "episodeIds": "x"}, "text", {"customFormats": "Dub", "subtitles": {"code": "pt"}, "episodeIds": [1, "2", "y"]}])
+    frame = landing.releases(raw, F.lit(1))
+    got = [(r.ord, r.title, r.protocol, r.languages, r.subtitle_languages, r.custom_formats, r.rejections, r.episode_ids) for r in frame.orderBy("ord").collect()]
+    assert got == [
+        (0, "1", "2", ["7", "deu", "eng", "fra", '{"x":1}'], [], ['{"name":null}', "N", "3"], ["a", None], None),
+        (1, None, None, [], [], [], None, None),
+        (2, None, None, [], ["por"], [], None, [1, 2, None]),
+    ]
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("variant_get") <= 25
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "probe.json").write_text(json.dumps({"file_id": "f", "container": "mkv", "streams": [{"index": 0, "kind": "video", "codec": "h264", "fps": {"num": 24000, "den": 1001}}, {"index": 1, "kind": "audio", "language": "en"}, {"index": 2, "kind": "subtitle", "codec": "xsub"}]}))
     own = landing.streams(spark, str(tmp_path / "probe.json"))
