@@ -113,8 +113,9 @@ def normalise_lines(text: Column) -> Column:
 
 def language_tag(tag: Column) -> Column:
     """The language of a tag such as ``en-US``; null for empty, ``und`` and ``unknown``."""
-    primary = F.split(ascii_lower(strip(tag)), "[-_]")[0]
-    return F.when(~primary.isin("", "und", "unknown"), lookup(primary, spellings(LANGUAGE_TAGS), primary))
+    known = spellings(LANGUAGE_TAGS)
+    tagged = lambda primary: F.when(~primary.isin("", "und", "unknown"), lookup(primary, known, primary))
+    return F.coalesce(lookup(tag, known | {word.title(): of for word, of in known.items()}), let(F.split(ascii_lower(strip(tag)), "[-_]")[0], tagged))
 
 
 def recogniser_language(tag: Column) -> Column:

@@ -20,7 +20,7 @@ def values(spark, rows, kind, expression):
 @pytest.mark.parametrize(
     ("expression", "pairs"),
     [
-        (T.language_tag, {"en-US": "eng", " FRE ": "fra", "und": None, "unknown": None, "": None, "xx_YY": "xx", None: None, "nb": "nor"}),
+        (T.language_tag, {"en-US": "eng", " FRE ": "fra", "und": None, "unknown": None, "": None, "xx_YY": "xx", None: None, "nb": "nor", "English": "eng", "GERMAN": "deu", "Und": None, "\u00a0Ja_x": "jpn"}),
         (T.recogniser_language, {"zh-Hant": "chi_sim", "en": "eng", "": None, "dut": "nld", "qq": "qq"}),
         (T.script_subtag, {"sr-Latn-RS": "latn", "en": None, "zh_Hans": "hans"}),
         (T.normalise_lines, {"a \r\n\n  b": "a\nb", "": "", None: None}),
