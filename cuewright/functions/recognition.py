@@ -144,10 +144,14 @@ def geometry_fallback(lines: Column, language: Column) -> Column:
     return uses_spaces(language) & F.coalesce(F.exists(lines, lambda x: _tall(x) & (alpha_count(x["text"]) >= 5)), F.lit(False))
 
 
-def quality_fallback(lines: Column, language: Column) -> Column:
-    """Whether another recogniser should be asked: spacing, geometry or quality under 0.45."""
-    low = quality_score(joined_lines(lines), uses_spaces(language)) < 0.45
-    return (F.size(lines) > 0) & (spacing_fallback(lines) | geometry_fallback(lines, language) | low)
+def quality_fallback(lines: Column, language: Column, quality: Column | None = None, spacing: Column | None = None, geometry: Column | None = None) -> Column:
+    """Whether another recogniser should be asked: spacing, geometry or quality under 0.45.
+
+    ``quality`` (of the joined lines), ``spacing`` and ``geometry``: where they are known already.
+    """
+    low = (quality_score(joined_lines(lines), uses_spaces(language)) if quality is None else quality) < 0.45
+    glued = spacing_fallback(lines) if spacing is None else spacing
+    return (F.size(lines) > 0) & (glued | (geometry_fallback(lines, language) if geometry is None else geometry) | low)
 
 
 def residual_fallback(processed: Column, language: Column) -> Column:
