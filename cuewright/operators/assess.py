@@ -70,8 +70,13 @@ def direct_play(streams: DataFrame, target: Target, file: str = "file_id") -> Da
     return found.select(file, reasons.alias("reasons"), (F.size(reasons) == 0).alias("compatible"))
 
 
+def is_plain() -> Column:
+    """Whether a stream (kind, attached_picture) is no attachment, data or cover picture."""
+    return ~yes(F.col("kind").isin("attachment", "data")) & ~yes(F.col("attached_picture"))
+
+
 def without_auxiliary(streams: DataFrame) -> DataFrame:
-    return streams.filter(~yes(F.col("kind").isin("attachment", "data")) & ~yes(F.col("attached_picture")))
+    return streams.filter(is_plain())
 
 
 def score(criteria: str, width: Column, height: Column, bitrate: Column, fps: Column) -> Column:

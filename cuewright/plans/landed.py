@@ -196,12 +196,14 @@ def _probes(spark: SparkSession, sf: str) -> DataFrame:
 
 def probed_files(spark: SparkSession, sf: str) -> DataFrame:
     """Languages, bitmap subtitles, retagged and auxiliary streams of probe dumps, a row a file."""
-    own = landing.flat_streams(_probes(spark, sf))
-    plain = assess.without_auxiliary(own).groupBy("file_id").agg(F.count("*").alias("plain"), F.round(F.max("fps"), 3).alias("fps"))
-    bitmap = landing.bitmap_candidates(own).groupBy("file_id").agg(F.count("*").alias("bitmap"))
-    tagged = landing.retagged(own, "eng", F.lit(True)).groupBy("file_id").agg(F.count_if("retagged").alias("retagged"), F.count_if(F.col("language") == "eng").alias("as_eng"))
-    sets = landing.language_sets(own).select("file_id", F.array_join("present_audio", ",").alias("audio"), F.array_join("present_subtitles", ",").alias("subtitles"))
-    return sets.join(tagged, "file_id").join(plain, "file_id", "left").join(bitmap, "file_id", "left").withColumn("skipped", F.lit(landing.bitmap_candidates(own, "skip").limit(1).count()))
+    own = landing.flat_streams(_probes(spark, sf)).withColumn("said", F.col("language"))
+    skipped, plain, found = landing.bitmap_candidates(own, "skip").limit(1).count(), assess.is_plain(), lambda test: F.nullif(F.count_if(test), F.lit(0))
+    files = landing.retagged(own, "eng", F.lit(True)).groupBy("file_id").agg(
+        *landing.present_languages(F.col("said")), F.count_if("retagged").alias("retagged"), F.count_if(F.col("language") == "eng").alias("as_eng"),
+        found(plain).alias("plain"), F.round(F.max(F.when(plain, F.col("fps"))), 3).alias("fps"), found(landing.is_bitmap()).alias("bitmap"),
+    )
+    sets = (F.array_join("present_audio", ",").alias("audio"), F.array_join("present_subtitles", ",").alias("subtitles"))
+    return files.select("file_id", *sets, "retagged", "as_eng", "plain", "fps", "bitmap", F.lit(skipped).alias("skipped"))
 
 
 PROBED_FILES = """WITH s AS (SELECT 'o' || l_orderkey AS file_id, CASE l_linenumber WHEN 1 THEN 'video' WHEN 5 THEN 'attachment' ELSE CASE l_returnflag WHEN 'R' THEN 'subtitle' ELSE 'audio' END END AS kind, l_linenumber <> 1 AND l_returnflag = 'R' AND l_partkey % 3 < 2 AS bitmap,

@@ -212,16 +212,25 @@ def flat_streams(probes: DataFrame, kind: str = "all") -> DataFrame:
     return flat if kind == "all" else flat.filter(F.col("kind") == kind)
 
 
+def present_languages(language: Column) -> tuple[Column, Column]:
+    """Aggregates of a file's streams (kind): sorted distinct known languages of audio and of subtitles."""
+    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, language_tag(language))))
+    return of("audio").alias("present_audio"), of("subtitle").alias("present_subtitles")
+
+
 def language_sets(streams_: DataFrame, file: str = "file_id") -> DataFrame:
     """Sorted distinct known languages of audio and subtitle streams, a row a file."""
-    tag = language_tag(F.col("language"))
-    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, tag)))
-    return streams_.groupBy(file).agg(of("audio").alias("present_audio"), of("subtitle").alias("present_subtitles"))
+    return streams_.groupBy(file).agg(*present_languages(F.col("language")))
+
+
+def is_bitmap(mode: str = "convert") -> Column:
+    """Whether a stream (kind, codec) is a bitmap subtitle that is not skipped."""
+    return (F.col("kind") == "subtitle") & F.col("codec").isin(*BITMAP_SUBTITLES) & F.lit(mode != "skip")
 
 
 def bitmap_candidates(streams_: DataFrame, mode: str = "convert") -> DataFrame:
     """Bitmap subtitle streams; none if subtitles are skipped."""
-    return streams_.filter((F.col("kind") == "subtitle") & F.col("codec").isin(*BITMAP_SUBTITLES) & F.lit(mode != "skip"))
+    return streams_.filter(is_bitmap(mode))
 
 
 def retagged(streams_: DataFrame, tag: str, missing: Column) -> DataFrame:
