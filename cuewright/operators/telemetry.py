@@ -51,15 +51,30 @@ def codec_counts(streams: DataFrame, bitmap: tuple[str, ...]) -> DataFrame:
     return streams.filter("kind = 'subtitle'").groupBy("codec").agg(F.count("*").alias("n")).withColumn("bitmap", F.col("codec").isin(*bitmap))
 
 
+def _stated(word: str, pattern: str, kind: str) -> Column:
+    """A number beside a word in log lines; lines without the word are not searched for the pattern."""
+    return F.when(F.contains(F.col("line"), F.lit(word)), F.regexp_extract(F.col("line"), pattern, 1).try_cast(kind))
+
+
+def _scores() -> list[Column]:
+    return [F.avg(_stated(f"{n}=", rf"{n}=([0-9.]+)", "double")).alias(n) for n in ("tess_score", "ppocr_score", "ppocr_conf")]
+
+
+def _counts() -> list[Column]:
+    value = lambda n: _stated(n, rf"([0-9]+)\s+{n}s?\b", "long")
+    return [F.max_by(value(n), F.when(value(n).isNotNull(), F.col("ord"))).alias(f"{n}s") for n in ("stream", "cue")]
+
+
 def fallback_scores(lines: DataFrame, *group: str) -> DataFrame:
     """Means of the three scores in log lines; null if a run has none."""
-    names = ("tess_score", "ppocr_score", "ppocr_conf")
-    value = lambda n: F.regexp_extract(F.col("line"), rf"{n}=([0-9.]+)", 1).try_cast("double")
-    return lines.groupBy(*group).agg(*(F.avg(value(n)).alias(n) for n in names))
+    return lines.groupBy(*group).agg(*_scores())
 
 
 def run_counts(lines: DataFrame, *group: str) -> DataFrame:
     """The last stream and cue counts that a run's log states."""
-    value = lambda n: F.regexp_extract(F.col("line"), rf"([0-9]+)\s+{n}s?\b", 1).try_cast("long")
-    last = lambda n: F.max_by(value(n), F.when(value(n).isNotNull(), F.col("ord"))).alias(f"{n}s")
-    return lines.groupBy(*group).agg(last("stream"), last("cue"))
+    return lines.groupBy(*group).agg(*_counts())
+
+
+def run_summary(lines: DataFrame, *group: str) -> DataFrame:
+    """Both of these in one pass over the lines."""
+    return lines.groupBy(*group).agg(*_scores(), *_counts())
