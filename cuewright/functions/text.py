@@ -288,10 +288,11 @@ def base_name(path: Column) -> Column:
 
 def pairs(raw: Column) -> Column:
     """``k=v,k=v`` as a map; parts without a key or value are dropped; of equal keys the first holds."""
-    parts = F.transform(F.split(raw, ","), lambda p: F.split(p, "=", 2))
-    good = F.filter(parts, lambda p: (F.size(p) == 2) & (strip(p[0]) != "") & (strip(F.try_element_at(p, F.lit(2))) != ""))
-    keys = F.transform(good, lambda p: ascii_lower(strip(p[0])))
-    return F.map_from_entries(F.filter(F.transform(good, lambda p, i: F.when(F.array_position(keys, ascii_lower(strip(p[0]))) == i + 1, F.struct(ascii_lower(strip(p[0])).alias("key"), strip(p[1]).alias("value")))), lambda e: e.isNotNull()))
+    entry = lambda q: F.when(F.size(q) == 2, F.struct(ascii_lower(strip(q[0])).alias("key"), strip(F.try_element_at(q, F.lit(2))).alias("value")))
+    entries = F.transform(F.split(raw, ","), lambda p: let(F.split(p, "=", 2), entry))
+    good = F.filter(entries, lambda e: (e["key"] != "") & (e["value"] != ""))
+    first = lambda own, keys: F.map_from_entries(F.filter(own, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    return let(good, lambda own: let(F.transform(own, lambda e: e["key"]), lambda keys: first(own, keys)))
 
 
 def missing_text(audio: Column, subtitles: Column) -> Column:
@@ -343,7 +344,7 @@ def env_ids(*candidates: Column) -> Column:
     """Integers of the first setting that has any, split at ``| , ;`` and spaces."""
     parse = lambda c: F.filter(F.transform(F.split(c, r"[|,;\s]+"), lambda p: p.try_cast("long")), lambda v: v.isNotNull())
     empty = F.array().cast("array<bigint>")
-    return F.coalesce(*(F.when(F.size(parse(c)) > 0, parse(c)) for c in candidates), empty)
+    return F.coalesce(*(let(parse(c), lambda ids: F.when(F.size(ids) > 0, ids)) for c in candidates), empty)
 
 
 def device_ids(raw: Column) -> Column:

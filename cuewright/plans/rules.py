@@ -19,7 +19,7 @@ def settings(spark: SparkSession, sf: str) -> DataFrame:
     """Settings of many shapes, made from parts."""
     n = F.col("p_partkey").cast("string")
     ids = F.expr("case p_partkey % 4 when 0 then concat(p_partkey, '|', p_size, ',x;7') when 1 then ' ' when 2 then 'none' end")
-    own = table(spark, sf, "part")
+    own = table(spark, sf, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # narrow rows, much work a row
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return own.select(
         "p_partkey", joined(T.env_ids(ids, F.lit("5 6"))).alias("env_ids"), joined(T.device_ids(F.concat(F.lit("3, x,1,"), (F.col("p_size") % 5).cast("string"), F.lit(",-2,3")))).alias("device_ids"),
@@ -143,11 +143,11 @@ def run_logs(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     lines = li.select(F.col("l_suppkey").alias("run"), F.expr("l_orderkey * 10 + l_linenumber").alias("ord"), F.expr("case l_linenumber % 3 when 0 then concat('tess_score=', l_linenumber / 10, ' ppocr_conf=0.5') when 1 then concat('ppocr_score=', l_linenumber / 10) else concat('found ', l_orderkey, ' streams and ', l_linenumber, ' cues') end").alias("line"))
     codecs = telemetry.codec_counts(li.select(F.lit("subtitle").alias("kind"), F.expr("case l_partkey % 3 when 0 then 'dvd_subtitle' else 'subrip' end").alias("codec")), M.BITMAP_SUBTITLES)
-    scores = telemetry.fallback_scores(lines, "run")
+    summary = telemetry.run_summary(lines, "run")
     metrics = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("run"), F.expr("case when s_suppkey % 2 = 0 then 'eng' else 'fra' end").alias("language"), (F.col("s_suppkey") * 10).alias("char_count"), (F.col("s_suppkey") % 10 / 100).alias("space_rate"))
     gated = telemetry.spacing_gate(metrics, 0.05).select("run", F.lit(True).alias("glued"))
-    rounded = scores.select("run", *(F.round(c, 6).alias(c) for c in ("tess_score", "ppocr_score", "ppocr_conf")))
-    return rounded.join(telemetry.run_counts(lines, "run"), "run").join(gated, "run", "left").crossJoin(F.broadcast(codecs.filter("bitmap").select(F.col("n").alias("bitmap_streams"))))
+    rounded = summary.select("run", *(F.round(c, 6).alias(c) for c in ("tess_score", "ppocr_score", "ppocr_conf")), "streams", "cues")
+    return rounded.join(gated, "run", "left").crossJoin(F.broadcast(codecs.filter("bitmap").select(F.col("n").alias("bitmap_streams"))))
 
 
 RUN_LOGS = """WITH l AS (SELECT l_suppkey AS run, l_orderkey::BIGINT * 10 + l_linenumber AS ord, l_linenumber % 3 AS k, l_linenumber AS n, l_orderkey AS o FROM lineitem)

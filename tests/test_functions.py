@@ -185,3 +185,10 @@ def test_hardware(spark):
     assert (backend("auto", True, True).backend, backend("auto", True, False).backend, backend("cuda", True, False).backend, backend("cuda", False, False).backend) == ("cuda", "software", None, "software")
     plan = lambda cuda, need: spark.range(1).select(hardware.provider_plan({"cuda": F.lit(cuda), "directml": F.lit(False), "coreml": F.lit(False)}, F.lit(need)).alias("p")).first().p
     assert (plan(True, False), plan(False, False), plan(False, True)) == (["cuda", "cpu"], ["cpu"], None)
+
+
+def test_pairs_keep_the_first_of_equal_keys(spark):
+    from cuewright.functions import text as T
+
+    got = spark.sql("select ' A = 1 ,a=2, =3,b=,c,D=x=y, B=4' as s union all select null").select(T.pairs(F.col("s")).alias("m")).collect()
+    assert [r.m for r in got] == [{"a": "1", "d": "x=y", "b": "4"}, None]
