@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +23,23 @@ BASELINE_MS, BASELINE_SAMPLES, BASELINE_SHARE = 180_000, 12, 0.85
 
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values("ord", kind="stable")
+    own = list(frames)
+    rows = own[0] if len(own) == 1 else pd.concat(own, ignore_index=True)
+    order = rows["ord"].to_numpy()
+    return rows if (order[1:] >= order[:-1]).all() else rows.sort_values("ord", kind="stable")
+
+
+def _beside(rows: pd.DataFrame, names: list[str], made: dict[str, list], keep: np.ndarray | slice = slice(None)) -> pd.DataFrame:
+    """Columns of the rows kept, then new ones: one frame, as a group is small and each step on a frame costs more than its rows."""
+    return pd.DataFrame({name: rows[name].array[keep] for name in names} | made, copy=False)
 
 
 def _stateful(frame: DataFrame, key: str, step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], output: str, state: str) -> DataFrame:
     def run(_, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         made, new = step(_ordered(frames), held.get if held.exists else None)
         held.update(new)
-        yield made
+        if len(made):
+            yield made
 
     return frame.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
 
@@ -52,8 +62,7 @@ def monotonic(packets: DataFrame, key: str = "stream_id") -> DataFrame:
             new = dts if last is None or dts > last else last + 1
             out.append((new, max(pts, new) if new > dts else pts))
             last = new
-        rows = rows.assign(new_dts=[a for a, _ in out], new_pts=[b for _, b in out])
-        return rows[[key, "ord", "dts", "pts", "new_dts", "new_pts"]], (last,)
+        return _beside(rows, [key, "ord", "dts", "pts"], {"new_dts": [a for a, _ in out], "new_pts": [b for _, b in out]}), (last,)
 
     kind = packets.schema[key].dataType.simpleString()
     return _stateful(packets, key, step, f"{key} {kind}, ord bigint, dts bigint, pts bigint, new_dts bigint, new_pts bigint", "last bigint")
@@ -64,11 +73,13 @@ def breaker(packets: DataFrame, policy: str = "skip", key: str = "stream_id") ->
 
     def step(rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
         open_, out = bool(held[0]) if held else False, []
+        if open_:
+            return rows.iloc[:0], (True,)
         for failed in rows["failed"].tolist():
             out.append(None if open_ else ("abort" if policy == "fail" else "skip") if failed else "pass")
             open_ = open_ or bool(failed)
-        rows = rows.assign(outcome=out)
-        return rows[rows["outcome"].notna()][[key, "ord", "outcome"]], (open_,)
+        kept = [k for k, outcome in enumerate(out) if outcome is not None]
+        return _beside(rows, [key, "ord"], {"outcome": [out[k] for k in kept]}, np.array(kept, int)), (open_,)
 
     return _stateful(packets, key, step, f"{key} {packets.schema[key].dataType.simpleString()}, ord bigint, outcome string", "open boolean")
 
@@ -143,7 +154,7 @@ def progress(reports: DataFrame, step_percent: float = 5.0, key: str = "job_id")
             said = percent >= last + step_percent or percent >= 100 > last
             keep.append(said)
             last = percent if said else last
-        return rows[keep][[key, "ord", "percent"]], (last,)
+        return _beside(rows, [key, "ord", "percent"], {}, np.array(keep, bool)), (last,)
 
     return _stateful(reports, key, step, f"{key} {reports.schema[key].dataType.simpleString()}, ord bigint, percent double", "last double")
 
