@@ -156,8 +156,13 @@ def long_runs(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _of_texts(texts: pa.Array, made: Callable[[np.ndarray, np.ndarray], list[str]]) -> pa.Array:
-    out = [s for points, bounds in slices(texts) for s in made(points, bounds)]
-    return pa.array([s if ok else None for s, ok in zip(out, texts.is_valid().to_pylist(), strict=True)], pa.string())
+    """A text for each; those of a slice become Arrow data before the next is cut, so that one slice of strings is held."""
+    valid, first, out = texts.is_valid().to_numpy(zero_copy_only=False), 0, []
+    for points, bounds in slices(texts):
+        own = made(points, bounds)
+        out.append(pa.array(own, pa.string(), mask=~valid[first : first + len(own)]))
+        first += len(own)
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 @F.arrow_udf(StringType())
