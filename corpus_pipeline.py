@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewright.llm import decontaminate, language_id, line_dedup, merge_dropout, simhash
 from cuewright.llm.queries import TOKENIZER
-from cuewright.llm.shared import stored
+from cuewright.llm.shared import small_batches, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,6 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged by its text alone.  Where no row is labelled there is nothing to judge by, and all texts with a
     letter stay as they are.
     """
+    small_batches(spark)
     trained = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     if not trained.langs:
         return docs.filter(language_id.has_letter(F.col("text")))
@@ -33,6 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All rows stay; a text may become empty.  Null texts and rows of a null id stay as they are; rows that
     repeat an id count as one document.
     """
+    small_batches(spark)
     return line_dedup.dedup_lines(docs, counts=False).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -42,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words are one group.  Of rows that repeat the id that stays, the one of the smallest text
     is kept; rows of a null id only where their whole group has none.
     """
+    small_batches(spark)
     return simhash.keep_one_of_each(docs)
 
 
@@ -50,6 +53,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and wordless texts stay; rows that repeat an id are each judged; without items all stay.
     """
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -58,6 +62,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids; rows that repeat an id and text get the same ids.
     """
+    small_batches(spark)
     return merge_dropout.encode(docs, merge_dropout.PieceModel(TOKENIZER))
 
 

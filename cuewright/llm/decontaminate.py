@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex, from_bytes, to_bytes
-from .shared import stored
+from .shared import stored, thrifty
 from .text_arrays import ALNUM, FIRST, pieces, row_slices, spread, words
 
 #: Test phrases are sent to the tasks in blocks of so many words at most.
@@ -147,7 +147,7 @@ def index_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     read = docs.select(F.struct(F.col(id_col).alias("id"), _text_key(text_col).alias("key")).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = read.schema["row"].dataType.simpleString()
-    return stored(read.mapInArrow(run, f"shard string, rows array<{kind}>, index binary"), "fm-index")
+    return stored(read.mapInArrow(thrifty(run), f"shard string, rows array<{kind}>, index binary"), "fm-index")
 
 
 def _search(indexes: DataFrame, phrases: Phrases, hits_only: bool) -> tuple[DataFrame, object]:
@@ -168,7 +168,7 @@ def _search(indexes: DataFrame, phrases: Phrases, hits_only: bool) -> tuple[Data
                 yield out.filter(pa.array(n_hit > 0)) if hits_only else out
 
     kind = indexes.schema["rows"].dataType.elementType.simpleString()
-    return indexes.select("shard", "rows", "index").mapInArrow(run, f"row {kind}, shard string, place long, {HITS}"), shared
+    return indexes.select("shard", "rows", "index").mapInArrow(thrifty(run), f"row {kind}, shard string, place long, {HITS}"), shared
 
 
 def contaminated(n_words: Column, n_hit: Column, one_in: int = 20) -> Column:
@@ -265,4 +265,4 @@ def cut_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
             yield pa.RecordBatch.from_arrays(columns, names)
 
     made = joined.select(*names, "_spans")
-    return made.mapInArrow(cut, made.select(*names).schema).toDF(*docs.columns)
+    return made.mapInArrow(thrifty(cut), made.select(*names).schema).toDF(*docs.columns)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, thrifty
 from .text_arrays import row_slices
 
 TRAIN_CHARS = 30_000
@@ -362,7 +362,7 @@ def _judged(rows: DataFrame, position: int, kept: list[int], trained: Languages,
                     lang, least = [a if w <= x else b for a, b, w, x in zip(old, lang, was, least, strict=True)], both
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), batch.column(width), pa.array(lang, pa.string()), pa.array(least), pa.array(odds)], [*(f"c{c}" for c in columns), *state])
 
-        made = made.mapInArrow(run, ", ".join([*(f"c{c} {kinds[c]}" for c in columns), *(f"{n} {k}" for n, k in state.items())]))
+        made = made.mapInArrow(thrifty(run), ", ".join([*(f"c{c} {kinds[c]}" for c in columns), *(f"{n} {k}" for n, k in state.items())]))
         if later is not None:
             made = stored(made, "languages")
             shared.destroy()

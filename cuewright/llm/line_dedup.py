@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cuckoo import CuckooFilter
-from .shared import claim, exists, shared_dir, stored
+from .shared import claim, exists, shared_dir, stored, thrifty
 from .text_arrays import FIRST, SECOND, Lines, Piece, lines, pieces, row_slices
 
 #: Filters that are sent to the tasks at once.
@@ -83,7 +83,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, min_chars: int, filter
                 yield pa.RecordBatch.from_arrays([pa.array(k1[new]), pa.array(k2[new]), ids.take(pa.array(row[new] + piece.first))], ["k1", "k2", "doc"])
 
     read = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, f"k1 long, k2 long, doc {read.schema['doc'].dataType.simpleString()}")
+    return read.mapInArrow(thrifty(run), f"k1 long, k2 long, doc {read.schema['doc'].dataType.simpleString()}")
 
 
 class LineStore:
@@ -263,7 +263,7 @@ class LineStore:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
         kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, joined.schema.fields, strict=False))
-        made = joined.mapInArrow(cut, f"{kinds}, n_lines long, n_dropped long")
+        made = joined.mapInArrow(thrifty(cut), f"{kinds}, n_lines long, n_dropped long")
         own = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if not counts or c not in ("n_lines", "n_dropped")]
         return made.select(*own, *(["n_lines", "n_dropped"] if counts else []))
 

@@ -26,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_arrays import EXACT, SLICE_BYTES, Piece, mix, pieces, row_slices, spread
+from .shared import thrifty
+from .text_arrays import EXACT, Piece, mix, pieces, row_slices, spread
 
 MARK = "▁"
 SHORT, ROUND = 48, 1 << 18
 NONE = np.int64(1 << 40)
+#: Text that a task encodes together: its arrays are some 400 times as large in all.
+ENCODED_BYTES = 1 << 18
 
 
 class PieceModel:
@@ -310,14 +313,14 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches, 1, SLICE_BYTES):
+        for batch in row_slices(batches, 1, ENCODED_BYTES):
             ids, bounds = encode_column(shared.value, batch.column(1), _row_keys(batch.column(2)), seed=seed, dropout=dropout)
             data, ends = decode_column(shared.value, ids, bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(np.diff(bounds)), pa.array(_equal(batch.column(1), data, ends))], ["id", "ids", "n_pieces", "lossless"])
 
     text = F.col(text_col).cast("string")
     read = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
-    return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
+    return read.mapInArrow(thrifty(run), f"id {read.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
 
 
 def _equal(texts: pa.Array, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -350,4 +353,4 @@ def decode(encoded: DataFrame, model: PieceModel, *, id_col: str = "doc_id", ids
             yield pa.RecordBatch.from_arrays([batch.column(0), texts.cast(pa.string())], ["id", "text"])
 
     read = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return read.mapInArrow(thrifty(run), f"id {read.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +49,48 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system, as far as its allocators can tell."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def thrifty(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function of ``mapInArrow`` that gives back what its task has freed.
+
+    Python workers live on from stage to stage, and glibc keeps freed arrays under 32 MB for later ones,
+    so that every worker of an executor would stay as large as its largest task.
+    """
+
+    def given_back(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return given_back
+
+
+#: Text that goes to a Python worker in one Arrow batch, about.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session are of about ``BATCH_BYTES``, unless the session names a size itself.
+
+    Else Spark goes by 10,000 rows: with whole documents that is many MB, several times over in the
+    executor's native memory, which it keeps.  Results don't depend on how rows are batched.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

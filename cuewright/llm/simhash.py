@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import checkpoint
+from .shared import checkpoint, thrifty
 from .text_arrays import LOWER, NOT_SPACE, mix, pieces, spread, words
 
 BITS, SEED, SHINGLE = 3, 42, 3
@@ -88,7 +88,7 @@ def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1), shingle).view(np.int64))], ["id", "fp"])
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, fp long")
+    return read.mapInArrow(thrifty(run), f"id {read.schema['id'].dataType.simpleString()}, fp long")
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ def with_pivots(classes: DataFrame) -> DataFrame:
             bounds = np.arange(len(table) + 1, dtype=np.int32) * len(PIVOTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(bounds), pa.py_buffer(table)])], ["fp", "table"])
 
-    return classes.select("fp").mapInArrow(run, "fp long, table binary")
+    return classes.select("fp").mapInArrow(thrifty(run), "fp long, table binary")
 
 
 def _masks(free: int, bits: int) -> list[int]:
@@ -208,7 +208,7 @@ def links(classes: DataFrame, bits: int = BITS, group_limit: int = GROUP_LIMIT)
         # with so few free bits left, at most 2**8 fingerprints can share a path
         again = too_large & F.col("free").isin([_signed(f) for f in frees]) if frees else F.lit(False)
         groups = shared.filter(~again).select("path", "fp", "table")
-        found.append(groups.repartition("path").sortWithinPartitions("path").mapInArrow(_links_of_groups(bits), "a long, b long"))
+        found.append(groups.repartition("path").sortWithinPartitions("path").mapInArrow(thrifty(_links_of_groups(bits)), "a long, b long"))
         nodes = shared.filter(again).select("path", "free", "fp", "table")
     return reduce(DataFrame.unionByName, found)
 
@@ -261,4 +261,4 @@ def with_all_columns(docs: DataFrame, text_col: str, shingle: int = SHINGLE) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, PRINT])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {PRINT} string")
+    return docs.mapInArrow(thrifty(run), f"{fields}, {PRINT} string")
